@@ -61,5 +61,30 @@ FROM based
 """
 
 
+LINE_DEDUP = r"""
+WITH docs AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (
+  SELECT doc_id, i, lines[i + 1] AS line, len(regexp_extract_all(lines[i + 1], '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM docs)),
+summed AS (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM numbered),
+-- all runs from a line with words to the first line, or to a line from the last line, that makes 50 words
+spans AS (
+  SELECT x.doc_id, x.i AS a, min(y.i) AS z FROM summed x JOIN summed y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.upto - x.upto + x.n >= 50
+  WHERE x.n > 0 GROUP BY ALL
+  UNION
+  SELECT y.doc_id, max(x.i) AS a, y.i AS z FROM summed y JOIN summed x ON x.doc_id = y.doc_id AND y.i >= x.i AND y.upto - x.upto + x.n >= 50
+  WHERE y.n > 0 GROUP BY y.doc_id, y.i),
+runs AS (SELECT s.doc_id, a, z, array_to_string(d.lines[a + 1:z + 1], chr(10)) AS run FROM spans s JOIN docs d USING (doc_id)),
+firsts AS (SELECT run, min({'d': doc_id, 'a': a}) AS f FROM runs GROUP BY run),
+later AS (SELECT r.doc_id, a, z FROM runs r JOIN firsts USING (run) WHERE {'d': doc_id, 'a': a} > f),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM later),
+rest AS (
+  SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.i) FILTER (g.i IS NULL) AS kept, count(*) AS n_lines, count(g.i) AS n_removed
+  FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id)
+SELECT d.doc_id, CASE WHEN n_removed = 0 THEN d.text ELSE coalesce(kept, '') END AS text, n_lines, n_removed
+FROM docs d JOIN rest USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": QUALITY}
+    return {"op1_line_dedup": LINE_DEDUP, "op6_quality_rules": QUALITY}
