@@ -86,5 +86,41 @@ FROM docs d JOIN rest USING (doc_id)
 """
 
 
+#: 13 words with 2 substituted hold 4 in a row that agree, so those find all diagonals to be compared.
+DECONTAMINATION = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+listed AS (
+  SELECT kind, id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', '', 'g'), '[^\x20\x09-\x0D]+') AS w FROM texts),
+grams AS (
+  SELECT kind, id, p, array_to_string(w[p:p + 3], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - 2)) AS p FROM listed WHERE len(w) > 3)),
+diagonals AS (
+  SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.p - i.p AS o
+  FROM grams d JOIN grams i ON d.gram = i.gram WHERE d.kind = 'd' AND i.kind = 'i'),
+lined AS (
+  SELECT g.*, d.w AS dw, i.w AS iw, least(13, len(i.w)) AS width
+  FROM diagonals g JOIN listed d ON d.kind = 'd' AND d.id = g.doc_id JOIN listed i ON i.kind = 'i' AND i.id = g.item_id WHERE len(i.w) >= 5),
+places AS (
+  SELECT doc_id, item_id, o, width, p, CASE WHEN dw[p + o] = iw[p] THEN 1 ELSE 0 END AS same
+  FROM (SELECT *, unnest(range(greatest(1, 1 - o), least(len(iw), len(dw) - o) + 1)) AS p FROM lined)),
+windowed AS (
+  SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, o ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s13,
+         count(*) OVER (PARTITION BY doc_id, item_id, o ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n13,
+         sum(same) OVER (PARTITION BY doc_id, item_id, o) AS s_all, count(*) OVER (PARTITION BY doc_id, item_id, o) AS n_all
+  FROM places),
+good AS (
+  SELECT doc_id, item_id, o, width, p FROM windowed
+  WHERE width = 13 AND n13 = 13 AND s13 >= 11 OR width < 13 AND n_all = width AND s_all = width AND p = 1),
+covered AS (SELECT DISTINCT doc_id, item_id, o, unnest(range(p, p + width)) AS p FROM good),
+sized AS (
+  SELECT c.doc_id, c.item_id, c.o, sum(w.same) AS m, count(*) AS n, min(c.p) AS p
+  FROM covered c JOIN places w ON w.doc_id = c.doc_id AND w.item_id = c.item_id AND w.o = c.o AND w.p = c.p GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY m DESC, n, p + o, p) AS k FROM sized)
+SELECT doc_id, item_id, m::BIGINT AS matched_words, n::BIGINT AS overlap_words, (p + o - 1)::BIGINT AS doc_start, (p - 1)::BIGINT AS item_start
+FROM ranked WHERE k = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op6_quality_rules": QUALITY}
+    return {"op1_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY}

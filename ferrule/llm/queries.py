@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.llm.common import read_table
+from ferrule.llm.decontam import overlaps
 from ferrule.llm.line_dedup import line_dedup
 from ferrule.llm.quality import quality_rules
 
@@ -19,8 +20,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op10_decontamination": op10_decontamination,
     }
