@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
+from ferrule.llm.quality import COMMON_WORDS
+
 QUALITY = r"""
 WITH rows AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-         regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS lowered,
          row_number() OVER () AS r
   FROM documents),
 classes AS (
-  SELECT *, [length(regexp_replace(text, '[^\p{Ll}]+', '', 'g')), length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')),
+  SELECT *, [length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')), length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')),
              length(regexp_replace(text, '[^0-9]+', '', 'g')), length(regexp_replace(text, '[^.,;:!?]+', '', 'g')),
-             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')), length(regexp_replace(text, '[^\x20\x09-\x0D]+', '', 'g'))] AS six
+             length(regexp_replace(text, '[^\x20\x09-\x0D]+', '', 'g'))] AS six
   FROM rows),
 counted AS (SELECT *, list_concat(six, [length(text) - list_sum(six)::BIGINT]) AS c FROM classes),
-bins AS (SELECT r, lang, unnest(c) AS n, unnest(range(7)) AS k FROM counted),
+bins AS (SELECT r, lang, unnest(c) AS n, unnest(range(6)) AS k FROM counted),
 ref_bins AS (SELECT lang, k, sum(n) AS n FROM bins GROUP BY lang, k),
-vocabulary AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(lowered) AS word FROM rows) GROUP BY lang, word),
+vocabulary AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM rows) GROUP BY lang, word),
 totals AS (SELECT lang, sum(n) AS total FROM vocabulary GROUP BY lang),
-common AS (SELECT v.lang, v.word, v.n FROM vocabulary v JOIN totals t USING (lang) WHERE v.n * 200 >= t.total),
+listed(lang, word) AS (VALUES COMMON_WORDS),
+common AS (SELECT l.lang, l.word, coalesce(v.n, 0) AS n FROM listed l LEFT JOIN vocabulary v USING (lang, word)),
 ref_words AS (
   SELECT lang, word, n FROM common
   UNION ALL
   SELECT t.lang, NULL, t.total - coalesce((SELECT sum(n) FROM common c WHERE c.lang = t.lang), 0) FROM totals t),
 doc_words AS (
   SELECT d.r, d.lang, c.word, count(*) AS n
-  FROM (SELECT r, lang, unnest(lowered) AS w FROM rows) d LEFT JOIN common c ON c.lang = d.lang AND c.word = d.w
+  FROM (SELECT r, lang, unnest(words) AS w FROM rows) d LEFT JOIN common c ON c.lang = d.lang AND c.word = d.w
   GROUP BY ALL),
 word_pairs AS (
   SELECT d.r, w.n::DOUBLE / sum(w.n) OVER (PARTITION BY d.r) AS q, coalesce(x.n, 0)::DOUBLE / sum(coalesce(x.n, 0)) OVER (PARTITION BY d.r) AS p
@@ -49,14 +51,15 @@ lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM rows),
 dup_lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 joined AS (
   SELECT c.doc_id, len(c.words)::BIGINT AS n_words, coalesce(list_sum(list_transform(c.words, lambda x: length(x))), 0)::BIGINT AS word_chars,
-         six[5]::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
-         CASE WHEN coalesce(t.total, 0) >= 5000 AND length(c.text) >= 100 THEN cd.d END AS class_distance,
+         six[1]::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
+         CASE WHEN coalesce(t.total, 0) >= 5000 AND length(c.text) >= 300 THEN cd.d END AS class_distance,
          CASE WHEN coalesce(t.total, 0) >= 5000 AND len(c.words) >= 50 THEN wd.d END AS word_distance
   FROM counted c LEFT JOIN totals t USING (lang) LEFT JOIN dup_lines l USING (r) LEFT JOIN repeats p USING (r)
   LEFT JOIN class_distance cd USING (r) LEFT JOIN word_distance wd USING (r)),
 based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM joined)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(class_distance, 0) <= 0.28 AND coalesce(word_distance, 0) <= 0.36 AS kept, class_distance, word_distance
+       NOT base_failed AND coalesce(class_distance, 0) <= 0.28 AND coalesce(word_distance, 0) <= 0.335
+         AND NOT (coalesce(class_distance, 0) > 0.15 AND coalesce(word_distance, 0) > 0.3) AS kept, class_distance, word_distance
 FROM based
 """
 
@@ -122,5 +125,8 @@ FROM ranked WHERE k = 1
 """
 
 
+QUALITY = QUALITY.replace("COMMON_WORDS", ", ".join(f"('{lang}', '{word}')" for lang, words in COMMON_WORDS.items() for word in words.split()))
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY}

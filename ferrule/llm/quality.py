@@ -10,84 +10,85 @@ each on its own; only the id, text and language columns are read, so other colum
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import SEPARATORS, let, words_of
-
-#: The character classes, as what a class keeps of a text. "other" is what remains.
-CLASSES = {
-    "lower": r"[^\p{Ll}]+",
-    "upper": r"[^\p{Lu}]+",
-    "digit": r"[^0-9]+",
-    "stop": r"[^.,;:!?]+",
-    "symbol": r"[^#*$%&|<>]+",
-    "space": r"[^\x20\x09-\x0D]+",
+from ferrule.llm.common import let, words_of, written
+
+#: The character classes counted by pattern. Characters outside them are separators or "rest".
+CLASSES = {"symbol": r"[#*$%&|<>]", "upper": r"\p{Lu}", "digit": r"[0-9]", "stop": r"[.,;:!?]"}
+#: What most of a text consists of and no class has; it is taken out first.
+PLAIN = r"[a-z\x20\xE0-\xFF]+"
+#: Common words of the languages, written small.
+COMMON_WORDS = {
+    "de": "das dem den der des die ein eine er es für ich im in ist mit nicht sich sie und von was zu",
+    "en": "a and are as at be by for from he in is it of on or that the this to was with you",
+    "es": "a al con de del el en es la las lo los no para por que se su un una y",
+    "fr": "à au de des du en est et il la le les ne par pas pour que qui sur un une",
 }
+#: Slots of a language's table of common words.
+SLOTS = 256
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits of the rules.
-
-    A word is common in a language when it makes at least 1/``common_share`` of the language's words, so that a
-    language has at most ``common_share`` common words.
-    """
+    """Limits of the rules."""
 
     min_words: int = 20
     window: int = 8
     repeat_percent: int = 30
-    common_share: int = 200
-    class_min_chars: int = 100
+    class_min_chars: int = 300
     class_limit: float = 0.28
     word_min_words: int = 50
-    word_limit: float = 0.36
+    word_limit: float = 0.335
+    both_class: float = 0.15
+    both_word: float = 0.3
     reference_min_words: int = 5000
     broadcast_rows: int = 2000
+    common_words: dict[str, str] = field(default_factory=lambda: dict(COMMON_WORDS))
+
 
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
 
-def repeated_words(words: Column, window: int) -> Column:
-    """How many words lie in windows of ``window`` words that the text has twice or more.
 
-    Windows go by their 64-bit hash. Only texts with an equal pair sort their windows; the sort keeps the work at
-    n log n for texts that repeat throughout.
+def repeated_words(hashes: Column) -> Column:
+    """How many words lie in 8-word windows that the text has twice or more, from the hashes of its words.
+
+    Windows go by a 64-bit hash, that of their two halves. Only texts with an equal pair sort their
+    windows; the sort keeps the work at n log n for texts that repeat throughout.
     """
 
-    def covered(hashes: Column) -> Column:
-        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    def covered(windows: Column) -> Column:
+        placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
 
         def positions(s: Column) -> Column:
-            last = F.size(s) - 1
-            again = lambda e, i: ((i > 0) & (F.get(s, i - 1)["h"] == e["h"])) | ((i < last) & (F.get(s, i + 1)["h"] == e["h"]))
+            again = lambda e, i: ((i > 0) & (F.get(s, i - 1)["h"] == e["h"])) | (F.get(s, i + 1)["h"] == e["h"])
             return F.sort_array(F.transform(F.filter(s, again), lambda e: e["p"]))
 
-        def total(p: Column) -> Column:
-            steps = F.transform(p, lambda x, i: F.when(i == 0, F.lit(window)).otherwise(F.least(F.lit(window), x - F.get(p, i - 1))))
-            return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
-
-        return let(let(placed, positions), total)
+        return let(let(placed, positions), lambda p: total(F.transform(p, lambda x, i: F.when(i == 0, 8).otherwise(F.least(F.lit(8), x - F.get(p, i - 1))))))
 
-    def of(w: Column) -> Column:
-        n = F.size(w) - (window - 1)
-        hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, window)))
-        return F.when(n < 2, F.lit(0).cast("long")).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h))))
+    def of(h: Column) -> Column:
+        four = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3)))
+        eight = let(four, lambda f: F.transform(f, lambda x, i: F.xxhash64(x, F.get(f, i + 4))))
+        windows = F.slice(eight, 1, F.size(h) - 7)
+        return F.when(F.size(h) < 9, F.lit(0).cast("long")).otherwise(let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(covered(w))))
 
-    return let(words, of)
+    return let(hashes, of)
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class, "other" last, as an array of longs."""
-    counts = [F.length(F.regexp_replace(text, keep, "")).cast("long") for keep in CLASSES.values()]
-    return let(F.array(*counts, F.length(text).cast("long")), lambda c: F.concat(F.slice(c, 1, len(CLASSES)), F.array(F.get(c, F.lit(len(CLASSES))) - sum((F.get(c, F.lit(i)) for i in range(1, len(CLASSES))), F.get(c, F.lit(0))))))
+def common_histogram(hashes: Column, common: Column, slots: Column) -> Column:
+    """How often each common word occurs among the words, all by hash; a word is sought in its slot alone."""
+    found = F.filter(hashes, lambda h: F.array_contains(F.get(slots, h.bitwiseAND(SLOTS - 1).cast("int")), h))
+    return let(found, lambda f: F.transform(common, lambda c: (F.size(f) - F.size(F.array_remove(f, c))).cast("long")))
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
     """Distance of two histograms of equal size, each given as counts; null where one is empty."""
 
     def of(a: Column) -> Column:
-        total = lambda h: F.aggregate(h, F.lit(0).cast("long"), lambda s, x: s + x).cast("double")
         part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
         def divergence(t: Column) -> Column:
@@ -99,64 +100,62 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return let(F.struct(p.alias("p"), q.alias("q")), of)
 
 
-def language_references(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """A row for each language: its common words with their counts, all its words, and its character classes.
-
-    Words are counted over all documents with partial aggregation. That a common word has a fixed least share bounds
-    each language's list, so no group is ever gathered whole.
-    """
-    rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    common = counts.join(totals, "lang").where(F.col("n") * rules.common_share >= F.col("total"))
-    common = common.groupBy("lang").agg(F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("word", "n"))).alias("common"))
-    classes = rows.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*(F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
-    listed = F.concat(F.col("common.n"), F.array(F.col("total") - F.aggregate("common.n", F.lit(0).cast("long"), lambda s, x: s + x)))
-    return classes.join(common, "lang", "left").select("lang", F.array(*(f"c{i}" for i in range(len(CLASSES) + 1))).alias("ref_classes"), F.coalesce("total", F.lit(0).cast("long")).alias("ref_total"), F.col("common.word").alias("ref_words"), listed.alias("ref_counts"))
+def word_tables(spark: SparkSession, words: dict[str, str]) -> DataFrame:
+    """A row for each language that has a list: the hashes of its words, and the table of slots to seek them in."""
+    listed = spark.createDataFrame([(k, v.split()) for k, v in words.items()], "lang string, words array<string>")
+    hashed = listed.select("lang", F.transform("words", lambda w: F.xxhash64(w)).alias("common"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.filter("common", lambda h: h.bitwiseAND(SLOTS - 1) == k))
+    return hashed.select("lang", "common", slots.alias("slots"))
 
 
-def common_histogram(words: Column, common: Column) -> Column:
-    """Counts of the common words among ``words``, in their order, then of all other words."""
+def measures(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """The counts and histograms of each document; ``text`` is read once and not kept."""
+    none = F.array().cast("array<bigint>")
 
-    def of(e: Column) -> Column:
-        found = F.array_remove(F.transform(e["w"], lambda w: F.array_position(e["c"], w).cast("int")), 0)
-        counts = lambda f: F.transform(e["c"], lambda _, i: (F.size(f) - F.size(F.array_remove(f, i + 1))).cast("long"))
-        return let(found, lambda f: F.concat(counts(f), F.array((F.size(e["w"]) - F.size(f)).cast("long"))))
+    def of_words(w: Column) -> Column:
+        hashes = F.transform(w, lambda x: F.xxhash64(x))
+        counts = lambda h: F.struct(repeated_words(h).alias("n_repeat_words"), common_histogram(h, F.coalesce("common", none), F.coalesce("slots", F.array(none))).alias("histogram"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"), let(hashes, counts).alias("h"))
 
-    return let(F.struct(words.alias("w"), common.alias("c")), of)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    special = F.regexp_replace("text", PLAIN, "")
+    counted = lambda t: F.array(*(F.regexp_count(t, F.lit(p)).cast("long") for p in CLASSES.values()))
+    out = rows.join(common, "lang", "left").select(
+        "doc_id", "lang",
+        let(words_of(F.col("text")), of_words).alias("w"),
+        let(special, counted).alias("classes"),
+        F.length("text").cast("long").alias("n_chars"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+    )
+    spaces = F.col("n_chars") - F.col("w.word_chars")
+    return out.select("doc_id", "lang", "w.n_words", "w.word_chars", "w.h.*", F.get("classes", F.lit(0)).alias("n_symbols"), "n_dup_lines", "n_chars", F.concat("classes", F.array(spaces, F.col("n_chars") - spaces - total(F.col("classes")))).alias("classes"))
 
 
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts, distances and the verdict for each document.
 
     A document fails the base rules when it has fewer than ``min_words`` words or when its repeated windows hold more
-    than ``repeat_percent`` of them. It is kept when it passes them and neither distance exceeds its limit. The
+    than ``repeat_percent`` of them. It is kept when it passes them, neither distance exceeds its
+    limit, and not both exceed their lower ones. The
     references go to all tasks while there are few languages; beyond ``broadcast_rows`` of them they are joined.
     """
-    refs = language_references(docs, rules, text, lang)
-    few = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang")).distinct().limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(refs) if few else refs, "lang", "left")
-
-    def counts(w: Column) -> list[Column]:
-        return [
-            F.size(w).cast("long").alias("n_words"),
-            F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"),
-            repeated_words(w, rules.window).alias("n_repeat_words"),
-        ]
-
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    judged = rows.select(
-        "doc_id", "ref_total", "ref_counts", "ref_classes", "ref_words",
-        let(words_of(F.col("text")), lambda w: F.struct(*counts(w))).alias("w"),
-        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        class_counts(F.col("text")).alias("classes"),
-        common_histogram(words_of(F.lower("text")), F.col("ref_words")).alias("histogram"),
-    )
-    trusted = F.col("ref_total") >= rules.reference_min_words
-    class_distance = F.when(trusted & (F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x) >= rules.class_min_chars), jensen_shannon(F.col("classes"), F.col("ref_classes")))
-    word_distance = F.when(trusted & (F.col("w.n_words") >= rules.word_min_words), jensen_shannon(F.col("histogram"), F.col("ref_counts")))
-    judged = judged.select("doc_id", "w.*", F.get("classes", F.lit(list(CLASSES).index("symbol"))).alias("n_symbols"), "n_dup_lines", class_distance.alias("class_distance"), word_distance.alias("word_distance"))
+    # the tables are as many as the lists given
+    measured = written(measures(rows, F.broadcast(word_tables(docs.sparkSession, rules.common_words))), "measures")
+    bins = len(CLASSES) + 2
+    sums = measured.groupBy("lang").agg(F.sum("n_words").alias("ref_words"), *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(bins)))
+    counts = measured.select("lang", F.posexplode("histogram").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "n")))["n"].alias("n"))
+    refs = sums.join(counts, "lang", "left").select("lang", "ref_words", F.array(*(f"c{i}" for i in range(bins))).alias("ref_classes"), F.coalesce("n", F.array().cast("array<bigint>")).alias("n"))
+    refs = refs.select("lang", "ref_words", "ref_classes", F.concat("n", F.array(F.col("ref_words") - total(F.col("n")))).alias("ref_histogram"))
+    few = measured.select("lang").distinct().limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows
+
+    trusted = F.col("ref_words") >= rules.reference_min_words
+    histogram = F.concat("histogram", F.array(F.col("n_words") - total(F.col("histogram"))))
+    class_distance = F.when(trusted & (F.col("n_chars") >= rules.class_min_chars), jensen_shannon(F.col("classes"), F.col("ref_classes")))
+    word_distance = F.when(trusted & (F.col("n_words") >= rules.word_min_words), jensen_shannon(histogram, F.col("ref_histogram")))
+    judged = measured.join(F.broadcast(refs) if few else refs, "lang", "left").withColumns({"class_distance": class_distance, "word_distance": word_distance})
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= rules.class_limit) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.word_limit)
+    by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
+    near = (by_class <= rules.class_limit) & (by_word <= rules.word_limit) & ~((by_class > rules.both_class) & (by_word > rules.both_word))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "class_distance", "word_distance")
