@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import read_table
 from ferrule.llm.decontam import overlaps
 from ferrule.llm.line_dedup import line_dedup
+from ferrule.llm.ngram_join import ngram_join
 from ferrule.llm.packing import best_fit_packing
 from ferrule.llm.quality import quality_rules
 from ferrule.llm.tokens import prefix_counts
@@ -20,6 +21,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op3_ngram_join": op3_ngram_join,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_quality_rules": op6_quality_rules,
         "op9_token_counts": op9_token_counts,
