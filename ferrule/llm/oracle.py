@@ -125,8 +125,37 @@ FROM ranked WHERE k = 1
 """
 
 
+WARC = r"""
+WITH headers AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),
+digested AS (
+  SELECT page_id, n, translate(concat(
+    to_base(('0x' || h[1:10])::UBIGINT::BIGINT, 32, 8), to_base(('0x' || h[11:20])::UBIGINT::BIGINT, 32, 8),
+    to_base(('0x' || h[21:30])::UBIGINT::BIGINT, 32, 8), to_base(('0x' || h[31:40])::UBIGINT::BIGINT, 32, 8)),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS d
+  FROM headers),
+ranked AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM digested)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM ranked
+"""
+
+#: The parts of a rendered turn besides role and text: 6 + 2 quotes + 1 + 8, and 8 for the mark of an escaped one.
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, 6 + 2 + length(role) + 1 + length(text) + 8
+    + CASE WHEN contains(text, '</turn>') THEN 8 + length(text) - length(replace(replace(text, '\', ''), '<', '')) ELSE 0 END AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 QUALITY = QUALITY.replace("COMMON_WORDS", ", ".join(f"('{lang}', '{word}')" for lang, words in COMMON_WORDS.items() for word in words.split()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op10_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY}
+    return {"op1_line_dedup": LINE_DEDUP, "op2_warc_revisits": WARC, "op7_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY}

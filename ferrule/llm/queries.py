@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.llm.chat import formatted_turns, read_back
 from ferrule.llm.common import read_table
 from ferrule.llm.decontam import overlaps
 from ferrule.llm.line_dedup import line_dedup
@@ -15,12 +16,17 @@ from ferrule.llm.ngram_join import ngram_join
 from ferrule.llm.packing import best_fit_packing
 from ferrule.llm.quality import quality_rules
 from ferrule.llm.tokens import prefix_counts
+from ferrule.llm.warc import archived
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return read_back(formatted_turns(rows))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -45,9 +58,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_warc_revisits": op2_warc_revisits,
         "op3_ngram_join": op3_ngram_join,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_quality_rules": op6_quality_rules,
+        "op7_chat_formatting": op7_chat_formatting,
         "op9_token_counts": op9_token_counts,
         "op10_decontamination": op10_decontamination,
     }
