@@ -14,6 +14,7 @@ from ferrule.llm.decontam import overlaps
 from ferrule.llm.line_dedup import line_dedup
 from ferrule.llm.ngram_join import ngram_join
 from ferrule.llm.packing import best_fit_packing
+from ferrule.llm.pii import pseudonymised
 from ferrule.llm.quality import quality_rules
 from ferrule.llm.tokens import prefix_counts
 from ferrule.llm.warc import archived
@@ -46,6 +47,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted_turns(rows))
 
 
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(read_table(spark, sf_dir, "documents"), "ferrule").select("doc_id", "text", "n_pseudonyms")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_quality_rules": op6_quality_rules,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_pii_pseudonyms": op8_pii_pseudonyms,
         "op9_token_counts": op9_token_counts,
         "op10_decontamination": op10_decontamination,
     }
