@@ -108,8 +108,8 @@ def word_tables(spark: SparkSession, words: dict[str, str]) -> DataFrame:
     return hashed.select("lang", "common", slots.alias("slots"))
 
 
-def measures(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """The counts and histograms of each document; ``text`` is read once and not kept."""
+def measures(rows: DataFrame, common: DataFrame, *kept: str) -> DataFrame:
+    """The counts and histograms of each document, and the columns to be kept."""
     none = F.array().cast("array<bigint>")
 
     def of_words(w: Column) -> Column:
@@ -121,41 +121,71 @@ def measures(rows: DataFrame, common: DataFrame) -> DataFrame:
     special = F.regexp_replace("text", PLAIN, "")
     counted = lambda t: F.array(*(F.regexp_count(t, F.lit(p)).cast("long") for p in CLASSES.values()))
     out = rows.join(common, "lang", "left").select(
-        "doc_id", "lang",
+        "doc_id", "lang", *kept,
         let(words_of(F.col("text")), of_words).alias("w"),
         let(special, counted).alias("classes"),
         F.length("text").cast("long").alias("n_chars"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
     spaces = F.col("n_chars") - F.col("w.word_chars")
-    return out.select("doc_id", "lang", "w.n_words", "w.word_chars", "w.h.*", F.get("classes", F.lit(0)).alias("n_symbols"), "n_dup_lines", "n_chars", F.concat("classes", F.array(spaces, F.col("n_chars") - spaces - total(F.col("classes")))).alias("classes"))
+    return out.select("doc_id", "lang", *kept, "w.n_words", "w.word_chars", "w.h.*", F.get("classes", F.lit(0)).alias("n_symbols"), "n_dup_lines", "n_chars", F.concat("classes", F.array(spaces, F.col("n_chars") - spaces - total(F.col("classes")))).alias("classes"))
 
 
-def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Counts, distances and the verdict for each document.
-
-    A document fails the base rules when it has fewer than ``min_words`` words or when its repeated windows hold more
-    than ``repeat_percent`` of them. It is kept when it passes them, neither distance exceeds its
-    limit, and not both exceed their lower ones. The
-    references go to all tasks while there are few languages; beyond ``broadcast_rows`` of them they are joined.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # the tables are as many as the lists given
-    measured = written(measures(rows, F.broadcast(word_tables(docs.sparkSession, rules.common_words))), "measures")
+def references(measured: DataFrame, common: DataFrame) -> DataFrame:
+    """What the documents of a language have in all: ref_words, ref_classes and ref_histogram."""
     bins = len(CLASSES) + 2
     sums = measured.groupBy("lang").agg(F.sum("n_words").alias("ref_words"), *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(bins)))
     counts = measured.select("lang", F.posexplode("histogram").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "n")))["n"].alias("n"))
     refs = sums.join(counts, "lang", "left").select("lang", "ref_words", F.array(*(f"c{i}" for i in range(bins))).alias("ref_classes"), F.coalesce("n", F.array().cast("array<bigint>")).alias("n"))
-    refs = refs.select("lang", "ref_words", "ref_classes", F.concat("n", F.array(F.col("ref_words") - total(F.col("n")))).alias("ref_histogram"))
-    few = measured.select("lang").distinct().limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows
+    return refs.select("lang", "ref_words", "ref_classes", F.concat("n", F.array(F.col("ref_words") - total(F.col("n")))).alias("ref_histogram"))
+
 
+def judged(measured: DataFrame, refs: DataFrame, rules: QualityRules) -> DataFrame:
     trusted = F.col("ref_words") >= rules.reference_min_words
     histogram = F.concat("histogram", F.array(F.col("n_words") - total(F.col("histogram"))))
     class_distance = F.when(trusted & (F.col("n_chars") >= rules.class_min_chars), jensen_shannon(F.col("classes"), F.col("ref_classes")))
     word_distance = F.when(trusted & (F.col("n_words") >= rules.word_min_words), jensen_shannon(histogram, F.col("ref_histogram")))
-    judged = measured.join(F.broadcast(refs) if few else refs, "lang", "left").withColumns({"class_distance": class_distance, "word_distance": word_distance})
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
     near = (by_class <= rules.class_limit) & (by_word <= rules.word_limit) & ~((by_class > rules.both_class) & (by_word > rules.both_word))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "class_distance", "word_distance")
+    out = measured.join(refs, "lang", "left").withColumns({"class_distance": class_distance, "word_distance": word_distance, "base_failed": failed})
+    return out.withColumn("kept", ~failed & near)
+
+
+class Judge:
+    """The references of some documents, and the verdicts on them."""
+
+    def __init__(self, docs: DataFrame, rules: QualityRules, doc_id: str, text: str, lang: str):
+        self.rules, self.docs = rules, docs
+        named = [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")]
+        self.rows = docs.select(*named, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+        # the tables are as many as the lists given
+        self.common = F.broadcast(word_tables(docs.sparkSession, rules.common_words))
+        self.measured = written(measures(self.rows.drop("row"), self.common), "measures")
+        refs = references(self.measured, self.common)
+        few = self.measured.select("lang").distinct().limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows
+        self.refs = F.broadcast(refs) if few else refs
+
+    def verdicts(self) -> DataFrame:
+        return judged(self.measured, self.refs, self.rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+    def kept(self) -> DataFrame:
+        """Measures each text again beside its row, which costs less than to shuffle all texts to their verdicts."""
+        return judged(measures(self.rows, self.common, "row"), self.refs, self.rules).where("kept").select("row.*")
+
+
+def quality_rules(docs: DataFrame, rules: QualityRules | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Counts, distances and the verdict for each document.
+
+    A document fails the base rules when it has fewer than ``min_words`` words or when its repeated windows hold more
+    than ``repeat_percent`` of them. It is kept when it passes them, neither distance exceeds its limit, and not both
+    exceed their lower ones. The references go to all tasks while there are few languages; beyond ``broadcast_rows`` of
+    them they are joined.
+    """
+    return Judge(docs, rules or QualityRules(), doc_id, text, lang).verdicts()
+
+
+def quality_filter(docs: DataFrame, rules: QualityRules | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that ``quality_rules`` keeps, with all their columns."""
+    return Judge(docs, rules or QualityRules(), doc_id, text, lang).kept()

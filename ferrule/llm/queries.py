@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ferrule.llm.chat import formatted_turns, read_back
 from ferrule.llm.common import read_table
 from ferrule.llm.decontam import overlaps
+from ferrule.llm.licenses import license_scan
 from ferrule.llm.line_dedup import line_dedup
 from ferrule.llm.ngram_join import ngram_join
 from ferrule.llm.packing import best_fit_packing
@@ -36,6 +37,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc_revisits": op2_warc_revisits,
         "op3_ngram_join": op3_ngram_join,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_pii_pseudonyms": op8_pii_pseudonyms,
