@@ -197,7 +197,7 @@ def verified(key: tuple, rows: pa.Table, threshold: float) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([counts[some], np.zeros(len(e), np.int64)]))], ["a", "b", "links"])
 
 
-def ngram_join(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, trees: int = 16, depth: int = 8, recall: float = 0.999, likely: float | None = None, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, trees: int = 16, depth: int = 8, recall: float = 0.999, likely: float | None = None, block: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, copy_id (the least id with this text) and n_links (different texts that this one is linked to)."""
     likely = threshold - 0.15 if likely is None else likely
     forest = Forest(trees, depth)
