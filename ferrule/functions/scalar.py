@@ -120,6 +120,12 @@ class Op:
         if self.arity < 1 or len(self.partials) != self.arity:
             raise ValueError(f"{self.name}: an operator needs a value and a partial for each argument")
 
+    def __reduce__(self):
+        # built-in operators travel by name, custom ones with their functions
+        if BUILTIN.get(self.name) is self:
+            return _builtin, (self.name,)
+        return Op, (self.name, self.arity, self.value, self.partials, self.infix, self.display, self.commutative, self.associative, self.complexity)
+
     @property
     def shown(self) -> str:
         return self.display or self.infix or self.name
@@ -210,6 +216,10 @@ _ALL = (
 BUILTIN: dict[str, Op] = {op.name: op for op in _ALL}
 
 
+def _builtin(name: str) -> Op:
+    return BUILTIN[name]
+
+
 class LookupError_(ValueError):
     """A token that names no operator, or several."""
 

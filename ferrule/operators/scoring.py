@@ -44,15 +44,15 @@ def baseline_loss(data: Dataset, loss: Loss) -> float | None:
 def score_many(data: Dataset, exprs: Sequence[Expr], loss: Loss) -> DataFrame:
     """(k, loss, ok) of each expression, by its place in the list. Expressions that fail give a null loss."""
     n_x = len(data.x)
-    shared = data.df.sparkSession.sparkContext.broadcast(list(exprs))
+    programs = list(exprs)  # a few hundred nodes; they travel with the task
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(shared.value), 2))
-        good = np.ones(len(shared.value), bool)
+        totals = np.zeros((len(programs), 2))
+        good = np.ones(len(programs), bool)
         for batch in batches:
             cols = [np.asarray(c, dtype=np.float64) for c in batch.columns]
             x, y, w = np.stack(cols[:n_x]), cols[n_x], cols[n_x + 1] if len(cols) > n_x + 1 else np.ones(batch.num_rows)
-            for k, e in enumerate(shared.value):
+            for k, e in enumerate(programs):
                 if good[k]:
                     value, ok = numpy_eval(e, x)
                     good[k] = ok
