@@ -34,8 +34,11 @@ PLAIN = re.compile(f"[{_L}0-9{''.join(map(re.escape, _MARKS))} \\t\\n\\r]*")
 #: The tokenizers' patterns, over the characters of PLAIN.
 SPACED_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^ \\t\\n\\r{_L}0-9]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
 WORD_PARTS = re.compile(f"[ \\t\\n\\r]*(?:'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^ \\t\\n\\r{_L}0-9]+)")
-#: Parts that are remembered; then the memory starts anew.
-REMEMBERED = 400_000
+#: Parts in the younger half of the memory; when it is full it becomes the older half, whose parts are forgotten with the
+#: next change unless they have come up again.
+REMEMBERED = 300_000
+#: Parts that the library encodes in one text.
+JOINED = 500
 #: Texts that are looked up together.
 TOGETHER = 200
 
@@ -43,32 +46,54 @@ TOGETHER = 200
 class PartCache:
     """What a tokenizer makes of a text, from what it makes of the text's parts.
 
-    ``value`` turns an encoding into what is remembered of a part."""
+    ``value`` turns a part's ids into what is remembered of it. New parts are encoded together, in a text of which each
+    is a word; ``between`` parts them and makes ``step`` - 1 words of its own."""
 
-    def __init__(self, path: str, pattern: re.Pattern, lower: bool, value):
+    def __init__(self, path: str, pattern: re.Pattern, lower: bool, value, between: str, step: int):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.pattern, self.lower, self.value = pattern, lower, value
+        self.pattern, self.lower, self.value, self.between, self.step = pattern, lower, value, between, step
         added = self.library.get_added_tokens_decoder().values()
         self.special = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)", re.IGNORECASE)
         self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    def learn(self, new: list[str]) -> None:
+        alone = [p for p in new if not p.strip()]  # white space would run into what parts the words
+        words = [p for p in new if p.strip()]
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            e = self.library.encode(self.between.join(some), add_special_tokens=False)
+            which, ids = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4")
+            if not len(which) or which[-1] != self.step * (len(some) - 1):
+                alone += some
+                continue
+            first = np.searchsorted(which, self.step * np.arange(len(some)), "left")
+            last = np.searchsorted(which, self.step * np.arange(len(some)), "right")
+            self.known.update(zip(some, (self.value(ids[a:z]) for a, z in zip(first.tolist(), last.tolist(), strict=True)), strict=True))
+        if alone:
+            self.known.update(zip(alone, (self.value(np.array(e.ids, "<u4")) for e in self.library.encode_batch(alone, add_special_tokens=False)), strict=True))
 
     def parts(self, texts: list[str]) -> list[list[str] | None]:
         """The parts of each text, all of them known from then on; None for texts that must go whole."""
         out, missing = [], set()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         for text in texts:
             if PLAIN.fullmatch(text) and not self.special.search(text):
                 out.append(found := self.pattern.findall(text.lower() if self.lower else text))
                 missing.update(found)
             else:
                 out.append(None)
-        if new := [part for part in missing if part not in self.known]:
-            self.known.update(zip(new, map(self.value, self.library.encode_batch(new, add_special_tokens=False)), strict=True))
+        if new := missing.difference(self.known):
+            if self.older:
+                again = [part for part in new if part in self.older]
+                self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+                new = new.difference(again)
+            self.learn(list(new))
         return out
 
 
@@ -79,9 +104,9 @@ def cache(path: str, kind: str) -> PartCache:
     """A worker's own cache for a tokenizer file: "ids" of the byte-level one, "counts" of the one with word ends."""
     if (path, kind) not in _caches:
         if kind == "ids":
-            _caches[path, kind] = PartCache(path, SPACED_PARTS, False, lambda e: np.array(e.ids, dtype="<u4").tobytes())
+            _caches[path, kind] = PartCache(path, SPACED_PARTS, False, np.ndarray.tobytes, "\n", 2)
         else:
-            _caches[path, kind] = PartCache(path, WORD_PARTS, True, len)
+            _caches[path, kind] = PartCache(path, WORD_PARTS, True, len, " ", 1)
     return _caches[path, kind]
 
 
@@ -92,7 +117,7 @@ def packed_ids(texts: list[str], path: str) -> list[bytes]:
     for at in range(0, len(texts), TOGETHER):
         some = texts[at : at + TOGETHER]
         for text, parts in zip(some, c.parts(some), strict=True):
-            out.append(c.value(c.library.encode(text, add_special_tokens=False)) if parts is None else b"".join(map(c.known.__getitem__, parts)))
+            out.append(np.array(c.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if parts is None else b"".join(map(c.known.__getitem__, parts)))
     return out
 
 
