@@ -195,7 +195,7 @@ _ALL = (
     _unary("abs", lambda m, x: m.abs(x), lambda m, x: m.where(m.lt(m.num(0.0), x), m.num(1.0), m.where(m.lt(x, m.num(0.0)), m.num(-1.0), m.num(0.0)))),
     _unary("abs2", lambda m, x: x * x, lambda m, x: x * 2.0),
     _unary("inv", _inverse, lambda m, x: -_inverse(m, x * x)),
-    _unary("sign", _sign, lambda m, x: x * 0.0 if m is NUMPY else m.num(0.0)),
+    _unary("sign", _sign, lambda m, x: m.num(0.0)),
     _unary("identity", lambda m, x: x, lambda m, x: m.num(1.0)),
     _unary("neg", lambda m, x: -x, lambda m, x: m.num(-1.0), infix="-"),
     Op("add", 2, lambda m, x, y: x + y, (lambda m, x, y: m.num(1.0), lambda m, x, y: m.num(1.0)), infix="+", commutative=True, associative=True),

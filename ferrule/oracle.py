@@ -94,7 +94,7 @@ HISTOGRAM = f"(SELECT s.size::INTEGER AS size, coalesce(n, 0) + 1.0::DOUBLE AS f
 
 
 def split_key(key: str, seed: int) -> str:
-    return f"((({key}::BIGINT % 2147483647) + {seed + 1}) * 48271) % 2147483647"
+    return f"((({key}::BIGINT % 2147483647) + {seed + 1}) * 1327217885) % 2147483647"
 
 
 def metric(weight: str, by: str = "") -> str:

@@ -95,7 +95,7 @@ def curve(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def split_key(key: Column, seed: int) -> Column:
     """A number from 0 to 2**31 - 2 that scatters keys; plain arithmetic, so other engines give the same."""
-    return F.pmod((F.pmod(key.cast("long"), F.lit(2_147_483_647)) + F.lit(seed + 1)) * F.lit(48_271), F.lit(2_147_483_647))
+    return F.pmod((F.pmod(key.cast("long"), F.lit(2_147_483_647)) + F.lit(seed + 1)) * F.lit(1_327_217_885), F.lit(2_147_483_647))
 
 
 def split(df: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:
