@@ -24,6 +24,7 @@ document, with all their texts. Words are ``[^\\x20\\x09-\\x0D]+``, case and pun
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -126,13 +127,14 @@ class Links:
         return out
 
 
-def in_blocks(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, node: str, block: int, spread: int = 1) -> DataFrame:
     """``rows`` with ``first`` and ``second``: a copy for each pair of blocks of its group that its own block is in.
 
-    A group's rows are counted with partial aggregation; groups of one row go.
+    A group has blocks of ``block`` rows, or where those are fewer than ``spread``, up to so many of a quarter of that.
+    Rows are counted with partial aggregation; groups of one row go.
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("rows")).where("rows > 1")
-    sized = rows.join(sizes.select(group, F.ceil(F.col("rows") / block).cast("int").alias("blocks")), group)
+    sized = rows.join(sizes.select(group, F.greatest(F.ceil(F.col("rows") / block), F.least(F.ceil(F.col("rows") * 4 / block), F.lit(spread))).cast("int").alias("blocks")), group)
     own = F.pmod(F.xxhash64(F.col(node), F.lit(7)), F.col("blocks")).cast("int")
     sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return sized.select(*rows.columns, "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
@@ -241,7 +243,9 @@ def ngram_join(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, trees: i
     wanted = chosen.select(F.col("chosen").alias("node"), "group").distinct()
     own = rows.join(wanted, "node").dropDuplicates(["node", "group", "text"]).select("group", "node", "text")
     sets = written(own.mapInArrow(shingled, "group long, node long, shingles binary"), "shingles")
-    checked = written(compared(in_blocks(sets, "group", "node", block), "group", lambda k, g: verified(k, g, threshold), "a long, b long, links long"), "verified")
+    # a large group makes a few pairs of blocks for each task, so that tasks are even
+    spread = math.ceil(math.sqrt(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    checked = written(compared(in_blocks(sets, "group", "node", block, spread), "group", lambda k, g: verified(k, g, threshold), "a long, b long, links long"), "verified")
     classes = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
     counts = checked.where("b IS NULL").groupBy(F.col("a").alias("copy_id")).agg(F.sum("links").alias("n_links"))
 
