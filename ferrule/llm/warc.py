@@ -72,9 +72,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     files = max(1, -(-total // archive_bytes))
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), payload.alias("payload"), payload_digest(payload).alias("digest"))
-    # pages and headers are dealt alike, so the join needs no other exchange
-    joined = rows.repartition(files, "id").alias("p").join(headers.alias("h"), F.col("p.id").eqNullSafe(F.col("h.id")) & (F.col("p.digest") == F.col("h.digest")))
-    joined.select("p.id", "url", "payload", "p.digest", "bytes", "refers").select(record().alias("value")).write.text(path, compression="gzip", lineSep="\r\n\r\n")
+    # one key for both sides, dealt out alike, so that payloads are shuffled once: into the archives
+    key = F.concat_ws("/", F.col("id").cast("string"), "digest")
+    left = rows.withColumn("key", key).repartition(files, "key")
+    right = headers.select(key.alias("key"), "bytes", "refers").repartition(files, "key")
+    left.join(right.hint("merge"), "key").select(record().alias("value")).write.text(path, compression="gzip", lineSep="\r\n\r\n")
 
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
