@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import shared_folder
+from ferrule.llm.common import shared_folder, written
 
 #: The digits of conv() to base 32, and RFC 4648's.
 CONV_DIGITS, BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -44,6 +44,7 @@ def resolved(pages: DataFrame, min_bytes: int, page_id: str, html: str) -> DataF
     """A row for each page_id and payload: digest, bytes, and the page it refers to, or null."""
     payload = F.coalesce(F.col(html), F.lit(""))
     headers = pages.select(F.col(page_id).alias("id"), payload_digest(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")).distinct()
+    headers = written(headers, "headers")  # both sides of the join below read it, and not the payloads again
     largest = headers.groupBy("digest").agg(F.max("id").alias("largest"))
     joined = headers.join(largest, "digest")
     return joined.select("id", "digest", "bytes", F.when((F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers"))
