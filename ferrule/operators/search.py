@@ -10,6 +10,7 @@ full data, in one aggregation, when they are shown.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,22 @@ def _member(r, ops) -> Member:
     return Member(int(r.id), None if pd.isna(r.parent) else int(r.parent), int(r.birth), Expr.from_row(json.loads(r.expr), ops), int(r.complexity), float(r.loss), float(r.cost))
 
 
+class Speed:
+    """Evaluations a second: the mean of the last 20 readings, and a moving average that weighs a new one by 0.2."""
+
+    def __init__(self):
+        self.last: list[float] = []
+        self.smooth: float | None = None
+
+    def add(self, reading: float) -> None:
+        self.last = [*self.last[-19:], reading]
+        self.smooth = reading if self.smooth is None else 0.2 * reading + 0.8 * self.smooth
+
+    @property
+    def mean(self) -> float:
+        return sum(self.last) / len(self.last) if self.last else 0.0
+
+
 class SearchEngine:
     """A search that is stepped: ``step(n)`` runs n iterations, ``snapshot()`` shows where it is."""
 
@@ -57,7 +74,7 @@ class SearchEngine:
         self.baseline = baseline_loss(self.data, self.options.loss)
         self.sample = Sample(*bounded_sample(self.data, self.options.sample_rows, self.options.seed), baseline=self.baseline)
         self.shared = self.spark.sparkContext.broadcast(self.sample)
-        self.iteration, self.total_evals = 0, 0.0
+        self.iteration, self.total_evals, self.speed = 0, 0.0, Speed()
         self.freq = np.ones(self.options.maxsize)
         self.members: DataFrame | None = None
         self.hof: DataFrame | None = None
@@ -83,6 +100,11 @@ class SearchEngine:
         return self.step(self.options.niterations)
 
     def _iterate(self) -> None:
+        began, before = time.monotonic(), self.total_evals
+        self._run_islands()
+        self.speed.add((self.total_evals - before) / max(time.monotonic() - began, 1e-9))
+
+    def _run_islands(self) -> None:
         o, iteration, shared, ops = self.options, self.iteration, self.shared, self.ops
         share = self.freq / self.freq.sum()
         maxsize = size_limit(o.maxsize, o.warmup_maxsize_by, iteration / max(1, o.niterations))
@@ -151,9 +173,20 @@ class SearchEngine:
     def best(self) -> DataFrame:
         return front.global_best(self.hof)
 
-    def snapshot(self) -> dict:
+    def snapshot(self, k: int | None = None) -> dict:
+        """Where the search is, with the front, or with its ``k`` most complex members alone."""
         done = self.iteration * self.options.populations
-        return {"total_cycles": self.total_cycles, "cycles": done, "evals": self.total_evals, "finished": self.is_finished, "front": [] if self.hof is None else [r.asDict() for r in self.pareto_front().orderBy("complexity").collect()]}
+        shown = None if self.hof is None else self.pareto_front()
+        if shown is not None and k is not None:
+            shown = front.front_tail(shown, k)
+        rows = [] if shown is None else [r.asDict() for r in shown.orderBy("complexity").collect()]
+        return {"total_cycles": self.total_cycles, "cycles": done, "evals": self.total_evals, "evals_per_second": self.speed.mean, "finished": self.is_finished, "front": rows}
+
+    def split(self) -> DataFrame:
+        """All rows with ``is_val``: which of them are for validation."""
+        if self.validation is None:
+            return self.data.df.withColumn("is_val", F.lit(False))
+        return self.data.df.unionByName(self.validation.df)
 
     def evaluate_member(self, member: int, which: str = "train") -> DataFrame:
         """Metrics of a member on the rows for training (``train``) or validation (``val``)."""

@@ -153,5 +153,6 @@ def bounded_sample(data: Dataset, rows: int, seed: int) -> tuple:
     df = data.project()
     total = df.count()
     picked = df if total <= rows else df.sample(fraction=min(1.0, 1.1 * rows / total), seed=seed).limit(rows)
-    frame = picked.toPandas()
+    # in an order of its own, so that a search doesn't depend on the order of files
+    frame = picked.toPandas().sort_values([*data.x, data.y, *([data.w] if data.w else [])], kind="stable")
     return frame[list(data.x)].to_numpy(np.float64).T.copy(), frame[data.y].to_numpy(np.float64), frame[data.w].to_numpy(np.float64) if data.w else None

@@ -14,7 +14,7 @@ from ferrule.operators.constraints import complexity, satisfies, size_limit
 from ferrule.operators.metrics import column_summary, metrics
 from ferrule.operators.options import MutationWeights, Options
 from ferrule.operators.scoring import baseline_loss, constant_gradient, loss_of, score_many
-from ferrule.operators.search import SearchEngine, show_front
+from ferrule.operators.search import SearchEngine, Speed, show_front
 from ferrule.plans.expr import build, lit, var
 from ferrule.sources import dataset as ds
 from ferrule.streaming.scorer import scored, windowed_loss
@@ -133,6 +133,26 @@ def test_search_recovers_a_square_by_a_custom_operator(spark):
     assert "Equation" in show_front([r.asDict() for r in rows])
 
 
+def test_split_and_snapshot(spark):
+    rows = spark.range(60).select("id", F.randn(1).alias("a"), F.randn(2).alias("b")).withColumn("t", F.col("a") + F.col("b"))
+    data = ds.Dataset(spark.createDataFrame(rows.toPandas()), ("a", "b"), "t")
+    o = Options(operators=OperatorSet.from_names(["+", "*"]), populations=2, population_size=10, niterations=1, ncycles_per_iteration=30, maxsize=7, batching=True, batch_size=20)
+    engine = SearchEngine(data, o, validation_fraction=0.25, key="id").run()
+    assert engine.split().where("is_val").count() == 15 and engine.split().count() == 60
+    shot = engine.snapshot(k=1)
+    assert len(shot["front"]) == 1 and shot["evals_per_second"] > 0 and shot["finished"]
+    assert engine.evaluate_member(shot["front"][0]["id"], "val").first().n == 15
+    again = SearchEngine(data, o, validation_fraction=0.25, key="id").run()
+    assert again.snapshot()["front"] == engine.snapshot()["front"]  # the same seed gives the same members
+
+
+def test_speed():
+    s = Speed()
+    for k in range(30):
+        s.add(float(k))
+    assert s.mean == np.mean(range(10, 30)) and 0 < s.smooth < 29
+
+
 def test_scoring_modes_agree(spark):
     rows = [(float(a), float(b), float(a + b)) for a, b in np.random.default_rng(1).normal(size=(60, 2))]
     data = ds.with_roles(spark.createDataFrame(rows, "a double, b double, t double"))
