@@ -16,6 +16,9 @@ from ferrule.plans.compile import numpy_eval, numpy_grad
 from ferrule.plans.expr import Const, Expr
 from ferrule.plans.simplify import simplify
 
+#: Fixed value: how many different formulas of a complexity an island hands on, to be scored on all rows.
+FEW = 5
+
 
 @dataclass(frozen=True)
 class Member:
@@ -61,7 +64,7 @@ class Island:
         self.pop, self.members, self.share = pop, members, share
         self.serial, self.evals = serial, 0.0
         self.maxsize = maxsize or options.maxsize
-        self.best: dict[int, Member] = {}
+        self.best: dict[int, list[Member]] = {}
 
     # -- scoring --
     def score(self, expr: Expr, sample: Sample | None = None) -> tuple[float, float]:
@@ -88,10 +91,15 @@ class Island:
         self.note(self.members)
 
     def note(self, members: Iterable[Member]) -> None:
-        """The best of each complexity; only a strictly lower cost takes a slot that is filled."""
+        """The best few formulas of each complexity, best first; only a strictly lower cost takes a slot that is filled."""
         for m in members:
-            if 0 < m.complexity <= self.o.maxsize and satisfies(m.expr, self.o) and (m.complexity not in self.best or m.cost < self.best[m.complexity].cost):
-                self.best[m.complexity] = m
+            few = self.best.get(m.complexity, [])
+            if not 0 < m.complexity <= self.o.maxsize or (len(few) == FEW and not m.cost < few[-1].cost):
+                continue
+            if any(m.cost == o.cost and m.expr == o.expr for o in few) or not satisfies(m.expr, self.o):
+                continue
+            at = next((i for i, o in enumerate(few) if m.cost < o.cost), len(few))
+            self.best[m.complexity] = [*few[:at], m, *few[at:]][:FEW]
 
     def tournament(self) -> Member:
         n = min(self.o.tournament_selection_n, len(self.members))

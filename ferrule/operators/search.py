@@ -3,8 +3,9 @@
 Each island holds the bounded training sample and runs a whole iteration in its task; random numbers come from (seed,
 population, iteration), so a task that runs again gives the same members. What the islands return is merged by the
 relational steps in ``front``, and stored before the next iteration. All islands of an iteration see the same histogram
-and the same migrants, so the result doesn't depend on which of them ends first. The front's members are scored on the
-full data, in one aggregation, when they are shown.
+and the same migrants, so the result doesn't depend on which of them ends first. Where the sample isn't all of
+the data, the members and the best few formulas of each complexity are scored on all rows after each iteration, in one
+pass, and hall of fame, migrants and front go by those losses.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.evolve.island import Island, Member, Sample, decayed
+from ferrule.evolve.island import FEW, Island, Member, Sample, decayed
 from ferrule.functions.losses import cost_of
 from ferrule.functions.scalar import BUILTIN
 from ferrule.operators import front
 from ferrule.operators.constraints import size_limit
 from ferrule.operators.metrics import metrics
 from ferrule.operators.options import Options
-from ferrule.operators.scoring import baseline_loss, loss_of
+from ferrule.operators.scoring import baseline_loss, loss_of, score_many
 from ferrule.plans.compile import evaluate
 from ferrule.plans.expr import Expr
 from ferrule.plans.store import stored
@@ -73,6 +74,7 @@ class SearchEngine:
             self.validation = Dataset(halves.where("is_val"), data.x, data.y, data.w)
         self.baseline = baseline_loss(self.data, self.options.loss)
         self.sample = Sample(*bounded_sample(self.data, self.options.sample_rows, self.options.seed), baseline=self.baseline)
+        self.sampled = len(self.sample.y) < self.data.df.count()
         self.shared = self.spark.sparkContext.broadcast(self.sample)
         self.iteration, self.total_evals, self.speed = 0, 0.0, Speed()
         self.freq = np.ones(self.options.maxsize)
@@ -104,6 +106,21 @@ class SearchEngine:
         self._run_islands()
         self.speed.add((self.total_evals - before) / max(time.monotonic() - began, 1e-9))
 
+    def _on_all_rows(self, out: DataFrame) -> DataFrame:
+        """Members, and the best few formulas of each complexity, with loss and cost over all rows."""
+        o = self.options
+        rank = F.dense_rank().over(Window.partitionBy("kind", "complexity").orderBy("cost", "expr"))
+        kept = out.withColumn("__rank", rank).where((F.col("kind") == "member") | (F.col("__rank") <= FEW)).drop("__rank")
+        # bounded by populations * population_size + maxsize * FEW
+        rows = kept.select("expr", "complexity").distinct().orderBy("complexity", "expr").collect()
+        losses = {r.k: r.loss for r in score_many(self.data, [Expr.from_row(json.loads(r.expr), self.ops) for r in rows], o.loss).collect()}
+        scored = []
+        for k, r in enumerate(rows):
+            loss = losses[k] if losses[k] is not None and np.isfinite(losses[k]) else np.inf
+            scored.append((r.expr, r.complexity, float(loss), float(cost_of(loss, r.complexity, o.parsimony, self.baseline if o.use_baseline else None))))
+        table = self.spark.createDataFrame(scored, "expr string, complexity int, loss double, cost double")
+        return kept.drop("loss", "cost").join(F.broadcast(table), ["expr", "complexity"]).select(*out.columns)
+
     def _run_islands(self) -> None:
         o, iteration, shared, ops = self.options, self.iteration, self.shared, self.ops
         share = self.freq / self.freq.sum()
@@ -121,7 +138,7 @@ class SearchEngine:
                 island.migrate(elite, o.fraction_replaced_hof)
             island.iterate()
             rows = [_row(pop, k, m, "member", island.serial, island.evals if k == 0 else 0.0) for k, m in enumerate(island.members)]
-            rows += [_row(pop, k, m, "best", island.serial, 0.0) for k, m in enumerate(island.best.values())]
+            rows += [_row(pop, k, m, "best", island.serial, 0.0) for k, m in enumerate(m for few in island.best.values() for m in few)]
             return pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBERS.split(", ")])
 
         if self.members is None:
@@ -134,9 +151,12 @@ class SearchEngine:
         else:
             out = self.members.groupBy("pop").applyInPandas(lambda frame: live(int(frame["pop"].iloc[0]), frame), MEMBERS)
         out = stored(out, "members")
+        if self.sampled:
+            out = stored(self._on_all_rows(out), "members")
         self.iteration += 1
         self.members = out.where("kind = 'member'")
-        found = out.where("kind = 'best'").withColumn("arrival", F.col("pop") * 1_000_000 + F.col("arrival") + 1 + self.iteration * 10**12)
+        # members too: on all rows, one of them may be better than those that were best on the sample
+        found = (out if self.sampled else out.where("kind = 'best'")).withColumn("arrival", F.col("pop") * 1_000_000 + F.col("arrival") + 1 + self.iteration * 10**12)
         self.hof = stored(front.best_by_complexity(found if self.hof is None else self.hof.unionByName(found), o.maxsize), "hof")
         # bounded by populations * topn, and by maxsize
         self.tops = {}

@@ -317,7 +317,7 @@ def loss_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf_dir: str, y: Column, **more) -> SearchEngine:
     data = ds.with_roles(inputs(spark, sf_dir).select("x", "y", y.alias("t")), "t")
-    o = {"operators": OperatorSet.from_names(["cos", "+", "-", "*"]), "populations": 8, "population_size": 27, "niterations": 3, "ncycles_per_iteration": 300, "maxsize": 12, "sample_rows": 500, "seed": 3} | more
+    o = {"operators": OperatorSet.from_names(["cos", "+", "-", "*"]), "populations": 8, "population_size": 27, "niterations": 3, "ncycles_per_iteration": 300, "maxsize": 12, "seed": 3} | more
     return SearchEngine(data, Options(**o))
 
 

@@ -152,7 +152,10 @@ def bounded_sample(data: Dataset, rows: int, seed: int) -> tuple:
 
     df = data.project()
     total = df.count()
-    picked = df if total <= rows else df.sample(fraction=min(1.0, 1.1 * rows / total), seed=seed).limit(rows)
+    # a number drawn for each row (not a hash of its values, by which equal rows would come in or stay out together); the
+    # rows of least numbers are taken from a draw that all but surely holds enough, so that no partition comes first
+    share = min(1.0, (rows + 6 * rows**0.5 + 20) / max(total, 1))
+    picked = df if total <= rows else df.withColumn("__r", F.rand(seed)).where(F.col("__r") < share).orderBy("__r").limit(rows).drop("__r")
     # in an order of its own, so that a search doesn't depend on the order of files
     frame = picked.toPandas().sort_values([*data.x, data.y, *([data.w] if data.w else [])], kind="stable")
     return frame[list(data.x)].to_numpy(np.float64).T.copy(), frame[data.y].to_numpy(np.float64), frame[data.w].to_numpy(np.float64) if data.w else None

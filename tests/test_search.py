@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -15,7 +16,7 @@ from ferrule.operators.metrics import column_summary, metrics
 from ferrule.operators.options import MutationWeights, Options
 from ferrule.operators.scoring import baseline_loss, constant_gradient, loss_of, score_many
 from ferrule.operators.search import SearchEngine, Speed, show_front
-from ferrule.plans.expr import build, lit, var
+from ferrule.plans.expr import Expr, build, lit, var
 from ferrule.sources import dataset as ds
 from ferrule.streaming.scorer import scored, windowed_loss
 
@@ -196,3 +197,39 @@ def test_stream_scores_like_a_batch(spark, tmp_path):
     got = spark.sql("SELECT * FROM losses").collect()
     assert got and all(r.loss == pytest.approx(1.0) and r.rows == 60 for r in got)
     assert scored(rows, X * 2.0, ["a"]).where("abs(yhat - t) > 0").count() == 0
+
+
+def test_sample_comes_from_all_partitions(spark):
+    data = ds.Dataset(spark.range(10_000, numPartitions=10).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("t")), ("a",), "t")
+    taken = np.concatenate([ds.bounded_sample(data, 50, seed)[0][0] for seed in range(10)])
+    assert len(taken) == 500  # each draw is full
+    assert (taken >= 9000).sum() > 20  # the last partition has its tenth
+
+
+def test_front_goes_by_all_rows_with_runners_up(spark):
+    """On the sample log(a) is the best of complexity 2; on all rows it isn't finite, and the runner-up takes its place."""
+    rows = spark.range(2000, numPartitions=4).select((1.0 + F.col("id") / 500.0).alias("a"))
+    rows = rows.withColumn("t", F.log("a")).unionByName(spark.createDataFrame([(-1.0, 0.0)], "a double, t double"))
+    o = Options(operators=OperatorSet.from_names(["log", "cos", "sin", "+"]), populations=2, population_size=20, niterations=2, ncycles_per_iteration=40, maxsize=5, sample_rows=100, seed=1)
+    data = ds.with_roles(rows, "t")
+    assert ds.bounded_sample(data, 100, 1)[0].min() > 0
+    engine = SearchEngine(data, o).run()
+    hof = engine.hof.collect()
+    exprs = [Expr.from_row(json.loads(r.expr), engine.ops) for r in hof]
+    full = {int(r.name): r.loss for r in loss_of(data, exprs, o.loss).collect()}
+    assert all(r.loss == pytest.approx(full[k]) for k, r in enumerate(hof))
+    assert any(r.complexity == 2 for r in hof)
+
+
+def test_island_keeps_runners_up():
+    x = np.linspace(1, 2, 20)[None]
+    island = Island(Options(operators=OperatorSet.from_names(["log", "cos", "sin"])), Sample(x, np.log(x[0]), None, 1.0), 0, 0, [], np.ones(30) / 30)
+    island.note([island.member(build(n, X), None) for n in ("cos", "log", "sin", "log")])
+    few = island.best[2]
+    assert [str(m.expr)[:3] for m in few] == ["log", "cos", "sin"] and few[0].cost < few[1].cost < few[2].cost
+
+
+def test_registered_searches_train_on_the_default_sample(spark, sf):
+    from ferrule import queries
+
+    assert queries._search(spark, sf, F.col("x")).options.sample_rows == Options().sample_rows
