@@ -165,6 +165,7 @@ QUALIFY row_number() OVER (PARTITION BY k ORDER BY f.complexity <= k DESC, CASE
     out["split_exact"] = f"SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY {split_key('o_orderkey', 7)}, o_orderkey) <= (SELECT round_even(0.2 * count(*), 0) FROM orders)"
     out["gather_val"] = f"SELECT o_orderkey, o_custkey FROM {orders.format(h=split_key('o_orderkey', 3), limit=round(0.1 * 2147483647))} WHERE is_val"
     out["curve_sorted"] = f"SELECT row_number() OVER (ORDER BY s, y) AS place, round(s, 6) AS x, round(y, 6) AS y FROM (SELECT DISTINCT sqrt(x) AS s, y FROM {INPUTS} WHERE x >= 0)"
+    out["curve_places"] = f"SELECT row_number() OVER (ORDER BY sqrt(x), y) AS place, round(sqrt(x), 6) AS x, round(y, 6) AS y FROM {INPUTS} WHERE x >= 0"
     out["tree_counts"] = """
 SELECT * FROM (VALUES ('leaf', 1, 0, 1, 0, 1, true), ('readme', 6, 3, 2, 1, 4, true), ('fma', 6, 2, 3, 1, 3, true), ('nested', 12, 7, 4, 1, 5, true),
   ('sum', 5, 2, 1, 2, 3, true), ('difference', 5, 2, 1, 2, 3, true)) AS t(tree, n_nodes, n_ops, n_vars, n_consts, depth, valid)"""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.functions import losses as ls
@@ -267,8 +267,14 @@ def gather_val(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curve_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs(spark, sf_dir).withColumn("s", F.sqrt("x"))
-    pairs = ds.curve(rows, "s", "y").distinct()
-    return pairs.select(F.row_number().over(Window.orderBy("x", "y")).cast("long").alias("place"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    pairs = ds.weight_before(ds.finite_pairs(rows, "s", "y").distinct().withColumn("n", F.lit(1).cast("long")), ["x", "y"], "n")
+    return pairs.select((F.col("before") + 1).alias("place"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def curve_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole curve: what curve_sorted lists once a pair, here row for row."""
+    rows = inputs(spark, sf_dir).withColumn("s", F.sqrt("x"))
+    return ds.curve_places(rows, "s", "y").select("place", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 TREES = {"leaf": var(0), "readme": README, "fma": FORMULAS["eval_fma"], "nested": FORMULAS["eval_nested"], "sum": (X0 + 1.0) + 2.0, "difference": 1.0 - (2.0 - X0)}
@@ -344,7 +350,7 @@ def queries() -> dict[str, Query]:
         "replace_oldest": replaced_oldest, "size_histogram": lambda s, d: front.size_histogram(members(s, d), 30), "freq_normalised": mutation_shares,
         "asof_lower_complexity": asof_lower, "tournament_score": tournament, "migrants_pool": migrants, "member_by_id": member_by_id,
         "column_preview": column_preview, "finite_filter": finite_filter, "split_hash": split_hash, "split_exact": split_exact, "gather_val": gather_val,
-        "curve_sorted": curve_sorted, "tree_counts": tree_counts, "tree_strings": tree_strings, "op_registry": op_registry, "option_defaults": option_defaults,
+        "curve_sorted": curve_sorted, "curve_places": curve_places, "tree_counts": tree_counts, "tree_strings": tree_strings, "op_registry": op_registry, "option_defaults": option_defaults,
         "score_columns": _scored(False), "score_many": _scored(True), "loss_slopes": loss_slopes, "search_front": search_front, "search_square_recovery": search_square,
     }
     return out

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.plans.compile import finite
+from ferrule.plans.store import stored
+
+#: Fixed value: so many equal pairs are written out at once.
+RUN = 4096
 
 
 class DatasetError(ValueError):
@@ -93,6 +97,33 @@ def curve(df: DataFrame, x: str, y: str) -> DataFrame:
     return finite_pairs(df, x, y).orderBy("x", "y")
 
 
+def weight_before(df: DataFrame, order: Sequence[str], weight: str) -> DataFrame:
+    """``df`` with ``before``: the weight of all rows that come first in an order without ties.
+
+    Ranges of the order are tasks: each adds up its own rows, and the driver adds up the ranges.
+    """
+    ranges = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    first, total = [], 0
+    for r in ranges.groupBy("__p").agg(F.sum(weight).alias("n")).orderBy("__p").collect():  # a row a partition
+        first.append((r["__p"], total))
+        total += r["n"]
+    starts = df.sparkSession.createDataFrame(first, "__p int, __first long")
+    inside = F.sum(weight).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranges.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "__p").withColumn("before", F.col("__first") + F.col("__inside")).drop("__p", "__first", "__inside")
+
+
+def curve_places(df: DataFrame, x: str, y: str) -> DataFrame:
+    """All finite pairs, repeated ones too, with their ``place`` in the order of x and y, from 1.
+
+    Equal pairs are sorted as one and then dealt out, so that a pair with many rows isn't one task's work.
+    """
+    pairs = weight_before(finite_pairs(df, x, y).groupBy("x", "y").agg(F.count("*").alias("n")), ["x", "y"], "n")
+    runs = pairs.select("x", "y", "n", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("__at"))
+    dealt = runs.repartition(F.col("before") + F.col("__at"))
+    last = F.least(F.col("__at") + RUN, "n")
+    return dealt.select(F.explode(F.sequence(F.col("before") + F.col("__at") + 1, F.col("before") + last)).alias("place"), "x", "y")
+
+
 def split_key(key: Column, seed: int) -> Column:
     """A number from 0 to 2**31 - 2 that scatters keys; plain arithmetic, so other engines give the same."""
     return F.pmod((F.pmod(key.cast("long"), F.lit(2_147_483_647)) + F.lit(seed + 1)) * F.lit(1_327_217_885), F.lit(2_147_483_647))

@@ -233,3 +233,14 @@ def test_registered_searches_train_on_the_default_sample(spark, sf):
     from ferrule import queries
 
     assert queries._search(spark, sf, F.col("x")).options.sample_rows == Options().sample_rows
+
+
+def test_curve_keeps_repeated_pairs_in_order(spark):
+    values = [(float(k % 7), float(k % 3)) for k in range(200)] + [(1.0, 2.0)] * (ds.RUN + 5) + [(float("nan"), 0.0), (0.0, float("inf"))]
+    df = spark.createDataFrame(values, "a double, b double").repartition(5)
+    got = [(r.x, r.y) for r in ds.curve_places(df, "a", "b").orderBy("place").collect()]
+    assert got == sorted(values[:-2])
+    assert [r.place for r in ds.curve_places(df, "a", "b").orderBy("place").collect()] == list(range(1, len(got) + 1))
+    plan = ds.curve_places(df, "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert ds.curve_places(df.where("a > 99"), "a", "b").count() == 0
