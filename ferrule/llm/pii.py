@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation, with DataFrame functions only.
 
 Numbers and dates that validate are replaced by others of the same format: card numbers (13 to 19 digits, Luhn), phone
-numbers, social security numbers, IBANs (mod 97), IPv4 addresses, and dates of the years 1900 to 2099; with them go
+numbers, social security numbers, IBANs (mod 97, ended by their country's length), IPv4 addresses, and dates of the
+years 1900 to 2099 (year first, day.month.year, and month or day first with / or -; a time may follow); with them go
 e-mail addresses, whose letters and digits are permuted by the same network. Equal values get equal pseudonyms under a
 key, in every document, and different ones different pseudonyms, since each format's network is a permutation of it.
 
@@ -10,7 +11,9 @@ key, in every document, and different ones different pseudonyms, since each form
 * Card numbers keep their length and first digit; the last is the Luhn digit anew. IBANs keep their country, and get
   their check digits anew.
 * IPv4 addresses are pairs of 16-bit halves, dates pairs (day number mod 17, day number div 17) of their 73,049 days;
-  their rounds add modulo the half's own range.
+  their rounds add modulo the half's own range. A date that isn't written like its day (1.2.2024 as 12.10.1950) goes on
+  through the network until it is, which keeps each way of writing a permutation of its own.
+* First with / or - is the month, or the day where it is above 12; such a date's pseudonym has a day above 12 too.
 
 The hash is SHA-256 over key, round, format and half, so pseudonyms don't depend on the engine's own hash.
 
@@ -26,17 +29,32 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import let
 
 ROUNDS = 8
+YEAR, PART, BACKSLASH = "(?:19|20)[0-9]{2}", "[0-9]{1,2}", "\\"
+#: Fixed value: how often a date goes through the network at most; one in five is written as it should at the least.
+WALK = 200
+#: The countries' lengths of an IBAN, by the registry of ISO 13616.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 #: The formats, in the order in which they are tried at a place of the text.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?!\w)",
-    "date": r"(?<![\w.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})(?![\w-])",
+    "date": rf"(?<![\w.-])(?:{'|'.join([f'{YEAR}{s}{PART}{s}{PART}' for s in '-/'] + [f'{PART}{s}{PART}{s}{YEAR}' for s in (BACKSLASH + '.', '/', '-')])})(?:(?![\w-])|(?=[Tt][0-9]{{2}}))",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "ipv4": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
     "card": r"(?<![\w+.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4})(?!\w)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A place where an IBAN may begin, with all that may belong to it.
+IBAN_RUN = rf"(?<!\w)(?=({PATTERNS['iban'].removeprefix('(?<!' + BACKSLASH + 'w)')}))[A-Z]{{2}}[0-9]{{2}}"
+OTHERS = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k not in ("email", "iban"))
 
 
 def keyed(key: str, what: Column, digits: int = 8) -> Column:
@@ -126,6 +144,37 @@ def card(key: str, value: Column) -> Column:
     return let(digits_of(value), of)
 
 
+def iban_valid(value: Column) -> Column:
+    return let(F.replace(value, F.lit(" "), F.lit("")), lambda v: F.length(v).between(15, 34) & (mod97(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1))
+
+
+def ibans(t: Column) -> Column:
+    """The different IBANs of a text, the longest first.
+
+    What follows one may look like a part of it. So of all that may belong to it, that of the country's length counts if
+    it is valid; else the whole, and for countries without a known length, the longest valid part from the begin to the
+    end of a word.
+    """
+    lengths = F.create_map(*(F.lit(x) for item in IBAN_LENGTHS.items() for x in item))
+
+    def of(run: Column) -> Column:
+        words = F.split(run, " ")
+        ends = F.transform(F.reverse(F.sequence(F.lit(1), F.size(words))), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+        fits = lambda n: F.filter(ends, lambda v: (F.length(F.replace(v, F.lit(" "), F.lit(""))) == n) & iban_valid(v))
+        rest = lambda n: F.filter(F.when(n.isNull(), ends).otherwise(F.array(run)), iban_valid)
+        return let(F.try_element_at(lengths, F.substring(run, 1, 2)), lambda n: F.coalesce(F.get(fits(n), F.lit(0)), F.get(rest(n), F.lit(0))))
+
+    found = F.filter(F.transform(F.regexp_extract_all(t, F.lit(IBAN_RUN), F.lit(1)), of), lambda v: v.isNotNull())
+    longest = F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(found), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), lambda s: s["v"])
+    return longest
+
+
+def any_of(t: Column) -> Column:
+    """The pattern of all values of a text: IBANs by their letters, as a pattern can't tell where they end."""
+    email = f"(?:{PATTERNS['email']})|"
+    return let(ibans(t), lambda v: F.when(F.size(v) > 0, F.concat(F.lit(f"{email}(?:(?<!\\w)(?:"), F.array_join(v, "|"), F.lit(f")(?!\\w))|{OTHERS}"))).otherwise(F.lit(f"{email}{OTHERS}")))
+
+
 def iban(key: str, value: Column) -> Column:
     def of(v: Column) -> Column:
         body = string_feistel(key, "iban", F.substring(v, F.lit(5), F.length(v)))
@@ -145,15 +194,33 @@ def ipv4(key: str, value: Column) -> Column:
 
 
 def date(key: str, value: Column) -> Column:
-    dotted = F.substring(value, 3, 1) == "."
-    iso = F.when(dotted, F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))).otherwise(F.replace(value, F.lit("/"), F.lit("-")))
+    parts, sep = F.split(value, "[./-]"), F.regexp_extract(value, "[./-]", 0)
+    year_first = F.length(parts[0]) == 4
+    dotted = ~year_first & (sep == ".")
+    high = ~year_first & (sep != ".") & (parts[0].cast("int") > 12)  # a day before the month, by its number alone
+    day_first = dotted | high
+    # the two parts besides the year as they are written
+    one, two = F.when(year_first, parts[1]).otherwise(parts[0]), F.when(year_first, parts[2]).otherwise(parts[1])
+    month, dom = F.when(day_first, two).otherwise(one), F.when(day_first, one).otherwise(two)
+    iso = F.concat_ws("-", F.when(year_first, parts[0]).otherwise(parts[2]), F.lpad(month, 2, "0"), F.lpad(dom, 2, "0"))
+    first = F.lit("1900-01-01").cast("date")
+
+    def written(day: Column) -> Column:
+        d = F.date_add(first, day.cast("int"))
+        part = lambda of, like: F.when(F.length(like) == 2, F.lpad(of.cast("string"), 2, "0")).otherwise(of.cast("string"))
+        a = part(F.when(day_first, F.dayofmonth(d)).otherwise(F.month(d)), one)
+        b = part(F.when(day_first, F.month(d)).otherwise(F.dayofmonth(d)), two)
+        return F.when(year_first, F.concat_ws("/", F.year(d).cast("string"), a, b)).otherwise(F.concat_ws("/", a, b, F.year(d).cast("string")))
+
+    def moved(day: Column) -> Column:
+        new = lambda n: let(n["b"] * 17 + n["a"], lambda d: let(written(d), lambda t: F.struct(d.alias("day"), t.alias("text"), ((F.length(t) == F.length(value)) & (~high | (F.dayofmonth(F.date_add(first, d.cast("int"))) > 12))).alias("done"))))
+        return let(number_feistel(key, "date", day % 17, F.floor(day / 17), 17, 4297), new)
 
     def of(day: Column) -> Column:
-        new = number_feistel(key, "date", day % 17, F.floor(day / 17), 17, 4297)
-        shown = let(F.date_add(F.lit("1900-01-01").cast("date"), let(new, lambda n: n["b"] * 17 + n["a"]).cast("int")), lambda d: F.when(dotted, F.date_format(d, "dd.MM.yyyy")).when(value.contains("/"), F.date_format(d, "yyyy/MM/dd")).otherwise(F.date_format(d, "yyyy-MM-dd")))
-        return F.when(day.isNotNull() & (day >= 0), shown)
+        last = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), moved(day), lambda s, _: F.when(s["done"], s).otherwise(moved(s["day"])))
+        return F.when(day.isNotNull() & (day >= 0), F.replace(last["text"], F.lit("/"), sep))
 
-    return let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date")), of)
+    return let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), first), of)
 
 
 def digits(key: str, kind: str, value: Column) -> Column:
@@ -181,13 +248,13 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with pseudonyms in their texts; n_pseudonyms is added: how many values were replaced."""
 
     def of(t: Column) -> Column:
-        found = F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))
         new = lambda f: F.transform(f, lambda v: pseudonym(key, v))
-        # what stands between the values, one part more than there are values
-        between = F.split(t, ANY, -1)
         woven = lambda p: F.concat(F.array_join(F.zip_with(F.slice(p["between"], 1, F.size(p["new"])), p["new"], lambda a, b: F.concat(a, b)), ""), F.element_at(p["between"], -1))
         changed = lambda p: F.struct(woven(p).alias("text"), F.size(F.filter(F.zip_with(p["found"], p["new"], lambda a, b: a != b), lambda x: x)).cast("long").alias("n"))
-        return let(found, lambda f: F.when(F.size(f) > 0, let(F.struct(between.alias("between"), new(f).alias("new"), f.alias("found")), changed)))
+        # what stands between the values, one part more than there are values
+        parts = lambda p, f: F.struct(F.split(t, p, -1).alias("between"), new(f).alias("new"), f.alias("found"))
+        found = lambda p: F.regexp_extract_all(t, F.concat(F.lit("("), p, F.lit(")")), F.lit(1))
+        return let(any_of(t), lambda p: let(found(p), lambda f: F.when(F.size(f) > 0, let(parts(p, f), changed))))
 
     result = F.when(F.col(text).rlike(r"[0-9@]"), let(F.col(text), of))
     out = docs.withColumn("__new", result)

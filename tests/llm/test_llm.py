@@ -319,6 +319,54 @@ def test_pseudonyms_are_permutations(spark):
     assert codes.distinct().count() == 1000 and codes.where("p NOT RLIKE '^[0-9]{3}$'").count() == 0
 
 
+def iban_ok(v):
+    v = v.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def test_ibans_end_where_they_end(spark):
+    """What follows an IBAN may look like its part; in the other texts, what precedes a card looks like an IBAN."""
+    rows = [
+        (1, "DE89370400440532013000 BIC COBADEFFXXX", r"(DE\d{20}) BIC COBADEFFXXX"), (2, "GB82WEST12345698765432 A man", r"(GB\d\d[A-Z]{4}\d{14}) A man"),
+        (3, "DE89 3704 0044 0532 0130 00 12 euros", r"(DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) 12 euros"), (4, "to DE89370400440532013000.", r"to (DE\d{20})\."),
+        (5, "DE88370400440532013000 BIC", None), (6, "AB12 4785 3805 9239 1139 X", r"AB12 (\d{4} \d{4} \d{4} \d{4}) X"),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymised(documents(spark, [r[:2] for r in rows]), "key").collect()}
+    for k, text, pattern in rows:
+        if pattern is None:
+            assert got[k].text == text and got[k].n_pseudonyms == 0
+            continue
+        new = re.fullmatch(pattern, got[k].text)
+        assert new and new[1] not in text and got[k].n_pseudonyms == 1, got[k].text
+        assert luhn(new[1].replace(" ", "")) if k == 6 else iban_ok(new[1])
+    assert got[4].text[3:-1] == got[1].text[:22]
+    # lengths are the registry's, and each country has one
+    assert len(pii.IBAN_LENGTHS) == 89 and pii.IBAN_LENGTHS["DE"] == 22
+
+
+def test_dates_in_all_orders(spark):
+    rows = [
+        (1, "at 2024-02-29T10:00:00Z", r"at (\d{4}-\d\d-\d\d)T10:00:00Z"), (2, "on 12/31/1999, 1", r"on (\d\d/\d\d/\d{4}), 1"), (3, "am 1.2.2024.", r"am (\d\.\d\.\d{4})\."),
+        (4, "le 31/12/1999", r"le (\d\d/\d\d/\d{4})"), (5, "2/9/2024", r"(\d/\d/\d{4})"), (6, "13-10-2001 x", r"(\d\d-\d\d-\d{4}) x"),
+    ]
+    same = [(11, "30.2.2024"), (12, "13/13/2024"), (13, "v1.2.2024"), (14, "1.2.2024x"), (15, "2023-02-29T10:00:00Z")]
+    got = {r.doc_id: r for r in pii.pseudonymised(documents(spark, [r[:2] for r in rows] + same), "key").collect()}
+    for k, text, pattern in rows:
+        new = re.fullmatch(pattern, got[k].text)
+        assert new and new[1] not in text and got[k].n_pseudonyms == 1, got[k].text
+    assert int(got[4].text[3:5]) > 12 and int(got[6].text[:2]) > 12
+    assert all(got[k].text == text for k, text in same)
+
+
+def test_each_way_to_write_dates_is_permuted(spark):
+    d = F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(4000).select(d.alias("d"))
+    for way, which in (("d.M.yyyy", "true"), ("dd/MM/yyyy", "day(d) > 12"), ("M/dd/yyyy", "true")):
+        out = days.where(which).select(F.date_format("d", way).alias("v")).withColumn("p", pii.pseudonym("k", F.col("v")))
+        r = out.agg(F.count("*").alias("n"), F.countDistinct("p").alias("p"), F.count_if(F.length("v") == F.length("p")).alias("same")).first()
+        assert r.n == r.p == r.same
+
+
 # -- 10 decontamination --
 def test_masks_fit_between_any_substitutions():
     for a in range(13):
