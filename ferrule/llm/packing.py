@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Each task packs the pieces that it reads, the largest first, each into the fullest bin that has room. Bins that are full
-but for ``slack`` tokens are emitted. The others climb a tree: in each round the underfull bins of ``fan_in`` nodes meet
-in one task and are themselves the items of a best fit, which is to say that whole bins are joined and their pieces move
-along. Rounds end when one node is left.
+Pieces, without their texts, are dealt out evenly and mixed by a hash, so that each task sees the corpus's mix of lengths
+however its sources lie. A task packs its pieces in chunks, the largest first, each into the fullest bin that has room.
+Bins that are full but for ``slack`` tokens are emitted. The others climb a tree: in each round the underfull bins of
+``fan_in`` nodes meet in one task and are themselves the items of a best fit, which is to say that whole bins are joined
+and their pieces move along. Rounds end when one node is left.
 
 Of a node's underfull bins at most ``carried`` climb, the emptiest ones; the others are emitted as they are. So no task
 holds more than ``fan_in * carried`` bins, and the last one doesn't grow with the corpus. Nothing is dropped by that.
@@ -72,9 +73,26 @@ def settled(bins: np.ndarray, fill: np.ndarray, capacity: int, slack: int, carri
 PACKED = T.StructType([T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "fill", "node")] + [T.StructField("closed", T.BooleanType())])
 
 
+def mixed_pieces(docs: DataFrame, path: str, capacity: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of all documents' pieces, dealt out evenly, in the order of a hash."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                found = np.array(list(pieces(batch.column(1).to_pylist(), path, capacity)), np.int64).reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[:, 0])), pa.array(found[:, 1].astype(np.int32)), *(pa.array(found[:, k]) for k in (2, 3, 4))], schema.names)
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # in turn and not by a key, so that repeated rows don't meet in one task
+    return rows.mapInArrow(cut, schema).hint("rebalance").sortWithinPartitions(F.xxhash64(*schema.names), *schema.names)
+
+
 def local_packing(docs: DataFrame, path: str, capacity: int, slack: int, carried: int, doc_id: str, text: str) -> DataFrame:
-    """The pieces of all documents, packed by each task among its own."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")), *PACKED])
+    """The pieces of all documents, packed by each task among those dealt to it."""
+    dealt = mixed_pieces(docs, path, capacity, doc_id, text)
+    schema = T.StructType([*dealt.schema, *PACKED])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, chunks = TaskContext.get().partitionId(), 0, 0
@@ -95,15 +113,13 @@ def local_packing(docs: DataFrame, path: str, capacity: int, slack: int, carried
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                found = np.array(list(pieces(batch.column(1).to_pylist(), path, capacity)), np.int64).reshape(-1, 5)
-                waiting.append((batch.column(0).take(pa.array(found[:, 0])), found[:, 1:]))
+                waiting.append((batch.column(0), np.stack([np.asarray(c, np.int64) for c in batch.columns[1:]], axis=1)))
                 if sum(len(c) for _, c in waiting) >= CHUNK:
                     yield flush()
         if waiting:
             yield flush()
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(pack, schema)
+    return dealt.mapInArrow(pack, schema)
 
 
 def joined_bins(frame: pd.DataFrame, capacity: int, slack: int, carried: int) -> pd.DataFrame:

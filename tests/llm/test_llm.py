@@ -190,6 +190,16 @@ def test_packing_odd(spark):
     assert sorted(r.length for r in got if r.doc_id in (1, 2)) == [1, 1] and sum(r.doc_id == 4 for r in got) == 2
 
 
+def test_packing_of_sources_with_lengths_of_their_own(spark):
+    """Half the partitions hold texts of some 60 tokens, the others of some 40: one of each fills a sequence of 100."""
+    n = 400
+    texts = spark.range(0, 2 * n, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("\u00e9\n"), F.when(F.col("id") < n, 29).otherwise(19)).alias("text"))
+    got = packing.best_fit_packing(texts, BYTE, capacity=100).collect()
+    lengths = {r.doc_id >= n: r.length for r in got}
+    assert len(got) == 2 * n and lengths[False] > 50 > lengths[True] > 33 and sum(lengths.values()) <= 100
+    assert len({r.sequence_id for r in got}) < 1.1 * n  # three halves of n where each source is packed by itself
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_best_fit(sizes):
