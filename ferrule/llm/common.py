@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words: the ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
-#: At most so many bytes of text in one Arrow batch that goes to Python.
-BATCH_ROWS = 1000
+#: Bytes of text that are worked on together in Python; a longer text is alone.
+BATCH_BYTES = 4_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -23,11 +24,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir, which the driver and all executors share. A session that names none is an
+    error, as no other folder is sure to be seen by all of them."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "ferrule-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named
 
 
@@ -40,6 +41,22 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot that has more than one in so many rows, so there are fewer hot keys than this.
+SHARES = 512
+
+
+def joined_by_count(rows: DataFrame, table: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, whose ``key`` is unique and whose ``count`` says how many of the rows have it.
+
+    Keys with more than one in ``SHARES`` rows are split off: fewer than ``SHARES`` such keys can exist, so they are sent
+    to the rows, which stay where they are. The others are shuffled, and none of them fills a task. ``rows``, of which
+    there are ``total``, is read twice, so it should be a written table or little more."""
+    table = written(table, "counts")
+    limit = (rows.count() if total is None else total) // SHARES
+    hot, others = table.where(F.col(count) > limit), table.where(F.col(count) <= limit)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,3 +64,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts in ``column`` of each have ``limit`` bytes at most, or are a single one."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = before = 0
+        while at < batch.num_rows:
+            z = max(at + 1, int(np.searchsorted(upto, before + limit, "right")))
+            yield batch.slice(at, z - at)
+            at, before = z, int(upto[z - 1])

@@ -9,6 +9,7 @@ from base64 import b32encode
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ferrule.llm import chat, components, decontam, licenses, ngram_join, packing, pii, queries, tokens, warc
+from ferrule.llm.common import by_bytes
 from ferrule.llm.line_dedup import line_dedup
 from ferrule.llm.oracle import oracle_sql
 from ferrule.llm.quality import QualityRules, quality_filter, quality_rules
@@ -172,17 +174,32 @@ def test_components(spark):
 
 
 # -- 4 packing, 9 counts --
-def test_pieces_and_sequences(spark, sf, texts):
-    library = Tokenizer.from_file(BYTE)
-    df = packing.best_fit_packing(spark.read.parquet(f"{sf}/documents.parquet"), BYTE, fan_in=2, carried=3).toPandas()
-    for doc, own in df.groupby("doc_id"):
-        ids = np.array([*library.encode(texts[doc] or "", add_special_tokens=False).ids, 0], "<u4")
-        own = own.sort_values("piece")
-        assert list(own.start) == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() == len(ids) and (own.length[1:] == 2048).all()
-        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(own.start, own.length)] == list(own.ids_crc32)
-    assert set(df.doc_id) == set(texts)
+def check_sequences(df, capacity=2048):
     df = df.sort_values(["sequence_id", "offset"])
-    assert ((df.groupby("sequence_id").length.cumsum() - df.length) == df.offset).all() and df.groupby("sequence_id").length.sum().max() <= 2048
+    assert ((df.groupby("sequence_id").length.cumsum() - df.length) == df.offset).all() and df.groupby("sequence_id").length.sum().max() <= capacity
+    return df.sequence_id.nunique(), -(-df.length.sum() // capacity)
+
+
+def test_pieces_and_sequences(spark, sf, texts, monkeypatch):
+    library = Tokenizer.from_file(BYTE)
+    for fan_in, tasks, chunk, block, loss in ((2, 8, 40, 4, 0.03), (8, 8, packing.CHUNK, packing.BLOCK, 0.01)):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        monkeypatch.setattr(packing, "BLOCK", block)
+        df = packing.best_fit_packing(spark.read.parquet(f"{sf}/documents.parquet").repartition(tasks), BYTE, fan_in=fan_in).toPandas()
+        for doc, own in df.groupby("doc_id"):
+            ids = np.array([*library.encode(texts[doc] or "", add_special_tokens=False).ids, 0], "<u4")
+            own = own.sort_values("piece")
+            assert list(own.start) == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() == len(ids) and (own.length[1:] == 2048).all()
+            assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(own.start, own.length)] == list(own.ids_crc32)
+        assert set(df.doc_id) == set(texts)
+        made, bound = check_sequences(df)
+        assert made <= (1 + loss) * bound + 1
+
+
+def test_sequences_are_few(spark, sf):
+    df = packing.best_fit_packing(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").repartition(4), BYTE).toPandas()
+    made, bound = check_sequences(df)
+    assert made <= 1.01 * bound
 
 
 def test_packing_odd(spark):
@@ -193,53 +210,141 @@ def test_packing_odd(spark):
 def test_packing_of_sources_with_lengths_of_their_own(spark):
     """Half the partitions hold texts of some 60 tokens, the others of some 40: one of each fills a sequence of 100."""
     n = 400
-    texts = spark.range(0, 2 * n, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("\u00e9\n"), F.when(F.col("id") < n, 29).otherwise(19)).alias("text"))
+    texts = spark.range(0, 2 * n, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é\n"), F.when(F.col("id") < n, 29).otherwise(19)).alias("text"))
     got = packing.best_fit_packing(texts, BYTE, capacity=100).collect()
     lengths = {r.doc_id >= n: r.length for r in got}
     assert len(got) == 2 * n and lengths[False] > 50 > lengths[True] > 33 and sum(lengths.values()) <= 100
     assert len({r.sequence_id for r in got}) < 1.1 * n  # three halves of n where each source is packed by itself
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 100), max_size=60))
+def test_packing_joins_all_underfull_bins(spark, monkeypatch):
+    """Chunks of one piece: each bin climbs, and only the tree puts them together."""
+    monkeypatch.setattr(packing, "CHUNK", 1)
+    texts = spark.range(0, 600, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é\n"), (F.col("id") % 3 + 9).cast("int")).alias("text"))
+    df = packing.best_fit_packing(texts, BYTE, capacity=100, fan_in=2).toPandas()
+    made, _ = check_sequences(df, 100)
+    assert len(df) == 600 and made <= 1.05 * len(one_by_one(df.length.tolist(), 100))
+
+
+def one_by_one(sizes, capacity):
+    """The fills of a best fit, the largest items first."""
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= s]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - s)
+    return sorted(rooms)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 100), st.integers(1, 12)), max_size=80))
 def test_best_fit(sizes):
     bins, offsets = packing.best_fit(np.array(sizes, np.int64), 100)
     fill = collections.Counter()
     for b, o, s in sorted(zip(bins.tolist(), offsets.tolist(), sizes)):
         assert o == fill[b]
         fill[b] += s
-    assert all(f <= 100 for f in fill.values()) and len(fill) <= 11 / 9 * -(-sum(sizes) // 100) * 1.5 + 1
+    assert sorted(100 - f for f in fill.values()) == one_by_one(sizes, 100)
+    ranges = packing.fit(np.bincount(np.array(sizes, np.int64), minlength=1), 100)[1]
+    assert [f for first, n, f in ranges for _ in range(n)] == [fill[b] for b in range(len(fill))]
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    return Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+
+
+def counts_of(texts):
+    values, sizes = tokens.own(WORD, tokens.Counts).prefixes(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(values, np.cumsum(sizes)[:-1])]
+
+
+def every_prefix(library, text):
+    return [len(e) for e in library.encode_batch([text[:k] for k in range(1, len(text) + 1)], add_special_tokens=False)]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aàeéñ sT'd19 \n\t.,!-_—漢ß²\xa0<|>endoftext")), max_size=40))
-def test_tokens_are_the_librarys(text):
-    ids = Tokenizer.from_file(BYTE) if not hasattr(test_tokens_are_the_librarys, "a") else test_tokens_are_the_librarys.a
-    words = Tokenizer.from_file(WORD) if not hasattr(test_tokens_are_the_librarys, "b") else test_tokens_are_the_librarys.b
-    test_tokens_are_the_librarys.a, test_tokens_are_the_librarys.b = ids, words
-    assert tokens.packed_ids([text], BYTE)[0] == np.array(ids.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    ends, counts = next(tokens.prefixes([text], WORD))
-    assert (counts[-1] if len(counts) else 0) == len(words.encode(text, add_special_tokens=False).ids)
-    if tokens.PLAIN.fullmatch(text) and "<|" not in text:
-        for e, c in zip(ends, counts):
-            assert len(words.encode(text[:e], add_special_tokens=False).ids) == c
+@given(st.text(alphabet=st.sampled_from(list("aàeéñ sT'd19 \n\t.,!-_—漢ß²\xa0<|>endoftextİẹ́rvl")), max_size=40))
+def test_tokens_are_the_librarys(libraries, text):
+    ids, words = libraries
+    assert tokens.own(BYTE, tokens.Ids).of(text) == ids.encode(text, add_special_tokens=False).ids
+    assert counts_of([text]) == [every_prefix(words, text)]
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|>b<|startoftext|>", "x!<|endoftext|>'re don't we've I'LL", "<|ENDOFTEXT|> <|end", " 'r 're\n\n'", "é" * 60 + "!", "-=" * 40, "漢字仮名" * 20, "é" * 70, "thonre" * 12 + " " + "thonre" * 12])
+def test_hard_texts(libraries, text):
+    assert tokens.own(BYTE, tokens.Ids).of(text) == libraries[0].encode(text, add_special_tokens=False).ids
+    assert counts_of([text, "", text]) == [every_prefix(libraries[1], text), [], every_prefix(libraries[1], text)]
+
+
+def test_prefixes_of_documents(libraries, texts):
+    """All prefixes of short documents and of the begins of others, and some prefixes of all."""
+    rng = random.Random(4)
+    whole = [t or "" for t in texts.values()]
+    for text, got in zip(whole, counts_of(whole), strict=True):
+        assert len(got) == len(text) and got[:200] == every_prefix(libraries[1], text[:200])
+        some = [rng.randrange(1, len(text) + 1) for _ in range(5)] + [len(text)] if text else []
+        assert [got[k - 1] for k in some] == [len(libraries[1].encode(text[:k], add_special_tokens=False)) for k in some]
+
+
+def test_a_word_of_ten_thousand_characters(libraries):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghiknorst") for _ in range(10_000))
+    got = counts_of([text])[0]
+    for k in (1, 47, 48, 49, 50, 1000, 5555, 9999, 10_000):
+        assert got[k - 1] == len(libraries[1].encode(text[:k], add_special_tokens=False))
+
+
+def test_all_code_points(libraries):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    ids = tokens.own(BYTE, tokens.Ids)
+    assert ids.encoding is not None
+    for at in range(0, len(points), 20_000):
+        text = "".join(f"a{c}1 {c}{c}b\n" for c in points[at : at + 20_000])
+        assert ids.of(text) == libraries[0].encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    """Without the merge that makes a token whole, merging by rank would differ."""
+    import json
+
+    with open(BYTE, encoding="utf-8") as f:
+        whole = json.load(f)
+    whole["model"]["merges"][1000], whole["model"]["merges"][40_000] = whole["model"]["merges"][40_000], whole["model"]["merges"][1000]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(whole))
+    ids = tokens.Ids(str(path))
+    assert ids.encoding is None and ids.of("the cat") == Tokenizer.from_file(str(path)).encode("the cat").ids
 
 
 def test_prefix_table_answers(spark):
     df = tokens.prefix_counts(documents(spark), WORD)
     rows = {r.doc_id: r for r in df.collect()}
     assert (rows[1].n_tokens, rows[2].n_bytes, rows[5].n_tokens) == (0, 0, len(Tokenizer.from_file(WORD).encode(LONG, add_special_tokens=False).ids))
-    one = spark.createDataFrame([(1, "the cat sat on")], "doc_id long, text string")
-    cut = tokens.prefix_counts(one, WORD).select(tokens.longest_prefix(2).alias("cut"), tokens.tokens_before(7).alias("n")).first()
-    assert (cut.cut, cut.n) == (7, 2)
+    assert rows[1].prefix_tokens == [] and len(rows[5].prefix_tokens) == len(LONG) and len(rows[6].prefix_tokens) == len(ODD[7][1])
+    text = "the cat internationalization of tokenizers"
+    library = Tokenizer.from_file(WORD)
+    want = every_prefix(library, text)
+    one = tokens.prefix_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), WORD)
+    got = one.select(*(tokens.longest_prefix(n).alias(f"b{n}") for n in range(9)), *(tokens.tokens_before(k).alias(f"p{k}") for k in (0, 1, 10, len(text), 99))).first()
+    assert [got[f"b{n}"] for n in range(9)] == [max([k for k, c in enumerate(want, 1) if c <= n], default=0) for n in range(9)]
+    assert [got[f"p{k}"] for k in (0, 1, 10, len(text), 99)] == [0, want[0], want[9], want[-1], want[-1]]
 
 
-def test_memory_of_parts_forgets(monkeypatch):
+def test_memory_of_units_forgets(monkeypatch, libraries):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
-    library = Tokenizer.from_file(BYTE)
+    counts = tokens.Counts(WORD)
     for k in range(30):
         text = f" alpha{k % 7} beta gamma{k % 3}"
-        assert tokens.packed_ids([text], BYTE)[0] == np.array(library.encode(text).ids, "<u4").tobytes()
+        values, _ = counts.prefixes(pa.array([text]))
+        assert values.tolist() == every_prefix(libraries[1], text)
+
+
+def test_batches_go_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 3, None, "", "b" * 50, "c", "d" * 9])], ["i", "t"])
+    cut = list(by_bytes(iter([batch, batch.slice(0, 0)]), 1, 10))
+    assert [b.column(0).to_pylist() for b in cut] == [[0, 1, 2], [3], [4, 5]]
 
 
 # -- 5 licenses --
