@@ -137,7 +137,8 @@ class Island:
             cost = cost_of(m.loss, complexity(expr, self.o), self.o.parsimony, self.sample.baseline if self.o.use_baseline else None)
             return self.member(expr, m.id, (m.loss, cost)), True
         if choice == "optimize":
-            return replace(self.optimised(m), parent=m.id), True
+            better = self.optimised(m)
+            return (self.member(m.expr, m.id, same) if better.id == m.id else replace(better, parent=m.id)), True
         for _ in range(10):
             expr = self.changed(choice, m, temperature)
             if expr is not None and satisfies(expr, self.o, self.maxsize):

@@ -224,6 +224,16 @@ class LookupError_(ValueError):
     """A token that names no operator, or several."""
 
 
+class UnknownOperator(LookupError_):
+    pass
+
+
+class AmbiguousOperator(LookupError_):
+    def __init__(self, text: str, candidates: Sequence[str] = ()):
+        super().__init__(text)
+        self.candidates = list(candidates)
+
+
 class OperatorSet:
     """A chosen set of operators, looked up by name, display or infix."""
 
@@ -248,10 +258,20 @@ class OperatorSet:
         """By name (any case), exact display, or infix; the arity tells apart what shares a token."""
         token = token.strip()
         hits = [o for o in self.ops.values() if (o.name == token.lower() or token in (o.shown, o.infix)) and arity in (None, o.arity)]
-        if len(hits) != 1:
-            raise LookupError_(f"{token!r} names " + (f"several operators: {sorted((o.name, o.arity) for o in hits)}" if hits else "no operator"))
+        if not hits:
+            raise UnknownOperator(f"{token!r} names no operator")
+        if len(hits) > 1:
+            raise AmbiguousOperator(f"{token!r} names several operators: {sorted((o.name, o.arity) for o in hits)}", [o.name for o in hits])
         return hits[0]
 
+    def describe(self, name: str, arity: int | None = None) -> dict:
+        """Name, display, infix, properties and complexity of an operator by its exact name; of one that the set doesn't
+        have, what is shown in its place."""
+        op = self.ops.get(name)
+        if op is None or arity not in (None, op.arity):
+            return {"name": "unknown_op", "display": "unknown_op", "infix": None, "commutative": False, "associative": False, "complexity": 0}
+        return {"name": op.name, "display": op.shown, "infix": op.infix, "commutative": op.commutative, "associative": op.associative, "complexity": op.complexity}
+
     def by_arity(self, arity: int) -> list[Op]:
         return [o for o in self.ops.values() if o.arity == arity]
 

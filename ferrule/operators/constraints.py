@@ -11,10 +11,14 @@ MOST = 2**16 - 1
 
 def complexity(expr: Expr, options: Options | None = None) -> int:
     """The number of nodes, or with weights of its own for variables, constants or operators the sum of those."""
-    o = options
-    if o is None or (o.complexity_of_constants == 1 == o.complexity_of_variables and not o.variable_complexities and not o.operator_complexity_overrides):
+    if options is None or not weighed(options):
         return len(expr.nodes)
-    return min(MOST, sum(_own(n, o) for n in expr.nodes))
+    return min(MOST, sum(_own(n, options) for n in expr.nodes))
+
+
+def weighed(o: Options) -> bool:
+    """Whether the options give weights of their own to variables, constants or operators."""
+    return not o.complexity_of_constants == 1 == o.complexity_of_variables or bool(o.variable_complexities) or bool(o.operator_complexity_overrides)
 
 
 def _own(node, o: Options) -> int:
@@ -30,8 +34,7 @@ def satisfies(expr: Expr, options: Options, maxsize: int | None = None) -> bool:
     maxsize = options.maxsize if maxsize is None else maxsize
     if complexity(expr, options) > maxsize:
         return False
-    custom = complexity(expr, options) != len(expr.nodes) or bool(options.operator_complexity_overrides)
-    if (options.maxdepth < maxsize or custom) and expr.depth > options.maxdepth:
+    if (options.maxdepth < maxsize or weighed(options)) and expr.depth > options.maxdepth:
         return False
     for i, node in enumerate(expr.nodes):
         if not isinstance(node, Op):

@@ -1,7 +1,10 @@
-"""Metrics of a prediction and summaries of columns, each in one or two aggregations."""
+"""Metrics of a prediction and summaries of columns, in one aggregation, or in two where rows have weights."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,25 +16,30 @@ def metrics(df: DataFrame, yhat: str = "yhat", y: str = "y", w: str | None = Non
     """n, mse, mae, rmse, r2, corr, min_abs_err and max_abs_err, of all rows or of each group.
 
     Weights enter mse, mae and r2. The correlation weighs no row, but centres y at its weighted mean. r2 is 0 where y
-    doesn't vary, corr where either does not; no rows give NaN (and 0 for the least error).
+    doesn't vary, corr where either does not; no rows give NaN (and 0 for the least error). Rows whose key is null are a
+    group of their own.
     """
     by = by or []
     a, b = F.col(yhat), F.col(y)
-    v = F.lit(1.0) if w is None else F.col(w)
-    means = df.groupBy(*by).agg(F.sum(b * v).alias("__yw"), F.sum(v).alias("__w"), F.avg(a).alias("__p"))
-    means = means.select(*by, SPARK.div(F.col("__yw"), F.col("__w")).alias("__y"), "__p")
-    # a row for each group, or one in all
-    both = df.join(F.broadcast(means)) if not by else df.join(means, by)
-    e, dy, dp = a - b, b - F.col("__y"), a - F.col("__p")
-    sums = both.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(v).alias("w"), F.sum(e * e * v).alias("se"), F.sum(F.abs(e) * v).alias("ae"), F.sum(dy * dy * v).alias("sst"),
-        F.sum(dy * dp).alias("cov"), F.sum(dy * dy).alias("vy"), F.sum(dp * dp).alias("vp"), F.min(F.abs(e)).alias("least"), F.max(F.abs(e)).alias("most"),
-    )
+    e = a - b
+    n, vy = F.count("*").cast("double"), F.var_pop(b)
+    own = [F.count("*").alias("n"), F.min(F.abs(e)).alias("least"), F.max(F.abs(e)).alias("most")]
+    if w is None:
+        # moments about the mean merge, so that one pass will do
+        whole = df.groupBy(*by).agg(*own, n.alias("w"), F.sum(e * e).alias("se"), F.sum(F.abs(e)).alias("ae"), (vy * n).alias("sst"), (F.covar_pop(a, b) * n).alias("cov"), (vy * n).alias("vy"), (F.var_pop(a) * n).alias("vp"))
+    else:
+        v = F.col(w)
+        means = df.groupBy(*by).agg(F.sum(b * v).alias("__yw"), F.sum(v).alias("__w"), F.avg(a).alias("__p"))
+        means = means.select(*(F.col(c).alias(f"__by_{c}") for c in by), SPARK.div(F.col("__yw"), F.col("__w")).alias("__y"), "__p")
+        # a row for each group, of which a null key is one, or one in all
+        both = df.join(means, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by))) if by else df.join(F.broadcast(means))
+        dy, dp = b - F.col("__y"), a - F.col("__p")
+        whole = both.groupBy(*by).agg(*own, F.sum(v).alias("w"), F.sum(e * e * v).alias("se"), F.sum(F.abs(e) * v).alias("ae"), F.sum(dy * dy * v).alias("sst"), F.sum(dy * dp).alias("cov"), F.sum(dy * dy).alias("vy"), F.sum(dp * dp).alias("vp"))
     nan = F.lit(float("nan"))
     mean = lambda c: F.when(F.col("n") == 0, nan).otherwise(SPARK.div(F.col(c), F.col("w")))
     r2 = F.when(F.col("n") == 0, nan).when(F.col("sst") == 0, F.lit(0.0)).otherwise(1.0 - SPARK.div(F.col("se"), F.col("sst")))
     corr = F.when(F.col("n") == 0, nan).when((F.col("vy") == 0) | (F.col("vp") == 0), F.lit(0.0)).otherwise(SPARK.div(F.col("cov"), F.sqrt(F.col("vy")) * F.sqrt(F.col("vp"))))
-    return sums.select(*by, "n", mean("se").alias("mse"), mean("ae").alias("mae"), F.sqrt(mean("se")).alias("rmse"), r2.alias("r2"), corr.alias("corr"), F.coalesce("least", F.lit(0.0)).alias("min_abs_err"), F.coalesce("most", nan).alias("max_abs_err"))
+    return whole.select(*by, "n", mean("se").alias("mse"), mean("ae").alias("mae"), F.sqrt(mean("se")).alias("rmse"), r2.alias("r2"), corr.alias("corr"), F.coalesce("least", F.lit(0.0)).alias("min_abs_err"), F.coalesce("most", nan).alias("max_abs_err"))
 
 
 def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.evolve.optim import bfgs
 from ferrule.functions.losses import Loss
 from ferrule.functions.scalar import NUMPY
 from ferrule.plans.compile import evaluate, numpy_eval
@@ -66,6 +67,32 @@ def score_many(data: Dataset, exprs: Sequence[Expr], loss: Loss) -> DataFrame:
     return whole.select("k", F.when(F.col("ok"), loss.finish(F.col("total"), F.col("weight"))).alias("loss"), "ok")
 
 
+def optimised_constants(data: Dataset, expr: Expr, loss: Loss, iterations: int = 8) -> tuple[Expr, float]:
+    """``expr`` with constants of less loss over all rows, and that loss; one aggregation for each step of the search.
+
+    Its own constants stay where no step finds a lesser loss, or where it fails on some row."""
+    if not expr.consts:
+        return expr, loss_of(data, [expr], loss).first().loss
+
+    def objective(c: np.ndarray) -> tuple[float, np.ndarray]:
+        rows = loss_and_gradient(data, expr.with_constants(tuple(map(float, c))), loss).orderBy("slot").collect()
+        if rows[0].loss is None or not np.isfinite(rows[0].loss):
+            return np.inf, np.full(len(c), np.nan)
+        return rows[0].loss, np.array([r.slope for r in rows])
+
+    start = np.array(expr.consts)
+    before, _ = objective(start)
+    found, after = bfgs(objective, start, iterations)
+    better = np.isfinite(after) and (after < before or not np.isfinite(before))
+    return (expr.with_constants(tuple(map(float, found))), after) if better else (expr, before)
+
+
+def loss_and_gradient(data: Dataset, expr: Expr, loss: Loss) -> DataFrame:
+    """slot, slope and loss: d loss / d constant for each constant, and the loss itself, null where some row fails."""
+    slopes = constant_gradient(data, expr, loss)
+    return slopes.join(F.broadcast(loss_of(data, [expr], loss).select("loss")))  # one row
+
+
 def constant_gradient(data: Dataset, expr: Expr, loss: Loss) -> DataFrame:
     """d loss / d constant for each constant of the pool: slot and slope, in one pass after the loss itself."""
     from ferrule.plans.compile import gradient

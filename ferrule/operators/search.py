@@ -26,7 +26,7 @@ from ferrule.operators import front
 from ferrule.operators.constraints import size_limit
 from ferrule.operators.metrics import metrics
 from ferrule.operators.options import Options
-from ferrule.operators.scoring import baseline_loss, loss_of, score_many
+from ferrule.operators.scoring import baseline_loss, loss_of, optimised_constants, score_many
 from ferrule.plans.compile import evaluate
 from ferrule.plans.expr import Expr
 from ferrule.plans.store import stored
@@ -43,6 +43,11 @@ def _member(r, ops) -> Member:
     return Member(int(r.id), None if pd.isna(r.parent) else int(r.parent), int(r.birth), Expr.from_row(json.loads(r.expr), ops), int(r.complexity), float(r.loss), float(r.cost))
 
 
+def settled(loss: float | None) -> float:
+    """A loss over all rows to 12 digits, since partial sums are added up in any order; infinite where there is none."""
+    return float(f"{loss:.12g}") if loss is not None and np.isfinite(loss) else np.inf
+
+
 class Speed:
     """Evaluations a second: the mean of the last 20 readings, and a moving average that weighs a new one by 0.2."""
 
@@ -72,7 +77,8 @@ class SearchEngine:
             halves = stored(exact_split(data.df, validation_fraction, key, self.options.seed), "split")
             self.data = Dataset(halves.where("NOT is_val"), data.x, data.y, data.w)
             self.validation = Dataset(halves.where("is_val"), data.x, data.y, data.w)
-        self.baseline = baseline_loss(self.data, self.options.loss)
+        baseline = baseline_loss(self.data, self.options.loss)
+        self.baseline = None if baseline is None else settled(baseline)
         self.sample = Sample(*bounded_sample(self.data, self.options.sample_rows, self.options.seed), baseline=self.baseline)
         self.sampled = len(self.sample.y) < self.data.df.count()
         self.shared = self.spark.sparkContext.broadcast(self.sample)
@@ -116,8 +122,8 @@ class SearchEngine:
         losses = {r.k: r.loss for r in score_many(self.data, [Expr.from_row(json.loads(r.expr), self.ops) for r in rows], o.loss).collect()}
         scored = []
         for k, r in enumerate(rows):
-            loss = losses[k] if losses[k] is not None and np.isfinite(losses[k]) else np.inf
-            scored.append((r.expr, r.complexity, float(loss), float(cost_of(loss, r.complexity, o.parsimony, self.baseline if o.use_baseline else None))))
+            loss = settled(losses[k])
+            scored.append((r.expr, r.complexity, loss, float(cost_of(loss, r.complexity, o.parsimony, self.baseline if o.use_baseline else None))))
         table = self.spark.createDataFrame(scored, "expr string, complexity int, loss double, cost double")
         return kept.drop("loss", "cost").join(F.broadcast(table), ["expr", "complexity"]).select(*out.columns)
 
@@ -141,16 +147,18 @@ class SearchEngine:
             rows += [_row(pop, k, m, "best", island.serial, 0.0) for k, m in enumerate(m for few in island.best.values() for m in few)]
             return pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBERS.split(", ")])
 
-        if self.members is None:
-            def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for frame in frames:
-                    for pop in frame["id"]:
-                        yield live(int(pop), None)
+        # bounded by populations * population_size
+        old = {} if self.members is None else {int(pop): frame for pop, frame in self.members.toPandas().groupby("pop")}
+        held = self.spark.sparkContext.broadcast(old)
 
-            out = self.spark.range(0, o.populations, 1, o.populations).mapInPandas(first, MEMBERS)
-        else:
-            out = self.members.groupBy("pop").applyInPandas(lambda frame: live(int(frame["pop"].iloc[0]), frame), MEMBERS)
-        out = stored(out, "members")
+        def islands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for pop in frame["id"].tolist():
+                    yield live(pop, held.value.get(pop))
+
+        # a partition an island, whatever the members' table weighs: adaptive execution would run them all in one task
+        out = stored(self.spark.range(0, o.populations, 1, o.populations).mapInPandas(islands, MEMBERS), "members")
+        held.destroy()
         if self.sampled:
             out = stored(self._on_all_rows(out), "members")
         self.iteration += 1
@@ -184,8 +192,7 @@ class SearchEngine:
         names = list(self.data.x)
         shown = []
         for k, (r, e) in enumerate(zip(rows, exprs, strict=True)):
-            if losses[str(k)] is not None:
-                loss = float(losses[str(k)])
+            if np.isfinite(loss := settled(losses[str(k)])):
                 shown.append((int(r.complexity), loss, cost_of(loss, int(r.complexity), self.options.parsimony, self.baseline if self.options.use_baseline else None), e.text(names=names), int(r.id)))
         scored = self.spark.createDataFrame(shown, "complexity int, loss double, cost double, equation string, id long")
         return front.pareto_front(scored)
@@ -202,6 +209,21 @@ class SearchEngine:
         rows = [] if shown is None else [r.asDict() for r in shown.orderBy("complexity").collect()]
         return {"total_cycles": self.total_cycles, "cycles": done, "evals": self.total_evals, "evals_per_second": self.speed.mean, "finished": self.is_finished, "front": rows}
 
+    def snapshot_json(self, k: int | None = None) -> str:
+        """The snapshot as JSON; numbers that aren't finite are null."""
+        plain = lambda v: {a: plain(b) for a, b in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else None if isinstance(v, float) and not np.isfinite(v) else v
+        return json.dumps(plain(self.snapshot(k)))
+
+    def refined_front(self, iterations: int | None = None) -> DataFrame:
+        """The front with constants that were optimised over all rows; an aggregation for each step of each member's."""
+        o = self.options
+        shown = []
+        for r in self.pareto_members().orderBy("complexity").collect():
+            e, loss = optimised_constants(self.data, _member(r, self.ops).expr, o.loss, iterations or o.optimizer_iterations)
+            if np.isfinite(loss := settled(loss)):
+                shown.append((int(r.complexity), loss, float(cost_of(loss, int(r.complexity), o.parsimony, self.baseline if o.use_baseline else None)), e.text(names=list(self.data.x)), int(r.id)))
+        return front.pareto_front(self.spark.createDataFrame(shown, "complexity int, loss double, cost double, equation string, id long"))
+
     def split(self) -> DataFrame:
         """All rows with ``is_val``: which of them are for validation."""
         if self.validation is None:

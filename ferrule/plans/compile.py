@@ -81,13 +81,13 @@ def _walk(expr: Expr, features: Sequence[str], levels: _Levels, directions: Sequ
     return value, grads, checked
 
 
-def evaluate(df: DataFrame, expr: Expr, features: Sequence[str], out: str = "yhat", ok: str = "ok") -> DataFrame:
-    """``df`` with the value of ``expr`` and whether each operator's value on the row is finite."""
+def evaluate(df: DataFrame, expr: Expr, features: Sequence[str], out: str = "yhat", ok: str = "ok", check: bool = True) -> DataFrame:
+    """``df`` with the value of ``expr`` and whether each operator's value on the row is finite; true without ``check``."""
     expr.validate(len(features))
     levels = _Levels(f"__{out}_")
     value, _, checked = _walk(expr, features, levels)
     good = F.lit(True)
-    for c in checked:
+    for c in checked if check else ():
         good = good & finite(c)
     return levels.onto(df).withColumns({out: value, ok: good}).drop(*levels.names)
 
@@ -108,8 +108,9 @@ def differentiate(df: DataFrame, expr: Expr, features: Sequence[str], feature: i
     return levels.onto(df).withColumns({out: value, derivative: F.lit(0.0) if grads[0] is None else grads[0], ok: good}).drop(*levels.names)
 
 
-def gradient(df: DataFrame, expr: Expr, features: Sequence[str], variables: bool = True, out: str = "yhat", grad: str = "grad", ok: str = "ok") -> DataFrame:
-    """The value, its gradient as an array over all features (or all constants of the pool), and the row's flag."""
+def gradient(df: DataFrame, expr: Expr, features: Sequence[str], variables: bool = True, out: str = "yhat", grad: str = "grad", ok: str = "ok", fill: bool = False) -> DataFrame:
+    """The value, its gradient as an array over all features (or all constants of the pool), and the row's flag. With
+    ``fill``, value and gradient are NaN on rows that fail."""
     expr.validate(len(features))
     directions = [("var", i) for i in range(len(features))] if variables else [("const", i) for i in range(len(expr.consts))]
     levels = _Levels(f"__{out}_")
@@ -118,7 +119,11 @@ def gradient(df: DataFrame, expr: Expr, features: Sequence[str], variables: bool
     for c in checked:
         good = good & finite(c)
     array = F.array(*(F.lit(0.0) if g is None else g for g in grads)) if directions else F.array().cast("array<double>")
-    return levels.onto(df).withColumns({out: value, grad: array, ok: good}).drop(*levels.names)
+    shown = levels.onto(df).withColumns({out: value, grad: array, ok: good}).drop(*levels.names)
+    if not fill:
+        return shown
+    nan = F.lit(float("nan"))
+    return shown.withColumns({out: F.when(F.col(ok), F.col(out)).otherwise(nan), grad: F.transform(grad, lambda g: F.when(F.col(ok), g).otherwise(nan))})
 
 
 def numpy_eval(expr: Expr, x: np.ndarray, check: bool = True, early_exit: bool = True, dtype: type = np.float64) -> tuple[np.ndarray, bool]:

@@ -183,8 +183,8 @@ class Expr:
 
         def call(op, args):
             if op.infix and op.arity > 1:
-                return "(" + f" {op.infix} ".join(args) + ")"
-            return f"{op.shown if pretty or op.infix else op.name}({', '.join(map(bare, args))})"
+                return "(" + f" {op.shown if pretty else op.infix} ".join(args) + ")"
+            return f"{op.shown if pretty else op.infix or op.name}({', '.join(map(bare, args))})"
 
         return bare(self.fold(leaf, call))
 
@@ -207,14 +207,16 @@ SCHEMA = "nodes array<struct<kind:string,arg:int,arity:int,op:string>>, consts a
 
 
 def bare(text: str) -> str:
-    """Without parentheses around the whole."""
-    if not (text.startswith("(") and text.endswith(")")):
-        return text
-    level = 0
-    for i, c in enumerate(text):
-        level += (c == "(") - (c == ")")
-        if level == 0:
-            return text[1:-1] if i == len(text) - 1 else text
+    """Without parentheses around the whole, however many."""
+    while text.startswith("(") and text.endswith(")"):
+        level = 0
+        for end, c in enumerate(text):  # noqa: B007
+            level += (c == "(") - (c == ")")
+            if level == 0:
+                break
+        if level or end < len(text) - 1:
+            break
+        text = text[1:-1]
     return text
 
 

@@ -3,19 +3,51 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where the session names none, one of this machine's is set if driver and
+    executors are one process, as in tests; on a cluster that is an error, since no folder is sure to be seen by all."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + os.path.join(tempfile.gettempdir(), "ferrule-checkpoints")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+#: Paths that this process has made, in order.
+_made: list[str] = []
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in that folder."""
+    _made.append(f"{folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many paths have been made so far, for ``drop``."""
+    return len(_made)
+
+
+def drop(spark: SparkSession, since: int) -> None:
+    """Deletes what was stored after the first ``since`` paths, but for the last one. For tables that later ones were made
+    from, once these are written."""
+    for path in _made[since:-1]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    del _made[since:-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as written Parquet: later steps reread it, and a lost executor costs no more than that."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "ferrule-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,20 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.evolve.mutate import random_expr
 from ferrule.functions import losses as ls
 from ferrule.functions.scalar import BUILTIN, SPARK, Op, OperatorSet, registry
 from ferrule.operators import front
 from ferrule.operators.metrics import column_summary, metrics
 from ferrule.operators.options import Options, defaults
-from ferrule.operators.scoring import constant_gradient, loss_of, score_many
+from ferrule.operators.constraints import complexity, satisfies
+from ferrule.operators.scoring import constant_gradient, loss_of, optimised_constants, score_many
 from ferrule.operators.search import SearchEngine
 from ferrule.plans.compile import complete, differentiate, evaluate, finite, gradient
 from ferrule.plans.expr import SCHEMA, Expr, build, lit, var
 from ferrule.plans.simplify import simplify
+from ferrule.plans.store import place
 from ferrule.sources import dataset as ds
+from ferrule.streaming.scorer import windowed_loss
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -252,16 +257,16 @@ def finite_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return ds.split(orders, 0.2, "o_orderkey", 7).groupBy("is_val", "o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"))
+    return ds.split(orders, 0.2, "o_orderkey", 7, ds.arithmetic).groupBy("is_val", "o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"))
 
 
 def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ds.exact_split(table(spark, sf_dir, "orders").select("o_orderkey"), 0.2, "o_orderkey", 7).where("is_val").select("o_orderkey")
+    return ds.exact_split(table(spark, sf_dir, "orders").select("o_orderkey"), 0.2, "o_orderkey", 7, ds.arithmetic).where("is_val").select("o_orderkey")
 
 
 def gather_val(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    rows = ds.split(orders, 0.1, "o_orderkey", 3).where("is_val").select("o_orderkey")
+    rows = ds.split(orders, 0.1, "o_orderkey", 3, ds.arithmetic).where("is_val").select("o_orderkey")
     return ds.gather(orders.select("o_orderkey", "o_custkey"), rows, "o_orderkey")
 
 
@@ -321,6 +326,78 @@ def loss_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constant_gradient(data, var(0) * 0.5 + build("cos", var(1) * 0.7), ls.mse()).select("slot", F.round("slope", 6).alias("slope"))
 
 
+def metrics_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups whose key is null, with and without weights."""
+    rows = predictions(spark, sf_dir).withColumn("key", F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")))
+    out = [metrics(rows, "yhat", "z", w, ["key"]).withColumn("weighted", F.lit(w is not None)) for w in (None, "w")]
+    both = out[0].unionByName(out[1])
+    return both.select("key", "weighted", "n", *(F.round(c, 6).alias(c) for c in ("mse", "mae", "r2", "corr")))
+
+
+def split_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three orders in five have no key: they are for training, and the fraction is of the others."""
+    keyed = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 < 2, F.col("o_orderkey")).alias("k"))
+    return ds.exact_split(keyed, 0.5, "k", 7, ds.arithmetic).groupBy(F.col("k").isNull().alias("no_key"), "is_val").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+def csv_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV and read by roles: x but y and the weights, in the file's order."""
+    path = place(spark, "csv")
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal").write.csv(path, header=True)
+    data = ds.with_roles(ds.read_csv(spark, path), y="s_nationkey", w="s_suppkey")
+    return data.project().select(F.lit(",".join(data.x)).alias("x"), F.lit(data.y).alias("y"), F.lit(data.w).alias("w"), F.round(data.x[0], 2).alias("x0"), F.col(data.y).alias("value"), F.col(data.w).alias("weight"))
+
+
+#: Options with weights of their own for nodes, and with limits.
+CUSTOM = Options(complexity_of_constants=3, variable_complexities={1: 2}, operator_complexity_overrides={"cos": 4, "mul": 2}, maxsize=16, maxdepth=4)
+LIMITED = Options(op_constraints={"mul": (None, 4)}, nested_constraints={"exp": {"neg": 0}})
+
+
+def complexity_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(k, complexity(e), complexity(e, CUSTOM), satisfies(e, CUSTOM), satisfies(e, LIMITED)) for k, e in TREES.items()]
+    return spark.createDataFrame(rows, "tree string, plain int, custom int, satisfies_custom boolean, satisfies_limited boolean")
+
+
+def optimize_constants_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The constants of c0 * x + c1 over all rows: least squares has a closed form."""
+    data = ds.with_roles(predictions(spark, sf_dir).select("x", "y", "z"), "z")
+    found, loss = optimised_constants(data, var(0) * lit(1.0) + lit(0.0), ls.mse(), 30)
+    return spark.createDataFrame([(round(found.consts[0], 4), round(found.consts[1], 4), round(loss, 4))], "slope double, intercept double, loss double")
+
+
+def engine_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a search is after each step, and whether its front is one: losses fall as complexity rises."""
+    engine = _search(spark, sf_dir, F.col("x") + F.col("y"), populations=4, population_size=10, ncycles_per_iteration=20, niterations=2, sample_rows=2000)
+    rows = []
+    for k in range(4):
+        shot = engine.snapshot()
+        front_rows = shot["front"]
+        falls = all(a["loss"] > b["loss"] and a["complexity"] < b["complexity"] for a, b in zip(front_rows, front_rows[1:], strict=False))
+        rows.append((k, shot["cycles"], shot["total_cycles"], shot["finished"], falls, bool(front_rows)))
+        engine.step()
+    return spark.createDataFrame(rows, "step int, cycles int, total_cycles int, finished boolean, falls boolean, has_front boolean")
+
+
+def simplified_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated trees and their simplified forms over all rows: how many values differ, and whether any tree grew."""
+    ops, rng = OperatorSet.from_names(["+", "-", "*", "cos", "abs", "max"]), np.random.default_rng(9)
+    trees = [random_expr(rng, ops, 3, size) for size in range(2, 32)]
+    df = inputs(spark, sf_dir)
+    wrong = []
+    for k, e in enumerate(trees):
+        df = evaluate(evaluate(df, e, ["x", "y", "z"], f"a{k}", f"aok{k}"), simplify(e)[0], ["x", "y", "z"], f"b{k}", f"bok{k}")
+        wrong.append(F.count_if(F.abs(F.col(f"a{k}") - F.col(f"b{k}")) > 1e-6 * (1 + F.abs(F.col(f"a{k}")))))
+    grew = [len(simplify(e)[0].nodes) > len(e.nodes) for e in trees]
+    rows = df.agg(F.array(*(F.struct(F.lit(k).alias("tree"), w.alias("differ"), F.lit(g).alias("grew")) for k, (w, g) in enumerate(zip(wrong, grew, strict=True)))).alias("all"))
+    return rows.select(F.inline("all"))
+
+
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of windows of five days, of which those with a row at which the formula fails have none."""
+    rows = predictions(spark, sf_dir).withColumn("t", F.timestamp_seconds(F.col("l_orderkey") * 86_400))
+    return windowed_loss(rows, build("sqrt", var(0) + 2.75), ["x"], "z", ls.mse(), "t", "5 days").select(F.col("start").cast("long").alias("start"), "rows", F.round("loss", 6).alias("loss"), "ok")
+
+
 def _search(spark: SparkSession, sf_dir: str, y: Column, **more) -> SearchEngine:
     data = ds.with_roles(inputs(spark, sf_dir).select("x", "y", y.alias("t")), "t")
     o = {"operators": OperatorSet.from_names(["cos", "+", "-", "*"]), "populations": 8, "population_size": 27, "niterations": 3, "ncycles_per_iteration": 300, "maxsize": 12, "seed": 3} | more
@@ -351,6 +428,8 @@ def queries() -> dict[str, Query]:
         "asof_lower_complexity": asof_lower, "tournament_score": tournament, "migrants_pool": migrants, "member_by_id": member_by_id,
         "column_preview": column_preview, "finite_filter": finite_filter, "split_hash": split_hash, "split_exact": split_exact, "gather_val": gather_val,
         "curve_sorted": curve_sorted, "curve_places": curve_places, "tree_counts": tree_counts, "tree_strings": tree_strings, "op_registry": op_registry, "option_defaults": option_defaults,
+        "metrics_null_keys": metrics_null_keys, "split_null_keys": split_null_keys, "csv_roles": csv_roles, "complexity_custom": complexity_custom,
+        "optimize_constants_linear": optimize_constants_linear, "engine_steps": engine_steps, "simplified_values": simplified_values, "windowed_loss": windowed,
         "score_columns": _scored(False), "score_many": _scored(True), "loss_slopes": loss_slopes, "search_front": search_front, "search_square_recovery": search_square,
     }
     return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,7 +23,8 @@ class DatasetError(ValueError):
 
 @dataclass(frozen=True)
 class Dataset:
-    """A DataFrame with the roles of its columns. All of them are doubles without null."""
+    """A DataFrame with the roles of its columns. All of them are doubles without null; a null is an error as soon as its
+    row is read, so that no operator skips a row that another one counts."""
 
     df: DataFrame
     x: tuple[str, ...]
@@ -31,7 +33,8 @@ class Dataset:
 
     def project(self) -> DataFrame:
         """Only the columns with a role, so that a scan reads no other."""
-        return self.df.select(*(F.col(c).cast("double").alias(c) for c in (*self.x, self.y, *([self.w] if self.w else []))))
+        there = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} is null in a row of a dataset"))).otherwise(F.col(c).cast("double")).alias(c)
+        return self.df.select(*map(there, (*self.x, self.y, *([self.w] if self.w else []))))
 
     def mean_y(self) -> DataFrame:
         from ferrule.functions.losses import mean_y
@@ -63,11 +66,22 @@ def with_roles(df: DataFrame, y: str | None = None, x: Sequence[str] | None = No
     return Dataset(df, tuple(chosen), y, w)
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True, on_bad_rows: str = "error") -> DataFrame:
+def csv_columns(spark: SparkSession, path: str, header: bool = True) -> list[str]:
+    """The names in a CSV file's header; ``col_0``, ``col_1``, ... where there is none, or where the first row of data has
+    another width."""
+    rows = list(csv.reader(r.value for r in spark.read.text(path).where("trim(value) <> ''").take(2)))
+    if len(rows) <= header:
+        raise DatasetError("a CSV file needs a row of data")
+    names = [c.strip() for c in rows[0]] if header else []
+    return names if len(names) == len(rows[-1]) else [f"col_{i}" for i in range(len(rows[-1]))]
+
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, header: bool = True, on_bad_rows: str = "error") -> DataFrame:
     """A CSV file of doubles; cells are trimmed. A cell that is no number is an error, or with ``drop`` its row goes, as
-    do rows with NaN or infinity."""
+    do rows with NaN or infinity. The columns are those of the file unless they are named."""
     if on_bad_rows not in ("error", "drop"):
         raise ValueError("on_bad_rows is error or drop")
+    columns = csv_columns(spark, path, header) if columns is None else columns
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in columns])
     mode = "FAILFAST" if on_bad_rows == "error" else "DROPMALFORMED"
     df = spark.read.csv(path, schema=schema, header=header, mode=mode, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
@@ -124,40 +138,53 @@ def curve_places(df: DataFrame, x: str, y: str) -> DataFrame:
     return dealt.select(F.explode(F.sequence(F.col("before") + F.col("__at") + 1, F.col("before") + last)).alias("place"), "x", "y")
 
 
-def split_key(key: Column, seed: int) -> Column:
-    """A number from 0 to 2**31 - 2 that scatters keys; plain arithmetic, so other engines give the same."""
-    return F.pmod((F.pmod(key.cast("long"), F.lit(2_147_483_647)) + F.lit(seed + 1)) * F.lit(1_327_217_885), F.lit(2_147_483_647))
+#: Numbers that a key is scattered to.
+KEYS = 2_147_483_647
 
 
-def split(df: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:
-    """``df`` with ``is_val``: a row is for validation by its key's hash, so no order of rows is needed, equal keys go to
-    one side, and the split doesn't move when rows are added. The share is the clamped fraction in expectation."""
-    limit = round(min(max(fraction, 0.0), 0.9) * 2_147_483_647)
-    return df.withColumn("is_val", split_key(F.col(key), seed) < limit)
+def hashed(key: Column, seed: int) -> Column:
+    """A number from 0 to 2**31 - 2 by hash, for keys of any type; null for a null key."""
+    return F.when(key.isNotNull(), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(KEYS)))
 
 
-#: Hash ranges that are counted to find a rank.
-RANGES = 1 << 16
+def arithmetic(key: Column, seed: int) -> Column:
+    """The same for whole numbers by plain arithmetic, which other engines can state; its seeds only shift one order."""
+    return F.pmod((F.pmod(key.cast("long"), F.lit(KEYS)) + F.lit(seed + 1)) * F.lit(1_327_217_885), F.lit(KEYS))
 
 
-def exact_split(df: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:
-    """As ``split``, with exactly round(fraction * n) rows when keys are unique (rows of one key stay together).
+def split(df: DataFrame, fraction: float, key: str, seed: int = 0, scatter: Callable[[Column, int], Column] = hashed) -> DataFrame:
+    """``df`` with ``is_val``: a row is for validation by its key's number, so no order of rows is needed, equal keys go to
+    one side, and the split doesn't move when rows are added. The share is the clamped fraction in expectation. Rows with
+    a null key are for training."""
+    limit = round(min(max(fraction, 0.0), 0.9) * KEYS)
+    return df.withColumn("is_val", F.coalesce(scatter(F.col(key), seed) < limit, F.lit(False)))
 
-    The cut is the hash at that rank. Rows are counted in 65,536 ranges of the hash, and only the range that holds the
-    rank is sorted, so neither a sort of all rows nor a count in one task is needed.
-    """
-    keyed = df.withColumn("__h", split_key(F.col(key), seed)).withColumn("__r", F.shiftright("__h", 15).cast("int"))
-    counts = {r["__r"]: r["count"] for r in keyed.groupBy("__r").count().collect()}
-    left = round(min(max(fraction, 0.0), 0.9) * sum(counts.values()))
+
+def exact_split(df: DataFrame, fraction: float, key: str, seed: int = 0, scatter: Callable[[Column, int], Column] = hashed) -> DataFrame:
+    """As ``split``, with exactly round(fraction * n) of the n rows whose key isn't null, when keys are unique (rows of one
+    key stay together). Rows with a null key are for training.
+
+    The cut is the key at that rank. Its number is found by counting rows in 65,536 ranges of numbers, and then in the
+    32,768 numbers of the one that holds the rank; only the rows of that number are put in order, by key."""
+    keyed = df.withColumn("__h", scatter(F.col(key), seed))
+    known = keyed.where("__h IS NOT NULL")
+
+    def held(rows: DataFrame, part: Column, left: int) -> tuple[int, int]:
+        """Which part of the numbers holds a rank, and the rank there; the parts are at most 65,536."""
+        for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+            if left <= r["count"]:
+                return r["part"], left
+            left -= r["count"]
+        raise AssertionError("a rank beyond the rows")
+
+    left = round(min(max(fraction, 0.0), 0.9) * known.count())
     if left == 0:
         return df.withColumn("is_val", F.lit(False))
-    for held in range(RANGES):
-        if left <= counts.get(held, 0):
-            break
-        left -= counts.get(held, 0)
-    place = F.struct("__h", key)
-    cut = keyed.where(F.col("__r") == held).orderBy("__h", key).select(place.alias("__cut")).offset(left - 1).limit(1)
-    return keyed.join(F.broadcast(cut)).withColumn("is_val", place <= F.col("__cut")).drop("__h", "__r", "__cut")
+    top, left = held(known, F.shiftright("__h", 15), left)
+    number, left = held(known.where(F.shiftright("__h", 15) == top), F.col("__h"), left)
+    cut = known.where(F.col("__h") == number).orderBy(key).select(F.col(key).alias("__cut")).offset(left - 1).limit(1)
+    before = (F.col("__h") < number) | ((F.col("__h") == number) & (F.col(key) <= F.col("__cut")))
+    return keyed.join(F.broadcast(cut)).withColumn("is_val", F.coalesce(before, F.lit(False))).drop("__h", "__cut")
 
 
 def gather(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:

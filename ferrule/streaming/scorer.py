@@ -16,9 +16,9 @@ def scored(stream: DataFrame, expr: Expr, features: list[str], out: str = "yhat"
 
 
 def windowed_loss(stream: DataFrame, expr: Expr, features: list[str], y: str, loss: Loss, time: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """start, rows and loss of each window; rows later than ``late`` behind the latest are left out, and a window's state
-    goes when it closes."""
+    """start, rows, loss and ok of each window; rows later than ``late`` behind the latest are left out, and a window's
+    state goes when it closes. As over batches, a window with a row that fails has no loss, and its ok is false."""
     df = evaluate(stream.withWatermark(time, late), expr, features)
     total, weight = loss.parts(F.col("yhat"), F.col(y))
-    sums = df.where("ok").groupBy(F.window(time, window)).agg(F.count("*").alias("rows"), total.alias("total"), weight.alias("weight"))
-    return sums.select(F.col("window.start").alias("start"), "rows", loss.finish(F.col("total"), F.col("weight")).alias("loss"))
+    sums = df.groupBy(F.window(time, window)).agg(F.count("*").alias("rows"), total.alias("total"), weight.alias("weight"), F.every("ok").alias("ok"))
+    return sums.select(F.col("window.start").alias("start"), "rows", F.when(F.col("ok"), loss.finish(F.col("total"), F.col("weight"))).alias("loss"), "ok")

@@ -4,9 +4,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ferrule.evolve import mutate as mu
-from ferrule.functions.scalar import BUILTIN, OperatorSet
+from ferrule.functions.scalar import BUILTIN, OperatorSet, register
 from ferrule.plans.compile import complete, differentiate, evaluate, gradient, numpy_eval, numpy_grad
-from ferrule.plans.expr import Const, Expr, InvalidExpression, Var, build, lit, show_constant, var
+from ferrule.plans.expr import Const, Expr, InvalidExpression, Var, bare, build, lit, show_constant, var
 from ferrule.plans.simplify import simplify
 
 X, Y = var(0), var(1)
@@ -114,3 +114,13 @@ def test_deep_plans_stay_small(spark):
         e = build("log", build("max", e, lit(2.0)) + 3.0)
     row = evaluate(spark.createDataFrame([(1.0,)], "a double"), e, ["a"]).first()
     assert row.ok and abs(row.yhat - numpy_eval(e, np.array([[1.0]]))[0][0]) < 1e-12
+
+
+def test_displays_and_parentheses():
+    """An infix operator shows its display when pretty, and its infix when not; all outer parentheses go."""
+    plus = register("plus", 2, lambda m, a, b: a + b, [lambda m, a, b: m.num(1.0)] * 2, infix="+", display="plus")
+    e = Expr.apply(plus, var(0), var(1))
+    assert e.text() == "x0 + x1" and e.text(pretty=True) == "x0 plus x1"
+    once = register("once", 1, lambda m, a: a, [lambda m, a: m.num(1.0)], display="1x")
+    assert Expr.apply(once, e).text() == "once(x0 + x1)" and Expr.apply(once, e).text(pretty=True) == "1x(x0 plus x1)"
+    assert bare("((a))") == "a" and bare("(a) + (b)") == "(a) + (b)"

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ferrule.functions.scalar import BUILTIN, NUMPY, SPARK, LookupError_, Op, OperatorSet, register
+from ferrule.functions.scalar import BUILTIN, NUMPY, SPARK, AmbiguousOperator, LookupError_, Op, OperatorSet, UnknownOperator, register
 
 HARD = [0.0, -0.0, 1.0, -1.0, 2.0, -3.0, 0.5, -0.25, 1e-10, 1e8, -1e8, math.inf, -math.inf, math.nan]
 
@@ -100,3 +100,14 @@ def test_custom_operator(spark):
         register("broken", 2, lambda m, x, y: x, [lambda m, x, y: x])
     with pytest.raises(IndexError):
         square.partial(NUMPY, 1, 3.0)
+
+
+def test_unknown_and_ambiguous_operators():
+    every = OperatorSet(tuple(BUILTIN.values()))
+    with pytest.raises(UnknownOperator):
+        every.lookup("nothing")
+    with pytest.raises(AmbiguousOperator) as e:
+        every.lookup("-")
+    assert sorted(e.value.candidates) == ["neg", "sub"] and every.lookup("-", 1).name == "neg"
+    assert every.describe("add")["infix"] == "+" and every.describe("nothing") == every.describe("add", 3)
+    assert (every.describe("nothing")["name"], every.describe("nothing")["complexity"]) == ("unknown_op", 0)

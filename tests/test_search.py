@@ -14,8 +14,11 @@ from ferrule.operators import front
 from ferrule.operators.constraints import complexity, satisfies, size_limit
 from ferrule.operators.metrics import column_summary, metrics
 from ferrule.operators.options import MutationWeights, Options
-from ferrule.operators.scoring import baseline_loss, constant_gradient, loss_of, score_many
+from ferrule.operators.scoring import baseline_loss, constant_gradient, loss_of, optimised_constants, score_many
 from ferrule.operators.search import SearchEngine, Speed, show_front
+from ferrule.operators.session import SearchSession, selected
+from ferrule.plans import store
+from ferrule.plans.compile import evaluate, gradient
 from ferrule.plans.expr import Expr, build, lit, var
 from ferrule.sources import dataset as ds
 from ferrule.streaming.scorer import scored, windowed_loss
@@ -244,3 +247,138 @@ def test_curve_keeps_repeated_pairs_in_order(spark):
     plan = ds.curve_places(df, "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert ds.curve_places(df.where("a > 99"), "a", "b").count() == 0
+
+
+def test_each_island_is_a_task_of_its_own(spark):
+    """In later iterations too: each partition of islands writes a file of its own."""
+    rows = spark.range(40).select(F.randn(1).alias("a"), F.randn(2).alias("t"))
+    o = Options(operators=OperatorSet.from_names(["+", "*"]), populations=6, population_size=5, niterations=3, ncycles_per_iteration=5, maxsize=7)
+    engine = SearchEngine(ds.Dataset(spark.createDataFrame(rows.toPandas()), ("a",), "t"), o)
+    for _ in range(3):
+        engine.step()
+        files = engine.members.groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("pop").alias("pops")).collect()
+        assert len(files) == 6 and all(r.pops == 1 for r in files)
+        assert engine.members.groupBy("pop").count().where("count = 5").count() == 6
+
+
+@pytest.mark.parametrize("some, fraction", [(5, 0.2), (15, 0.5), (20, 0.5), (0, 0.5)])
+def test_exact_split_with_null_keys(spark, some, fraction):
+    df = spark.createDataFrame([(k, None if k < some else k) for k in range(20)], "row long, key long")
+    for scatter in (ds.hashed, ds.arithmetic):
+        out = ds.exact_split(df, fraction, "key", 3, scatter)
+        assert out.columns == ["row", "key", "is_val"] and out.count() == 20
+        assert out.where("is_val").count() == round(fraction * (20 - some)) and out.where("key IS NULL AND is_val").count() == 0
+        assert ds.split(df, fraction, "key", 3, scatter).where("is_val IS NULL OR (key IS NULL AND is_val)").count() == 0
+
+
+def test_splits_by_string_keys_and_seeds(spark):
+    df = spark.range(2000).select(F.format_string("k%s", F.col("id")).alias("key"))
+    one, two = (ds.exact_split(df, 0.25, "key", seed).where("is_val").select("key") for seed in (1, 2))
+    assert one.count() == two.count() == 500 and 80 < one.join(two, "key").count() < 170  # a quarter of them, by chance
+    assert ds.exact_split(df.limit(0), 0.5, "key").count() == 0
+
+
+def test_metrics_of_null_groups(spark):
+    rows = [("a", 1.0, 1.5, 1.0), ("a", 2.0, 2.0, 2.0), (None, 3.0, 1.0, 1.0), (None, 4.0, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, yhat double, y double, w double")
+    for w in (None, "w"):
+        got = {r.g: r for r in metrics(df, w=w, by=["g"]).collect()}
+        for g in ("a", None):
+            alone = metrics(df.where(F.col("g").eqNullSafe(g)), w=w).first()
+            assert got[g].n == 2 and all(got[g][c] == pytest.approx(alone[c]) for c in ("mse", "mae", "rmse", "r2", "corr"))
+
+
+def test_a_null_in_a_dataset_is_an_error(spark):
+    data = ds.with_roles(spark.createDataFrame([(1.0, 2.0), (2.0, None)], "a double, t double"))
+    for act in (lambda: loss_of(data, [X], ls.mse()).collect(), lambda: score_many(data, [X], ls.mse()).collect()):
+        with pytest.raises(Exception, match="t is null"):
+            act()
+
+
+def test_a_window_with_a_failing_row_has_no_loss(spark):
+    df = spark.createDataFrame([(0, 4.0, 2.0), (10, -1.0, 0.0), (7200, 9.0, 3.0)], "s long, x double, y double").withColumn("t", F.timestamp_seconds("s"))
+    got = {r.rows: r for r in windowed_loss(df, build("sqrt", X), ["x"], "y", ls.mse(), "t").collect()}
+    assert got[2].loss is None and not got[2].ok and got[1].loss == 0.0 and got[1].ok
+
+
+def test_depth_counts_where_complexities_are_custom():
+    """Also where the weights add up to the number of nodes by chance."""
+    e = build("cos", build("cos", build("cos", X)))
+    o = Options(maxdepth=3, maxsize=3, variable_complexities={0: 0}, operator_complexity_overrides={"cos": 1})
+    assert complexity(e, o) == 3 and not satisfies(e, o) and satisfies(build("cos", X), o)
+
+
+def test_constants_over_all_rows(spark):
+    df = spark.range(500).select((F.col("id") / 100.0).alias("a")).withColumn("t", 2.5 * F.cos("a") - 0.75)
+    found, loss = optimised_constants(ds.with_roles(df), build("cos", X) * 1.0 + 0.0, ls.mse(), 20)
+    assert np.allclose(found.consts, (2.5, -0.75), atol=1e-5) and loss < 1e-10
+    failing = build("log", X) * 1.0
+    assert optimised_constants(ds.with_roles(df), failing, ls.mse())[0] is failing
+
+
+def test_an_optimisation_without_gain_is_a_new_member():
+    x = np.linspace(-1, 1, 50)[None]
+    island = Island(Options(operators=OperatorSet.from_names(["+"]), weights=MutationWeights(optimize=1e9), population_size=5), Sample(x, x[0], None, 1.0), 0, 0, [], np.ones(30) / 30)
+    m = island.member(X, None)
+    child, _ = island.next_generation(m, 1.0)
+    assert child.id != m.id and child.parent == m.id
+
+
+def test_csv_columns(spark, tmp_path):
+    for name, text, header, want in (("a", "x, y\n\n1,2\n", True, ["x", "y"]), ("b", "x\n1,2\n3,4\n", True, ["col_0", "col_1"]), ("c", "1,2,3\n", False, ["col_0", "col_1", "col_2"])):
+        (tmp_path / name).write_text(text)
+        assert ds.csv_columns(spark, str(tmp_path / name), header) == want
+    assert [tuple(r) for r in ds.read_csv(spark, str(tmp_path / "a"), on_bad_rows="drop").collect()] == [(1.0, 2.0)]
+    with pytest.raises(ds.DatasetError):
+        ds.csv_columns(spark, str(tmp_path / "c"), True)
+
+
+def test_where_tables_are_stored(spark, tmp_path):
+    """In the folder that the session names; one of this machine's only where driver and executors are one process."""
+
+    class Session:
+        def __init__(self, master, named=None):
+            self.sparkContext, self.values = type("Context", (), {"master": master}), {"spark.checkpoint.dir": named}
+            self.conf = type("Conf", (), {"get": lambda _, k, d: self.values[k] or d, "set": lambda _, k, v: self.values.update({k: v})})()
+
+    assert store.folder(Session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    local = Session("local[4]")
+    assert store.folder(local) == local.values["spark.checkpoint.dir"]
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match=r"checkpoint\.dir"):
+            store.folder(Session(master))
+
+
+def test_a_session_answers_requests(spark):
+    rows = [(float(a), float(a * a)) for a in np.random.default_rng(0).normal(size=40)]
+    df = spark.createDataFrame(rows, "a double, t double")
+
+    def make(**more):
+        return SearchEngine(ds.with_roles(df), Options(operators=OperatorSet.from_names(["+", "*"]), populations=2, population_size=8, niterations=3, ncycles_per_iteration=10, maxsize=7, **more))
+
+    ticks = iter(range(100))
+    s = SearchSession(make, clock=lambda: next(ticks))
+    ask = lambda **r: list(s.answer(r))
+    assert ask(type="start")[0]["type"] == "error" and ask(type="nothing")[0]["type"] == "error"
+    assert ask(type="init", options={"seed": 2}) == [{"type": "ready", "split": {"train": 40, "val": 0}}]
+    snapshot, front_rows = ask(type="step", iterations=1)
+    assert snapshot["snapshot"]["cycles"] == 2 and front_rows["front"]
+    first = front_rows["front"][0]
+    result = ask(type="evaluate", member=first["id"], request="r1")[0]
+    assert result["type"] == "eval_result" and result["request"] == "r1" and result["result"]["mse"] == pytest.approx(first["loss"])
+    run = s.answer({"type": "start"})
+    assert next(run)["type"] == "snapshot" and ask(type="pause") == [{"type": "paused"}]
+    assert [e["type"] for e in run] == ["front_update", "paused"] and not s.engine.is_finished
+    assert [e["type"] for e in ask(type="start")][-3:] == ["snapshot", "front_update", "done"] and s.engine.is_finished
+    assert json.loads(s.engine.snapshot_json())["finished"] is True
+    refined = {r.complexity: r.loss for r in s.engine.refined_front(3).collect()}
+    assert all(any(loss <= r.loss + 1e-9 for k, loss in refined.items() if k <= r.complexity) for r in s.engine.pareto_front().collect())
+    assert ask(type="reset") == [{"type": "reset_done"}] and ask(type="step")[0]["type"] == "error"
+    assert selected([first], None, first["id"]) == first and selected([], first, None) == first and selected([], first, first["id"]) == first and selected([], first, -5) is None
+
+
+def test_rows_that_fail_are_filled(spark):
+    df = spark.createDataFrame([(4.0,), (-1.0,)], "a double")
+    rows = gradient(df, build("sqrt", X), ["a"], fill=True).orderBy(F.desc("a")).collect()
+    assert rows[0].grad == [0.25] and math.isnan(rows[1].grad[0]) and math.isnan(rows[1].yhat) and not rows[1].ok
+    assert evaluate(df, build("sqrt", X), ["a"], check=False).where("ok").count() == 2
