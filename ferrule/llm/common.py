@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.plans.store import stored
+
 #: Separators of words: the ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -23,22 +24,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda bound: body(bound))[0]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors share. A session that names none is an
-    error, as no other folder is sure to be seen by all of them."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage ends there, so that a lost
-    executor costs a reread and not the work before it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: its lineage ends there, so that a lost executor
+    costs a reread and not the work before it."""
+    return stored(df, name)
 
 
 #: A key is hot that has more than one in so many rows, so there are fewer hot keys than this.

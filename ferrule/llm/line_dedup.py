@@ -3,14 +3,18 @@
 A run is a series of neighbouring lines of one document with ``min_words`` words or more, whose first and last lines have
 words. A line is deleted when it lies in a run that also occurs earlier in the corpus, in the order of (document, line).
 
-1. Winnowing: in each shortest run from a line on, the line with the least hash is the run's fingerprint. Equal runs
-   choose equal fingerprints, so a repeated run is sure to share one with its earlier copy.
-2. Positions: fingerprints are shuffled by hash, pre-aggregated to a count; those that occur once are done with.
-3. Extension: each matched fingerprint is extended both ways to all shortest runs that hold it, forwards from their
-   first line and backwards from their last. The runs of a hash are aggregated to the first place that has them.
-   A longer repeated run is the union of such runs, so this is exact for runs of any length, and no pair of copies is
-   ever formed: the work is linear in the lines, however often one of them occurs.
-4. Later places of a run are deleted; the rest of a document is joined again.
+1. Winnowing: the windows of a document are its shortest runs, forwards and backwards from each line. In each of them the
+   line with the least hash, of equal ones the first, is selected. What is stored is a fingerprint for each selected line:
+   its hash and place. Equal runs select the same line, so a repeated run is sure to share one with its earlier copy.
+2. Positions: fingerprints with equal hashes are joined, by way of their pre-aggregated count; those that occur once are
+   done with.
+3. Extension: each matched fingerprint is extended on line hashes both ways, to all windows that selected it. The windows
+   of a hash are aggregated to the first place that has them. A longer repeated run is the union of such windows, so a
+   match is extended to its maximum, and no pair of copies is ever formed: the work is linear in the lines, however often
+   one of them occurs. Where no fingerprint is matched nothing is extended or compared.
+4. Later places of a window are deleted; the rest of a document is joined again.
+
+A line or run that very many documents share is a hot key of two joins, which ``joined_by_count`` splits off.
 
 Defined results: a null text counts as an empty one and stays null; rows that agree in id and text are one place, and
 each of them gets that place's result; of rows that agree in the id alone, that with the lesser text hash comes first; a
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import SEPARATORS, let, written
+from ferrule.llm.common import SEPARATORS, joined_by_count, let, written
 
 #: Lines whose words are added up at a time; a document's sums cost its lines times this, at most.
 BLOCK = 64
@@ -48,9 +52,9 @@ def sums_before(words: Column) -> Column:
     return let(words, of)
 
 
-def shortest_runs(hashes: Column, words: Column, min_words: int) -> Column:
+def windows_of(hashes: Column, words: Column, min_words: int) -> Column:
     """The shortest runs forwards from each line and backwards from each line, as structs: a and z, the first and last
-    line from 0, the fingerprint (the least line hash in the run) and the run's own hash."""
+    line from 0, and p, the line that is selected in it."""
 
     def of(e: Column) -> Column:
         sums, w, h = e["sums"], e["words"], e["hashes"]
@@ -59,32 +63,58 @@ def shortest_runs(hashes: Column, words: Column, min_words: int) -> Column:
         back = F.transform(lines, lambda j: F.struct((below(sums, F.get(sums, j + 1) - min_words + 1) - 1).alias("a"), j.alias("z")))
         both = F.sort_array(F.filter(F.concat(forward, back), lambda r: (r["a"] >= 0) & (r["z"] < F.size(w))))
         runs = let(both, lambda b: F.filter(b, lambda r, i: (i == 0) | (F.get(b, i - 1) != r)))
-        return F.transform(runs, lambda r: let(F.slice(h, r["a"] + 1, r["z"] - r["a"] + 1), lambda x: F.struct(r["a"].alias("a"), r["z"].alias("z"), F.array_min(x).alias("mark"), F.xxhash64(x).alias("run"))))
+        selected = lambda r: let(F.slice(h, r["a"] + 1, r["z"] - r["a"] + 1), lambda x: r["a"] + F.array_position(x, F.array_min(x)).cast("int") - 1)
+        return F.transform(runs, lambda r: F.struct(r["a"].alias("a"), r["z"].alias("z"), selected(r).alias("p")))
 
     return F.when(F.aggregate(words, F.lit(0), lambda s, x: s + x) >= min_words, let(F.struct(sums_before(words).alias("sums"), words.alias("words"), hashes.alias("hashes")), of))
 
 
-def run_table(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
-    """A row for each shortest run: id, key (a hash of the text), a, z, mark and run."""
+def line_table(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+    """A row for each document: id, key (a hash of the text), the hashes of its lines, and its windows (null where it is
+    too short for one)."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     # a line's words: what its separators part, when those at the ends are taken off
     count = lambda x: let(F.regexp_replace(x, rf"^{SEPARATORS}|{SEPARATORS}$", ""), lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SEPARATORS))))
-    lined = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), let(lines, lambda x: F.struct(F.transform(x, lambda y: F.xxhash64(y)).alias("hashes"), F.transform(x, count).alias("words"))).alias("lines"))
-    return lined.select("id", "key", F.explode(let(F.col("lines"), lambda x: shortest_runs(x["hashes"], x["words"], min_words))).alias("r")).select("id", "key", "r.*")
+    both = let(lines, lambda x: F.struct(F.transform(x, lambda y: F.xxhash64(y)).alias("hashes"), F.transform(x, count).alias("words")))
+    found = let(both, lambda x: F.struct(x["hashes"].alias("hashes"), windows_of(x["hashes"], x["words"], min_words).alias("windows")))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), found.alias("l"))
+    return rows.select("id", "key", "l.*")
+
+
+def fingerprints(lined: DataFrame) -> DataFrame:
+    """A row for each selected line of each document: id, key, p and its hash, the mark."""
+    selected = F.array_distinct(F.transform("windows", lambda w: w["p"]))
+    return lined.select("id", "key", F.explode(F.transform(selected, lambda p: F.struct(p.alias("p"), F.get("hashes", p).alias("mark")))).alias("f")).select("id", "key", "f.*")
+
+
+def matched(marks: DataFrame) -> DataFrame:
+    """The fingerprints whose hash has another place too."""
+    place = F.struct("id", "key", "p")
+    often = marks.groupBy("mark").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    return joined_by_count(marks, often.where(~F.col("first").eqNullSafe(F.col("last"))).select("mark", "n"), "mark", "n").drop("n")
+
+
+def extended(lined: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows that the matched fingerprints extend to: id, key, a, z and the hash of all its lines, the run."""
+    places = found.groupBy("id", "key").agg(F.collect_set("p").alias("places")).select(F.col("id").alias("__id"), F.col("key").alias("__key"), "places")
+    rows = lined.join(places, (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id")))
+    own = F.filter("windows", lambda w: F.array_contains("places", w["p"]))
+    runs = F.transform(own, lambda w: F.struct(w["a"].alias("a"), w["z"].alias("z"), F.xxhash64(F.slice("hashes", w["a"] + 1, w["z"] - w["a"] + 1)).alias("run")))
+    return rows.select("id", "key", F.explode(runs).alias("r")).select("id", "key", "r.*")
 
 
 def repeated_runs(runs: DataFrame) -> DataFrame:
     """Of the runs, those that occur at an earlier place too."""
     place = F.struct("id", "key", "a")
-    marks = runs.groupBy("mark").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("mark")
-    matched = runs.join(marks, "mark", "left_semi")
-    firsts = matched.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("run", "first")
-    return matched.join(firsts, "run").where(~place.eqNullSafe(F.col("first"))).select("id", "key", "a", "z")
+    firsts = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    return joined_by_count(runs, firsts.select("run", "n", "first"), "run", "n").where(~place.eqNullSafe(F.col("first"))).select("id", "key", "a", "z")
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the later copies of repeated runs; n_lines and n_removed are added."""
-    gone = repeated_runs(written(run_table(docs, min_words, doc_id, text), "runs"))
+    lined = written(line_table(docs, min_words, doc_id, text), "lines")
+    marks = written(fingerprints(lined), "fingerprints")
+    gone = repeated_runs(written(extended(lined, matched(marks)), "runs"))
     gone = gone.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("gone"))
     gone = gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.struct(F.col("gone.a").alias("a"), F.col("gone.z").alias("z")).alias("__gone"))
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
