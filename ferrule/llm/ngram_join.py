@@ -4,18 +4,23 @@ Two documents are linked when the sets of their ``ngram``-word shingles have a J
 more. The result has a row for each document: its class (the least id that links lead to) and its number of links.
 
 1. Documents with equal texts are one; the rest of the work is on distinct texts, and membership is kept aside.
-2. Forest: each text gets ``trees`` labels of ``depth`` MinHash values. A tree is the sorted trie of its labels, and texts
-   meet that share a prefix of a label. Starting at whole labels, the matched prefix is shortened until pairs at the
-   threshold share it in some tree with the target recall.
-3. In each bucket, texts whose whole signatures make a link likely are joined by a spanning forest. Its edges are at
-   most the bucket's rows; pairs are compared within a task and never emitted. Connected components of all edges are
-   the groups within which links are sought.
-4. Verification: in each group, every pair's shingle sets are intersected exactly. A task reports a count of links for
-   each text and a spanning forest of the links, so no link between different texts is lost and none is emitted.
+2. Forest: each text gets ``trees`` labels of ``depth`` MinHash values, and each tree is the prefix trie of its labels in
+   sorted order. Texts that share the shortest prefix that is ever needed meet in one bucket, a subtrie. There the matched
+   prefix begins as the whole label and is shortened value by value: at each length, the texts below one node are
+   compared that no longer prefix has put together yet, and no others, until the prefix is so short that pairs at the
+   threshold meet with the target recall.
+3. Texts that meet are put together where the estimate from their whole signatures is ``likely`` or more; the recall
+   counts in what this misses. The edges are at most the bucket's rows; pairs are compared within a task and never
+   emitted. Connected components of all edges are the groups within which links are sought.
+4. Verification: a text's shingle set is kept as its difference from that of the group's first text, which is little for
+   near copies. In each group, all pairs' intersections are computed exactly from these differences. A task reports a
+   count of links for each text and a spanning forest of the links, so no link between different texts is lost and none
+   is emitted.
 5. Connected components of the verified links are the classes.
 
-Buckets and groups of any size are dealt out in blocks of ``block`` texts, a task for each pair of blocks, so the memory
-of a task is bounded and a large group is shared among tasks. Blocks go by the hash of the id.
+Buckets and groups of any size are dealt out in blocks, a task for each pair of blocks, so the memory of a task is bounded
+and a large group is shared among tasks. Blocks go by the hash of the id. A bucket's blocks have ``block`` texts; a
+group's have as many as have differences of ``BLOCK_BYTES``, and 1024 at most.
 
 Defined results: texts of fewer words than ``ngram`` have one shingle, all their words; null texts and those without
 words link to nothing and are each a class of their own, as are rows with a null id; rows that share an id are one
@@ -30,15 +35,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from ferrule.llm.common import written
+from ferrule.llm.common import by_bytes, joined_by_count, written
 from ferrule.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of shingles in a block of a group.
+BLOCK_BYTES = 8_000_000
 
 
 def shingles(text: str | None, ngram: int) -> np.ndarray:
@@ -72,10 +79,16 @@ class Forest:
             np.minimum(best, part.min(axis=0).astype(np.uint32), out=best)
         return best
 
-    def prefix(self, threshold: float, recall: float) -> int:
-        """How much of a label must match: the longest prefix at which pairs at the threshold meet often enough."""
+    def recall(self, threshold: float, length: int, likely: float) -> float:
+        """How surely a pair at the threshold shares a prefix in some tree and has a likely estimate, at the least."""
+        n = self.trees * self.depth
+        passes = sum(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(math.ceil(likely * n - 1e-9), n + 1))
+        return (1 - (1 - threshold**length) ** self.trees) * passes
+
+    def shortest(self, threshold: float, recall: float, likely: float) -> int:
+        """Where the shortening of prefixes ends: at the longest one that reaches the target recall."""
         length = self.depth
-        while length > 1 and 1 - (1 - threshold**length) ** self.trees < recall:
+        while length > 1 and self.recall(threshold, length, likely) < recall:
             length -= 1
         return length
 
@@ -127,17 +140,14 @@ class Links:
         return out
 
 
-def in_blocks(rows: DataFrame, group: str, node: str, block: int, spread: int = 1) -> DataFrame:
-    """``rows`` with ``first`` and ``second``: a copy for each pair of blocks of its group that its own block is in.
+def in_blocks(rows: DataFrame, group: str, node: str, blocks: Column, sizes: DataFrame, total: int | None = None) -> DataFrame:
+    """``rows`` with ``own``, ``first`` and ``second``: a copy for each pair of blocks of its group that its own is in.
 
-    A group has blocks of ``block`` rows, or where those are fewer than ``spread``, up to so many of a quarter of that.
-    Rows are counted with partial aggregation; groups of one row go.
-    """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("rows")).where("rows > 1")
-    sized = rows.join(sizes.select(group, F.greatest(F.ceil(F.col("rows") / block), F.least(F.ceil(F.col("rows") * 4 / block), F.lit(spread))).cast("int").alias("blocks")), group)
-    own = F.pmod(F.xxhash64(F.col(node), F.lit(7)), F.col("blocks")).cast("int")
-    sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return sized.select(*rows.columns, "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    ``sizes`` has the rows of each group, and what ``blocks`` needs to say into how many it goes."""
+    sized = joined_by_count(rows, sizes, group, "rows", total).withColumn("__blocks", blocks.cast("int"))
+    own = F.pmod(F.xxhash64(F.col(node), F.lit(7)), F.col("__blocks")).cast("int")
+    sized = sized.withColumn("own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return sized.select(*rows.columns, "own", F.least("own", "__other").alias("first"), F.greatest("own", "__other").alias("second"))
 
 
 def compared(rows: DataFrame, group: str, task: Callable, schema: str) -> DataFrame:
@@ -146,42 +156,67 @@ def compared(rows: DataFrame, group: str, task: Callable, schema: str) -> DataFr
     return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(lambda batches: (b for k, g in grouped(batches, keys) if g.num_rows > 1 for b in task(k, g)), schema)
 
 
-def spanning(key: tuple, rows: pa.Table, words: int, likely: float) -> Iterator[pa.RecordBatch]:
-    """Edges of a spanning forest over a bucket's likely pairs, between its two blocks or within its one."""
-    node = rows.column("node").to_numpy()
-    own = rows.column("own").to_numpy()
-    signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(node), words)
-    left = np.flatnonzero(own == key[1])
-    right = left if key[1] == key[2] else np.flatnonzero(own == key[2])
-    links, edges = Links(len(node)), []
-    for i in left.tolist():
-        others = right[right > i] if key[1] == key[2] else right
-        if len(others):
-            hits = others[(signs[others] == signs[i]).mean(axis=1) >= likely]
-            edges += links.join(np.stack([np.full(len(hits), i), hits], axis=1))
+def spanning(key: tuple, rows: pa.Table, trees: int, depth: int, shortest: int, likely: float) -> Iterator[pa.RecordBatch]:
+    """Edges of a spanning forest over a subtrie's likely pairs, between its two blocks or within its one."""
+    node, own = rows.column("node").to_numpy(), rows.column("own").to_numpy()
+    tree = rows.column("tree")[0].as_py()
+    signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(node), trees * depth)
+    labels = signs[:, tree * depth : (tree + 1) * depth]
+    order = np.lexsort(labels.T[::-1])
+    node, own, signs, labels = node[order], own[order], signs[order], labels[order]
+    # with one more row than there are, for each row how much of its label it shares with the row before it
+    shared = np.concatenate([[-1], np.cumprod(labels[1:] == labels[:-1], axis=1).sum(axis=1), [-1]])
+    root = np.arange(len(node))
+    edges = []
+    for length in range(depth, shortest - 1, -1):
+        cuts = np.flatnonzero(shared < length)
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for i in range(a, z - 1):
+                if (root[a:z] == root[a]).all():  # what has been put together is not compared again
+                    break
+                others = np.arange(i + 1, z)
+                others = others[root[others] != root[i]]
+                if key[1] != key[2]:
+                    others = others[own[others] != own[i]]
+                for j in others[(signs[others] == signs[i]).mean(axis=1) >= likely].tolist() if len(others) else ():
+                    if root[i] != root[j]:
+                        edges.append((i, j))
+                        root[root == root[j]] = root[i]
     if edges:
         e = node[np.array(edges)]
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
 
+def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a set and that of its group's first text don't share, and how much of the latter is missing in it."""
+    for batch in by_bytes(batches, 2):
+        sets, firsts = ([np.frombuffer(s, np.uint64) for s in batch.column(k).to_pylist()] for k in (2, 3))
+        other = [np.setxor1d(s, f, assume_unique=True) for s, f in zip(sets, firsts, strict=True)]
+        sizes, first = np.array([len(s) for s in sets]), np.array([len(f) for f in firsts])
+        # of the first text's shingles f, m are missing, and of the set's s, s - (f - m) are its own; in all, d
+        missing = [(len(d) + int(f) - int(s)) // 2 for d, s, f in zip(other, sizes, first, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d.tobytes() for d in other], pa.binary()), pa.array(sizes), pa.array(first), pa.array(missing, pa.int64())], ["group", "node", "other", "size", "first_size", "missing"])
+
+
 def verified(key: tuple, rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links of a group's texts between two blocks or within one: (a, null, links of a) and spanning edges (a, b, 0)."""
-    node, own = rows.column("node").to_numpy(), rows.column("own").to_numpy()
-    sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    shared = np.bincount(column) > 1  # shingles of one text alone count in the sizes only
+    """Links of a group's texts between two blocks or within one: (a, null, links of a) and spanning edges (a, b, 0).
+
+    Two sets share what the first text has and neither misses, and what they differ in from it alike."""
+    node, own, sizes, missing = (rows.column(c).to_numpy() for c in ("node", "own", "size", "missing"))
+    others = [np.frombuffer(s, np.uint64) for s in rows.column("other").to_pylist()]
+    values, column = np.unique(np.concatenate(others), return_inverse=True)
+    shared = np.bincount(column, minlength=len(values)) > 1  # what one text alone has can't be shared
     place = np.cumsum(shared) - 1
-    who = np.repeat(np.arange(len(node)), sizes)[shared[column]]
+    who = np.repeat(np.arange(len(node)), [len(s) for s in others])[shared[column]]
     column = place[column[shared[column]]]
     left = np.flatnonzero(own == key[1])
     right = left if key[1] == key[2] else np.flatnonzero(own == key[2])
-    if not len(column):
+    if not len(left) or not len(right):
         return
-    both = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(place[-1]) + 1, 8192):  # a part of the shingles at a time, so that the matrix stays small
-        inside = (column >= at) & (column < at + 8192)
-        matrix = np.zeros((len(node), 8192), np.float32)
+    both = rows.column("first_size")[0].as_py() - missing[left][:, None] - missing[right][None, :].astype(np.float64)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):  # a part of the shingles at a time, so that the matrix stays small
+        inside = (column >= at) & (column < at + 4096)
+        matrix = np.zeros((len(node), 4096), np.float32)
         matrix[who[inside], column[inside] - at] = 1
         both += matrix[left] @ matrix[right].T
     linked = both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-6
@@ -203,49 +238,55 @@ def ngram_join(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, trees: i
     """doc_id, class_id, copy_id (the least id with this text) and n_links (different texts that this one is linked to)."""
     likely = threshold - 0.15 if likely is None else likely
     forest = Forest(trees, depth)
-    length = forest.prefix(threshold, recall)
+    length = forest.shortest(threshold, recall, likely)
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                out: list[list] = [[], [], [], []]
-                for t in batch.column(1).to_pylist():
-                    s = shingles(t, ngram)
-                    out[0].append(xxh3_128_digest((t or "").encode("utf-8", "replace")))
-                    out[1].append(len(s))
-                    signature = forest.signature(s) if len(s) else None
-                    out[2].append(None if signature is None else signature.astype(np.uint16).tobytes())
-                    out[3].append(None if signature is None else forest.buckets(signature, length).tolist())
-                types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["node", "digest", "size", "signature", "buckets"])
+        for batch in by_bytes(batches, 1):
+            out: list[list] = [[], [], [], []]
+            for t in batch.column(1).to_pylist():
+                s = shingles(t, ngram)
+                out[0].append(xxh3_128_digest((t or "").encode("utf-8", "replace")))
+                out[1].append(len(s))
+                signature = forest.signature(s) if len(s) else None
+                out[2].append(None if signature is None else signature.astype(np.uint16).tobytes())
+                out[3].append(None if signature is None else forest.buckets(signature, length).tolist())
+            types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["node", "digest", "size", "signature", "buckets"])
 
     signed = written(rows.mapInArrow(sign, "node long, digest binary, size long, signature binary, buckets array<long>"), "signed")
     usable = signed.where("size > 0 AND node IS NOT NULL")
     texts = written(usable.groupBy("digest").agg(F.min("node").alias("node"), F.min_by(F.struct("signature", "buckets"), "node").alias("s")).select("digest", "node", "s.*"), "texts")
 
-    placed = in_blocks(texts.select("node", F.explode("buckets").alias("bucket")), "bucket", "node", block)
-    placed = placed.join(texts.select("node", "signature"), "node").select("bucket", "first", "second", "own", "node", "signature")
-    edges = compared(placed, "bucket", lambda k, g: spanning(k, g, trees * depth, likely), "a long, b long")
+    placed = texts.select("node", F.posexplode("buckets").alias("tree", "bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
+    placed = in_blocks(placed, "bucket", "node", F.ceil(F.col("rows") / block), sizes, trees * texts.count())
+    placed = placed.join(texts.select("node", "signature"), "node").select("bucket", "first", "second", "own", "tree", "node", "signature")
+    edges = compared(placed, "bucket", lambda k, g: spanning(k, g, trees, depth, length, likely), "a long, b long")
     groups = connected_components(edges)
 
     # rows with a text of some group; of copies, the one that stands for them
-    chosen = texts.select("node", "digest").join(groups, "node").select(F.col("node").alias("chosen"), "digest", F.col("root").alias("group"))
+    wanted = written(texts.select("node").distinct().join(groups, "node").select("node", F.col("root").alias("group")), "groups")
+    counted = wanted.groupBy("group").agg(F.count("*").alias("rows"))
+    parts = joined_by_count(wanted, counted, "group", "rows").withColumn("parts", F.ceil(F.col("rows") / block)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sets = [shingles(t, ngram).tobytes() for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["group", "node", "shingles"])
-
-    wanted = chosen.select(F.col("chosen").alias("node"), "group").distinct()
-    own = rows.join(wanted, "node").dropDuplicates(["node", "group", "text"]).select("group", "node", "text")
-    sets = written(own.mapInArrow(shingled, "group long, node long, shingles binary"), "shingles")
+        for batch in by_bytes(batches, 4):
+            sets = [shingles(t, ngram).tobytes() for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["group", "node", "parts", "part", "shingles"])
+
+    own = rows.join(parts, "node").dropDuplicates(["node", "text"]).select("group", "node", "parts", "part", "text")
+    sets = written(own.mapInArrow(shingled, "group long, node long, parts long, part long, shingles binary"), "shingles")
+    # the first text's set goes once to each part of its group, so that a large group is no single task's
+    firsts = sets.where("node = group").groupBy("group", "parts").agg(F.min("shingles").alias("first")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    apart = sets.join(firsts, ["group", "part"]).select("group", "node", "shingles", "first").mapInArrow(differences, "group long, node long, other binary, size long, first_size long, missing long")
+    apart = written(apart, "differences")
     # a large group makes a few pairs of blocks for each task, so that tasks are even
     spread = math.ceil(math.sqrt(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    checked = written(compared(in_blocks(sets, "group", "node", block, spread), "group", lambda k, g: verified(k, g, threshold), "a long, b long, links long"), "verified")
+    weights = apart.groupBy("group").agg(F.count("*").alias("rows"), F.sum(F.length("other")).alias("bytes")).where("rows > 1")
+    blocks = F.greatest(F.ceil(F.col("rows") / 1024), F.ceil(F.col("bytes") / BLOCK_BYTES), F.least(F.ceil(F.col("rows") / 32), F.lit(spread)), F.lit(1))
+    pairs = in_blocks(apart, "group", "node", blocks, weights)
+    checked = written(compared(pairs, "group", lambda k, g: verified(k, g, threshold), "a long, b long, links long"), "verified")
     classes = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
     counts = checked.where("b IS NULL").groupBy(F.col("a").alias("copy_id")).agg(F.sum("links").alias("n_links"))
 

@@ -139,6 +139,24 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = top
 FROM ranked
 """
 
+#: All pairs of different texts with a shingle in common are compared; a class is what links reach.
+NGRAM_JOIN = r"""
+WITH RECURSIVE texts AS (SELECT text, min(doc_id) AS id FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY text),
+listed AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+shingles AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM listed),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT a, b FROM common JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+classes AS (SELECT a AS id, least(a, min(b)) AS class_id FROM reached GROUP BY a),
+degrees AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, t.id, d.doc_id) AS class_id, coalesce(t.id, d.doc_id) AS copy_id, coalesce(g.n, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN texts t ON t.text = d.text LEFT JOIN classes c ON c.id = t.id LEFT JOIN degrees g ON g.id = t.id
+"""
+
 #: The parts of a rendered turn besides role and text: 6 + 2 quotes + 1 + 8, and 8 for the mark of an escaped one.
 CHAT = r"""
 WITH turns AS (
@@ -158,4 +176,4 @@ QUALITY = QUALITY.replace("COMMON_WORDS", ", ".join(f"('{lang}', '{word}')" for
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op2_warc_revisits": WARC, "op7_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY}
+    return {"op1_line_dedup": LINE_DEDUP, "op2_warc_revisits": WARC, "op3_ngram_join": NGRAM_JOIN, "op7_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY}
