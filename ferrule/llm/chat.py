@@ -1,16 +1,17 @@
 """Chat formatting with a grammar round trip.
 
 A turn is rendered as ``<turn ROLE>TEXT</turn>`` and a line feed; a role is written as a JSON string. The rendered turn is
-parsed again by the grammar below, and where role and text don't come back as they were, the turn is rendered once
-more with its conflicting content escaped and marked so: ``<turn ROLE escaped>``. There, a backslash precedes each
-backslash and each ``<`` of the text. An escaped text holds no bare ``<``, so this round trip always succeeds, which is
-checked all the same. A turn ends at its first bare ``</turn>``, so turns that parse alone parse in a row too.
+parsed again by the grammar below, by which a text holds no control string as it is: neither ``<turn`` nor ``</turn``.
+Where role and text don't come back as they were, the turn is rendered once more with its conflicting content escaped
+and marked so: ``<turn ROLE escaped>``. There, each backslash is doubled and one follows each ``<``, so that no control
+string is left in the text. This round trip always succeeds, which is checked all the same.
 
 Conversations are dealt out by id and sorted, and a task reads them as a stream: it holds one turn and the digests, so
 a conversation of any length takes no more memory.
 
-Defined results: a null text is an empty one; a null role is the JSON null; turns in a conversation are in the order of
-turn (null first), and of role and text where they tie; rows with a null conv_id are one conversation.
+Defined results: a null text is an empty one; a null role is the JSON null, and an empty string in turns_sha256; turns in a conversation are in the order of
+turn (null first), and of role and text where they tie; rows with a null conv_id are one conversation; repeated rows are turns of their own. Only the four columns named are
+read. The digests of one conversation are one task's work, as SHA-256 goes through a text in order.
 """
 
 from __future__ import annotations
@@ -27,15 +28,16 @@ from pyspark.sql import functions as F
 #: turn := open text close; open := "<turn " role [" escaped"] ">"; role := JSON string or null; close := "</turn>\n"
 OPEN = re.compile(r'<turn ("(?:[^"\\]|\\.)*"|null)( escaped)?>')
 CLOSE = "</turn>\n"
-BARE = re.compile(r"(?:[^\\<]|\\.)*", re.DOTALL)
+CONTROL = re.compile("</?turn")
+ESCAPED = re.compile(r"(?:[^\\<]|\\\\|<\\)*")
 
 
 def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("<", "\\<")
+    return text.replace("\\", "\\\\").replace("<", "<\\")
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+    return re.sub(r"\\\\|<\\", lambda m: m[0][0], text)
 
 
 def parse_turn(formatted: str, at: int = 0) -> tuple[str | None, str, int, int, int]:
@@ -44,7 +46,11 @@ def parse_turn(formatted: str, at: int = 0) -> tuple[str | None, str, int, int,
     if not opened:
         raise ValueError(f"no turn at {at}")
     body = opened.end()
-    end = BARE.match(formatted, body).end() if opened[2] else formatted.find("</turn>", body)
+    if opened[2]:
+        end = ESCAPED.match(formatted, body).end()
+    else:
+        control = CONTROL.search(formatted, body)
+        end = control.start() if control else -1
     if end < 0 or not formatted.startswith(CLOSE, end):
         raise ValueError(f"the turn at {at} does not end")
     text = formatted[body:end]

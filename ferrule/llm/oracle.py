@@ -164,7 +164,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 sized AS (
   SELECT *, 6 + 2 + length(role) + 1 + length(text) + 8
-    + CASE WHEN contains(text, '</turn>') THEN 8 + length(text) - length(replace(replace(text, '\', ''), '<', '')) ELSE 0 END AS n FROM turns)
+    + CASE WHEN contains(text, '</turn') OR contains(text, '<turn') THEN 8 + length(text) - length(replace(replace(text, '\', ''), '<', '')) ELSE 0 END AS n FROM turns)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
