@@ -4,34 +4,41 @@
 2. Resolution: headers are shuffled by digest, pre-aggregated to the largest page_id of each payload. That page's record
    is the response; the others are revisits that refer to it. Payloads under ``min_bytes`` are always responses.
 3. Writing: pages meet their resolved headers by page_id, which also deals them out into archives, and each becomes a
-   record with fresh headers; revisits have no payload. Spark's text writer commits the files, so a lost executor
-   leaves no half archive; the record separator is the writer's line separator.
+   record with fresh headers; revisits have no payload. An archive begins with a warcinfo record, and each record is a
+   gzip member of its own, so that a reader can begin at any of them. Spark's text writer commits the files, so a lost
+   executor leaves no half archive: a member's last byte, the highest of its length, is 0 and is the line separator.
 4. Reading: archives are parsed record by record, by Content-Length.
 
 An archive holds about ``archive_bytes`` of payload, and one very long page more; so what a task holds is bounded.
 
 Defined results: a null html is an empty payload; a null page_id or url has no header and reads as null; records that
 share page_id and payload are one capture, and each of them is a response where that page_id is the largest. Payloads
-with a null page_id alone are responses. Line breaks in a url are escaped.
+with a null page_id alone are responses. Line breaks in a url are escaped. Only the three columns named are read.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
+import zlib
 from base64 import b32encode
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import shared_folder, written
+from ferrule.llm.common import by_bytes, joined_by_count, written
+from ferrule.plans.store import place
 
 #: The digits of conv() to base 32, and RFC 4648's.
 CONV_DIGITS, BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of a record in one gzip member; a longer record goes on in further members. Below 2**24, so that the length that
+#: ends a member ends in a zero byte.
+MEMBER_BYTES = 8_000_000
 
 
 def payload_digest(payload: Column) -> Column:
@@ -45,29 +52,48 @@ def resolved(pages: DataFrame, min_bytes: int, page_id: str, html: str) -> DataF
     payload = F.coalesce(F.col(html), F.lit(""))
     headers = pages.select(F.col(page_id).alias("id"), payload_digest(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")).distinct()
     headers = written(headers, "headers")  # both sides of the join below read it, and not the payloads again
-    largest = headers.groupBy("digest").agg(F.max("id").alias("largest"))
-    joined = headers.join(largest, "digest")
+    largest = headers.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("largest"))
+    joined = joined_by_count(headers, largest, "digest", "n")
     return joined.select("id", "digest", "bytes", F.when((F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers"))
 
 
-def record() -> Column:
-    """The text of a WARC record, its last separator aside, from id, url, payload, digest, bytes and refers."""
+def record(date: str) -> Column:
+    """The text of a WARC record, from id, url, payload, digest, bytes and refers."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))).otherwise("")
-    kind = F.when(F.col("refers").isNull(), "response").otherwise("revisit")
+    name = lambda page: F.concat(F.lit("<urn:sha1:"), F.sha1(F.concat_ws("/", page.cast("string"), "digest")), F.lit(">"))
+    revisit = F.col("refers").isNotNull()
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
-    block = F.when(F.col("refers").isNull(), F.concat(http, F.col("payload"))).otherwise(http)
+    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     return F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", F.concat(F.lit("<urn:sha1:"), F.sha1(F.concat_ws("/", F.col("id").cast("string"), "digest")), F.lit(">"))),
-        line("WARC-Date", F.lit("1970-01-01T00:00:00Z")), line("WARC-Target-URI", uri), line("X-Page-ID", F.col("id")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("X-Payload-Length", F.col("bytes")), line("X-Refers-To-Page-ID", F.col("refers")),
-        line("WARC-Profile", F.when(F.col("refers").isNotNull(), F.lit(PROFILE))), line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.octet_length(block)), F.lit("\r\n"), block,
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", name(F.col("id"))),
+        line("WARC-Date", F.lit(date)), line("WARC-Target-URI", uri), line("X-Page-ID", F.col("id")),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("X-Payload-Length", F.col("bytes")),
+        line("WARC-Refers-To", F.when(revisit, name(F.col("refers")))), line("X-Refers-To-Page-ID", F.col("refers")),
+        line("WARC-Profile", F.when(revisit, F.lit(PROFILE))), line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", F.octet_length(block)), F.lit("\r\n"), block, F.lit("\r\n\r\n"),
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = 32_000_000, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Gzipped archives of all pages in the folder ``path``."""
+def warcinfo(date: str, part: str) -> bytes:
+    """The record that an archive begins with."""
+    body = b"software: ferrule\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, part)}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def members(whole: bytes) -> bytes:
+    """A record as gzip members, without the last byte."""
+    out = []
+    for at in range(0, len(whole), MEMBER_BYTES):
+        gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(gz.compress(whole[at : at + MEMBER_BYTES]) + gz.flush())
+    return b"".join(out)[:-1]
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = 32_000_000, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> None:
+    """Archives of all pages in the folder ``path``; ``date`` is their records', by default the time of writing."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     headers = resolved(pages, min_bytes, page_id, html)
     total = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
     files = max(1, -(-total // archive_bytes))
@@ -77,22 +103,49 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     key = F.concat_ws("/", F.col("id").cast("string"), "digest")
     left = rows.withColumn("key", key).repartition(files, "key")
     right = headers.select(key.alias("key"), "bytes", "refers").repartition(files, "key")
-    left.join(right.hint("merge"), "key").select(record().alias("value")).write.text(path, compression="gzip", lineSep="\r\n\r\n")
+
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in by_bytes(batches, 0):
+            out = [members(r.as_buffer().to_pybytes()) for r in batch.column(0)]
+            if first:
+                out.insert(0, members(warcinfo(date, f"{path}/{TaskContext.get().partitionId()}")))
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+    joined = left.join(right.hint("merge"), "key").select(record(date).alias("value"))
+    joined.mapInArrow(zipped, "value binary").select(F.col("value").cast("string")).write.text(path, lineSep="\0")
 
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive, gzipped or not."""
-    data = memoryview(gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive)
-    whole, at = data.obj, 0
-    while at < len(whole):
-        end = whole.index(b"\r\n\r\n", at)
-        first, *lines = whole[at:end].decode("utf-8").split("\r\n")
+    """(headers, block) of each record of an archive, gzipped or not; no more of it is unpacked than a record needs."""
+    packed = archive[:2] == b"\x1f\x8b"
+    have, at = bytearray(b"" if packed else archive), 0 if packed else len(archive)
+
+    def more(needed: int) -> None:
+        nonlocal at
+        while len(have) < needed and at < len(archive):
+            member = zlib.decompressobj(31)
+            while not member.eof and at < len(archive):
+                have.extend(member.decompress(archive[at : at + 16_384]))
+                at += min(16_384, len(archive) - at)
+            at -= len(member.unused_data)
+
+    more(1)
+    while have:
+        while (end := have.find(b"\r\n\r\n")) < 0:
+            if at == len(archive):
+                raise ValueError("an archive ends within a record's headers")
+            more(len(have) + 1)
+        first, *lines = have[:end].decode("utf-8").split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("no WARC record where one should begin")
         headers = dict(x.split(": ", 1) for x in lines)
-        size = int(headers["Content-Length"])
-        yield headers, bytes(data[end + 4 : end + 4 + size])
-        at = end + 4 + size + 4
+        stop = end + 4 + int(headers["Content-Length"])
+        more(stop + 4)
+        yield headers, bytes(have[end + 4 : stop])
+        del have[: stop + 4]
+        more(1)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -104,6 +157,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for archive in batch.column(0):
                 rows: list[tuple] = []
                 for headers, block in records(archive.as_py()):
+                    if headers["WARC-Type"] == "warcinfo":
+                        continue
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     response = headers["WARC-Type"] == "response"
@@ -128,6 +183,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def archived(pages: DataFrame, **options) -> DataFrame:
     """Pages written as archives in the shared folder and read back."""
     spark = pages.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = place(spark, "warc")
     write_archives(pages, path, **options)
     return read_archives(spark, path)
