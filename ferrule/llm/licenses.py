@@ -2,16 +2,20 @@
 
 Templates and texts become sequences of ``NGRAM``-word shingles (words as in decontamination: lower-case, without ASCII
 punctuation). A template of m shingles belongs to the class c, the least power of 2 that is m or more; longer ones than
-``LONGEST`` are sought in parts. For each class, windows of 2c shingles begin every c shingles, so an occurrence lies in
-a window whole, and they are at least 1/5 alike. With ``BANDS`` bands of one MinHash each, such a window and template
-share a band with a probability of 1 - (4/5)^40 = 0.9998; those that do are compared: the template is found when
-``containment`` of its distinct shingles are among the window's.
+``LONGEST`` are retrieved by their parts, each with a class of its own. For each class, windows of 2c shingles begin every
+c shingles, so an occurrence lies in a window whole, and they are at least 1/5 alike. With ``BANDS`` bands of one MinHash
+each, such a window and template (or part) share a band with a probability of 1 - (4/5)^40 = 0.9998.
+
+Verification is always of the whole template: around the window, as far as the template reaches before and after the
+part and half its length more, the template is found when ``containment`` of all its distinct shingles are there. A long
+template that has the containment has a part with it too, so one is retrieved.
 
 Windows begin at a document's start and don't depend on what it is read with. Whole texts are scanned, in one pass and
 without a shuffle; the templates' table is as large as the list that is given.
 
-Defined results: null and empty texts hold nothing; repeated rows each give their rows; a document gives one row for a
-license, its best window (of equal ones the first), unless a license that fits better there overlaps it.
+Defined results: null and empty texts hold nothing; repeated rows each give their rows; a document gives a row for each
+place of a license. Of places of one license that overlap the best counts, of equal ones the longest; a place is not
+reported that a license with a larger share overlaps.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
+from ferrule.llm.common import by_bytes
 from ferrule.llm.decontam import words_of
 
 NGRAM = 5
 BANDS = 40
 LONGEST = 64
-TOGETHER = 256
 NOTHING = np.iinfo(np.uint32).max
 
 #: License notices, by SPDX identifier.
@@ -56,6 +60,12 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 
@@ -73,7 +83,7 @@ def shingle_sequence(words: list[bytes]) -> np.ndarray:
 
 
 class Templates:
-    """The bands of some templates and their shingles."""
+    """Some templates' shingles, and the bands of their parts."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], containment: float):
         rng = np.random.default_rng(5)
@@ -81,15 +91,23 @@ class Templates:
         self.b = rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
         self.containment = containment
         self.names: list[str] = []
-        self.shingles: list[np.ndarray] = []
+        self.whole: list[np.ndarray] = []
+        parts: list[tuple[int, int, int]] = []  # template, and how far it reaches before and after the part
+        shingles: list[np.ndarray] = []
         for name, text in templates:
             sequence = shingle_sequence(words_of(text))
+            at = 0
             for part in np.array_split(sequence, -(-len(sequence) // LONGEST)) if len(sequence) else []:
+                parts.append((len(self.names), at, len(sequence) - at - len(part)))
+                shingles.append(np.unique(part))
+                at += len(part)
+            if len(sequence):
                 self.names.append(name)
-                self.shingles.append(np.unique(part))
-        sizes = [1 << (len(s) - 1).bit_length() for s in self.shingles]
+                self.whole.append(np.unique(sequence))
+        self.parts = parts
+        sizes = [1 << (len(s) - 1).bit_length() for s in shingles]
         self.classes = {c: [t for t, size in enumerate(sizes) if size == c] for c in sorted(set(sizes))}
-        least = [[int(self.minima(s, j).min()) for s in self.shingles] for j in range(BANDS)]
+        least = [[int(self.minima(s, j).min()) for s in shingles] for j in range(BANDS)]
         self.bands, self.flags = {}, {}
         for c, members in self.classes.items():
             for j in range(BANDS):
@@ -104,7 +122,7 @@ class Templates:
         return ((hashes * self.a[band] + self.b[band]) >> np.uint64(32)).astype(np.uint32)
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, str, float, int, int]]:
-        """(text, license, containment, first word, word after the last) of the best window."""
+        """(text, license, containment, first word, word after the last) of each place of a license."""
         sequences = [shingle_sequence(words_of(t)) if t else np.zeros(0, np.uint64) for t in texts]
         # each text begins at a multiple of the largest class and has one such stretch of nothing after it
         room = [(-(-len(s) // LONGEST) + 1) * LONGEST for s in sequences]
@@ -125,36 +143,44 @@ class Templates:
                 for k in np.flatnonzero(self.flags[c, j][window >> 16]).tolist():
                     for t in self.bands[c, j].get(int(window[k]), ()):
                         candidates.add((c, k, t))
-        best: dict[tuple[int, str], tuple] = {}
-        for c, k, t in candidates:
+        places: dict[int, set[tuple]] = {}
+        tried: set[tuple[int, int, int]] = set()
+        for c, k, part in candidates:
             text = int(np.searchsorted(begin, k * c, "right")) - 1
-            a, z = k * c, min(k * c + 2 * c, int(begin[text]) + len(sequences[text]))
-            inside = np.isin(stream[a:z], self.shingles[t])
-            share = len(np.unique(stream[a:z][inside])) / len(self.shingles[t])
+            t, before, after = self.parts[part]
+            whole = self.whole[t]
+            more = len(whole) // 2 if before or after else 0
+            a = max(int(begin[text]), k * c - before - more)
+            z = min(k * c + 2 * c + after + more, int(begin[text]) + len(sequences[text]))
+            if (a, z, t) in tried:
+                continue
+            tried.add((a, z, t))
+            inside = np.flatnonzero(np.isin(stream[a:z], whole)) + a - int(begin[text])
+            share = len(np.unique(stream[begin[text] + inside])) / len(whole)
             if share >= self.containment:
-                at = np.flatnonzero(inside) + a - int(begin[text])
-                got = (share, -int(at[0]), int(at[-1]) + NGRAM)
-                key = (text, self.names[t])
-                best[key] = max(best.get(key, got), got)
-        found: dict[int, list[tuple]] = {}
-        for (text, name), (share, first, last) in sorted(best.items(), key=lambda x: (-x[1][0], x[0])):
-            # a notice like another one's is that other one where the other fits better
-            if not any(share < s and -first < z and a < last for _, s, a, z in found.get(text, ())):
-                found.setdefault(text, []).append((name, share, -first, last))
-        return sorted((text, name, round(share, 6), a, z) for text, rows in found.items() for name, share, a, z in rows)
+                places.setdefault(text, set()).add((-share, int(inside[0]), int(inside[-1]) + NGRAM, self.names[t]))
+        out = []
+        for text, own in places.items():
+            kept: list[tuple] = []
+            for share, first, last, name in sorted(own, key=lambda p: (p[0], p[1] - p[2], p[1], p[3])):
+                meet = [p for p in kept if first < p[2] and p[1] < last]
+                # a notice like another one's is that other one where the other fits better
+                if not any(p[0] < share or p[3] == name for p in meet):
+                    kept.append((share, first, last, name))
+            out += [(text, name, round(-share, 6), first, last) for share, first, last, name in kept]
+        return sorted(out)
 
 
 def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document and license found in it: doc_id, license_id, containment, start_word and end_word."""
+    """A row for each place of a license in a document: doc_id, license_id, containment, start_word and end_word. The
+    templates are (license, text) pairs, whole licenses or notices, each of which counts by itself."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("license_id", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())])
     shared = docs.sparkSession.sparkContext.broadcast(Templates(templates, containment))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(at, TOGETHER)
-                if found := shared.value.scan(batch.column(1).to_pylist()):
-                    cols = list(zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), *(pa.array(x) for x in cols[1:])], schema.names)
+        for batch in by_bytes(batches, 1):
+            if found := shared.value.scan(batch.column(1).to_pylist()):
+                cols = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), *(pa.array(x) for x in cols[1:])], schema.names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(search, schema)
