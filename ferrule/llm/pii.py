@@ -13,9 +13,15 @@ key, in every document, and different ones different pseudonyms, since each form
 * IPv4 addresses are pairs of 16-bit halves, dates pairs (day number mod 17, day number div 17) of their 73,049 days;
   their rounds add modulo the half's own range. A date that isn't written like its day (1.2.2024 as 12.10.1950) goes on
   through the network until it is, which keeps each way of writing a permutation of its own.
+* What the network makes of a social security or phone number may not be one. It goes on through the network until it is,
+  as dates do, so pseudonyms are valid and different. Phone numbers keep their country code, and begin with 2 to 9 after
+  it if they did before.
 * First with / or - is the month, or the day where it is above 12; such a date's pseudonym has a day above 12 too.
 
-The hash is SHA-256 over key, round, format and half, so pseudonyms don't depend on the engine's own hash.
+The hash is SHA-256 over key, round, format and half, so pseudonyms don't depend on the engine's own hash. The key is the
+one cell of a table that goes to all tasks, so that plans, and logs of them, don't show it.
+
+A value that the permutation leaves as it is counts as replaced, since nobody can tell that it was left.
 
 Defined results: a null text stays null; what doesn't validate stays as it is; repeated rows get equal results. Texts
 without a digit or @ aren't searched further.
@@ -30,8 +36,10 @@ from ferrule.llm.common import let
 
 ROUNDS = 8
 YEAR, PART, BACKSLASH = "(?:19|20)[0-9]{2}", "[0-9]{1,2}", "\\"
-#: Fixed value: how often a date goes through the network at most; one in five is written as it should at the least.
+#: Fixed value: how often a value goes through the network at most; one in five is as it should be at the least.
 WALK = 200
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: The countries' lengths of an IBAN, by the registry of ISO 13616.
 IBAN_LENGTHS = {
     c: n
@@ -57,9 +65,9 @@ IBAN_RUN = rf"(?<!\w)(?=({PATTERNS['iban'].removeprefix('(?<!' + BACKSLASH + 'w)
 OTHERS = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k not in ("email", "iban"))
 
 
-def keyed(key: str, what: Column, digits: int = 8) -> Column:
+def keyed(key: Column, what: Column, digits: int = 8) -> Column:
     """A number from the first hexadecimal digits of SHA-256 over key and ``what``."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(key), F.lit("/"), what), 256), 1, digits), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat(key, F.lit("/"), what), 256), 1, digits), 16, 10).cast("long")
 
 
 def digits_of(value: Column) -> Column:
@@ -77,7 +85,7 @@ def shifted(c: Column, by: Column) -> Column:
     return F.when(c.between("0", "9"), move(48, 10)).when(c.between("a", "z"), move(97, 26)).when(c.between("A", "Z"), move(65, 26)).otherwise(c)
 
 
-def string_feistel(key: str, kind: str, value: Column) -> Column:
+def string_feistel(key: Column, kind: str, value: Column) -> Column:
     """The permutation of a string's letters and digits; equal lengths and classes, so a permutation of its format."""
 
     def rounds(state: Column) -> Column:
@@ -95,7 +103,13 @@ def string_feistel(key: str, kind: str, value: Column) -> Column:
     return rounds(F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b")))
 
 
-def number_feistel(key: str, kind: str, a: Column, b: Column, size_a: int, size_b: int) -> Column:
+def walked(start: Column, step, good) -> Column:
+    """The first of ``step(start)``, ``step(step(start))``, ... that is good: a permutation of the good values if ``step`` is
+    one of all. A good start has such a value, itself at the latest."""
+    return let(step(start), lambda first: F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), first, lambda s, _: F.when(good(s), s).otherwise(step(s))))
+
+
+def number_feistel(key: Column, kind: str, a: Column, b: Column, size_a: int, size_b: int) -> Column:
     """The permutation of pairs of numbers below two sizes, as a struct of a and b."""
 
     def step(s: Column, r: Column) -> Column:
@@ -135,7 +149,7 @@ def mod97(text: Column) -> Column:
     return F.aggregate(characters(text), F.lit(0), lambda s, c: let(value(c), lambda v: F.when(v > 9, (s * 100 + v) % 97).otherwise((s * 10 + v) % 97)))
 
 
-def card(key: str, value: Column) -> Column:
+def card(key: Column, value: Column) -> Column:
     def of(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), string_feistel(key, "card", F.substring(d, F.lit(2), F.length(d) - 2)))
         checked = let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
@@ -175,7 +189,7 @@ def any_of(t: Column) -> Column:
     return let(ibans(t), lambda v: F.when(F.size(v) > 0, F.concat(F.lit(f"{email}(?:(?<!\\w)(?:"), F.array_join(v, "|"), F.lit(f")(?!\\w))|{OTHERS}"))).otherwise(F.lit(f"{email}{OTHERS}")))
 
 
-def iban(key: str, value: Column) -> Column:
+def iban(key: Column, value: Column) -> Column:
     def of(v: Column) -> Column:
         body = string_feistel(key, "iban", F.substring(v, F.lit(5), F.length(v)))
         checked = let(body, lambda b: F.concat(F.substring(v, 1, 2), F.lpad((98 - mod97(F.concat(b, F.substring(v, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
@@ -184,7 +198,7 @@ def iban(key: str, value: Column) -> Column:
     return let(F.replace(value, F.lit(" "), F.lit("")), of)
 
 
-def ipv4(key: str, value: Column) -> Column:
+def ipv4(key: Column, value: Column) -> Column:
     def of(o: Column) -> Column:
         new = number_feistel(key, "ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
         text = let(new, lambda n: F.concat_ws(".", *(x.cast("string") for h in ("a", "b") for x in (F.floor(n[h] / 256), n[h] % 256))))
@@ -193,7 +207,7 @@ def ipv4(key: str, value: Column) -> Column:
     return let(F.transform(F.split(value, r"\."), lambda x: x.cast("int")), of)
 
 
-def date(key: str, value: Column) -> Column:
+def date(key: Column, value: Column) -> Column:
     parts, sep = F.split(value, "[./-]"), F.regexp_extract(value, "[./-]", 0)
     year_first = F.length(parts[0]) == 4
     dotted = ~year_first & (sep == ".")
@@ -223,39 +237,54 @@ def date(key: str, value: Column) -> Column:
     return let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), first), of)
 
 
-def digits(key: str, kind: str, value: Column) -> Column:
-    return let(string_feistel(key, kind, digits_of(value)), lambda n: put_back(value, "[0-9]", n))
-
-
-def email(key: str, value: Column) -> Column:
+def email(key: Column, value: Column) -> Column:
     plain = F.regexp_replace(value, r"[^A-Za-z0-9]", "")
     return let(string_feistel(key, "email", plain), lambda n: put_back(value, "[A-Za-z0-9]", n))
 
 
-def ssn(key: str, value: Column) -> Column:
-    valid = ~value.rlike(r"^(000|666|9)|-00-|-0000$")
-    return F.when(valid, digits(key, "ssn", value))
+def ssn(key: Column, value: Column) -> Column:
+    invalid = r"^(000|666|9)|^...00|0000$"
+
+    def of(d: Column) -> Column:
+        return let(walked(d, lambda v: string_feistel(key, "ssn", v), lambda v: ~v.rlike(invalid)), lambda n: put_back(value, "[0-9]", n))
+
+    return let(digits_of(value), lambda d: F.when(~d.rlike(invalid), of(d)))
+
+
+def phone(key: Column, value: Column) -> Column:
+    """The digits after the country code are permuted, among those that begin with 2 to 9 or among the others."""
+    code = F.when(value.startswith("+"), F.regexp_extract(digits_of(value), rf"^(?:{COUNTRY_CODES}|[0-9]{{3}})", 0)).otherwise("")
+
+    def of(p: Column) -> Column:
+        step = lambda v: string_feistel(key, "phone", v)
+        alike = lambda v: v.rlike("^[2-9]") == p["rest"].rlike("^[2-9]")
+        return let(walked(p["rest"], step, alike), lambda n: put_back(value, "[0-9]", F.concat(p["code"], n)))
+
+    parts = let(code, lambda c: F.struct(c.alias("code"), F.substring(digits_of(value), F.length(c) + 1, F.length(value)).alias("rest")))
+    return F.when(F.length(digits_of(value)).between(7, 15), let(parts, of))
 
 
-def pseudonym(key: str, value: Column) -> Column:
-    """The pseudonym of a value, in the first format that it has and validates for; else the value itself."""
+def pseudonym(key: Column, value: Column) -> Column:
+    """The pseudonym of a value, in the first format that it has and validates for; null where it has none."""
     whole = {k: value.rlike(rf"\A(?:{p})\z") for k, p in PATTERNS.items()}
-    makers = {"email": email, "iban": iban, "date": date, "ssn": ssn, "ipv4": ipv4, "card": card, "phone": lambda k, v: F.when(F.length(digits_of(v)).between(7, 15), digits(k, "phone", v))}
-    return F.coalesce(*(F.when(whole[k], make(key, value)) for k, make in makers.items()), value)
+    makers = {"email": email, "iban": iban, "date": date, "ssn": ssn, "ipv4": ipv4, "card": card, "phone": phone}
+    return F.coalesce(*(F.when(whole[k], make(key, value)) for k, make in makers.items()))
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with pseudonyms in their texts; n_pseudonyms is added: how many values were replaced."""
 
     def of(t: Column) -> Column:
-        new = lambda f: F.transform(f, lambda v: pseudonym(key, v))
-        woven = lambda p: F.concat(F.array_join(F.zip_with(F.slice(p["between"], 1, F.size(p["new"])), p["new"], lambda a, b: F.concat(a, b)), ""), F.element_at(p["between"], -1))
-        changed = lambda p: F.struct(woven(p).alias("text"), F.size(F.filter(F.zip_with(p["found"], p["new"], lambda a, b: a != b), lambda x: x)).cast("long").alias("n"))
+        new = lambda f: F.transform(f, lambda v: pseudonym(F.col("__key"), v))
+        shown = lambda p: F.zip_with(p["found"], p["new"], lambda a, b: F.coalesce(b, a))
+        woven = lambda p: F.concat(F.array_join(F.zip_with(F.slice(p["between"], 1, F.size(p["new"])), shown(p), lambda a, b: F.concat(a, b)), ""), F.element_at(p["between"], -1))
+        changed = lambda p: F.struct(woven(p).alias("text"), F.size(F.filter(p["new"], lambda x: x.isNotNull())).cast("long").alias("n"))
         # what stands between the values, one part more than there are values
         parts = lambda p, f: F.struct(F.split(t, p, -1).alias("between"), new(f).alias("new"), f.alias("found"))
         found = lambda p: F.regexp_extract_all(t, F.concat(F.lit("("), p, F.lit(")")), F.lit(1))
         return let(any_of(t), lambda p: let(found(p), lambda f: F.when(F.size(f) > 0, let(parts(p, f), changed))))
 
+    secret = docs.sparkSession.createDataFrame([(key,)], "__key string")
     result = F.when(F.col(text).rlike(r"[0-9@]"), let(F.col(text), of))
-    out = docs.withColumn("__new", result)
-    return out.withColumns({text: F.coalesce("__new.text", text), "n_pseudonyms": F.coalesce("__new.n", F.lit(0).cast("long"))}).drop("__new")
+    out = docs.join(F.broadcast(secret)).withColumn("__new", result)  # one row
+    return out.withColumns({text: F.coalesce("__new.text", text), "n_pseudonyms": F.coalesce("__new.n", F.lit(0).cast("long"))}).drop("__new", "__key")
