@@ -9,9 +9,11 @@ windows on its diagonal are compared word by word, so that the result is exact,
 Words are lower-case, without ASCII punctuation, and part at ASCII white space. Of an item of 5 to 12 words all must
 agree; shorter ones aren't searched for.
 
-The items are few against the documents, and their index goes to all tasks, in blocks of a proven size: a benchmark
-beyond ``block_chars`` is searched for block by block, each over all documents, so memory doesn't grow with it.
-Documents are read as they come and nothing is shuffled, so hot sources or copies make no task larger.
+The items are few against the documents, and the join with them is a search in their index, which goes to all tasks in
+blocks of a proven size: a word takes two code points with its separator, and at most ``WORD_BYTES`` bytes in an index. A
+benchmark beyond ``block_chars`` is searched for block by block, each over all documents. Then each block's result is
+written and its index is gone before the next one is made, so that memory doesn't grow with the benchmark. Documents are
+read as they come, so hot sources or copies make no task larger; with one block nothing is shuffled.
 
 Defined results: null or empty texts leak nothing; repeated documents each give their rows; repeated items count once;
 items that share an id are one item, of which the best overlap is given.
@@ -24,18 +26,26 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.llm.common import by_bytes, written
+
 WINDOW = 13
 SUBSTITUTIONS = 2
 SHORTEST_ITEM = 5
 #: The spaced seeds; 1 selects a word. Their span is 8.
 MASKS = ("11101011", "11001111")
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-#: Documents that are hashed together.
-TOGETHER = 256
+#: Bytes of an index for each word of its items, at most: 8 for the word, and for each mask 8 for a hash, 8 for its place,
+#: and up to 32 bits of the filter.
+WORD_BYTES = 8 + 2 * (8 + 8 + 4)
+#: Code points of a block, so that its index has 100 MB at most, besides its different words.
+BLOCK_CHARS = 4_000_000
+#: Bytes of documents that are hashed together.
+TOGETHER = 500_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -72,14 +82,20 @@ class SeedIndex:
         for mask in self.masks:
             parts = [(mixed(t, mask, len(t) - len(mask) + 1), k) for k, t in enumerate(self.tokens) if len(t) >= len(mask) and (len(mask) == len(MASKS[0]) or len(mask) == len(t))]
             hashes = np.concatenate([h for h, _ in parts] or [np.zeros(0, np.uint64)])
-            where = np.concatenate([np.arange(len(h)) for h, _ in parts] or [np.zeros(0, np.int64)])
-            which = np.concatenate([np.full(len(h), k) for h, k in parts] or [np.zeros(0, np.int64)])
+            where = np.concatenate([np.arange(len(h), dtype=np.int32) for h, _ in parts] or [np.zeros(0, np.int32)])
+            which = np.concatenate([np.full(len(h), k, np.int32) for h, k in parts] or [np.zeros(0, np.int32)])
             order = np.argsort(hashes, kind="stable")
+            # a bit for the first bits of each hash: 16 to 32 bits a hash
             bits = max(12, int(len(hashes) * 16).bit_length())
-            known = np.zeros(1 << bits, dtype=bool)
-            known[hashes >> np.uint64(64 - bits)] = True
+            first = hashes[order] >> np.uint64(64 - bits)
+            known = np.zeros(1 << (bits - 3), dtype=np.uint8)
+            np.bitwise_or.at(known, (first >> np.uint64(3)).astype(np.int64), np.uint8(1) << (first & np.uint64(7)).astype(np.uint8))
             self.tables.append((mask, hashes[order], which[order], where[order], known, np.uint64(64 - bits)))
 
+    @property
+    def nbytes(self) -> int:
+        return sum(t.nbytes for t in self.tokens) + sum(x.nbytes for table in self.tables for x in table[1:5])
+
     def overlaps(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, matched words, words of the overlap, its first word in the text, and in the item), the best for
         each text and item."""
@@ -101,14 +117,15 @@ class SeedIndex:
             if n <= 0 or not len(hashes):
                 continue
             h = mixed(stream, mask, n)
-            at = np.flatnonzero(known[h >> shift])
+            first = h >> shift
+            at = np.flatnonzero((known[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8)) & 1)
             low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
             at, low, count = at[high > low], low[high > low], (high - low)[high > low]
             if len(at):
                 k = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 place = np.repeat(at, count)
                 text = np.searchsorted(begin, place, "right") - 1
-                found = np.stack([text, which[k], place - where[k]], axis=1)
+                found = np.stack([text, which[k].astype(np.int64), place - where[k]], axis=1)
                 hits.update(map(tuple, np.unique(found, axis=0).tolist()))
         best: dict[tuple[int, int], tuple] = {}
         for text, item, diagonal in hits:
@@ -131,53 +148,67 @@ class SeedIndex:
         return sorted((t, i, m, -n, -d, -p) for (t, i), (m, n, d, p) in best.items())
 
 
-def indexes(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[SeedIndex]:
-    """The index of each block of items; one block where all fit. An item is in one block whole."""
+def indexes(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> tuple[int, Iterator[SeedIndex]]:
+    """How many blocks of items there are, and the index of each. An item is in one block whole."""
     rows = benchmark.select(F.col(item_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
-    for k in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        yield SeedIndex([(r.id, r.text) for r in own.distinct().orderBy("id", "text").collect()])
+    own = lambda k: rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+    return blocks, (SeedIndex([(r.id, r.text) for r in own(k).distinct().orderBy("id", "text").collect()]) for k in range(blocks))
+
+
+def searched(rows: DataFrame, shared: Broadcast, schema: T.StructType) -> DataFrame:
+    """The overlaps of ``rows``, (key, text), with one block's items."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = shared.value
+        for part in by_bytes(batches, 1, TOGETHER):
+            if found := seeds.overlaps(part.column(1).to_pylist()):
+                cols = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0])), pa.array([seeds.ids[i] for i in cols[1]]), *(pa.array(c, pa.int64()) for c in cols[2:])], schema.names)
 
+    return rows.mapInArrow(search, schema)
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 32_000_000) -> DataFrame:
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, matched_words, overlap_words, doc_start and
     item_start (words from 0, on the diagonal of most matched words)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", benchmark.schema[item_id].dataType), *(T.StructField(n, T.LongType()) for n in ("matched_words", "overlap_words", "doc_start", "item_start"))])
-    out = spark.createDataFrame([], schema)
-    for index in indexes(benchmark, item_id, item_text, block_chars):
-        shared = spark.sparkContext.broadcast(index)
+    return _overlaps(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, item_id, item_text, block_chars)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            seeds = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, TOGETHER):
-                    part = batch.slice(at, TOGETHER)
-                    if found := seeds.overlaps(part.column(1).to_pylist()):
-                        cols = list(zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0])), pa.array([seeds.ids[i] for i in cols[1]]), *(pa.array(c, pa.int64()) for c in cols[2:])], schema.names)
 
-        out = out.unionByName(rows.mapInArrow(search, schema))
+def _overlaps(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> DataFrame:
+    spark = rows.sparkSession
+    schema = T.StructType([rows.schema[0], T.StructField("item_id", benchmark.schema[item_id].dataType), *(T.StructField(n, T.LongType()) for n in ("matched_words", "overlap_words", "doc_start", "item_start"))])
+    blocks, found = indexes(benchmark, item_id, item_text, block_chars)
+    out = spark.createDataFrame([], schema)
+    for index in found:
+        shared = spark.sparkContext.broadcast(index)
+        own = searched(rows, shared, schema)
+        if blocks > 1:
+            own = written(own, "overlaps")
+            shared.destroy()
+        out = out.unionByName(own)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 32_000_000) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    for index in indexes(benchmark, item_id, item_text, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        column = docs.columns.index(text)
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared, column=column) -> Iterator[pa.RecordBatch]:
-            seeds = shared.value
-            for batch in batches:
-                clean = np.ones(batch.num_rows, dtype=bool)
-                for at in range(0, batch.num_rows, TOGETHER):
-                    for found in seeds.overlaps(batch.column(column).slice(at, TOGETHER).to_pylist()):
-                        clean[at + found[0]] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    blocks, found = indexes(benchmark, item_id, item_text, block_chars)
+    if blocks == 0:
+        return docs
+    if blocks > 1:  # texts that leak, by their digests
+        digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+        leaks = _overlaps(docs.select(digest.alias("__digest"), F.col(text).alias("text")), benchmark, item_id, item_text, block_chars).select("__digest").distinct()
+        return docs.withColumn("__own", digest).join(leaks, F.col("__own") == F.col("__digest"), "left_anti").drop("__own")
+    shared = docs.sparkSession.sparkContext.broadcast(next(found))
+    column = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = shared.value
+        for batch in by_bytes(batches, column, TOGETHER):
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for leak in seeds.overlaps(batch.column(column).to_pylist()):
+                clean[leak[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
