@@ -17,8 +17,12 @@ classes AS (
   FROM rows),
 counted AS (SELECT *, list_concat(six, [length(text) - list_sum(six)::BIGINT]) AS c FROM classes),
 bins AS (SELECT r, lang, unnest(c) AS n, unnest(range(6)) AS k FROM counted),
-ref_bins AS (SELECT lang, k, sum(n) AS n FROM bins GROUP BY lang, k),
-vocabulary AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM rows) GROUP BY lang, word),
+windows AS (SELECT r, i, list_slice(words, i, i + 7) AS w FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM rows WHERE len(words) > 8)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT i + o) AS n FROM again, range(8) AS t(o) GROUP BY r),
+sound AS (SELECT rows.r FROM rows LEFT JOIN repeats p USING (r) WHERE NOT (len(words) < 20 OR 100 * coalesce(p.n, 0) > 30 * len(words))),
+ref_bins AS (SELECT lang, k, sum(n) AS n FROM bins SEMI JOIN sound USING (r) GROUP BY lang, k),
+vocabulary AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM rows SEMI JOIN sound USING (r)) GROUP BY lang, word),
 totals AS (SELECT lang, sum(n) AS total FROM vocabulary GROUP BY lang),
 listed(lang, word) AS (VALUES COMMON_WORDS),
 common AS (SELECT l.lang, l.word, coalesce(v.n, 0) AS n FROM listed l LEFT JOIN vocabulary v USING (lang, word)),
@@ -44,9 +48,6 @@ word_distance AS (
 class_distance AS (
   SELECT r, round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)), 6) AS d
   FROM class_pairs GROUP BY r),
-windows AS (SELECT r, i, list_slice(words, i, i + 7) AS w FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM rows WHERE len(words) > 8)),
-again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1),
-repeats AS (SELECT r, count(DISTINCT i + o) AS n FROM again, range(8) AS t(o) GROUP BY r),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM rows),
 dup_lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 joined AS (
@@ -59,7 +60,7 @@ joined AS (
 based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM joined)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(class_distance, 0) <= 0.28 AND coalesce(word_distance, 0) <= 0.335
-         AND NOT (coalesce(class_distance, 0) > 0.15 AND coalesce(word_distance, 0) > 0.3) AS kept, class_distance, word_distance
+         AND NOT (coalesce(class_distance, 0) > 0.125 AND coalesce(word_distance, 0) > 0.3) AS kept, class_distance, word_distance
 FROM based
 """
 

@@ -2,10 +2,11 @@
 
 A document is compared with its language: the histogram of its character classes and that of the language's common
 words, each by Jensen-Shannon distance (base 2, from 0 to 1). A distance counts only where the document is long enough
-for its histogram to mean something. The references are taken from all documents of the language.
+for its histogram to mean something. The references are taken from all documents of the language that pass the base
+rules, so that a long text that repeats itself doesn't tell what a language looks like.
 
 Defined results: a null text counts as an empty one; a null language is a language of its own; repeated rows are judged
-each on its own; only the id, text and language columns are read, so other columns may have any name.
+each on its own; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +35,12 @@ SLOTS = 256
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits of the rules."""
+    """Limits of the rules.
+
+    Those of the distances come from the 3,603 labelled documents among 10,000 that pass the base rules. Of 3,302 good
+    ones, 99 in 100 are nearer than 0.161 by classes and 0.266 by words, and none is beyond 0.248 and 0.329, so that the
+    limits for one distance alone are above that. Of 301 bad ones, most are far by words alone or by classes alone, and
+    a third are beyond what 95 in 100 good ones have in both; the lower limits are where no good one is."""
 
     min_words: int = 20
     window: int = 8
@@ -43,7 +49,7 @@ class QualityRules:
     class_limit: float = 0.28
     word_min_words: int = 50
     word_limit: float = 0.335
-    both_class: float = 0.15
+    both_class: float = 0.125
     both_word: float = 0.3
     reference_min_words: int = 5000
     broadcast_rows: int = 2000
@@ -108,8 +114,8 @@ def word_tables(spark: SparkSession, words: dict[str, str]) -> DataFrame:
     return hashed.select("lang", "common", slots.alias("slots"))
 
 
-def measures(rows: DataFrame, common: DataFrame, *kept: str) -> DataFrame:
-    """The counts and histograms of each document, and the columns to be kept."""
+def measures(rows: DataFrame, common: DataFrame, rules: QualityRules, *kept: str) -> DataFrame:
+    """The counts and histograms of each document, whether it fails the base rules, and the columns to be kept."""
     none = F.array().cast("array<bigint>")
 
     def of_words(w: Column) -> Column:
@@ -128,11 +134,13 @@ def measures(rows: DataFrame, common: DataFrame, *kept: str) -> DataFrame:
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
     spaces = F.col("n_chars") - F.col("w.word_chars")
-    return out.select("doc_id", "lang", *kept, "w.n_words", "w.word_chars", "w.h.*", F.get("classes", F.lit(0)).alias("n_symbols"), "n_dup_lines", "n_chars", F.concat("classes", F.array(spaces, F.col("n_chars") - spaces - total(F.col("classes")))).alias("classes"))
+    failed = (F.col("w.n_words") < rules.min_words) | (100 * F.col("w.h.n_repeat_words") > rules.repeat_percent * F.col("w.n_words"))
+    return out.select("doc_id", "lang", *kept, "w.n_words", "w.word_chars", "w.h.*", failed.alias("base_failed"), F.get("classes", F.lit(0)).alias("n_symbols"), "n_dup_lines", "n_chars", F.concat("classes", F.array(spaces, F.col("n_chars") - spaces - total(F.col("classes")))).alias("classes"))
 
 
 def references(measured: DataFrame, common: DataFrame) -> DataFrame:
-    """What the documents of a language have in all: ref_words, ref_classes and ref_histogram."""
+    """What the documents of a language that pass the base rules have in all: ref_words, ref_classes and ref_histogram."""
+    measured = measured.where("NOT base_failed")
     bins = len(CLASSES) + 2
     sums = measured.groupBy("lang").agg(F.sum("n_words").alias("ref_words"), *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(bins)))
     counts = measured.select("lang", F.posexplode("histogram").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n"))
@@ -146,33 +154,22 @@ def judged(measured: DataFrame, refs: DataFrame, rules: QualityRules) -> DataFra
     histogram = F.concat("histogram", F.array(F.col("n_words") - total(F.col("histogram"))))
     class_distance = F.when(trusted & (F.col("n_chars") >= rules.class_min_chars), jensen_shannon(F.col("classes"), F.col("ref_classes")))
     word_distance = F.when(trusted & (F.col("n_words") >= rules.word_min_words), jensen_shannon(histogram, F.col("ref_histogram")))
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
     near = (by_class <= rules.class_limit) & (by_word <= rules.word_limit) & ~((by_class > rules.both_class) & (by_word > rules.both_word))
-    out = measured.join(refs, "lang", "left").withColumns({"class_distance": class_distance, "word_distance": word_distance, "base_failed": failed})
-    return out.withColumn("kept", ~failed & near)
-
-
-class Judge:
-    """The references of some documents, and the verdicts on them."""
-
-    def __init__(self, docs: DataFrame, rules: QualityRules, doc_id: str, text: str, lang: str):
-        self.rules, self.docs = rules, docs
-        named = [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")]
-        self.rows = docs.select(*named, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-        # the tables are as many as the lists given
-        self.common = F.broadcast(word_tables(docs.sparkSession, rules.common_words))
-        self.measured = written(measures(self.rows.drop("row"), self.common), "measures")
-        refs = references(self.measured, self.common)
-        few = self.measured.select("lang").distinct().limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows
-        self.refs = F.broadcast(refs) if few else refs
+    out = measured.join(refs, "lang", "left").withColumns({"class_distance": class_distance, "word_distance": word_distance})
+    return out.withColumn("kept", ~F.col("base_failed") & near)
 
-    def verdicts(self) -> DataFrame:
-        return judged(self.measured, self.refs, self.rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
-    def kept(self) -> DataFrame:
-        """Measures each text again beside its row, which costs less than to shuffle all texts to their verdicts."""
-        return judged(measures(self.rows, self.common, "row"), self.refs, self.rules).where("kept").select("row.*")
+def verdicts(docs: DataFrame, rules: QualityRules, doc_id: str, text: str, lang: str, *kept: Column) -> DataFrame:
+    """The verdicts on documents, and the columns to be kept. Each text is measured once: what is measured is written
+    with these columns, the references are taken from it, and it is judged by them."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), *kept)
+    # the tables are as many as the lists given
+    common = F.broadcast(word_tables(docs.sparkSession, rules.common_words))
+    measured = written(measures(rows, common, rules, *rows.columns[3:]), "measures")
+    refs = references(measured, common)
+    few = measured.select("lang").distinct().limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows
+    return judged(measured, F.broadcast(refs) if few else refs, rules)
 
 
 def quality_rules(docs: DataFrame, rules: QualityRules | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -183,9 +180,11 @@ def quality_rules(docs: DataFrame, rules: QualityRules | None = None, doc_id: st
     exceed their lower ones. The references go to all tasks while there are few languages; beyond ``broadcast_rows`` of
     them they are joined.
     """
-    return Judge(docs, rules or QualityRules(), doc_id, text, lang).verdicts()
+    shown = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return verdicts(docs, rules or QualityRules(), doc_id, text, lang).select(*shown)
 
 
 def quality_filter(docs: DataFrame, rules: QualityRules | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that ``quality_rules`` keeps, with all their columns."""
-    return Judge(docs, rules or QualityRules(), doc_id, text, lang).kept()
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    return verdicts(docs, rules or QualityRules(), doc_id, text, lang, row).where("kept").select("row.*")
