@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ferrule.llm.quality import COMMON_WORDS
-
 QUALITY = r"""
 WITH rows AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
@@ -24,7 +22,11 @@ sound AS (SELECT rows.r FROM rows LEFT JOIN repeats p USING (r) WHERE NOT (len(w
 ref_bins AS (SELECT lang, k, sum(n) AS n FROM bins SEMI JOIN sound USING (r) GROUP BY lang, k),
 vocabulary AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM rows SEMI JOIN sound USING (r)) GROUP BY lang, word),
 totals AS (SELECT lang, sum(n) AS total FROM vocabulary GROUP BY lang),
-listed(lang, word) AS (VALUES COMMON_WORDS),
+listed AS (
+  SELECT lang, word
+  FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS k
+    FROM (SELECT DISTINCT r, lang, unnest(words) AS word FROM rows) WHERE regexp_full_match(word, '[\p{Ll}\p{Lo}]{1,4}') GROUP BY lang, word)
+  WHERE k <= 16),
 common AS (SELECT l.lang, l.word, coalesce(v.n, 0) AS n FROM listed l LEFT JOIN vocabulary v USING (lang, word)),
 ref_words AS (
   SELECT lang, word, n FROM common
@@ -59,8 +61,8 @@ joined AS (
   LEFT JOIN class_distance cd USING (r) LEFT JOIN word_distance wd USING (r)),
 based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM joined)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(class_distance, 0) <= 0.28 AND coalesce(word_distance, 0) <= 0.335
-         AND NOT (coalesce(class_distance, 0) > 0.125 AND coalesce(word_distance, 0) > 0.3) AS kept, class_distance, word_distance
+       NOT base_failed AND coalesce(class_distance, 0) <= 0.28 AND coalesce(word_distance, 0) <= 0.312
+         AND NOT (coalesce(class_distance, 0) > 0.125 AND coalesce(word_distance, 0) > 0.27) AS kept, class_distance, word_distance
 FROM based
 """
 
@@ -173,8 +175,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
-QUALITY = QUALITY.replace("COMMON_WORDS", ", ".join(f"('{lang}', '{word}')" for lang, words in COMMON_WORDS.items() for word in words.split()))
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": LINE_DEDUP, "op2_warc_revisits": WARC, "op3_ngram_join": NGRAM_JOIN, "op7_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY}
