@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, SQL, or a round trip; and its defined results for odd inputs."""
 
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -17,7 +18,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ferrule.llm import chat, components, decontam, licenses, ngram_join, packing, pii, queries, tokens, warc
+from ferrule.llm import chat, common, components, decontam, licenses, ngram_join, packing, pii, queries, tokens, warc
+from ferrule.llm import line_dedup as lines
 from ferrule.llm.common import by_bytes
 from ferrule.llm.line_dedup import line_dedup
 from ferrule.llm.oracle import oracle_sql
@@ -93,6 +95,31 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(rows, 6)
 
 
+def test_lines_are_matched_by_fingerprints(spark, monkeypatch):
+    """Fewer fingerprints than windows are stored, and nothing is deleted without them."""
+    rng = random.Random(4)
+    shared = [" ".join(f"s{k}w{i}" for i in range(9)) for k in range(12)]
+    rows = [(i, "\n".join([*(f"own {i} {j} {rng.random()}" for j in range(20)), *shared, *(f"more {i} {j} {rng.random()}" for j in range(20))])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lined = lines.line_table(docs, 30, "doc_id", "text")
+    marks = lines.fingerprints(lined)
+    assert marks.count() < lined.selectExpr("sum(size(windows)) AS n").first().n / 2
+    assert marks.count() > lines.matched(marks).count() >= 12
+    assert {r.doc_id: r.n_removed for r in line_dedup(docs, min_words=30).collect()} == {i: 12 if i else 0 for i, _ in rows}
+    all_of_them = lines.fingerprints
+    monkeypatch.setattr(lines, "fingerprints", lambda lined: all_of_them(lined).where("mark IS NULL"))
+    assert {r.n_removed for r in line_dedup(docs, min_words=30).collect()} == {0}
+
+
+def test_a_line_of_all_documents_is_split_off(spark, monkeypatch):
+    """The same rows, whether keys are shuffled or split off."""
+    rows = [(i, f"every document has these five words\nown words of {i % 7} here") for i in range(40)]
+    want = brute_lines(rows, 6)
+    for shares in (512, 2):
+        monkeypatch.setattr(common, "SHARES", shares)
+        assert {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=6).collect()} == want
+
+
 def test_lines_odd(spark):
     rows = {(r.doc_id, r.text): r for r in line_dedup(documents(spark)).collect()}
     assert rows[1, None].n_removed == 0 and rows[4, "one"].n_removed == 0 and rows[5, LONG].n_lines == 1
@@ -113,6 +140,35 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.record_type for r in warc.archived(pages, min_bytes=10).collect()} == {"response"}
 
 
+def test_warc_members(spark, tmp_path, monkeypatch):
+    """Each record can be read from its own begin; revisits name the record that they refer to; a warcinfo comes first."""
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 3000)
+    rows = [(k, f"http://h/{k}", "x" * 10 * k if k % 3 else "same") for k in range(60)] + [(99, "http://big", "é" * 9000)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", archive_bytes=20_000, date="2024-01-02T03:04:05Z")
+    found, targets = {}, {}
+    for path in sorted((tmp_path / "w").glob("part-*")):
+        data = path.read_bytes()
+        every = list(warc.records(data))
+        if not every:
+            continue
+        assert every[0][0]["WARC-Type"] == "warcinfo" and all(h["WARC-Date"] == "2024-01-02T03:04:05Z" for h, _ in every)
+        starts = [m.start() for m in re.finditer(rb"\x1f\x8b\x08", data)]
+        alone = [next(warc.records(data[a:]))[0]["WARC-Record-ID"] for a in starts if zlib.decompressobj(31).decompress(data[a : a + 200])[:5] == b"WARC/"]
+        assert alone == [h["WARC-Record-ID"] for h, _ in every]
+        found |= {h["WARC-Record-ID"]: h for h, _ in every}
+        targets |= {h["WARC-Record-ID"]: h["WARC-Refers-To"] for h, _ in every if h["WARC-Type"] == "revisit"}
+    assert len(targets) == 19 and {found[t]["X-Page-ID"] for t in targets.values()} == {"57"} and all(found[t]["WARC-Type"] == "response" for t in targets.values())
+    assert {(r.page_id, r.html) for r in warc.read_archives(spark, f"file://{tmp_path}/w").where("record_type = 'response'").collect()} == {(k, h) for k, _, h in rows if k % 3 or k in (57, 99)}
+
+
+def test_warc_odd(spark):
+    """Repeated rows, clashing names, and a payload that a third of the rows have."""
+    rows = [(k, "u", "hot" if k % 3 == 0 else f"p{k}", "d", "i", 1) for k in range(30)] + [(1, "u", "p1", "d", "i", 1), (1, "u", "other", "d", "i", 1)]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string, digest string, key string, bytes int")).collect()
+    assert len(got) == 32 and sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.refers_to for r in got if r.page_id % 3 == 0} == {27, None} and sum(r.record_type == "revisit" for r in got) == 9
+
+
 # -- 3 near duplicates --
 def brute_links(rows, n=5, s=0.8):
     sets = {}
@@ -159,7 +215,49 @@ def test_links_odd(spark):
 
 def test_prefix_shortens_until_recall():
     f = ngram_join.Forest(16, 8)
-    assert f.prefix(0.8, 0.999) == 4 and f.prefix(0.95, 0.99) == 8 and f.prefix(0.1, 0.999) == 1
+    assert f.shortest(0.8, 0.999, 0.65) == 4 and f.shortest(0.95, 0.99, 0.8) == 8 and f.shortest(0.1, 0.999, 0.0) == 1
+    assert 0.999 < f.recall(0.8, 4, 0.65) < f.recall(0.8, 4, 0.0) < 1
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of texts of their own, with a similarity from 0.8 to 0.83."""
+    rng = random.Random(11)
+    rows, near = [], []
+    while len(near) < 150:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 300))]
+        other = edited(rng, words, max(1, len(words) // 50))
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.83:
+            near.append(len(rows))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k + 1] == k for k in near) >= 0.99 * len(near)
+    assert all(got[k] == k for k in near)
+
+
+def test_subtrie_compares_what_is_not_put_together(monkeypatch):
+    """Texts that share a whole label are put together there, and of each such node one text is compared further on."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 60_000, (3, 16), dtype=np.uint16)
+    base[1:, :6] = base[0, :6]  # three nodes of one subtrie: they share 6 of 8 values of the first tree
+    signs = np.repeat(base, 50, axis=0)
+    signs[:, 8:] = base[0, 8:]  # and enough of the rest
+    rows = pa.table({"node": np.arange(150), "own": np.zeros(150, np.int64), "tree": np.zeros(150, np.int64), "signature": [x.tobytes() for x in signs]})
+    edges = [e for b in ngram_join.spanning((0, 0, 0), rows, 2, 8, 4, 0.65) for e in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(edges) == 149 and len({x for e in edges for x in e}) == 150
+    assert [e for b in ngram_join.spanning((0, 0, 0), rows, 2, 8, 7, 0.65) for e in b.column(0).to_pylist()].__len__() == 147
+    assert not list(ngram_join.spanning((0, 0, 1), rows, 2, 8, 4, 0.65))  # one block alone has no pair between two
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Links of one group, counted in many pairs of blocks, with rows that share an id."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 200)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(edited(rng, base, rng.randrange(1, 3)))) for k in range(70)]
+    got = {r.doc_id: r for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
+    degree = collections.Counter(x for pair in brute_links(rows) for x in pair)
+    assert {k: r.n_links for k, r in got.items()} == {k: degree[k] for k, _ in rows} and sum(degree.values()) > 1000
 
 
 def test_components(spark):
@@ -365,6 +463,42 @@ def test_licenses_against_brute_force(spark, sf, texts):
     assert got
 
 
+def test_licenses_both_ways(spark):
+    """Templates with words changed, of containments around 0.8: what is found has the containment that is said, and all
+    that has 0.8 or more is found."""
+    rng = random.Random(12)
+    library = {name: text for name, text in licenses.TEMPLATES if len(licenses.words_of(text)) > 40}
+    sets = [(name, set(licenses.shingle_sequence(licenses.words_of(text)).tolist())) for name, text in licenses.TEMPLATES]
+    rows, want = [], {}
+    for k in range(120):
+        name, text = rng.choice(sorted(library.items()))
+        own = set(licenses.shingle_sequence(licenses.words_of(text)).tolist())
+        words = edited(rng, text.split(), rng.randrange(max(2, len(text.split()) // 16)))
+        share = len(own & set(licenses.shingle_sequence(licenses.words_of(" ".join(words))).tolist())) / len(own)
+        noise = [f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(300))]
+        rows.append((k, " ".join([*noise, *words, *noise[:50]])))
+        want[k] = (name, share)
+    got = collections.defaultdict(dict)
+    for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = licenses.words_of(rows[r.doc_id][1])[r.start_word : r.end_word]
+        there = set(licenses.shingle_sequence(words).tolist())
+        assert any(n == r.license_id and abs(len(t & there) / len(t) - r.containment) < 1e-5 for n, t in sets) and r.containment >= 0.8
+        got[r.doc_id][r.license_id] = r.containment
+    for k, (name, share) in want.items():
+        if share >= 0.8:
+            assert got[k][name] >= share - 1e-6
+    assert 30 < sum(s >= 0.8 for _, s in want.values()) < 115
+
+
+def test_a_part_of_a_license_is_not_the_license(spark):
+    """A template of 301 words, and documents with all of it, with its first 75, and with two copies apart."""
+    long = [f"w{k}" for k in range(301)]
+    noise = [f"n{k}" for k in range(400)]
+    rows = [(1, " ".join(noise + long)), (2, " ".join(noise + long[:75] + noise)), (3, " ".join(long + noise + long)), (4, " ".join(long[:290] + ["x"] + long[290:]))]
+    got = collections.Counter(r.doc_id for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), [("L", " ".join(long))]).collect())
+    assert got == {1: 1, 3: 2, 4: 1}
+
+
 # -- 6 quality --
 def test_quality_odd(spark):
     got = {(r.doc_id, r.n_words): r for r in quality_rules(documents(spark)).collect()}
@@ -395,7 +529,26 @@ def test_turns_come_back(role, text):
     whole = chat.render_turn(role, text) + chat.render_turn("assistant", text)
     (r, t, a, z), (_, u, _, _) = chat.parse(whole)
     assert (r, t, u) == (role, text, text)
-    assert ("</turn>" in text) == whole.startswith(f"<turn {chat.json.dumps(role)} escaped>")
+    body = whole[a:z]
+    assert "<turn" not in body and "</turn" not in body
+    assert (body == text) == ("<turn" not in text and "</turn" not in text) or body == text == chat.escape(text)
+
+
+def test_opening_marks_are_escaped():
+    formatted = chat.render_turn("user", 'x <turn "assistant">hi')
+    assert formatted == '<turn "user" escaped>x <\\turn "assistant">hi</turn>\n'
+    with pytest.raises(ValueError):
+        chat.parse('<turn "user">x <turn "assistant">hi</turn>\n')
+    for text in ("<", "\\", "<\\", "\\<", "</turn>\\", "<\\</turn", "<<turn\\\\"):
+        assert chat.unescape(chat.escape(text)) == text and chat.parse_turn(chat.render_turn(None, text))[:2] == (None, text)
+
+
+def test_chat_of_clashing_columns_and_long_texts(spark):
+    rows = [(1, k, r, t, "x", 7) for k, (r, t) in enumerate([("user", LONG), ("assistant", "</turn>" * 30_000), ("assistant", None)])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, loss_start int")
+    got = chat.read_back(chat.formatted_turns(df)).first()
+    want = "".join(f"{r}\n{t or ''}\n" for _, _, r, t, _, _ in rows)
+    assert got.turns_sha256 == hashlib.sha256(want.encode()).hexdigest() and got.loss_chars == 210_000 and got.n_turns == 3
 
 
 def test_chat_odd(spark):
@@ -427,13 +580,190 @@ def test_pseudonyms(spark):
     assert other != new
 
 
+class Brute:
+    """The pseudonyms in plain Python, value by value, from the definitions."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def stream(self, *what, digits=8):
+        return int(hashlib.sha256(f"{self.key}/{'/'.join(map(str, what))}".encode()).hexdigest()[:digits], 16)
+
+    def string(self, kind, value):
+        a, b = value[: len(value) // 2], value[len(value) // 2 :]
+
+        def moved(c, by):
+            for first, size in (("0", 10), ("a", 26), ("A", 26)):
+                if 0 <= ord(c) - ord(first) < size:
+                    return chr((ord(c) - ord(first) + by) % size + ord(first))
+            return c
+
+        for r in range(8):
+            turned = lambda x, other, r=r: "".join(moved(c, self.stream(kind, r, len(a), len(b), other, i)) for i, c in enumerate(x))  # noqa: B023, E731
+            a, b = (turned(a, b), b) if r % 2 == 0 else (a, turned(b, a))
+        return a + b
+
+    def pair(self, kind, a, b, size_a, size_b):
+        for r in range(16):
+            a, b = ((a + self.stream(kind, r, b, digits=12)) % size_a, b) if r % 2 == 0 else (a, (b + self.stream(kind, r, a, digits=12)) % size_b)
+        return a, b
+
+    @staticmethod
+    def back(value, pattern, new):
+        rest = iter(new)
+        return re.sub(pattern, lambda _: next(rest), value)
+
+    def email(self, v):
+        return self.back(v, "[A-Za-z0-9]", self.string("email", re.sub("[^A-Za-z0-9]", "", v)))
+
+    def iban(self, v):
+        n = v.replace(" ", "")
+        if not iban_ok(v):
+            return None
+        body = self.string("iban", n[4:])
+        check = 98 - int("".join(str(int(c, 36)) for c in body + n[:2] + "00")) % 97
+        return self.back(v, "[A-Z0-9]", f"{n[:2]}{check:02d}{body}")
+
+    def card(self, v):
+        d = re.sub("[^0-9]", "", v)
+        if len(d) < 13 or not luhn(d):
+            return None
+        body = d[0] + self.string("card", d[1:-1])
+        return self.back(v, "[0-9]", next(body + c for c in "0123456789" if luhn(body + c)))
+
+    def ssn(self, v):
+        bad, d = r"^(000|666|9)|^...00|0000$", v.replace("-", "")
+        if re.search(bad, d):
+            return None
+        d = self.string("ssn", d)
+        while re.search(bad, d):
+            d = self.string("ssn", d)
+        return self.back(v, "[0-9]", d)
+
+    def phone(self, v):
+        d = re.sub("[^0-9]", "", v)
+        code = re.match(rf"(?:{pii.COUNTRY_CODES}|[0-9]{{3}})", d)[0] if v.startswith("+") else ""
+        if not 7 <= len(d) <= 15:
+            return None
+        kind, n = d[len(code) :][:1] in "23456789" and len(d) > len(code), self.string("phone", d[len(code) :])
+        while (n[:1] in "23456789" and bool(n)) != kind:
+            n = self.string("phone", n)
+        return self.back(v, "[0-9]", code + n)
+
+    def ipv4(self, v):
+        o = [int(x) for x in v.split(".")]
+        if max(o) > 255:
+            return None
+        a, b = self.pair("ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+    def date(self, v):
+        x, sep = re.split("[./-]", v), re.search("[./-]", v)[0]
+        year_first = len(x[0]) == 4
+        high = not year_first and sep != "." and int(x[0]) > 12
+        order = "ymd" if year_first else "dmy" if sep == "." or high else "mdy"
+        part = dict(zip(order, map(int, x)))
+        first = datetime.date(1900, 1, 1)
+        try:
+            day = (datetime.date(part["y"], part["m"], part["d"]) - first).days
+        except ValueError:
+            return None
+        while True:
+            a, b = self.pair("date", day % 17, day // 17, 17, 4297)
+            day = b * 17 + a
+            d = first + datetime.timedelta(day)
+            own = {"y": d.year, "m": d.month, "d": d.day}
+            text = sep.join(str(own[k]).zfill(len(w)) for k, w in zip(order, x))
+            if len(text) == len(v) and (not high or d.day > 12):
+                return text
+
+    def pseudonym(self, v):
+        for name, pattern in pii.PATTERNS.items():
+            if re.fullmatch(pattern, v, re.ASCII) and (new := getattr(self, name)(v)) is not None:
+                return new
+        return None
+
+    def ibans(self, text):
+        out = set()
+        for m in re.finditer(pii.IBAN_RUN, text, re.ASCII):
+            words, n = m[1].split(" "), pii.IBAN_LENGTHS.get(m[1][:2])
+            ends = [" ".join(words[:k]) for k in range(len(words), 0, -1)]
+            ok = [v for v in ends if 15 <= len(v.replace(" ", "")) <= 34 and iban_ok(v)]
+            fits = [v for v in ok if len(v.replace(" ", "")) == n] or (ok if n is None else [v for v in ok if v == m[1]])
+            out.update(fits[:1])
+        return sorted(out, key=lambda v: (-len(v), v))
+
+    def text(self, t):
+        if t is None:
+            return None, 0
+        found = self.ibans(t)
+        known = rf"(?:(?<!\w)(?:{'|'.join(found)})(?!\w))|" if found else ""
+        n = 0
+
+        def new(m):
+            nonlocal n
+            p = self.pseudonym(m[0])
+            n += p is not None
+            return m[0] if p is None else p
+
+        return re.sub(rf"(?:{pii.PATTERNS['email']})|{known}{pii.OTHERS}", new, t, flags=re.ASCII), n
+
+
+def test_pseudonyms_against_brute_force(spark, sf, texts):
+    rng = random.Random(14)
+    made = [
+        lambda: f"{rng.randrange(1000):03d}-{rng.randrange(100):02d}-{rng.randrange(10000):04d}", lambda: f"+{rng.choice([1, 44, 49, 358, 7])} ({rng.randrange(100, 1000)}) {rng.randrange(100, 1000)} {rng.randrange(1000, 10000)}",
+        lambda: f"{rng.randrange(200, 1000)}-{rng.randrange(1000):03d}-{rng.randrange(10000):04d}", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"{rng.choice('abXY')}.{rng.randrange(99)}@mail{rng.randrange(9)}.org",
+        lambda: f"{rng.randrange(1890, 2110)}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 33):02d}", lambda: f"{rng.randrange(1, 32)}.{rng.randrange(1, 14)}.{rng.randrange(1900, 2100)}", lambda: f"{rng.randrange(1, 32):02d}/{rng.randrange(1, 32):02d}/{rng.randrange(1900, 2100)}",
+        lambda: "4" + "".join(str(rng.randrange(10)) for _ in range(15)), lambda: "GB82 WEST 1234 5698 7654 32", lambda: f"DE{rng.randrange(10, 99)}37040044053201{rng.randrange(1000, 9999)}",
+    ]
+    rows = [(10_000 + k, " ".join(rng.choice(["on", "is", "A", "12", "no."]) + " " + rng.choice(made)() for _ in range(12))) for k in range(150)]
+    rows += list(texts.items())
+    brute = Brute("key")
+    want = {i: brute.text(t) for i, t in rows}
+    got = {r.doc_id: (r.text, r.n_pseudonyms) for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert [(i, got[i], want[i]) for i in want if got[i] != want[i]] == []
+    assert sum(n for _, n in want.values()) > 800
+
+
 def test_pseudonyms_are_permutations(spark):
     days = spark.range(73_049).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
-    assert days.select(pii.pseudonym("k", F.col("v")).alias("p")).distinct().count() == 73_049
-    codes = spark.range(1000).select(pii.string_feistel("k", "x", F.lpad(F.col("id").cast("string"), 3, "0")).alias("p"))
+    assert days.select(pii.pseudonym(F.lit("k"), F.col("v")).alias("p")).distinct().count() == 73_049
+    codes = spark.range(1000).select(pii.string_feistel(F.lit("k"), "x", F.lpad(F.col("id").cast("string"), 3, "0")).alias("p"))
     assert codes.distinct().count() == 1000 and codes.where("p NOT RLIKE '^[0-9]{3}$'").count() == 0
 
 
+def test_pseudonyms_are_valid_and_different(spark):
+    """Social security numbers stay such, phone numbers keep country code and first digit's kind, and none meet."""
+    k = F.lit("k")
+    ids = spark.range(3000).select(F.format_string("%03d-%02d-%04d", F.col("id") % 665 + 1, F.col("id") % 99 + 1, F.col("id") * 3 % 9999 + 1).alias("v")).distinct()
+    out = ids.withColumn("p", pii.pseudonym(k, F.col("v")))
+    assert out.where(r"p NOT RLIKE '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' OR p RLIKE '^(000|666|9)|-00-|-0000$' OR p IS NULL").count() == 0
+    assert out.select("p").distinct().count() == ids.count()
+    n = F.lpad((F.col("id") * 7919 % 1_000_000).cast("string"), 6, "0")
+    numbers = spark.range(2000).select(F.concat(F.lit("2"), F.substring(n, 1, 2), F.lit("-"), F.substring(n, 3, 3), F.lit("-5"), F.substring(n, 4, 3)).alias("v"))
+    out = numbers.withColumn("p", pii.pseudonym(k, F.col("v")))
+    assert out.where(r"p NOT RLIKE '^[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}$' OR p IS NULL").count() == 0
+    assert out.select("p").distinct().count() == numbers.distinct().count()
+    for v, like in (("+49 30 123456", r"\+49 \d\d \d{6}"), ("+1 (743) 555-3824", r"\+1 \([2-9]\d\d\) \d{3}-\d{4}"), ("+358 40 123 4567", r"\+358 \d\d \d{3} \d{4}"), ("+17435553824", r"\+1[2-9]\d{9}")):
+        new = spark.range(1).select(pii.pseudonym(k, F.lit(v)).alias("p")).first().p
+        assert new is None or (re.fullmatch(like, new) and new != v), (v, new)
+
+
+def test_the_key_is_not_in_the_plan(spark):
+    out = pii.pseudonymised(documents(spark, [(1, "ssn 123-45-6789")]), "very-secret")
+    plans = out._jdf.queryExecution().toString() + out._jdf.queryExecution().optimizedPlan().toString()
+    assert "very-secret" not in plans and out.first().n_pseudonyms == 1
+
+
+def test_formats_that_overlap(spark):
+    """The first format in their order takes a value that has several, wherever it begins."""
+    rows = [(1, "2024-02-29"), (2, "a@1.2.3.4"), (3, "1.2.2024 1.2.3.4"), (4, "4785380592391139"), (5, "4785380592391139 4785380592391139"), (6, "10.11.2012")]
+    got = {r.doc_id: (r.text, r.n_pseudonyms) for r in pii.pseudonymised(documents(spark, rows), "key").collect()}
+    assert [got[k][1] for k in range(1, 7)] == [1, 1, 2, 1, 2, 1]
+    assert re.fullmatch(r"[a-z]@[0-9.]+", got[2][0]) and got[5][0] == f"{got[4][0]} {got[4][0]}"
+
+
 def iban_ok(v):
     v = v.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
@@ -477,7 +807,7 @@ def test_each_way_to_write_dates_is_permuted(spark):
     d = F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int"))
     days = spark.range(4000).select(d.alias("d"))
     for way, which in (("d.M.yyyy", "true"), ("dd/MM/yyyy", "day(d) > 12"), ("M/dd/yyyy", "true")):
-        out = days.where(which).select(F.date_format("d", way).alias("v")).withColumn("p", pii.pseudonym("k", F.col("v")))
+        out = days.where(which).select(F.date_format("d", way).alias("v")).withColumn("p", pii.pseudonym(F.lit("k"), F.col("v")))
         r = out.agg(F.count("*").alias("n"), F.countDistinct("p").alias("p"), F.count_if(F.length("v") == F.length("p")).alias("same")).first()
         assert r.n == r.p == r.same
 
@@ -514,3 +844,9 @@ def test_overlaps_against_brute_force(spark):
         kept = decontam.decontaminated(docs, bench, block_chars=block)
         assert kept.columns == docs.columns and {r.doc_id for r in kept.where("doc_id < 100").collect()} == {i for i, _ in rows} - {i for i, _ in want}
     assert len(want) > 20
+
+
+def test_an_index_has_few_bytes():
+    rng = random.Random(2)
+    for items in ([(k, " ".join(rng.choice("abcdefgh") for _ in range(500))) for k in range(40)], [(0, " ".join(f"w{rng.randrange(9000)}" for _ in range(30_000)))]):
+        assert decontam.SeedIndex(items).nbytes <= decontam.WORD_BYTES * sum(len(t.split()) for _, t in items) + 10_000
