@@ -187,6 +187,11 @@ def exact_split(df: DataFrame, fraction: float, key: str, seed: int = 0, scatter
     return keyed.join(F.broadcast(cut)).withColumn("is_val", F.coalesce(before, F.lit(False))).drop("__h", "__cut")
 
 
+def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows in an order that the seed draws, a number for each row; a sort of all rows by ranges."""
+    return df.withColumn("__r", F.rand(seed)).orderBy("__r").drop("__r")
+
+
 def gather(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The rows whose keys are listed, in any number; Spark picks the join by the list's size."""
     return df.join(rows.select(key), key)

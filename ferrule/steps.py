@@ -17,15 +17,16 @@ from ferrule.evolve.island import Island, Member, Sample, decayed
 from ferrule.evolve.optim import bfgs, newton
 from ferrule.functions import losses as ls
 from ferrule.functions.scalar import BUILTIN, AmbiguousOperator, OperatorSet, UnknownOperator, register
+from ferrule.operators import front
 from ferrule.operators.constraints import complexity, size_limit
 from ferrule.operators.options import MutationWeights, Options
-from ferrule.operators.search import SearchEngine, show_front
-from ferrule.operators.session import SearchSession
+from ferrule.operators.search import SearchEngine, Speed, show_front
+from ferrule.operators.session import SearchSession, selected
 from ferrule.plans.compile import evaluate, gradient
 from ferrule.plans.expr import Const, Expr, Var, build, lit, var
 from ferrule.plans.simplify import simplify
 from ferrule.plans.store import place
-from ferrule.queries import TREES, inputs, predictions, table
+from ferrule.queries import TREES, inputs, members, predictions, table
 from ferrule.sources import dataset as ds
 from ferrule.streaming.scorer import windowed_loss
 
@@ -290,6 +291,57 @@ def search_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "n int, request string, events string, holds boolean")
 
 
+def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffled orders are the same rows, in another order, which the seed repeats."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    place_of = lambda seed: ds.shuffled(orders, seed).withColumn("place", F.monotonically_increasing_id())
+    one, two = place_of(3), orders.withColumn("place", F.monotonically_increasing_id())
+    both = one.join(two.select("o_orderkey", F.col("place").alias("before")), "o_orderkey")
+    return both.agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"), (F.abs(F.corr("place", "before")) < 0.2).alias("mixed"))
+
+
+def hof_bulk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hall of fame that is brought up to date by batches of members is that of all of them."""
+    rows, best = members(spark, sf_dir), None
+    for k in range(3):
+        batch = rows.where(F.col("pop") % 3 == k)
+        best = front.best_by_complexity(batch if best is None else best.unionByName(batch), 30)
+    return best
+
+
+def training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bounded sample has as many rows as asked for, without replacement, from all over the table."""
+    lines = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().cast("double").alias("row"), F.col("l_quantity").cast("double").alias("t"))
+    whole, n = lines.agg(F.avg("row").alias("m"), F.stddev("row").alias("s")).first(), 2000
+    x, y, _ = ds.bounded_sample(ds.with_roles(lines), n, 4)
+    return spark.createDataFrame([(len(y), len(set(x[0].tolist())), bool(abs(x[0].mean() - whole.m) < 5 * whole.s / n**0.5))], "n int, different int, everywhere boolean")
+
+
+def search_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings 1 to 25: the mean of the last 20, and a moving average."""
+    speed, rows = Speed(), []
+    for k in range(1, 26):
+        speed.add(float(k))
+        rows.append((k, round(speed.mean, 6), round(speed.smooth, 6)))
+    return spark.createDataFrame(rows, "reading int, mean double, smooth double")
+
+
+def selected_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member that is shown for a choice: of the front, else the best where it is the chosen one, or none is chosen."""
+    shown, best = [{"id": 1}, {"id": 2}], {"id": 9}
+    found = [(c, selected(shown, b, c)) for c in (None, 1, 9, 7) for b in (best, None)]
+    return spark.createDataFrame([(k, c, m and m["id"]) for k, (c, m) in enumerate(found)], "n int, chosen int, shown int")
+
+
+def random_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal and Poisson numbers of an island's generator: whether mean and variance are near what they should be."""
+    rng = Island(Options(), small_sample(), 0, 0, [], np.ones(30) / 30).rng
+    n = 40_000
+    normal, poisson = rng.standard_normal(n), rng.poisson(2.5, n)
+    near = lambda v, goal: bool(abs(v - goal) < 0.05)
+    return spark.createDataFrame([("normal", near(normal.mean(), 0), near(normal.var(), 1)), ("poisson", near(poisson.mean(), 2.5), near(poisson.var(), 2.5))], "draws string, mean boolean, variance boolean")
+
+
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The losses of windows, over a stream that reads the table's files and ends with them."""
     # a pattern, since a stream's path is that of a folder or a pattern
@@ -306,6 +358,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     steps = (
         mutations, crossovers, random_trees, optimisers, size_warmup, conditioned_weights, weighted_choices, frequency_decay, island_life, tree_shapes, tree_constants, tree_algebra, operator_lookup, operator_sets,
+        shuffled_rows, hof_bulk_update, training_sample, search_speed, selected_member, random_draws,
         custom_operator, losses_by_name, unchecked_and_filled, csv_drop, role_errors, default_rows, bootstrap_rows, front_table, search_session, stream_windows,
     )
     return {f.__name__: f for f in steps}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrule.oracle import INPUTS, LOSSES, PREDICTIONS
+from ferrule.oracle import HOF, INPUTS, LOSSES, PREDICTIONS
 
 
 def listed(columns: str, *rows: str) -> str:
@@ -53,6 +53,14 @@ def oracle_sql() -> dict[str, str]:
     out["role_errors"] = listed("roles, x", *(f"'{n}', 'refused'" for n in "one_column no_rows unknown_y unknown_w unknown_x w_is_y x_has_y x_has_w no_x".split()), "'fine', 'a,b'")
     out["default_rows"] = "SELECT 100::BIGINT AS n, 0::BIGINT AS off, true AS normal"
     out["bootstrap_rows"] = "SELECT true AS near, true AS repeats, true AS distinct_share, 0::BIGINT AS strange"
+    out["shuffled_rows"] = "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, true AS mixed FROM orders"
+    out["hof_bulk_update"] = f"SELECT * FROM {HOF}"
+    out["training_sample"] = listed("n, different, everywhere", "2000, 2000, true")
+    out["search_speed"] = """
+WITH RECURSIVE s(reading, smooth) AS (SELECT 1, 1.0::DOUBLE UNION ALL SELECT reading + 1, 0.2 * (reading + 1) + 0.8 * smooth FROM s WHERE reading < 25)
+SELECT reading, round((greatest(1, reading - 19) + reading) / 2, 6)::DOUBLE AS mean, round(smooth, 6) AS smooth FROM s"""
+    out["selected_member"] = listed("n, chosen, shown", "0, NULL, 9", "1, NULL, NULL", "2, 1, 1", "3, 1, 1", "4, 9, 9", "5, 9, NULL", "6, 7, NULL", "7, 7, NULL")
+    out["random_draws"] = listed("draws, mean, variance", "'normal', true, true", "'poisson', true, true")
     rule = "-" * 80
     table = [rule, "Complexity  Loss          Equation", rule, "3           5.00000e-01   x0 * x1 + x1 + x1 + x1 + x1 + x1 + x1 + x1 + x1 + x1 +", " " * 27 + "x1 + x1 + x1 + x1 + 2", "12          1.25000e-07   x0", rule]
     out["front_table"] = listed("line, text", *(f"{k}, '{line}'" for k, line in enumerate(table)))
