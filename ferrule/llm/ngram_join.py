@@ -33,11 +33,9 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from ferrule.llm.common import by_bytes, joined_by_count, written
