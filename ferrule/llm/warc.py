@@ -47,14 +47,16 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(F.concat(*(F.lpad(F.conv(F.substring(hexes, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4))), CONV_DIGITS, BASE32_DIGITS)
 
 
-def resolved(pages: DataFrame, min_bytes: int, page_id: str, html: str) -> DataFrame:
-    """A row for each page_id and payload: digest, bytes, and the page it refers to, or null."""
+def resolved(pages: DataFrame, min_bytes: int, page_id: str, html: str) -> tuple[DataFrame, int]:
+    """A row for each page_id and payload: digest, bytes, and the page it refers to, or null; and the bytes of all pages."""
     payload = F.coalesce(F.col(html), F.lit(""))
-    headers = pages.select(F.col(page_id).alias("id"), payload_digest(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")).distinct()
+    headers = pages.select(F.col(page_id).alias("id"), payload_digest(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    headers = headers.groupBy("id", "digest", "bytes").agg(F.count("*").alias("pages"))
     headers = written(headers, "headers")  # both sides of the join below read it, and not the payloads again
     largest = headers.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("largest"))
     joined = joined_by_count(headers, largest, "digest", "n")
-    return joined.select("id", "digest", "bytes", F.when((F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers"))
+    total = headers.agg(F.sum(F.col("bytes") * F.col("pages"))).first()[0] or 0
+    return joined.select("id", "digest", "bytes", F.when((F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers")), total
 
 
 def record(date: str) -> Column:
@@ -94,8 +96,7 @@ def members(whole: bytes) -> bytes:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = 32_000_000, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> None:
     """Archives of all pages in the folder ``path``; ``date`` is their records', by default the time of writing."""
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    headers = resolved(pages, min_bytes, page_id, html)
-    total = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    headers, total = resolved(pages, min_bytes, page_id, html)
     files = max(1, -(-total // archive_bytes))
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), payload.alias("payload"), payload_digest(payload).alias("digest"))
