@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import SEPARATORS, joined_by_count, let, written
+from ferrule.plans.store import discard
 
 #: Lines whose words are added up at a time; a document's sums cost its lines times this, at most.
 BLOCK = 64
@@ -114,7 +115,9 @@ def line_dedup(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", tex
     """The documents without the later copies of repeated runs; n_lines and n_removed are added."""
     lined = written(line_table(docs, min_words, doc_id, text), "lines")
     marks = written(fingerprints(lined), "fingerprints")
-    gone = repeated_runs(written(extended(lined, matched(marks)), "runs"))
+    runs = written(extended(lined, matched(marks)), "runs")
+    discard(lined, marks)
+    gone = repeated_runs(runs)
     gone = gone.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("gone"))
     gone = gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.struct(F.col("gone.a").alias("a"), F.col("gone.z").alias("z")).alias("__gone"))
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))

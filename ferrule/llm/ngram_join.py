@@ -40,6 +40,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from ferrule.llm.common import by_bytes, joined_by_count, written
 from ferrule.llm.components import connected_components
+from ferrule.plans.store import discard
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of shingles in a block of a group.
@@ -265,6 +266,7 @@ def ngram_join(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, trees: i
 
     # rows with a text of some group; of copies, the one that stands for them
     wanted = written(texts.select("node").distinct().join(groups, "node").select("node", F.col("root").alias("group")), "groups")
+    discard(groups)
     counted = wanted.groupBy("group").agg(F.count("*").alias("rows"))
     parts = joined_by_count(wanted, counted, "group", "rows").withColumn("parts", F.ceil(F.col("rows") / block)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
 
@@ -279,12 +281,14 @@ def ngram_join(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, trees: i
     firsts = sets.where("node = group").groupBy("group", "parts").agg(F.min("shingles").alias("first")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     apart = sets.join(firsts, ["group", "part"]).select("group", "node", "shingles", "first").mapInArrow(differences, "group long, node long, other binary, size long, first_size long, missing long")
     apart = written(apart, "differences")
+    discard(sets, wanted)
     # a large group makes a few pairs of blocks for each task, so that tasks are even
     spread = math.ceil(math.sqrt(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     weights = apart.groupBy("group").agg(F.count("*").alias("rows"), F.sum(F.length("other")).alias("bytes")).where("rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / 1024), F.ceil(F.col("bytes") / BLOCK_BYTES), F.least(F.ceil(F.col("rows") / 32), F.lit(spread)), F.lit(1))
     pairs = in_blocks(apart, "group", "node", blocks, weights)
     checked = written(compared(pairs, "group", lambda k, g: verified(k, g, threshold), "a long, b long, links long"), "verified")
+    discard(apart)
     classes = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
     counts = checked.where("b IS NULL").groupBy(F.col("a").alias("copy_id")).agg(F.sum("links").alias("n_links"))
 
