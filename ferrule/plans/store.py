@@ -41,13 +41,25 @@ def drop(spark: SparkSession, since: int) -> None:
     """Deletes what was stored after the first ``since`` paths, but for the last one. For tables that later ones were made
     from, once these are written."""
     for path in _made[since:-1]:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        _delete(spark, path)
     del _made[since:-1]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables, as ``stored`` gave them, once what is made from them is stored itself."""
+    for table in tables:
+        _delete(table.sparkSession, table._stored_at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as written Parquet: later steps reread it, and a lost executor costs no more than that."""
     path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
