@@ -175,5 +175,47 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
+#: Scores of all pairs of an anchor and a row; whole numbers, which doubles hold exactly.
+HARD_NEGATIVES = r"""
+WITH whole AS (
+  SELECT DISTINCT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+  FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, other AS positive_id, s FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5),
+pairs AS (
+  SELECT p.anchor_id, positive_id, n.other AS negative_id, p.s AS positive_score, n.s AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.s DESC, n.other)::INTEGER AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM pairs WHERE rank <= 3
+"""
+
+
+def _codes(rounds: int = 2) -> str:
+    """Rows are (row, part, components); a codebook is (part, entry, components). All numbers are whole."""
+    near = "SELECT r, p.part, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM (SELECT p.r, p.part, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM parts p JOIN book{k} b USING (part)) p GROUP BY r, p.part"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"near{k} AS MATERIALIZED ({near.format(k=k)})")
+        steps.append(f"""means{k} AS (SELECT n.part, n.entry, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS m
+  FROM near{k} n JOIN parts p USING (r, part), range(1, 5) AS t(i) GROUP BY ALL)""")
+        steps.append(f"""book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{k} b
+  LEFT JOIN (SELECT part, entry, list(m::BIGINT ORDER BY i) AS v FROM means{k} GROUP BY ALL) m USING (part, entry))""")
+    steps.append(f"near{rounds} AS MATERIALIZED ({near.format(k=rounds)})")
+    return f"""
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+parts AS MATERIALIZED (SELECT r, part, v[4 * part + 1:4 * part + 4] AS v FROM whole, range(16) AS t(part)),
+book0 AS MATERIALIZED (SELECT part, r AS entry, v FROM parts WHERE r < 64),
+{", ".join(steps)},
+sha AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS s FROM book{rounds}),
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM near{rounds} JOIN whole USING (r) GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, s AS codebooks_sha256 FROM coded, sha
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op2_warc_revisits": WARC, "op3_ngram_join": NGRAM_JOIN, "op7_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY}
+    return {"op1_line_dedup": LINE_DEDUP, "op2_warc_revisits": WARC, "op3_ngram_join": NGRAM_JOIN, "op7_chat_formatting": CHAT, "op10_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY, "op12_hard_negatives": HARD_NEGATIVES, "op13_vector_codes": _codes()}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ferrule.llm.chat import formatted_turns, read_back
 from ferrule.llm.common import read_table
 from ferrule.llm.decontam import overlaps
+from ferrule.llm.hard_negatives import hard_negatives
 from ferrule.llm.licenses import license_scan
 from ferrule.llm.line_dedup import line_dedup
 from ferrule.llm.ngram_join import ngram_join
@@ -18,6 +19,8 @@ from ferrule.llm.packing import best_fit_packing
 from ferrule.llm.pii import pseudonymised
 from ferrule.llm.quality import quality_rules
 from ferrule.llm.tokens import prefix_counts
+from ferrule.llm.vector_codes import vector_codes
+from ferrule.llm.vector_graph import nearest_neighbours
 from ferrule.llm.warc import archived
 
 
@@ -65,6 +68,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, sf_dir, "embeddings").withColumn("label", moved), lambda vec_id: vec_id % 50 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -77,4 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_pseudonyms": op8_pii_pseudonyms,
         "op9_token_counts": op9_token_counts,
         "op10_decontamination": op10_decontamination,
+        "op11_nearest_neighbours": op11_nearest_neighbours,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_vector_codes": op13_vector_codes,
     }

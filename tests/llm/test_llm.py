@@ -44,13 +44,13 @@ def texts(spark, sf):
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     return c
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -64,7 +64,7 @@ def test_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables(spark, sf, tmp_path, name):
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == (1 if name.startswith("op7") else 0)
 
