@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import written
-from ferrule.llm.vectors import against, dimension, in_blocks, matrix, packed, partition, usable
+from ferrule.llm.vectors import against, dimension, in_blocks, matrix, packed, runs, usable
 
 #: Rows of a shard, or so; queries of a block.
 SHARD, BLOCK = 16_384, 256
@@ -234,15 +234,15 @@ def vector_index(df: DataFrame, shard_rows: int = SHARD, vec_id: str = "vec_id",
     n = rows.count()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held := list(batches):
-            table = pa.Table.from_batches(held)
-            if table.num_rows:
-                made = Shard.made(table.column(0).to_numpy(), matrix(table.column(1).combine_chunks(), d))
-                for k, band in enumerate(made.bands):
-                    yield pa.RecordBatch.from_arrays([pa.array([partition()], pa.int64()), pa.array([k], pa.int64()), pa.array([packed(*band.arrays())], pa.binary())], ["shard", "ordinal", "payload"])
-
-    # a partition a shard: ids are even under their hash, and repeated rows of one are gone
-    return rows.repartition(max(1, math.ceil(n / shard_rows)), "id", "v").mapInArrow(build, "shard long, ordinal long, payload binary")
+        for number, table in runs(batches, 2):
+            made = Shard.made(table.column(0).to_numpy(), matrix(table.column(1).combine_chunks(), d))
+            for k, band in enumerate(made.bands):
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([k], pa.int64()), pa.array([packed(*band.arrays())], pa.binary())], ["shard", "ordinal", "payload"])
+
+    # a task a shard: rows are even under their hash, and repeated ones are gone
+    shards = max(1, math.ceil(n / shard_rows))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+    return dealt.sortWithinPartitions("shard").mapInArrow(build, "shard long, ordinal long, payload binary")
 
 
 def nearest_neighbours(df: DataFrame, query: Callable[[Column], Column], k: int = 20, beam: int = 192, shard_rows: int = SHARD, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -80,6 +80,22 @@ def regrouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.Table]]:
+    """The runs of rows that have one number in ``column``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and z > a and held[0].column(column)[0].as_py() != values[a]:
+                yield held[0].column(column)[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            if z > a:
+                held.append(batch.slice(a, z - a))
+    if held:
+        yield held[0].column(column)[0].as_py(), pa.Table.from_batches(held)
+
+
 def against(blocks: DataFrame, shards: DataFrame, search: Callable[[Iterator[list[np.ndarray]]], Callable], schema: str) -> DataFrame:
     """Each block of queries against each shard: ``search(arrays of the shard's payloads)`` gives what answers one block.
 
@@ -95,8 +111,10 @@ def against(blocks: DataFrame, shards: DataFrame, search: Callable[[Iterator[lis
     # one row a shard; joined with blocks' numbers only, payloads follow by the part that they belong to
     which = shards.select("shard").distinct().withColumn("part", own)
     right = which.join(blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")), "part").select("shard", "part", F.lit(1).alias("kind"), F.col("block").alias("at"), "payload")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * n_shards * parts, 1000))
-    dealt = left.unionByName(right).repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "kind", "at")
+    # pairs are dealt to tasks one by one, so that none has two while another has none
+    tasks = min(n_shards * parts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1000))
+    both = left.unionByName(right).withColumn("task", F.pmod(F.col("shard") * parts + F.col("part"), F.lit(max(1, tasks))).cast("int"))
+    dealt = both.repartitionById(max(1, tasks), "task").drop("task").sortWithinPartitions("shard", "part", "kind", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, answer = None, [], None
