@@ -158,7 +158,7 @@ def keyed_chunks(rows: DataFrame, pivots: np.ndarray, most: float, d: int, n: in
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 part, far = table.slice(a, z - a), table.column(4).to_numpy()[a:z]
                 payload = packed(part.column(0).to_numpy(), part.column(1).to_numpy(), stacked(part.column(2), d), pivot[a : a + 1], np.array([far[0], far[-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array([partition()], pa.int64()), pa.array([at], pa.int64()), pa.array([payload], pa.binary())], ["shard", "ordinal", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([partition()], pa.int64()), pa.array([(partition() << 32) + at], pa.int64()), pa.array([payload], pa.binary())], ["shard", "ordinal", "payload"])
                 at += 1
 
     keyed = rows.select("id", "label", "x").mapInArrow(keys, "id long, label long, x binary, pivot int, distance double")
@@ -205,6 +205,9 @@ def hard_negatives(df: DataFrame, anchor: Callable[[Column], Column], positives:
     sample = rows.orderBy(F.xxhash64("id", F.lit(11)), "x").limit(SAMPLE).select("x").collect()
     pivots = pivots_of(augmented(np.stack([np.frombuffer(r.x, np.float64) for r in sample]), most), PIVOTS)
     chunks = written(keyed_chunks(rows, pivots, most, d, n), "keyed")
+    # neighbouring ranges are one shard where there are more of them than shards
+    ranges, shards = chunks.agg(F.max("shard")).first()[0] + 1, max(1, math.ceil(n / SHARD))
+    chunks = chunks.withColumn("shard", F.floor(F.col("shard") * F.lit(min(shards, ranges)) / F.lit(ranges)).cast("long"))
     anchors = rows.where(anchor(F.col("id"))).select("id", "label", "x")
 
     def all_scores(table: pa.Table) -> list[np.ndarray]:
