@@ -43,6 +43,11 @@ class Loss:
         good = (loss > 0) & ~F.isnan(loss) & (loss < float("inf"))
         return F.when(good, share / (2.0 * F.when(loss > 0, loss).otherwise(F.lit(1.0)))).otherwise(F.lit(0.0))
 
+    def whole(self, total: float, weight: float) -> float:
+        """As ``finish``, of numbers."""
+        mean = total / weight if weight else 0.0
+        return float(np.sqrt(mean)) if self.root else mean
+
     def numpy(self, yhat: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> float:
         with np.errstate(all="ignore"):
             p = self.point(NUMPY, yhat - y)
