@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 from ferrule.evolve import mutate as mu
-from ferrule.evolve.optim import bfgs, newton
+from ferrule.evolve.optim import answered, trials_of
 from ferrule.functions.losses import cost_of
 from ferrule.operators.constraints import complexity, satisfies
 from ferrule.operators.options import Options
@@ -16,10 +16,6 @@ from ferrule.plans.compile import numpy_eval, numpy_grad
 from ferrule.plans.expr import Const, Expr
 from ferrule.plans.simplify import simplify
 
-#: Fixed value: how many different formulas of a complexity an island hands on, to be scored on all rows.
-FEW = 5
-
-
 @dataclass(frozen=True)
 class Member:
     id: int
@@ -61,8 +57,9 @@ class Island:
         self.o, self.full, self.sample = options, sample, sample
         # drawn from ids alone, so that a task that is run again gives the same island
         self.rng = np.random.default_rng([options.seed, pop, iteration])
-        self.pop, self.members, self.share = pop, members, share
+        self.pop, self.share = pop, share
         self.serial, self.evals = serial, 0.0
+        self.members = [self.measured(m) for m in members]
         self.maxsize = maxsize or options.maxsize
         self.best: dict[int, list[Member]] = {}
 
@@ -80,6 +77,13 @@ class Island:
         self.serial += 1
         return Member((self.pop << 32) + self.serial, parent, self.serial, expr, complexity(expr, self.o), loss, cost)
 
+    def measured(self, m: Member) -> Member:
+        """With the sample's loss where it is still to be found, as that of constants from all rows is."""
+        if not np.isnan(m.loss):
+            return m
+        loss, cost = self.score(m.expr)
+        return replace(m, loss=loss, cost=cost)
+
     def frequency(self, size: int) -> float:
         return max(float(self.share[size - 1]), 1e-6) if 0 < size <= len(self.share) else 1e-6
 
@@ -94,12 +98,12 @@ class Island:
         """The best few formulas of each complexity, best first; only a strictly lower cost takes a slot that is filled."""
         for m in members:
             few = self.best.get(m.complexity, [])
-            if not 0 < m.complexity <= self.o.maxsize or (len(few) == FEW and not m.cost < few[-1].cost):
+            if not 0 < m.complexity <= self.o.maxsize or (len(few) == self.o.candidates and not m.cost < few[-1].cost):
                 continue
             if any(m.cost == o.cost and m.expr == o.expr for o in few) or not satisfies(m.expr, self.o):
                 continue
             at = next((i for i, o in enumerate(few) if m.cost < o.cost), len(few))
-            self.best[m.complexity] = [*few[:at], m, *few[at:]][:FEW]
+            self.best[m.complexity] = [*few[:at], m, *few[at:]][: self.o.candidates]
 
     def tournament(self) -> Member:
         n = min(self.o.tournament_selection_n, len(self.members))
@@ -197,11 +201,7 @@ class Island:
         improved = False
         for r in range(1 + self.o.optimizer_nrestarts):
             x0 = start if r == 0 else start * (1 + 0.5 * self.rng.standard_normal(k))
-            if k == 1:
-                x, value = newton(objective, float(x0[0]), self.o.optimizer_iterations, self.o.optimizer_f_calls_limit)
-                x = np.array([x])
-            else:
-                x, value = bfgs(objective, x0, self.o.optimizer_iterations, self.o.optimizer_f_calls_limit)
+            x, value = answered(trials_of(x0, self.o.optimizer_iterations, self.o.optimizer_f_calls_limit), objective)
             if np.isfinite(value) and value < least:
                 best, least, improved = x, value, True
         return self.member(m.expr.with_constants(best), m.parent) if improved else m
@@ -231,6 +231,6 @@ class Island:
         """A Poisson number of members give way to members of the pool, which get an id and birth of this island."""
         n = min(int(self.rng.poisson(len(self.members) * fraction)), len(self.members), len(pool))
         for _ in range(n):
-            m = pool[int(self.rng.integers(len(pool)))]
+            m = self.measured(pool[int(self.rng.integers(len(pool)))])
             self.serial += 1
             self.members[int(self.rng.integers(len(self.members)))] = replace(m, id=(self.pop << 32) + self.serial, parent=m.id, birth=self.serial)

@@ -44,7 +44,7 @@ class StateLoss:
 W, MY, MP, YY, PP, YP, EE = range(7)
 
 
-def _moments(yhat: np.ndarray, y: np.ndarray, w: np.ndarray | None) -> np.ndarray:
+def moments(yhat: np.ndarray, y: np.ndarray, w: np.ndarray | None) -> np.ndarray:
     if not len(y):
         return np.zeros(7)
     w = np.ones(len(y)) if w is None else w
@@ -69,7 +69,7 @@ def merged_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _update_moments(state: np.ndarray, yhat: np.ndarray, y: np.ndarray, w: np.ndarray | None) -> np.ndarray:
-    return merged_moments(state, _moments(yhat, y, w))
+    return merged_moments(state, moments(yhat, y, w))
 
 
 def _weight(w: np.ndarray | None) -> np.ndarray | float:

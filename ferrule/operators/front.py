@@ -1,7 +1,9 @@
 """The relational steps of a search: best per complexity, Pareto front, top lists, histograms, lookups.
 
-Groups go by complexity or population, both bounded by options, and every step that keeps few rows of a group is an
-aggregate with partial aggregation, so that members may be many. Ties are always broken by arrival.
+Groups go by complexity or population, both bounded by options. What keeps one row of a group is an aggregate with partial
+aggregation; top lists and the oldest members are ranks, of which Spark keeps the first ones before it shuffles. Ties are
+always broken by arrival. ``pareto_front`` takes a row a complexity; ``skyline`` and ``nearest_lower_each`` take tables of
+any size, in ranges of their order.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.plans.store import stored
+
 
 def _least(order: list[str], kept: list[str]) -> Column:
     """The row least in ``order``, as an aggregate; min over structs, as min_by may return any of equal rows."""
@@ -32,6 +36,71 @@ def pareto_front(best: DataFrame, complexity: str = "complexity", loss: str = "l
     return kept.drop("__before")
 
 
+def skyline(df: DataFrame, x: str, y: str, order: list[str] | None = None) -> DataFrame:
+    """The Pareto front of a table of any size: the rows whose ``y`` is less than that of all rows with a lesser ``x``, one
+    for each ``x`` (the least in ``y`` and ``order``). Rows with a null or NaN ``x`` or ``y``, or an infinite ``y``, are not in it.
+
+    Rows are pre-aggregated by ``x`` and sorted in ranges. Each range's least ``y`` goes to the driver, a number a partition;
+    a row is then compared with the least before its range, and with those before it inside."""
+    known = F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")) & (F.col(y) < float("inf"))
+    kept = [c for c in df.columns if c != x]
+    best = df.where(known).groupBy(x).agg(_least([y, *(order or [])], kept).alias("__b")).select(*(F.col(x) if c == x else F.col(f"__b.{c}").alias(c) for c in df.columns))
+    ranges = stored(best.repartitionByRange(x).withColumn("__p", F.spark_partition_id()), "ranges")
+    least, before = None, []
+    for r in ranges.groupBy("__p").agg(F.min(y).alias("y")).orderBy("__p").collect():  # a row a partition
+        before.append((r["__p"], least))
+        least = r.y if least is None else min(least, r.y)
+    kind = df.schema[y].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(before, f"__p int, __before {kind}")
+    inside = F.min(y).over(Window.partitionBy("__p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+    limit = F.least("__inside", "__before")  # of the two, nulls are left out
+    rows = ranges.withColumn("__inside", inside).join(F.broadcast(table), "__p")
+    return rows.where(limit.isNull() | (F.col(y) < limit)).select(*df.columns)
+
+
+def nearest_lower_each(requests: DataFrame, front: DataFrame, by: list[str], wanted: str, complexity: str = "complexity", arrival: str = "arrival", prefix: str = "found_") -> DataFrame:
+    """``requests`` with the columns of the member that each asks for, of the members with its ``by``: that of the largest
+    complexity up to ``wanted`` (the last of equal ones), else the simplest; nulls where there are no members. Requests
+    with a null ``by`` or ``wanted`` find none.
+
+    An as-of join: both tables are sorted as one, members before requests, in ranges; each request takes the last member
+    before it, or else the first one after it. What a range takes from other ranges is one member from either side, which
+    the driver carries over, so neither a range join nor a group in one task is needed."""
+    members = front.where(F.col(complexity).isNotNull())
+    names = [c for c in front.columns if c not in by]
+    member = F.struct(F.col(complexity).cast("double").alias("__c"), F.col(arrival).alias("__a"), *names)
+    left = members.select(*by, F.col(complexity).cast("double").alias("__at"), F.lit(0).alias("__kind"), F.col(arrival).cast("double").alias("__tie"), member.alias("__m"), F.lit(None).cast(requests.select(F.struct(*requests.columns)).schema[0].dataType).alias("__r"))
+    right = requests.select(*by, F.col(wanted).cast("double").alias("__at"), F.lit(1).alias("__kind"), F.rand(0).alias("__tie"), F.lit(None).cast(left.schema["__m"].dataType).alias("__m"), F.struct(*requests.columns).alias("__r"))
+    order = [*by, "__at", "__kind", "__tie"]
+    ranges = stored(left.unionByName(right).repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    group = F.struct(*by)
+    is_member = F.col("__kind") == 0
+    # of each range its first and last member, a row a partition
+    ends = ranges.where(is_member).groupBy("__p").agg(F.min(F.struct(*order, "__m")).alias("first"), F.max(F.struct(*order, "__m")).alias("last")).orderBy("__p")
+    ends = {r["__p"]: r for r in ends.collect()}
+    last_p = max([*ends, *(r["__p"] for r in ranges.select("__p").distinct().collect())], default=-1)
+    carried, before = [], None
+    for p in range(last_p + 1):
+        carried.append([p, before, None])
+        before = ends[p]["last"] if p in ends else before
+    after = None
+    for p in range(last_p, -1, -1):
+        carried[p][2] = after
+        after = ends[p]["first"] if p in ends else after
+    side = ranges.select(F.struct(*order, "__m").alias("s")).schema["s"].dataType.simpleString()
+    table = requests.sparkSession.createDataFrame([tuple(c) for c in carried], f"__p int, __before {side}, __after {side}")
+    inside = Window.partitionBy("__p").orderBy(*order)
+    own = F.when(is_member, F.struct(*order, "__m"))
+    rows = ranges.withColumn("__lower", F.last(own, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__upper", F.first(own, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.where(~is_member).join(F.broadcast(table), "__p")
+    same = lambda c: F.when(F.struct(*(F.col(f"{c}.{b}").alias(b) for b in by)) == group, F.col(f"{c}.__m"))
+    # a range's own member is nearer than one that was carried over
+    found = F.coalesce(F.coalesce(same("__lower"), same("__before")), F.coalesce(same("__upper"), same("__after")))
+    found = F.when(F.col("__at").isNotNull(), found)
+    return rows.withColumn("__f", found).select("__r.*", *(F.col(f"__f.{c}").alias(f"{prefix}{c}") for c in names))
+
+
 def front_tail(front: DataFrame, k: int, complexity: str = "complexity") -> DataFrame:
     return front.orderBy(F.col(complexity).desc()).limit(k)
 

@@ -1,16 +1,35 @@
-"""Metrics of a prediction and summaries of columns, in one aggregation, or in two where rows have weights."""
+"""Metrics of a prediction and summaries of columns, in one pass over the rows."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.scalar import SPARK
+from ferrule.functions.state_losses import EE, MY, PP, W, YP, YY, StateLoss, merged_moments, moments
+from ferrule.operators.scoring import states_by
 from ferrule.plans.compile import finite
 
+#: Places in the state of a weighted prediction: moments of all rows alike, those by weight, and what has no moments.
+ALIKE, WEIGHED, AE, LEAST, MOST = 0, 7, 14, 15, 16
+
+
+def _update(state: np.ndarray, p: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    if not len(y):
+        return state
+    e = np.abs(p - y)
+    # a weight of 0 weighs nothing, whatever the error
+    return _merge(state, np.concatenate([moments(p, y, None), moments(p, y, w), [float((e * w).sum()), np.fmin.reduce(e), np.fmax.reduce(e)]]))
+
+
+def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([merged_moments(a[:WEIGHED], b[:WEIGHED]), merged_moments(a[WEIGHED:AE], b[WEIGHED:AE]), [a[AE] + b[AE], min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST])]])
+
+
+#: What is kept of a prediction with weights; it merges, so metrics of any data are one pass.
+WEIGHTED = StateLoss("metrics", (*[0.0] * 15, float("inf"), float("-inf")), _update, _merge, lambda s: float(s[WEIGHED + EE]))
+
 
 def metrics(df: DataFrame, yhat: str = "yhat", y: str = "y", w: str | None = None, by: list[str] | None = None) -> DataFrame:
     """n, mse, mae, rmse, r2, corr, min_abs_err and max_abs_err, of all rows or of each group.
@@ -28,13 +47,14 @@ def metrics(df: DataFrame, yhat: str = "yhat", y: str = "y", w: str | None = Non
         # moments about the mean merge, so that one pass will do
         whole = df.groupBy(*by).agg(*own, n.alias("w"), F.sum(e * e).alias("se"), F.sum(F.abs(e)).alias("ae"), (vy * n).alias("sst"), (F.covar_pop(a, b) * n).alias("cov"), (vy * n).alias("vy"), (F.var_pop(a) * n).alias("vp"))
     else:
-        v = F.col(w)
-        means = df.groupBy(*by).agg(F.sum(b * v).alias("__yw"), F.sum(v).alias("__w"), F.avg(a).alias("__p"))
-        means = means.select(*(F.col(c).alias(f"__by_{c}") for c in by), SPARK.div(F.col("__yw"), F.col("__w")).alias("__y"), "__p")
-        # a row for each group, of which a null key is one, or one in all
-        both = df.join(means, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by))) if by else df.join(F.broadcast(means))
-        dy, dp = b - F.col("__y"), a - F.col("__p")
-        whole = both.groupBy(*by).agg(*own, F.sum(v).alias("w"), F.sum(e * e * v).alias("se"), F.sum(F.abs(e) * v).alias("ae"), F.sum(dy * dy * v).alias("sst"), F.sum(dy * dp).alias("cov"), F.sum(dy * dy).alias("vy"), F.sum(dp * dp).alias("vp"))
+        states = states_by(df, WEIGHTED, yhat, y, w, by)
+        s = lambda k: F.get("state", F.lit(k))
+        shift = s(MY) - s(WEIGHED + MY)  # y is centred at its weighted mean, also where rows weigh alike
+        some = s(W) > 0
+        whole = states.select(
+            *by, s(W).cast("long").alias("n"), F.when(some, s(LEAST)).alias("least"), F.when(some, s(MOST)).alias("most"), s(WEIGHED + W).alias("w"), s(WEIGHED + EE).alias("se"), s(AE).alias("ae"),
+            s(WEIGHED + YY).alias("sst"), s(YP).alias("cov"), (s(YY) + s(W) * shift * shift).alias("vy"), s(PP).alias("vp"),
+        )
     nan = F.lit(float("nan"))
     mean = lambda c: F.when(F.col("n") == 0, nan).otherwise(SPARK.div(F.col(c), F.col("w")))
     r2 = F.when(F.col("n") == 0, nan).when(F.col("sst") == 0, F.lit(0.0)).otherwise(1.0 - SPARK.div(F.col("se"), F.col("sst")))

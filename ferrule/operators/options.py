@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
 from ferrule.functions.losses import Loss, mse
+from ferrule.functions.state_losses import StateLoss
 from ferrule.functions.scalar import OperatorSet
 
 
@@ -28,7 +29,7 @@ class MutationWeights:
 @dataclass(frozen=True)
 class Options:
     operators: OperatorSet = field(default_factory=OperatorSet.default)
-    loss: Loss = field(default_factory=mse)
+    loss: Loss | StateLoss = field(default_factory=mse)
     weights: MutationWeights = MutationWeights()
     seed: int = 0
     niterations: int = 100
@@ -74,6 +75,8 @@ class Options:
     nested_constraints: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
     #: rows of the training sample that each island holds
     sample_rows: int = 100_000
+    #: how many different formulas of a complexity an island hands on, to be scored on all rows
+    candidates: int = 5
 
 
 def defaults(spark):

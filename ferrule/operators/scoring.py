@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ferrule.evolve.optim import Trials, bfgs_trials, trials_of
 from ferrule.functions.losses import Loss
@@ -62,8 +64,8 @@ def merged_states(parts: DataFrame, keys: list[str], loss: StateLoss) -> DataFra
     """``parts``: keys, ``state`` and ``good``, a row for each task that has met the key. The states of a key are merged in a
     tree: in ``FAN_IN`` parts by the number of the task, and then these, so that no key's states are all one task's work."""
     names = [*keys, "state", "good"]
-    kinds = [f.dataType.simpleString() for f in parts.select(*keys).schema]
-    schema = ", ".join([*(f"`{c}` {k}" for c, k in zip(keys, kinds, strict=True)), "state array<double>", "good boolean"])
+    fields = parts.select(*keys).schema.fields
+    schema = parts.select(*names).schema
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
@@ -74,27 +76,27 @@ def merged_states(parts: DataFrame, keys: list[str], loss: StateLoss) -> DataFra
                     held[key] = [loss.merge(held[key][0], state), held[key][1] and row["good"]]
                     continue
                 if len(held) >= HELD:  # rows come in the order of keys, so what is held is done
-                    yield _states(held, keys, kinds)
+                    yield _states(held, fields)
                     held = {}
                 held[key] = [state, row["good"]]
         if held:
-            yield _states(held, keys, kinds)
+            yield _states(held, fields)
 
     dealt = parts.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))).repartition(*keys, "__part")
+    if not keys:
+        return dealt.select(*names).mapInArrow(merge, schema).coalesce(1).mapInArrow(merge, schema)
     some = dealt.sortWithinPartitions(*keys).select(*names).mapInArrow(merge, schema)
-    whole = some.repartition(*keys).sortWithinPartitions(*keys) if keys else some.coalesce(1)
-    return whole.mapInArrow(merge, schema)
+    return some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, schema)
 
 
-def _states(held: dict[tuple, list], keys: list[str], kinds: list[str]) -> pa.RecordBatch:
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "date": pa.date32()}
-    cols = [pa.array([k[i] for k in held], arrow[kinds[i]]) for i in range(len(keys))]
-    return pa.RecordBatch.from_arrays([*cols, pa.array([s.tolist() for s, _ in held.values()], pa.list_(pa.float64())), pa.array([bool(g) for _, g in held.values()])], [*keys, "state", "good"])
+def _states(held: dict[tuple, list], fields: list[T.StructField]) -> pa.RecordBatch:
+    cols = [pa.array([k[i] for k in held], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array([s.tolist() for s, _ in held.values()], pa.list_(pa.float64())), pa.array([bool(g) for _, g in held.values()])], [*(f.name for f in fields), "state", "good"])
 
 
 def finished(states: DataFrame, keys: list[str], loss: StateLoss) -> DataFrame:
     """Keys, loss (null where some row failed) and ok."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in states.select(*keys).schema), "loss double", "ok boolean"])
+    schema = T.StructType([*states.select(*keys).schema.fields, T.StructField("loss", T.DoubleType()), T.StructField("ok", T.BooleanType())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,35 +119,42 @@ def _groups(batch: pa.RecordBatch, n: int) -> Iterator[tuple[tuple, np.ndarray]]
         yield tuple(batch.column(k)[int(rows[0])].as_py() for k in range(n)), rows
 
 
-def state_loss(df: DataFrame, loss: StateLoss, yhat: str, y: str, w: str | None = None, by: Sequence[str] = (), ok: str | None = None) -> DataFrame:
-    """``loss`` and ``ok`` of all rows, or of each group of columns ``by`` (whole numbers, text, dates, flags; null is a group).
+def states_by(df: DataFrame, loss: StateLoss, yhat: str, y: str, w: str | None = None, by: Sequence[str] = (), ok: str | None = None) -> DataFrame:
+    """The finished ``state`` of all rows, or of each group of columns ``by`` (null is a group), and ``good``.
 
-    A task makes one state a group, and the states are merged in a tree. ``ok`` names the flag of a row's prediction: where
-    it is false somewhere, the group has no loss. No rows give no group, or without ``by`` the loss of no rows."""
+    A task makes one state a group, and the states are merged in a tree."""
     by = list(by)
-    kinds = [f.dataType.simpleString() for f in df.select(*by).schema]
-    schema = ", ".join([*(f"`{c}` {k}" for c, k in zip(by, kinds, strict=True)), "state array<double>", "good boolean"])
+    fields = df.select(*by).schema.fields
+    schema = T.StructType([*fields, T.StructField("state", T.ArrayType(T.DoubleType())), T.StructField("good", T.BooleanType())])
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {} if by else {(): [loss.empty(), True]}
+        held: dict[tuple, list] = {}
         for batch in batches:
             p, t, v = (np.asarray(batch.column(len(by) + k), dtype=np.float64) for k in range(3))
             good = batch.column(len(by) + 3).to_numpy(zero_copy_only=False).astype(bool)
             for key, rows in _groups(batch, len(by)):
                 if key not in held:
                     if len(held) >= HELD:
-                        yield _states(held, by, kinds)
+                        yield _states(held, fields)
                         held = {}
                     held[key] = [loss.empty(), True]
                 with np.errstate(all="ignore"):
                     held[key] = [loss.update(held[key][0], p[rows], t[rows], v[rows] if w else None), held[key][1] and bool(good[rows].all())]
         if held:
-            yield _states(held, by, kinds)
+            yield _states(held, fields)
 
     weight = F.col(w).cast("double") if w else F.lit(1.0)
     rows = df.select(*by, F.col(yhat).cast("double").alias("__p"), F.col(y).cast("double").alias("__y"), weight.alias("__v"), F.coalesce(F.col(ok), F.lit(False)).alias("__g") if ok else F.lit(True).alias("__g"))
     parts = rows.mapInArrow(states, schema)
-    return finished(merged_states(parts, by, loss), by, loss)
+    if not by:  # no rows have a state too
+        parts = parts.unionByName(df.sparkSession.createDataFrame([(list(loss.init), True)], "state array<double>, good boolean"))
+    return merged_states(parts, by, loss)
+
+
+def state_loss(df: DataFrame, loss: StateLoss, yhat: str, y: str, w: str | None = None, by: Sequence[str] = (), ok: str | None = None) -> DataFrame:
+    """``loss`` and ``ok`` of all rows, or of each group. ``ok`` names the flag of a row's prediction: where it is false
+    somewhere, the group has no loss."""
+    return finished(states_by(df, loss, yhat, y, w, by, ok), list(by), loss)
 
 
 def score_many(data: Dataset, exprs: Sequence[Expr], loss: Loss | StateLoss) -> DataFrame:
@@ -251,7 +260,7 @@ def _states_of(data: Dataset, exprs: Sequence[Expr], loss: StateLoss) -> DataFra
                 held[k] = loss.update(held[k], value, y, w)
 
             program.run(x, take)
-        yield _states({(k,): [held[k], program.good[k]] for k in range(len(formulas))}, ["k"], ["bigint"])
+        yield _states({(k,): [held[k], program.good[k]] for k in range(len(formulas))}, [T.StructField("k", T.LongType())])
 
     return merged_states(data.project().mapInArrow(states, "k long, state array<double>, good boolean"), ["k"], loss)
 

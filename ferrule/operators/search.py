@@ -3,44 +3,66 @@
 Each island holds the bounded training sample and runs a whole iteration in its task; random numbers come from (seed,
 population, iteration), so a task that runs again gives the same members. What the islands return is merged by the
 relational steps in ``front``, and stored before the next iteration. All islands of an iteration see the same histogram
-and the same migrants, so the result doesn't depend on which of them ends first. Where the sample isn't all of
-the data, the members and the best few formulas of each complexity are scored on all rows after each iteration, in one
-pass, and hall of fame, migrants and front go by those losses.
+and the same migrants, so the result doesn't depend on which of them ends first.
+
+Where the sample isn't all of the data, a member has two losses. Inside an iteration all decisions go by the sample's,
+``own_loss``: a child and its parent are always measured alike. After it, the constants of drawn members are optimised over
+all rows, all of them in step (``scoring.search_constants``), and the members and the best ``Options.candidates`` formulas of
+each complexity are scored on all rows in one pass. Hall of fame, migrants and front go by those losses. They are kept with
+the members, so a snapshot reads no row of the data.
+
+With ``path`` a search outlives its driver: after each iteration its tables are written there, and then a manifest, by a
+rename, that says which they are. ``SearchEngine.resume`` goes on from the last manifest; older iterations are deleted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Iterator
+from dataclasses import fields, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.evolve.island import FEW, Island, Member, Sample, decayed
+from ferrule.evolve.island import Island, Member, Sample, decayed
 from ferrule.functions.losses import cost_of
 from ferrule.functions.scalar import BUILTIN
 from ferrule.operators import front
 from ferrule.operators.constraints import size_limit
 from ferrule.operators.metrics import metrics
 from ferrule.operators.options import Options
-from ferrule.operators.scoring import baseline_loss, loss_of, optimised_constants, score_many
+from ferrule.operators.scoring import baseline_loss, score_many, search_constants
 from ferrule.plans.compile import evaluate
-from ferrule.plans.expr import Expr
-from ferrule.plans.store import stored
+from ferrule.plans.expr import Const, Expr
+from ferrule.plans.store import discard, remove, stored, text_file, written_whole
 from ferrule.sources.dataset import Dataset, bounded_sample, exact_split
 
-MEMBERS = "pop long, id long, parent long, birth long, arrival long, expr string, complexity int, loss double, cost double, kind string, serial long, evals double"
+MEMBERS = "pop long, id long, parent long, birth long, arrival long, expr string, complexity int, loss double, cost double, own_loss double, own_cost double, kind string, serial long, evals double"
 
 
 def _row(pop: int, arrival: int, m: Member, kind: str, serial: int, evals: float) -> tuple:
-    return (pop, m.id, m.parent, m.birth, arrival, json.dumps(m.expr.to_row()), m.complexity, m.loss, m.cost, kind, serial, evals)
+    return (pop, m.id, m.parent, m.birth, arrival, json.dumps(m.expr.to_row()), m.complexity, m.loss, m.cost, m.loss, m.cost, kind, serial, evals)
 
 
 def _member(r, ops) -> Member:
-    return Member(int(r.id), None if pd.isna(r.parent) else int(r.parent), int(r.birth), Expr.from_row(json.loads(r.expr), ops), int(r.complexity), float(r.loss), float(r.cost))
+    """A member as islands see it, by its loss on the sample; NaN where that is still to be found."""
+    return Member(int(r.id), None if pd.isna(r.parent) else int(r.parent), int(r.birth), Expr.from_row(json.loads(r.expr), ops), int(r.complexity), float(r.own_loss), float(r.own_cost))
+
+
+def fingerprint(data: Dataset) -> str:
+    """Roles, number of rows and a sum of the rows' hashes: the same for the same rows in any order."""
+    row = data.project().agg(F.count("*").alias("n"), F.sum(F.xxhash64(*data.x, data.y, *([data.w] if data.w else [])).cast("decimal(20,0)")).alias("h")).first()
+    return json.dumps([list(data.x), data.y, data.w, row.n, str(row.h)])
+
+
+def described(o: Options) -> str:
+    """A digest of the options, by which a resumed search is told from another one."""
+    plain = {f.name: str(getattr(o, f.name)) for f in fields(o) if f.name not in ("operators", "loss", "niterations")}
+    return hashlib.sha256(json.dumps([plain, sorted(o.operators.ops), o.loss.name]).encode()).hexdigest()
 
 
 def settled(loss: float | None) -> float:
@@ -67,9 +89,10 @@ class Speed:
 class SearchEngine:
     """A search that is stepped: ``step(n)`` runs n iterations, ``snapshot()`` shows where it is."""
 
-    def __init__(self, data: Dataset, options: Options | None = None, validation_fraction: float = 0.0, key: str | None = None):
+    def __init__(self, data: Dataset, options: Options | None = None, validation_fraction: float = 0.0, key: str | None = None, path: str | None = None, _from: dict | None = None):
         self.options = options or Options()
         self.spark = data.df.sparkSession
+        self.path, self.split_by = path and path.rstrip("/"), (validation_fraction, key)
         self.data, self.validation = data, None
         if validation_fraction > 0:
             if key is None:
@@ -77,17 +100,83 @@ class SearchEngine:
             halves = stored(exact_split(data.df, validation_fraction, key, self.options.seed), "split")
             self.data = Dataset(halves.where("NOT is_val"), data.x, data.y, data.w)
             self.validation = Dataset(halves.where("is_val"), data.x, data.y, data.w)
-        baseline = baseline_loss(self.data, self.options.loss)
-        self.baseline = None if baseline is None else settled(baseline)
-        self.sample = Sample(*bounded_sample(self.data, self.options.sample_rows, self.options.seed), baseline=self.baseline)
-        self.sampled = len(self.sample.y) < self.data.df.count()
+        if _from is None:
+            baseline = baseline_loss(self.data, self.options.loss)
+            self.baseline = None if baseline is None else settled(baseline)
+            x, y, w = bounded_sample(self.data, self.options.sample_rows, self.options.seed)
+            self.sampled = len(y) < self.data.df.count()
+        else:
+            self.baseline, self.sampled = _from["baseline"], _from["sampled"]
+            x, y, w = self._kept_sample()
+        self.sample = Sample(x, y, w, baseline=self.baseline)
         self.shared = self.spark.sparkContext.broadcast(self.sample)
         self.iteration, self.total_evals, self.speed = 0, 0.0, Speed()
         self.freq = np.ones(self.options.maxsize)
         self.members: DataFrame | None = None
+        self.members_of: DataFrame | None = None  # the stored table that the members are in
         self.hof: DataFrame | None = None
         self.tops: dict[int, list[Member]] = {}
         self.ops = BUILTIN | self.options.operators.ops
+        self.data_print = fingerprint(self.data) if self.path else None
+        if self.path and _from is None:
+            self._keep_sample()
+            self._keep()
+        if _from is not None:
+            self._restore(_from)
+
+    # -- a search that outlives its driver --
+    def _keep_sample(self) -> None:
+        """The sample's rows in their order, since another session may draw others; at most ``sample_rows``."""
+        s = self.sample
+        rows = pd.DataFrame({**{f"x{k}": v for k, v in enumerate(s.x)}, "y": s.y, **({} if s.w is None else {"w": s.w}), "row": np.arange(len(s.y))})
+        self.spark.createDataFrame(rows).write.mode("overwrite").parquet(f"{self.path}/sample")
+
+    def _kept_sample(self) -> tuple:
+        rows = self.spark.read.parquet(f"{self.path}/sample").toPandas().sort_values("row")
+        return rows[[f"x{k}" for k in range(len(self.data.x))]].to_numpy(np.float64).T.copy(), rows["y"].to_numpy(np.float64), rows["w"].to_numpy(np.float64) if "w" in rows else None
+
+    def _keep(self) -> None:
+        """Tables first, then the manifest that names them; only then what it no longer names goes."""
+        tables = {}
+        for name, df in (("members", self.members), ("hof", self.hof)):
+            if df is not None:
+                tables[name] = f"{name}-{self.iteration}"
+                df.write.mode("overwrite").parquet(f"{self.path}/{tables[name]}")
+        manifest = {
+            "iteration": self.iteration, "total_evals": self.total_evals, "freq": self.freq.tolist(), "speed": [self.speed.last, self.speed.smooth], "baseline": self.baseline, "sampled": self.sampled,
+            "tables": tables, "options": described(self.options), "data": self.data_print, "split": list(self.split_by),
+        }
+        written_whole(self.spark, f"{self.path}/manifest.json", json.dumps(manifest))
+        for name in tables if self.iteration > 1 else ():
+            remove(self.spark, f"{self.path}/{name}-{self.iteration - 1}")
+
+    @classmethod
+    def resume(cls, data: Dataset, options: Options, path: str) -> SearchEngine:
+        """The search that was kept at ``path``, in a session of its own, where its last whole iteration left it.
+
+        Data and options must be those that it began with (``niterations`` may grow)."""
+        kept = json.loads(text_file(data.df.sparkSession, f"{path.rstrip('/')}/manifest.json"))
+        if kept["options"] != described(options):
+            raise ValueError("the search was kept with other options")
+        engine = cls(data, options, *kept["split"], path=path, _from=kept)
+        if engine.data_print != kept["data"]:
+            raise ValueError("the search was kept with other data")
+        return engine
+
+    def _restore(self, kept: dict) -> None:
+        self.iteration, self.total_evals, self.freq = kept["iteration"], kept["total_evals"], np.array(kept["freq"])
+        self.speed.last, self.speed.smooth = kept["speed"]
+        if kept["tables"]:
+            # copied, since the next iteration deletes what the manifest named
+            self.members, self.hof = (stored(self.spark.read.parquet(f"{self.path}/{kept['tables'][k]}"), k) for k in ("members", "hof"))
+            self.members_of = self.members
+            self._take_tops()
+
+    def _take_tops(self) -> None:
+        """Each population's best, from which others draw migrants; bounded by populations * topn."""
+        self.tops = {}
+        for r in front.top_members(self.members, self.options.topn).collect():
+            self.tops.setdefault(int(r["pop"]), []).append(_member(r, self.ops))
 
     @property
     def is_finished(self) -> bool:
@@ -110,25 +199,59 @@ class SearchEngine:
     def _iterate(self) -> None:
         began, before = time.monotonic(), self.total_evals
         self._run_islands()
+        if self.path:
+            self._keep()
         self.speed.add((self.total_evals - before) / max(time.monotonic() - began, 1e-9))
 
+    def _cost(self, loss: float, size: int) -> float:
+        o = self.options
+        return float(cost_of(loss, size, o.parsimony, self.baseline if o.use_baseline else None))
+
+    def _optimised(self, out: DataFrame) -> DataFrame:
+        """``out`` with better constants, over all rows, of members that are drawn for it; these then count as new ones.
+
+        Members are bounded by populations * population_size."""
+        o = self.options
+        rows = out.where("kind = 'member'").orderBy("pop", "arrival").collect()
+        rng = np.random.default_rng([o.seed, self.iteration, 2])
+        drawn = [r for r in rows if rng.random() < o.optimizer_probability]
+        exprs = [Expr.from_row(json.loads(r.expr), self.ops) for r in drawn]
+        some = [k for k, e in enumerate(exprs) if e.count(Const)]
+        found = search_constants(self.data, [exprs[k] for k in some], o.loss, o.optimizer_iterations, o.optimizer_nrestarts, o.seed + self.iteration, o.optimizer_f_calls_limit) if some else []
+        better, serial = {}, {r["pop"]: r.serial for r in rows}
+        for k, (e, _) in zip(some, found, strict=True):
+            if e != exprs[k]:
+                r = drawn[k]
+                serial[r["pop"]] += 1
+                better[r.id] = (r.id, (r["pop"] << 32) + serial[r["pop"]], serial[r["pop"]], json.dumps(e.to_row()))
+        if not better:
+            return out
+        table = self.spark.createDataFrame(list(better.values()), "__old long, __id long, __birth long, __expr string")
+        last = self.spark.createDataFrame(list(serial.items()), "pop long, __serial long")
+        mine = F.col("__id").isNotNull()
+        unknown = F.lit(float("nan"))  # the sample's loss of new constants is for the island to find
+        both = out.join(F.broadcast(table), (F.col("id") == F.col("__old")) & (F.col("kind") == "member"), "left").join(F.broadcast(last), "pop")
+        new = {"parent": F.when(mine, F.col("id")).otherwise(F.col("parent")), "id": F.coalesce("__id", "id"), "birth": F.coalesce("__birth", "birth"), "expr": F.coalesce("__expr", "expr"), "serial": F.col("__serial")}
+        new |= {c: F.when(mine, unknown).otherwise(F.col(c)) for c in ("own_loss", "own_cost")}
+        return both.select(*((new[c] if c in new else F.col(c)).alias(c) for c in out.columns))
+
     def _on_all_rows(self, out: DataFrame) -> DataFrame:
         """Members, and the best few formulas of each complexity, with loss and cost over all rows."""
         o = self.options
         rank = F.dense_rank().over(Window.partitionBy("kind", "complexity").orderBy("cost", "expr"))
-        kept = out.withColumn("__rank", rank).where((F.col("kind") == "member") | (F.col("__rank") <= FEW)).drop("__rank")
-        # bounded by populations * population_size + maxsize * FEW
+        kept = out.withColumn("__rank", rank).where((F.col("kind") == "member") | (F.col("__rank") <= o.candidates)).drop("__rank")
+        # bounded by populations * population_size + maxsize * candidates
         rows = kept.select("expr", "complexity").distinct().orderBy("complexity", "expr").collect()
         losses = {r.k: r.loss for r in score_many(self.data, [Expr.from_row(json.loads(r.expr), self.ops) for r in rows], o.loss).collect()}
-        scored = []
-        for k, r in enumerate(rows):
-            loss = settled(losses[k])
-            scored.append((r.expr, r.complexity, loss, float(cost_of(loss, r.complexity, o.parsimony, self.baseline if o.use_baseline else None))))
+        scored = [(r.expr, r.complexity, loss := settled(losses[k]), self._cost(loss, r.complexity)) for k, r in enumerate(rows)]
         table = self.spark.createDataFrame(scored, "expr string, complexity int, loss double, cost double")
         return kept.drop("loss", "cost").join(F.broadcast(table), ["expr", "complexity"]).select(*out.columns)
 
     def _run_islands(self) -> None:
-        o, iteration, shared, ops = self.options, self.iteration, self.shared, self.ops
+        iteration, shared, ops = self.iteration, self.shared, self.ops
+        # constants are optimised after the iteration, over all rows, where the sample isn't all of them
+        everywhere = self.sampled and self.options.should_optimize_constants
+        o = replace(self.options, should_optimize_constants=False) if everywhere else self.options
         share = self.freq / self.freq.sum()
         maxsize = size_limit(o.maxsize, o.warmup_maxsize_by, iteration / max(1, o.niterations))
         pools = {p: [m for q, ms in self.tops.items() if q != p for m in ms] for p in range(o.populations)} if o.migration else {}
@@ -159,17 +282,24 @@ class SearchEngine:
         # a partition an island, whatever the members' table weighs: adaptive execution would run them all in one task
         out = stored(self.spark.range(0, o.populations, 1, o.populations).mapInPandas(islands, MEMBERS), "members")
         held.destroy()
+        made = [out]
+        if everywhere:
+            out = stored(self._optimised(out), "members")
+            made.append(out)
         if self.sampled:
             out = stored(self._on_all_rows(out), "members")
+            made.append(out)
         self.iteration += 1
+        before = (self.members_of, self.hof)
+        self.members_of = out
         self.members = out.where("kind = 'member'")
         # members too: on all rows, one of them may be better than those that were best on the sample
-        found = (out if self.sampled else out.where("kind = 'best'")).withColumn("arrival", F.col("pop") * 1_000_000 + F.col("arrival") + 1 + self.iteration * 10**12)
+        # what fails on some row is no candidate
+        found = (out if self.sampled else out.where("kind = 'best'")).where(F.col("loss") < float("inf")).withColumn("arrival", F.col("pop") * 1_000_000 + F.col("arrival") + 1 + self.iteration * 10**12)
         self.hof = stored(front.best_by_complexity(found if self.hof is None else self.hof.unionByName(found), o.maxsize), "hof")
-        # bounded by populations * topn, and by maxsize
-        self.tops = {}
-        for r in front.top_members(self.members, o.topn).collect():
-            self.tops.setdefault(int(r["pop"]), []).append(_member(r, ops))
+        discard(*made[:-1], *(t for t in before if t is not None))  # what these were made from
+        self._take_tops()
+        # bounded by maxsize
         sizes = {r["complexity"]: r["n"] for r in self.members.groupBy("complexity").agg(F.count("*").alias("n")).collect()}
         for size, n in sizes.items():
             if 0 < size <= o.maxsize:
@@ -185,17 +315,13 @@ class SearchEngine:
         return front.pareto_front(self.hof)
 
     def pareto_front(self) -> DataFrame:
-        """The front, scored on all rows: complexity, loss, cost, equation and id."""
-        rows = self.pareto_members().orderBy("complexity").collect()
-        exprs = [_member(r, self.ops).expr for r in rows]
-        losses = {r.name: r.loss for r in loss_of(self.data, exprs, self.options.loss).collect()} if rows else {}
+        """The front: complexity, loss, cost, equation and id. Losses over all rows are kept with the members."""
+        return self._shown([(r, Expr.from_row(json.loads(r.expr), self.ops), r.loss) for r in self.pareto_members().orderBy("complexity").collect()])
+
+    def _shown(self, rows: list[tuple]) -> DataFrame:
         names = list(self.data.x)
-        shown = []
-        for k, (r, e) in enumerate(zip(rows, exprs, strict=True)):
-            if np.isfinite(loss := settled(losses[str(k)])):
-                shown.append((int(r.complexity), loss, cost_of(loss, int(r.complexity), self.options.parsimony, self.baseline if self.options.use_baseline else None), e.text(names=names), int(r.id)))
-        scored = self.spark.createDataFrame(shown, "complexity int, loss double, cost double, equation string, id long")
-        return front.pareto_front(scored)
+        shown = [(int(r.complexity), float(loss), self._cost(loss, int(r.complexity)), e.text(names=names), int(r.id)) for r, e, loss in rows if np.isfinite(loss)]
+        return front.pareto_front(self.spark.createDataFrame(shown, "complexity int, loss double, cost double, equation string, id long"))
 
     def best(self) -> DataFrame:
         return front.global_best(self.hof)
@@ -215,14 +341,10 @@ class SearchEngine:
         return json.dumps(plain(self.snapshot(k)))
 
     def refined_front(self, iterations: int | None = None) -> DataFrame:
-        """The front with constants that were optimised over all rows; an aggregation for each step of each member's."""
-        o = self.options
-        shown = []
-        for r in self.pareto_members().orderBy("complexity").collect():
-            e, loss = optimised_constants(self.data, _member(r, self.ops).expr, o.loss, iterations or o.optimizer_iterations)
-            if np.isfinite(loss := settled(loss)):
-                shown.append((int(r.complexity), loss, float(cost_of(loss, int(r.complexity), o.parsimony, self.baseline if o.use_baseline else None)), e.text(names=list(self.data.x)), int(r.id)))
-        return front.pareto_front(self.spark.createDataFrame(shown, "complexity int, loss double, cost double, equation string, id long"))
+        """The front with constants that were optimised over all rows, all members in step: a scan for each step."""
+        rows = self.pareto_members().orderBy("complexity").collect()
+        found = search_constants(self.data, [Expr.from_row(json.loads(r.expr), self.ops) for r in rows], self.options.loss, iterations or self.options.optimizer_iterations)
+        return self._shown([(r, e, settled(loss)) for r, (e, loss) in zip(rows, found, strict=True)])
 
     def split(self) -> DataFrame:
         """All rows with ``is_val``: which of them are for validation."""

@@ -6,6 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,38 +25,70 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Paths that this process has made, in order.
-_made: list[str] = []
+#: Paths that the scopes of this thread of work have made.
+_scope: ContextVar[list[str] | None] = ContextVar("stored tables", default=None)
 
 
 def place(spark: SparkSession, name: str) -> str:
     """A path of its own in that folder."""
-    _made.append(f"{folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def made() -> int:
-    """How many paths have been made so far, for ``drop``."""
-    return len(_made)
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scoped(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is stored inside is deleted at the end, but for the tables that are handed to ``keep``.
+
+    A scope only knows what was stored in its own thread of work, so queries that run side by side do not meet."""
+    own: list[str] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._stored_at)
+        return table
+
+    token = _scope.set(own)
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        outer = _scope.get()
+        for path in own:
+            if path not in kept:
+                remove(spark, path)
+            elif outer is not None:
+                outer.append(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def drop(spark: SparkSession, since: int) -> None:
-    """Deletes what was stored after the first ``since`` paths, but for the last one. For tables that later ones were made
-    from, once these are written."""
-    for path in _made[since:-1]:
-        _delete(spark, path)
-    del _made[since:-1]
+def written_whole(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that is there whole or not at all: written beside its place and renamed onto it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), conf)
+    out = there.getFileSystem(conf).create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    # one atomic step, which replaces the file that is there
+    renames = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, there, renames)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+def text_file(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables, as ``stored`` gave them, once what is made from them is stored itself."""
     for table in tables:
-        _delete(table.sparkSession, table._stored_at)
+        remove(table.sparkSession, table._stored_at)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -164,25 +164,27 @@ def exact_split(df: DataFrame, fraction: float, key: str, seed: int = 0, scatter
     """As ``split``, with exactly round(fraction * n) of the n rows whose key isn't null, when keys are unique (rows of one
     key stay together). Rows with a null key are for training.
 
-    The cut is the key at that rank. Its number is found by counting rows in 65,536 ranges of numbers, and then in the
-    32,768 numbers of the one that holds the rank; only the rows of that number are put in order, by key."""
+    The cut is the key at that rank. It takes two scans to find: one counts rows in 65,536 ranges of numbers, the other
+    keeps those of the range that holds the rank, whose numbers are counted; rows of one number are put in order, by key."""
     keyed = df.withColumn("__h", scatter(F.col(key), seed))
     known = keyed.where("__h IS NOT NULL")
-
-    def held(rows: DataFrame, part: Column, left: int) -> tuple[int, int]:
-        """Which part of the numbers holds a rank, and the rank there; the parts are at most 65,536."""
-        for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
-            if left <= r["count"]:
-                return r["part"], left
-            left -= r["count"]
-        raise AssertionError("a rank beyond the rows")
-
-    left = round(min(max(fraction, 0.0), 0.9) * known.count())
+    # 65,536 ranges at most
+    ranges = [(r["part"], r["count"]) for r in known.groupBy(F.shiftright("__h", 15).alias("part")).count().orderBy("part").collect()]
+    left = round(min(max(fraction, 0.0), 0.9) * sum(n for _, n in ranges))
     if left == 0:
         return df.withColumn("is_val", F.lit(False))
-    top, left = held(known, F.shiftright("__h", 15), left)
-    number, left = held(known.where(F.shiftright("__h", 15) == top), F.col("__h"), left)
-    cut = known.where(F.col("__h") == number).orderBy(key).select(F.col(key).alias("__cut")).offset(left - 1).limit(1)
+    for top, n in ranges:  # noqa: B007
+        if left <= n:
+            break
+        left -= n
+    # of the range that holds the rank, a 65,536th of all rows, number and key are kept, so that the data is read no more
+    inside = stored(known.where(F.shiftright("__h", 15) == top).select("__h", F.col(key).alias("__cut")), "range")
+    for r in inside.groupBy("__h").count().orderBy("__h").collect():  # 32,768 numbers at most
+        number = r["__h"]
+        if left <= r["count"]:
+            break
+        left -= r["count"]
+    cut = inside.where(F.col("__h") == number).orderBy("__cut").select("__cut").offset(left - 1).limit(1)
     before = (F.col("__h") < number) | ((F.col("__h") == number) & (F.col(key) <= F.col("__cut")))
     return keyed.join(F.broadcast(cut)).withColumn("is_val", F.coalesce(before, F.lit(False))).drop("__h", "__cut")
 
@@ -198,9 +200,32 @@ def gather(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """About ``n`` rows with replacement (each row a Poisson number of times)."""
-    total = df.count()
-    return df.sample(withReplacement=True, fraction=n / total, seed=seed) if total else df
+    """Exactly ``n`` rows with replacement, each row as likely as any other; none of an empty table.
+
+    One draw shares ``n`` among the partitions by their rows (a multinomial), and each task draws its part from its own rows
+    by (seed, partition), so tasks may run in any order and again. ``df`` should be a scan or a written table, whose
+    partitions hold the same rows each time they are read."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    # a number a partition
+    sizes = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    order = sorted(sizes)
+    shares = np.random.default_rng(seed).multinomial(n, np.array([sizes[p] for p in order]) / max(1, sum(sizes.values()))) if order else []
+    parts = {p: (sizes[p], int(k)) for p, k in zip(order, shares, strict=True)}
+
+    def draw(batches: Iterator) -> Iterator:
+        p = TaskContext.get().partitionId()
+        rows, k = parts.get(p, (0, 0))
+        places, at = np.sort(np.random.default_rng([seed, p]).integers(rows, size=k)) if k else np.zeros(0, np.int64), 0
+        for batch in batches:
+            own = places[np.searchsorted(places, at) : np.searchsorted(places, at + batch.num_rows)] - at
+            at += batch.num_rows
+            if len(own):
+                yield batch.take(pa.array(own))
+
+    return df.mapInArrow(draw, df.schema)
 
 
 def default_data(spark: SparkSession, n: int = 100, seed: int = 0) -> DataFrame:
