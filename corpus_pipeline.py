@@ -18,7 +18,7 @@ from ferrule.llm.line_dedup import line_dedup
 from ferrule.llm.ngram_join import one_of_each
 from ferrule.llm.packing import best_fit_packing
 from ferrule.llm.quality import quality_filter
-from ferrule.plans.store import drop, made
+from ferrule.plans.store import discard, scoped
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, since = read_table(spark, sf_dir, "documents"), made()
+    docs = before = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-        drop(spark, since)  # what the stage before left, and what this one made on its way
-        since = made() - 1
+        with scoped(spark) as keep:  # what a stage makes on its way goes once its result is written
+            docs = keep(written(stage(spark, before, sf_dir), name))
+        if before is not docs and hasattr(before, "_stored_at"):
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
