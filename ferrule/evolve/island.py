@@ -53,7 +53,7 @@ def decayed(freq: np.ndarray, window: float = 100_000.0) -> np.ndarray:
 
 
 class Island:
-    def __init__(self, options: Options, sample: Sample, pop: int, iteration: int, members: list[Member], share: np.ndarray, serial: int = 0, maxsize: int | None = None):
+    def __init__(self, options: Options, sample: Sample, pop: int, iteration: int, members: list[Member], share: np.ndarray, serial: int = 0, maxsize: int | None = None, batches: list[Sample] | None = None):
         self.o, self.full, self.sample = options, sample, sample
         # drawn from ids alone, so that a task that is run again gives the same island
         self.rng = np.random.default_rng([options.seed, pop, iteration])
@@ -61,6 +61,7 @@ class Island:
         self.serial, self.evals = serial, 0.0
         self.members = [self.measured(m) for m in members]
         self.maxsize = maxsize or options.maxsize
+        self.batches = batches  # drawn from all rows, where the sample isn't all of them
         self.best: dict[int, list[Member]] = {}
 
     # -- scoring --
@@ -206,15 +207,21 @@ class Island:
                 best, least, improved = x, value, True
         return self.member(m.expr.with_constants(best), m.parent) if improved else m
 
+    def drawn(self, k: int) -> Sample:
+        """The rows for the cycles (0) and for the constants (1) of an iteration."""
+        if not self.o.batching:
+            return self.full
+        return self.batches[k] if self.batches else self.full.batch(self.rng, self.o.batch_size)
+
     def iterate(self) -> None:
         """All cycles of an iteration, from hot to cold; then simpler forms, better constants, and full scores."""
         n = self.o.ncycles_per_iteration
-        self.sample = self.full.batch(self.rng, self.o.batch_size) if self.o.batching else self.full
+        self.sample = self.drawn(0)
         for c in range(n):
             self.cycle((1 - c / max(1, n - 1)) if self.o.annealing else 1.0)
             if not self.o.batching:
                 self.note(self.members)
-        self.sample = self.full.batch(self.rng, self.o.batch_size) if self.o.batching else self.full
+        self.sample = self.drawn(1)
         for i, m in enumerate(self.members):
             if self.o.should_simplify:
                 m = replace(m, expr=simplify(m.expr)[0])

@@ -66,10 +66,11 @@ def nearest_lower_each(requests: DataFrame, front: DataFrame, by: list[str], wan
     An as-of join: both tables are sorted as one, members before requests, in ranges; each request takes the last member
     before it, or else the first one after it. What a range takes from other ranges is one member from either side, which
     the driver carries over, so neither a range join nor a group in one task is needed."""
-    members = front.where(F.col(complexity).isNotNull())
     names = [c for c in front.columns if c not in by]
-    member = F.struct(F.col(complexity).cast("double").alias("__c"), F.col(arrival).alias("__a"), *names)
-    left = members.select(*by, F.col(complexity).cast("double").alias("__at"), F.lit(0).alias("__kind"), F.col(arrival).cast("double").alias("__tie"), member.alias("__m"), F.lit(None).cast(requests.select(F.struct(*requests.columns)).schema[0].dataType).alias("__r"))
+    known = front.dropna(subset=[*by, complexity])
+    # of members that are equal in complexity the last one, so however many they are, a key has one
+    last = known.groupBy(*by, F.col(complexity).cast("double").alias("__at")).agg(F.max(F.struct(F.col(arrival).alias("__a"), *names)).alias("__m"))
+    left = last.select(*by, "__at", F.lit(0).alias("__kind"), F.lit(0.0).alias("__tie"), "__m", F.lit(None).cast(requests.select(F.struct(*requests.columns)).schema[0].dataType).alias("__r"))
     right = requests.select(*by, F.col(wanted).cast("double").alias("__at"), F.lit(1).alias("__kind"), F.rand(0).alias("__tie"), F.lit(None).cast(left.schema["__m"].dataType).alias("__m"), F.struct(*requests.columns).alias("__r"))
     order = [*by, "__at", "__kind", "__tie"]
     ranges = stored(left.unionByName(right).repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")

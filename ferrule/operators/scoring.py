@@ -313,7 +313,7 @@ def search_constants(data: Dataset, exprs: Sequence[Expr], loss: Loss | StateLos
     for k, (x, value) in zip(of, ends, strict=True):
         if np.isfinite(value) and value < best[k][1]:
             best[k] = (exprs[k].with_constants(tuple(map(float, x))), value)
-    return best
+    return [(e, float(value)) for e, value in best]
 
 
 def optimised_constants(data: Dataset, expr: Expr, loss: Loss | StateLoss, iterations: int = 8) -> tuple[Expr, float]:

@@ -39,7 +39,7 @@ from ferrule.operators.scoring import baseline_loss, score_many, search_constant
 from ferrule.plans.compile import evaluate
 from ferrule.plans.expr import Const, Expr
 from ferrule.plans.store import discard, remove, stored, text_file, written_whole
-from ferrule.sources.dataset import Dataset, bounded_sample, exact_split
+from ferrule.sources.dataset import Dataset, bootstrap, bounded_sample, exact_split
 
 MEMBERS = "pop long, id long, parent long, birth long, arrival long, expr string, complexity int, loss double, cost double, own_loss double, own_cost double, kind string, serial long, evals double"
 
@@ -247,6 +247,17 @@ class SearchEngine:
         table = self.spark.createDataFrame(scored, "expr string, complexity int, loss double, cost double")
         return kept.drop("loss", "cost").join(F.broadcast(table), ["expr", "complexity"]).select(*out.columns)
 
+    def _batches(self) -> dict[int, list[Sample]]:
+        """Two minibatches for each island, drawn with replacement from all rows; bounded by populations * batch_size."""
+        o = self.options
+        frame = bootstrap(self.data.project(), 2 * o.populations * o.batch_size, o.seed + 7919 * (self.iteration + 1)).toPandas()
+        order = np.random.default_rng([o.seed, self.iteration, 3]).permutation(len(frame))
+        out = {}
+        for pop in range(o.populations):
+            parts = [frame.iloc[order[(2 * pop + k) * o.batch_size : (2 * pop + k + 1) * o.batch_size]] for k in (0, 1)]
+            out[pop] = [Sample(p[list(self.data.x)].to_numpy(np.float64).T.copy(), p[self.data.y].to_numpy(np.float64), p[self.data.w].to_numpy(np.float64) if self.data.w else None, self.baseline) for p in parts]
+        return out
+
     def _run_islands(self) -> None:
         iteration, shared, ops = self.iteration, self.shared, self.ops
         # constants are optimised after the iteration, over all rows, where the sample isn't all of them
@@ -259,7 +270,7 @@ class SearchEngine:
 
         def live(pop: int, frame: pd.DataFrame | None) -> pd.DataFrame:
             old = [] if frame is None else [_member(r, ops) for r in frame.sort_values("arrival").itertuples()]
-            island = Island(o, shared.value, pop, iteration, old, share, 0 if frame is None else int(frame["serial"].max()), maxsize)
+            island = Island(o, shared.value, pop, iteration, old, share, 0 if frame is None else int(frame["serial"].max()), maxsize, batches.value.get(pop))
             if not old:
                 island.start()
             else:
@@ -273,6 +284,7 @@ class SearchEngine:
         # bounded by populations * population_size
         old = {} if self.members is None else {int(pop): frame for pop, frame in self.members.toPandas().groupby("pop")}
         held = self.spark.sparkContext.broadcast(old)
+        batches = self.spark.sparkContext.broadcast(self._batches() if self.sampled and o.batching else {})
 
         def islands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -282,6 +294,7 @@ class SearchEngine:
         # a partition an island, whatever the members' table weighs: adaptive execution would run them all in one task
         out = stored(self.spark.range(0, o.populations, 1, o.populations).mapInPandas(islands, MEMBERS), "members")
         held.destroy()
+        batches.destroy()
         made = [out]
         if everywhere:
             out = stored(self._optimised(out), "members")

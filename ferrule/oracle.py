@@ -120,60 +120,6 @@ SELECT key, {flag} AS weighted, n, round(se / sw, 6) AS mse, round(ae / sw, 6) A
     FROM (SELECT *, nullif(l_returnflag, 'R') AS key FROM {PREDICTIONS}) WINDOW k AS (PARTITION BY key)) GROUP BY key)"""
 
 
-#: Options and their defaults.
-DEFAULTS = """
-seed 0
-niterations 100
-populations 31
-population_size 27
-ncycles_per_iteration 380
-batch_size 50
-complexity_of_constants 1
-complexity_of_variables 1
-maxsize 30
-maxdepth 30
-warmup_maxsize_by 0.0
-parsimony 0.0
-adaptive_parsimony_scaling 1040.0
-crossover_probability 0.0259
-perturbation_factor 0.129
-probability_negate_constant 0.00743
-tournament_selection_n 15
-tournament_selection_p 0.982
-alpha 3.17
-optimizer_nrestarts 2
-optimizer_probability 0.14
-optimizer_iterations 8
-optimizer_f_calls_limit 10000
-fraction_replaced 0.00036
-fraction_replaced_hof 0.0614
-topn 12
-use_frequency true
-use_frequency_in_tournament true
-skip_mutation_failures true
-annealing true
-should_optimize_constants true
-migration true
-hof_migration true
-use_baseline true
-should_simplify true
-batching false
-sample_rows 100000
-weight_mutate_constant 0.0346
-weight_mutate_operator 0.293
-weight_mutate_feature 0.1
-weight_swap_operands 0.198
-weight_rotate_tree 4.26
-weight_add_node 2.47
-weight_insert_node 0.0112
-weight_delete_node 0.87
-weight_simplify 0.00209
-weight_randomize 0.000502
-weight_do_nothing 0.273
-weight_optimize 0.0
-"""
-
-
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for name, (value, *partials) in OPERATORS.items():
@@ -229,18 +175,6 @@ QUALIFY row_number() OVER (PARTITION BY k ORDER BY f.complexity <= k DESC, CASE
     out["gather_val"] = f"SELECT o_orderkey, o_custkey FROM {orders.format(h=split_key('o_orderkey', 3), limit=round(0.1 * 2147483647))} WHERE is_val"
     out["curve_sorted"] = f"SELECT row_number() OVER (ORDER BY s, y) AS place, round(s, 6) AS x, round(y, 6) AS y FROM (SELECT DISTINCT sqrt(x) AS s, y FROM {INPUTS} WHERE x >= 0)"
     out["curve_places"] = f"SELECT row_number() OVER (ORDER BY sqrt(x), y) AS place, round(sqrt(x), 6) AS x, round(y, 6) AS y FROM {INPUTS} WHERE x >= 0"
-    out["tree_counts"] = """
-SELECT * FROM (VALUES ('leaf', 1, 0, 1, 0, 1, true), ('readme', 6, 3, 2, 1, 4, true), ('fma', 6, 2, 3, 1, 3, true), ('nested', 12, 7, 4, 1, 5, true),
-  ('sum', 5, 2, 1, 2, 3, true), ('difference', 5, 2, 1, 2, 3, true)) AS t(tree, n_nodes, n_ops, n_vars, n_consts, depth, valid)"""
-    out["tree_strings"] = """
-SELECT * FROM (VALUES ('leaf', 'x0', 'x0'), ('readme', 'l_quantity * cos(l_discount - 3.2)', 'l_quantity * cos(l_discount - 3.2)'),
-  ('fma', 'fma(l_quantity, l_discount, l_tax) / 2.5', 'fma(l_quantity, l_discount, l_tax) / 2.5'),
-  ('nested', 'exp(-(l_discount * l_discount)) + (max(sin(l_quantity), l_discount) * 0.5)', 'exp(-(l_discount * l_discount)) + (max(sin(l_quantity), l_discount) * 0.5)'),
-  ('sum', '(l_quantity + 1) + 2', 'l_quantity + 3'), ('difference', '1 - (2 - l_quantity)', 'l_quantity - 1')) AS t(tree, formula, simplified)"""
-    both = {"add", "mul", "min", "max"}
-    infix = {"neg": "-", "add": "+", "sub": "-", "mul": "*", "div": "/"}
-    rows = ", ".join(f"('{n}', {len(p) - 1}, {repr(infix[n]) if n in infix else 'NULL'}, '{infix.get(n, n)}', {n in both}, {n in both}, 1)" for n, p in OPERATORS.items())
-    out["op_registry"] = f"SELECT * FROM (VALUES {rows}) AS t(name, arity, infix, display, commutative, associative, complexity)"
     scores = ["x", "cos(y) * 0.5", "NULL", "x * y + 1", "tanh(x) * 0.3 + 0.4"]
     out["score_columns"] = out["score_many"] = " UNION ALL ".join(f"SELECT {k} AS k, round(avg(pow({e} - z, 2)), 6) AS loss, {str(e != 'NULL').lower()} AS ok FROM {INPUTS}" for k, e in enumerate(scores))
     out["metrics_null_keys"] = " UNION ALL ".join(null_keys(w, flag) for w, flag in (("1.0::DOUBLE", "false"), ("w", "true")))
@@ -250,9 +184,6 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY {split_key('k', 7)}, k) AS p FR
 SELECT false AS no_key, p <= (SELECT round_even(0.5 * count(*), 0) FROM ranked) AS is_val, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM ranked GROUP BY ALL
 UNION ALL SELECT true, false, count(*), sum(o_orderkey)::BIGINT FROM keyed WHERE k IS NULL"""
     out["csv_roles"] = "SELECT 's_acctbal' AS x, 's_nationkey' AS y, 's_suppkey' AS w, round(s_acctbal::DOUBLE, 2) AS x0, s_nationkey::DOUBLE AS value, s_suppkey::DOUBLE AS weight FROM supplier"
-    out["complexity_custom"] = """
-SELECT * FROM (VALUES ('leaf', 1, 1, true, true), ('readme', 6, 13, true, true), ('fma', 6, 9, true, true), ('nested', 12, 19, false, false),
-  ('sum', 5, 9, true, true), ('difference', 5, 9, true, true)) AS t(tree, plain, custom, satisfies_custom, satisfies_limited)"""
     out["optimize_constants_linear"] = f"""
 WITH line AS (SELECT regr_slope(z, x) AS a, regr_intercept(z, x) AS b FROM {PREDICTIONS})
 SELECT round(a, 4) AS slope, round(b, 4) AS intercept, round((SELECT avg(pow(a * x + b - z, 2)) FROM {PREDICTIONS}), 4) AS loss FROM line"""
@@ -261,7 +192,6 @@ SELECT round(a, 4) AS slope, round(b, 4) AS intercept, round((SELECT avg(pow(a *
     out["windowed_loss"] = f"""
 SELECT (l_orderkey * 86400) // 432000 * 432000 AS start, count(*) AS rows, CASE WHEN bool_and(x >= -2.75) THEN round(avg(pow(sqrt(greatest(x + 2.75, 0)) - z, 2)), 6) END AS loss, bool_and(x >= -2.75) AS ok
 FROM {PREDICTIONS} GROUP BY 1"""
-    out["option_defaults"] = "SELECT * FROM (VALUES " + ", ".join(f"('{line.split()[0]}', '{line.split()[1]}')" for line in DEFAULTS.strip().splitlines()) + ") AS t(name, value)"
     resid = "(0.5 * x + cos(0.7 * y) - z) * 2 * w"
     out["loss_slopes"] = f"SELECT 0 AS slot, round(sum({resid} * x) / sum(w), 6) AS slope FROM {PREDICTIONS} UNION ALL SELECT 1, round(sum({resid} * -sin(0.7 * y) * y) / sum(w), 6) FROM {PREDICTIONS}"
     return out

@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 
 from ferrule.evolve.mutate import random_expr
 from ferrule.functions import losses as ls
-from ferrule.functions.scalar import BUILTIN, SPARK, Op, OperatorSet, registry
+from ferrule.functions.scalar import BUILTIN, SPARK, Op, OperatorSet
 from ferrule.operators import front
 from ferrule.operators.metrics import column_summary, metrics
-from ferrule.operators.options import Options, defaults
-from ferrule.operators.constraints import complexity, satisfies
+from ferrule.operators.options import Options
 from ferrule.operators.scoring import constant_gradient, loss_of, optimised_constants, score_many
 from ferrule.operators.search import SearchEngine
 from ferrule.plans.compile import complete, differentiate, evaluate, finite, gradient
-from ferrule.plans.expr import SCHEMA, Expr, build, lit, var
+from ferrule.plans.expr import Expr, build, lit, var
 from ferrule.plans.simplify import simplify
 from ferrule.plans.store import place
 from ferrule.sources import dataset as ds
@@ -285,31 +284,6 @@ def curve_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREES = {"leaf": var(0), "readme": README, "fma": FORMULAS["eval_fma"], "nested": FORMULAS["eval_nested"], "sum": (X0 + 1.0) + 2.0, "difference": 1.0 - (2.0 - X0)}
 
 
-def tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([{"tree": k, **e.to_row()} for k, e in TREES.items()], f"tree string, {SCHEMA}")
-
-
-def tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and depth by SQL over the node arrays; the depth is a stack machine."""
-    of = lambda kind: F.size(F.filter("nodes", lambda n: n["kind"] == kind))
-    step = lambda s, n: F.concat(F.array(1 + F.coalesce(F.array_max(F.slice(s, 1, n["arity"])), F.lit(0))), F.slice(s, n["arity"] + 1, F.size(s)))
-    depth = F.aggregate("nodes", F.array().cast("array<int>"), lambda s, n: F.when(n["arity"] > 0, step(s, n)).otherwise(F.concat(F.array(F.lit(1)), s)))
-    left = F.aggregate("nodes", F.lit(0), lambda s, n: s + 1 - n["arity"])
-    return tree_table(spark, sf_dir).select("tree", F.size("nodes").alias("n_nodes"), of("op").alias("n_ops"), of("var").alias("n_vars"), of("const").alias("n_consts"), F.get(depth, F.lit(0)).alias("depth"), (left == 1).alias("valid"))
-
-
-def tree_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, str(e), str(simplify(e)[0])) for k, e in TREES.items()], "tree string, formula string, simplified string")
-
-
-def op_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry(spark)
-
-
-def option_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defaults(spark)
-
-
 def _scored(many: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = ds.with_roles(predictions(spark, sf_dir).select("x", "y", "z"), "z")
@@ -349,13 +323,6 @@ def csv_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Options with weights of their own for nodes, and with limits.
-CUSTOM = Options(complexity_of_constants=3, variable_complexities={1: 2}, operator_complexity_overrides={"cos": 4, "mul": 2}, maxsize=16, maxdepth=4)
-LIMITED = Options(op_constraints={"mul": (None, 4)}, nested_constraints={"exp": {"neg": 0}})
-
-
-def complexity_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, complexity(e), complexity(e, CUSTOM), satisfies(e, CUSTOM), satisfies(e, LIMITED)) for k, e in TREES.items()]
-    return spark.createDataFrame(rows, "tree string, plain int, custom int, satisfies_custom boolean, satisfies_limited boolean")
 
 
 def optimize_constants_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +334,7 @@ def optimize_constants_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def engine_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a search is after each step, and whether its front is one: losses fall as complexity rises."""
-    engine = _search(spark, sf_dir, F.col("x") + F.col("y"), populations=4, population_size=10, ncycles_per_iteration=20, niterations=2, sample_rows=2000)
+    engine = _search(spark, sf_dir, F.col("x") + F.col("y"), populations=4, population_size=10, ncycles_per_iteration=20, niterations=2)
     rows = []
     for k in range(4):
         shot = engine.snapshot()
@@ -427,9 +394,7 @@ def queries() -> dict[str, Query]:
         "replace_oldest": replaced_oldest, "size_histogram": lambda s, d: front.size_histogram(members(s, d), 30), "freq_normalised": mutation_shares,
         "asof_lower_complexity": asof_lower, "tournament_score": tournament, "migrants_pool": migrants, "member_by_id": member_by_id,
         "column_preview": column_preview, "finite_filter": finite_filter, "split_hash": split_hash, "split_exact": split_exact, "gather_val": gather_val,
-        "curve_sorted": curve_sorted, "curve_places": curve_places, "tree_counts": tree_counts, "tree_strings": tree_strings, "op_registry": op_registry, "option_defaults": option_defaults,
-        "metrics_null_keys": metrics_null_keys, "split_null_keys": split_null_keys, "csv_roles": csv_roles, "complexity_custom": complexity_custom,
-        "optimize_constants_linear": optimize_constants_linear, "engine_steps": engine_steps, "simplified_values": simplified_values, "windowed_loss": windowed,
+        "curve_sorted": curve_sorted, "curve_places": curve_places, "metrics_null_keys": metrics_null_keys, "split_null_keys": split_null_keys, "csv_roles": csv_roles, "optimize_constants_linear": optimize_constants_linear, "engine_steps": engine_steps, "simplified_values": simplified_values, "windowed_loss": windowed,
         "score_columns": _scored(False), "score_many": _scored(True), "loss_slopes": loss_slopes, "search_front": search_front, "search_square_recovery": search_square,
     }
     return out

@@ -1,207 +1,30 @@
-"""Registered queries about the steps of a search and what it is made of, over seeded trees and whole tables.
+"""Registered queries about the steps of a search and what it is made of, over whole tables.
 
 Where a step draws random numbers, its query counts how often the step breaks a rule that holds for all draws.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import json
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.evolve import mutate as mu
-from ferrule.evolve.island import Island, Member, Sample, decayed
-from ferrule.evolve.optim import bfgs, newton
 from ferrule.functions import losses as ls
-from ferrule.functions.scalar import BUILTIN, AmbiguousOperator, OperatorSet, UnknownOperator, register
+from ferrule.functions.scalar import OperatorSet, register
+from ferrule.functions.state_losses import correlation_loss, r2_loss
 from ferrule.operators import front
-from ferrule.operators.constraints import complexity, size_limit
-from ferrule.operators.options import MutationWeights, Options
-from ferrule.operators.search import SearchEngine, Speed, show_front
-from ferrule.operators.session import SearchSession, selected
+from ferrule.operators.options import Options
+from ferrule.operators.scoring import score_many, search_constants, state_loss
+from ferrule.operators.search import SearchEngine
+from ferrule.operators.session import SearchSession
 from ferrule.plans.compile import evaluate, gradient
-from ferrule.plans.expr import Const, Expr, Var, build, lit, var
-from ferrule.plans.simplify import simplify
-from ferrule.plans.store import place
-from ferrule.queries import TREES, inputs, members, predictions, table
+from ferrule.plans.expr import Expr, build, var
+from ferrule.plans.store import place, stored
+from ferrule.queries import inputs, members, predictions, table
 from ferrule.sources import dataset as ds
-from ferrule.streaming.scorer import windowed_loss
-
-#: Trees and draws of the queries over seeded trees.
-TRIALS = 300
-OPERATORS = ["+", "-", "*", "/", "cos", "exp", "max", "fma"]
-
-
-def seeded_trees(seed: int, n: int = TRIALS) -> list[Expr]:
-    rng = np.random.default_rng(seed)
-    ops = OperatorSet.from_names(OPERATORS)
-    return [mu.random_expr(rng, ops, 3, 1 + k % 25) for k in range(n)]
-
-
-def small_sample() -> Sample:
-    x = np.random.default_rng(1).normal(size=(2, 60))
-    return Sample(x, 2.0 * x[0] + x[1] ** 2, None, 3.0)
-
-
-def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each mutation over seeded trees: results that are no trees, and results that break the mutation's own rule."""
-    ops, rng = OperatorSet.from_names(OPERATORS), np.random.default_rng(2)
-    shape = lambda e: Counter(type(n).__name__ if not hasattr(n, "name") else n.name for n in e.nodes)
-    arities = lambda e: [getattr(n, "arity", 0) for n in e.nodes]
-    differ = lambda a, b: sum(x != y for x, y in zip(a.nodes, b.nodes, strict=True))
-    steps = {
-        "mutate_constant": (lambda e: mu.mutate_constant(rng, e, Options(), 1.0), lambda a, b: a.nodes == b.nodes and sum(x != y for x, y in zip(a.consts, b.consts, strict=True)) <= 1),
-        "mutate_operator": (lambda e: mu.mutate_operator(rng, e, ops), lambda a, b: arities(a) == arities(b) and differ(a, b) <= 1),
-        "mutate_feature": (lambda e: mu.mutate_feature(rng, e, 3), lambda a, b: arities(a) == arities(b) and differ(a, b) == 1),
-        "swap_operands": (lambda e: mu.swap_operands(rng, e), lambda a, b: shape(a) == shape(b)),
-        "rotate_tree": (lambda e: mu.rotate_tree(rng, e), lambda a, b: shape(a) == shape(b) and sorted(a.consts) == sorted(b.consts)),
-        "add_node": (lambda e: mu.add_node(rng, e, ops, 3), lambda a, b: len(b.nodes) > len(a.nodes)),
-        "insert_node": (lambda e: mu.insert_node(rng, e, ops, 3), lambda a, b: 0 < len(b.nodes) - len(a.nodes) <= 3),
-        "delete_node": (lambda e: mu.delete_node(rng, e), lambda a, b: len(b.nodes) < len(a.nodes)),
-        "randomize": (lambda e: mu.random_expr(rng, ops, 3, len(e.nodes)), lambda a, b: len(b.nodes) <= len(a.nodes)),
-        "simplify": (lambda e: simplify(e)[0], lambda a, b: len(b.nodes) <= len(a.nodes)),
-    }
-    rows = []
-    for name, (step, rule) in steps.items():
-        made = [(e, step(e)) for e in seeded_trees(3)]
-        invalid = sum(m is not None and not (m.is_valid and all(n.slot < len(m.consts) for n in m.nodes if isinstance(n, Const))) for _, m in made)
-        rows.append((name, len(made), invalid, sum(m is not None and not rule(e, m) for e, m in made)))
-    return spark.createDataFrame(rows, "mutation string, trees int, invalid int, broken int")
-
-
-def crossovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of trees that change subtrees keep their nodes between them."""
-    rng, left, right = np.random.default_rng(4), seeded_trees(5), seeded_trees(6)
-    made = [(a, b, *mu.crossover(rng, a, b)) for a, b in zip(left, right, strict=True)]
-    kept = sum(len(a.nodes) + len(b.nodes) == len(x.nodes) + len(y.nodes) and x.is_valid and y.is_valid for a, b, x, y in made)
-    return spark.createDataFrame([(len(made), kept)], "pairs int, kept int")
-
-
-def random_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random trees by the size that is asked for: never larger, and of that size where operators of one argument are."""
-    trees = seeded_trees(7)
-    rows = [(1 + k % 25, len(e.nodes), e.is_valid) for k, e in enumerate(trees)]
-    df = spark.createDataFrame(rows, "size int, nodes int, valid boolean")
-    return df.groupBy("size").agg(F.count("*").alias("n"), F.count_if(F.col("nodes") != F.col("size")).alias("other"), F.every("valid").alias("valid"))
-
-
-def optimisers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minima of a quadratic of 16 constants, and of one of a single constant."""
-    goal = np.arange(1.0, 17.0)
-    found, _ = bfgs(lambda c: (float((goal * (c - goal) ** 2).sum()), 2 * goal * (c - goal)), np.zeros(16), 60)
-    one, _ = newton(lambda c: (float((c[0] - 7) ** 2), np.array([2 * (c[0] - 7)])), 0.0, 20)
-    return spark.createDataFrame([*(("bfgs", k, round(float(v), 3)) for k, v in enumerate(found)), ("newton", 0, round(one, 3))], "method string, slot int, value double")
-
-
-def size_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, size_limit(30, 0.5, k / 20)) for k in range(21)], "step int, most int")
-
-
-def conditioned_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which mutations are left out for a tree: without sense, or too large."""
-    rows = []
-    for name, e in {"constant": lit(1.0), **TREES}.items():
-        for most in (30, len(e.nodes)):
-            w = mu.conditioned(MutationWeights(), e, Options(), 3, most)
-            rows.append((name, most, ",".join(sorted(k for k, v in w.items() if v == 0.0 and k != "optimize"))))
-    return spark.createDataFrame(rows, "tree string, most int, left_out string")
-
-
-def weighted_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws by weight: whether their shares are within 4 standard deviations; those of weight 0 never come."""
-    rng, weights = np.random.default_rng(8), {"a": 1.0, "b": 2.0, "none": 0.0, "c": 5.0}
-    n = 20_000
-    got = Counter(mu.weighted_choice(rng, list(weights), list(weights.values())) for _ in range(n))
-    near = lambda k, p: abs(got[k] - n * p) <= 4 * (n * p * (1 - p)) ** 0.5
-    return spark.createDataFrame([(k, near(k, w / 8)) for k, w in weights.items()], "name string, near boolean")
-
-
-def frequency_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequencies beyond the window add up to it after the decay, and keep their order and their least, 1."""
-    out = [decayed(np.arange(1.0, 31.0) * scale) for scale in (1.0, 1000.0, 1e6)]
-    rows = [(k, bool(x.sum() <= 100_000.001), bool((np.diff(x) >= 0).all()), bool(x.min() >= 1.0)) for k, x in enumerate(out)]
-    return spark.createDataFrame(rows, "scale int, within boolean, ordered boolean, floor boolean")
-
-
-def island_life(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What holds for a population through cycles, migration and the end of an iteration."""
-    o = Options(operators=OperatorSet.from_names(["+", "*", "cos"]), population_size=20, ncycles_per_iteration=15, maxsize=9, fraction_replaced=0.5, optimizer_probability=0.5)
-    island = Island(o, small_sample(), 3, 0, [], np.ones(9) / 9)
-    island.start()
-    first = min(m.loss for m in island.members)
-    rows = [("start", len(island.members), all(m.parent is None for m in island.members))]
-    oldest = min(m.birth for m in island.members)
-    for _ in range(60):
-        island.cycle(0.5)
-    rows.append(("cycle", len(island.members), min(m.birth for m in island.members) > oldest and len({m.id for m in island.members}) == 20))
-    pool = [Member(900 + k, None, 1, var(0) * lit(2.0), 3, 9.0, 9.0) for k in range(5)]
-    island.migrate(pool, 0.5)
-    came = [m for m in island.members if m.parent is not None and m.parent >= 900 and m.parent < 905]
-    rows.append(("migrate", len(island.members), bool(came) and all(m.id >> 32 == 3 for m in came)))
-    island.iterate()
-    rows.append(("iterate", len(island.members), all(m.complexity == complexity(m.expr, o) <= 9 for m in island.members)))
-    rows.append(("best", 20, min(m.loss for few in island.best.values() for m in few) <= first))
-    before = island.member(var(0) * lit(1.0) + lit(0.5), None)
-    after = island.optimised(before)
-    rows.append(("optimise", 20, after.loss < before.loss and after.birth > before.birth))
-    cheap = [island.tournament().cost for _ in range(400)]
-    rows.append(("tournament", 20, float(np.mean(cheap)) < float(np.mean([m.cost for m in island.members if np.isfinite(m.cost)]))))
-    again = [Island(o, small_sample(), 3, 0, [], np.ones(9) / 9) for _ in range(2)]
-    for i in again:
-        i.start()
-        i.iterate()
-    rows.append(("repeat", 20, again[0].members == again[1].members))
-    return spark.createDataFrame([(a, b, bool(c)) for a, b, c in rows], "step string, members int, holds boolean")
-
-
-def tree_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, e.is_leaf, e.max_arity, any(isinstance(n, Var) for n in e.nodes), any(isinstance(n, Const) for n in e.nodes), ",".join(map(str, e.sizes()))) for k, e in TREES.items()]
-    return spark.createDataFrame(rows, "tree string, is_leaf boolean, max_arity int, has_vars boolean, has_consts boolean, sizes string")
-
-
-def tree_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constants that are set, shared, left unused, and numbered anew."""
-    pool = Expr((Const(3), Const(1), BUILTIN["add"], Const(3), BUILTIN["mul"]), (10.0, 20.0, 30.0, 40.0))
-    small = pool.compressed()
-    rows = [("pool", str(pool), len(pool.consts)), ("compressed", str(small), len(small.consts)), ("set", str(small.with_constants((1.5, 2.0))), 2)]
-    return spark.createDataFrame(rows, "case string, formula string, consts int")
-
-
-def tree_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formulas by Python's operators and by builders."""
-    x, y = var(0), var(1)
-    rows = [
-        ("mixed", (x + 1.0) * y), ("reverse", 1.0 - x), ("quotient", 2.0 / (x - y)), ("negative", -(x * 2.0)), ("unary", build("tanh", build("abs", x))),
-        ("ternary", build("clamp", x, 0.0, 1.0)), ("nary", build("max", x, build("min", y, 3.0))),
-    ]
-    return spark.createDataFrame([(k, str(e), len(e.nodes)) for k, e in rows], "case string, formula string, nodes int")
-
-
-def operator_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens by name, display or infix; unknown and ambiguous ones; what is shown for an operator that isn't there."""
-    every = OperatorSet(tuple(BUILTIN.values()))
-
-    def found(token: str, arity: int | None) -> str:
-        try:
-            return every.lookup(token, arity).name
-        except UnknownOperator:
-            return "unknown"
-        except AmbiguousOperator as e:
-            return "one of " + " ".join(sorted(e.candidates))
-
-    rows = [(token, arity, found(token, arity)) for token, arity in ((" COS ", None), ("+", None), ("-", None), ("-", 1), ("-", 2), ("fma", 2), ("nothing", None), ("Atan2", None))]
-    rows.append(("no_such_op", None, every.describe("no_such_op")["display"]))
-    return spark.createDataFrame(rows, "token string, arity int, found string")
-
-
-def operator_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Presets, sets by arity, and custom operators, which work like the others."""
-    square = register("square", 1, lambda m, v: v * v, [lambda m, v: v * 2.0])
-    sets = {k: OperatorSet.preset(k) for k in ("basic", "trig", "explog")} | {"default": OperatorSet.default(), "by_arity": OperatorSet.from_names_by_arity(["cos"], ["max"], ["fma"]), "custom": OperatorSet([square, "add"])}
-    return spark.createDataFrame([(k, " ".join(sorted(s.ops)), len(s.by_arity(2))) for k, s in sets.items()], "set string, operators string, binary int")
+from ferrule.streaming.scorer import windowed_loss, windowed_state_loss
 
 
 def custom_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,49 +59,10 @@ def csv_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(F.lit(",".join(df.columns)).alias("columns"), F.count("*").alias("n"), F.sum("col_0").cast("long").alias("keys"))
 
 
-def role_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles that can't be: which of them are refused."""
-    two = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double")
-    cases = {
-        "one_column": lambda: ds.with_roles(two.select("a")), "no_rows": lambda: ds.with_roles(two.limit(0)), "unknown_y": lambda: ds.with_roles(two, y="z"), "unknown_w": lambda: ds.with_roles(two, w="z"),
-        "unknown_x": lambda: ds.with_roles(two, x=["z"]), "w_is_y": lambda: ds.with_roles(two, y="c", w="c"), "x_has_y": lambda: ds.with_roles(two, y="c", x=["a", "c"]),
-        "x_has_w": lambda: ds.with_roles(two, y="c", w="b", x=["a", "b"]), "no_x": lambda: ds.with_roles(two.select("a", "b"), y="b", w="a"), "fine": lambda: ds.with_roles(two, x=["b", "a", "a"]),
-    }
-
-    def outcome(make: Callable) -> str:
-        try:
-            return ",".join(make().x)
-        except ds.DatasetError:
-            return "refused"
-
-    return spark.createDataFrame([(k, outcome(v)) for k, v in cases.items()], "roles string, x string")
-
-
-def default_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = ds.default_data(spark)
-    off = F.abs(F.col("y") - (2.0 * F.cos("x0") + F.col("x1") * F.col("x1") - 2.0))
-    return df.agg(F.count("*").alias("n"), F.count_if(off > 1e-9).alias("off"), (F.stddev("x0").between(0.7, 1.3) & F.stddev("x1").between(0.7, 1.3)).alias("normal"))
-
-
-def bootstrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample with replacement is near its size, has rows twice, and none that isn't there."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    n = orders.count()
-    some = ds.bootstrap(orders, n, 5).groupBy("o_orderkey").agg(F.count("*").alias("n"))
-    seen = some.agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.count("*").alias("keys")).first()
-    strange = some.join(orders, "o_orderkey", "left_anti").count()
-    return spark.createDataFrame([(abs(seen.rows - n) < 4 * n**0.5, seen.most > 1, abs(seen["keys"] / n - 0.632) < 0.05, strange)], "near boolean, repeats boolean, distinct_share boolean, strange long")
-
-
-def front_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = show_front([{"complexity": 3, "loss": 0.5, "equation": "x0 * " + "x1 + " * 14 + "2"}, {"complexity": 12, "loss": 1.25e-7, "equation": "x0"}])
-    return spark.createDataFrame([(k, line.rstrip()) for k, line in enumerate(shown.splitlines())], "line int, text string")
-
-
 def search_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search by requests: their events, and whether a member's metrics agree with its loss in the front."""
     data = ds.with_roles(inputs(spark, sf_dir).select("x", "y", (F.col("x") * F.col("y")).alias("t")), "t")
-    o = Options(operators=OperatorSet.from_names(["+", "*"]), populations=2, population_size=10, niterations=2, ncycles_per_iteration=10, maxsize=5, sample_rows=1000)
+    o = Options(operators=OperatorSet.from_names(["+", "*"]), populations=2, population_size=10, niterations=2, ncycles_per_iteration=10, maxsize=5)
     session = SearchSession(lambda: SearchEngine(data, o))
     rows = []
     for request in ({"type": "step"}, {"type": "init"}, {"type": "step"}, {"type": "start"}, {"type": "evaluate"}, {"type": "pause"}, {"type": "reset"}):
@@ -317,48 +101,130 @@ def training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(len(y), len(set(x[0].tolist())), bool(abs(x[0].mean() - whole.m) < 5 * whole.s / n**0.5))], "n int, different int, everywhere boolean")
 
 
-def search_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings 1 to 25: the mean of the last 20, and a moving average."""
-    speed, rows = Speed(), []
-    for k in range(1, 26):
-        speed.add(float(k))
-        rows.append((k, round(speed.mean, 6), round(speed.smooth, 6)))
-    return spark.createDataFrame(rows, "reading int, mean double, smooth double")
+def bootstrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample with replacement has exactly as many rows as asked for, also when it is drawn again, and none that isn't
+    there; chi-squared of how often each row comes is as it should be."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    n = orders.count()
+    draws = 2 * n + 7
+    some = ds.bootstrap(orders, draws, 5).groupBy("o_orderkey").agg(F.count("*").alias("k"))
+    both = orders.join(some, "o_orderkey", "full").select("o_orderkey", F.coalesce("k", F.lit(0)).alias("k"))
+    same = ds.bootstrap(orders, draws, 5).groupBy("o_orderkey").agg(F.count("*").alias("again"))
+    expected = draws / n
+    square = F.sum((F.col("k") - expected) * (F.col("k") - expected) / expected)
+    out = both.join(same, "o_orderkey", "left").agg(F.sum("k").alias("rows"), F.count("*").alias("keys"), F.count_if(F.col("k") != F.coalesce("again", F.lit(0))).alias("other"), square.alias("square"))
+    return out.select("rows", "keys", "other", (F.abs(F.col("square") - (n - 1)) < 6 * (2 * n) ** 0.5).alias("even"))
+
+
+def skyline_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a larger quantity than all cheaper ones."""
+    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", (-F.col("l_quantity").cast("double")).alias("y"), "l_orderkey", "l_linenumber")
+    return front.skyline(rows, "l_extendedprice", "y", ["l_orderkey", "l_linenumber"]).select("l_extendedprice", "l_orderkey", "l_linenumber", (-F.col("y")).alias("quantity"))
+
+
+def skyline_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are cheaper than all of a lesser quantity, by quantity times a rising price: the front of all of them."""
+    rows = table(spark, sf_dir, "lineitem").select((60 - F.col("l_quantity")).alias("x"), F.col("l_extendedprice").alias("y"), "l_orderkey", "l_linenumber")
+    return front.skyline(rows, "x", "y", ["l_orderkey", "l_linenumber"])
+
+
+def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order the member that it asks for, of its priority's members: every third size that some order has."""
+    orders = table(spark, sf_dir, "orders")
+    sized = orders.where(F.col("o_orderkey") % 3 == 0).withColumn("complexity", (F.col("o_orderkey") % 47 + 5).cast("int"))
+    members_of = sized.select("o_orderpriority", "complexity", F.col("o_orderkey").alias("arrival"), F.col("o_totalprice").alias("price")).where("complexity % 2 = 1")
+    asked = orders.select("o_orderkey", "o_orderpriority", (F.col("o_custkey") % 60).alias("wanted"))
+    return front.nearest_lower_each(asked, members_of, ["o_orderpriority"], "wanted").select("o_orderkey", "o_orderpriority", "wanted", "found_complexity", "found_arrival", "found_price")
+
+
+def search_constants_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The constants of three linear formulas over all rows, all of them in step; least squares has a closed form."""
+    data = ds.with_roles(inputs(spark, sf_dir).select("x", "y", "z"), "z")
+    x, y = var(0), var(1)
+    goals = {"x": x, "y": y, "xy": x * y}
+    found = search_constants(data, [g * 0.5 + 1.0 for g in goals.values()], ls.mse(), 30)
+    return spark.createDataFrame([(k, round(e.consts[0], 4), round(e.consts[1], 4), round(loss, 5)) for k, (e, loss) in zip(goals, found, strict=True)], "formula string, slope double, intercept double, loss double")
 
 
-def selected_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The member that is shown for a choice: of the front, else the best where it is the chosen one, or none is chosen."""
-    shown, best = [{"id": 1}, {"id": 2}], {"id": 9}
-    found = [(c, selected(shown, b, c)) for c in (None, 1, 9, 7) for b in (best, None)]
-    return spark.createDataFrame([(k, c, m and m["id"]) for k, (c, m) in enumerate(found)], "n int, chosen int, shown int")
+def state_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 - R² and 1 - correlation of each flag's rows, with and without weights."""
+    rows = predictions(spark, sf_dir)
+    out = None
+    for name, loss in (("r2", r2_loss()), ("correlation", correlation_loss())):
+        for w in (None, "w"):
+            one = state_loss(rows, loss, "yhat", "z", w, ["l_returnflag"]).select(F.lit(name).alias("name"), F.lit(w is not None).alias("weighted"), "l_returnflag", F.round("loss", 6).alias("loss"), "ok")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
-def random_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal and Poisson numbers of an island's generator: whether mean and variance are near what they should be."""
-    rng = Island(Options(), small_sample(), 0, 0, [], np.ones(30) / 30).rng
-    n = 40_000
-    normal, poisson = rng.standard_normal(n), rng.poisson(2.5, n)
-    near = lambda v, goal: bool(abs(v - goal) < 0.05)
-    return spark.createDataFrame([("normal", near(normal.mean(), 0), near(normal.var(), 1)), ("poisson", near(poisson.mean(), 2.5), near(poisson.var(), 2.5))], "draws string, mean boolean, variance boolean")
+def score_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses that are no means, of several formulas in one pass; one of them fails on rows of no quantity below 25."""
+    data = ds.with_roles(inputs(spark, sf_dir).select("x", "y", "z"), "z")
+    x, y = var(0), var(1)
+    formulas = [x, x * y, x * y + x, build("log", x), build("cos", x * y)]
+    out = None
+    for name, loss in (("r2", r2_loss()), ("correlation", correlation_loss())):
+        one = score_many(data, formulas, loss).select(F.lit(name).alias("name"), "k", F.round("loss", 6).alias("loss"), "ok")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def search_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that is cut and resumed by another engine, and one that is not: whether their fronts agree row for row."""
+    data = ds.with_roles(inputs(spark, sf_dir).select("x", "y", (F.col("x") * F.col("y") + F.col("z")).alias("t")), "t")
+    o = Options(operators=OperatorSet.from_names(["+", "*", "cos"]), populations=3, population_size=12, niterations=3, ncycles_per_iteration=15, maxsize=7)
+    path = place(spark, "search")
+    SearchEngine(data, o, path=path).step(1)
+    resumed, whole = SearchEngine.resume(data, o, path).run(), SearchEngine(data, o).run()
+    one, two = ([tuple(r) for r in e.pareto_front().orderBy("complexity").collect()] for e in (resumed, whole))
+    return spark.createDataFrame([(resumed.iteration, len(one) == len(two), one == two, resumed.total_evals == whole.total_evals)], "iterations int, as_many boolean, agree boolean, evals boolean")
+
+
+#: Chunks that events are replayed in, and files of each.
+CHUNKS, FILES = 6, 2
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream: chunks of time, one a micro-batch, with some events three chunks late."""
+    # instants, whatever the session's time zone
+    instant = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))")
+    events = table(spark, sf_dir, "events").withColumn("ts", instant)
+    a, z = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    # whole seconds, so that other engines cut at the same places
+    own = F.least(F.floor((F.unix_seconds("ts") - a // 1_000_000) * CHUNKS / F.lit((z - a) // 1_000_000 + 1)).cast("int"), F.lit(CHUNKS - 1))
+    chunk = F.when(F.col("event_id") % 10 == 3, F.least(own + 3, F.lit(CHUNKS - 1))).otherwise(own)
+    to = place(spark, "replay")
+    rows = stored(events.select("event_id", "ts", "event_type", "value", chunk.alias("chunk")), "events")
+    for k in range(CHUNKS):  # one after another, so that files are as old as their chunks
+        rows.where(F.col("chunk") == k).repartition(FILES, "event_id").write.mode("append").parquet(to)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(to)
+
+
+def played(spark: SparkSession, out: DataFrame, name: str) -> tuple[DataFrame, list[dict]]:
+    """What a stream has written when all its files are read, and the progress of its micro-batches."""
+    to = place(spark, name)
+    query = out.writeStream.format("parquet").option("path", to).option("checkpointLocation", place(spark, "stream")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(to), [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The losses of windows, over a stream that reads the table's files and ends with them."""
-    # a pattern, since a stream's path is that of a folder or a pattern
-    path, to = f"{sf_dir}/lineitem.parque[t]", place(spark, "windows")
-    lines = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    x = (F.col("l_quantity").cast("double") - 25.0) / 8.0
-    rows = lines.select(x.alias("x"), (F.col("l_tax").cast("double") * 10.0).alias("z"), F.timestamp_seconds(F.col("l_orderkey") * 86_400).alias("t"))
-    out = windowed_loss(rows, build("sqrt", var(0) + 2.75), ["x"], "z", ls.mse(), "t", "5 days", "100000 days")
-    stream = out.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(to)).outputMode("complete").option("checkpointLocation", place(spark, "stream")).trigger(availableNow=True)
-    stream.start().awaitTermination()
-    return spark.read.parquet(to).select(F.col("start").cast("long").alias("start"), "rows", F.round("loss", 6).alias("loss"), "ok")
+    """The losses of event-time windows that close: late rows are dropped, and each window is given out once."""
+    rows = replayed(spark, sf_dir).withColumn("x", F.col("value") / 10.0).withColumn("goal", (F.col("event_id") % 7).cast("double"))
+    out, _ = played(spark, windowed_loss(rows, build("sqrt", var(0) + 2.75), ["x"], "goal", ls.mse(), "ts", "12 hours", "1 day"), "windows")
+    return out.select(F.unix_timestamp("start").alias("start"), "rows", F.round("loss", 6).alias("loss"), "ok")
+
+
+def stream_state_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 - R² of each event type's days, given out by timers when the day has closed."""
+    rows = replayed(spark, sf_dir).withColumn("x", F.col("value") / 10.0).withColumn("goal", (F.col("event_id") % 7).cast("double"))
+    out, _ = played(spark, windowed_state_loss(rows, var(0) * 0.25 + 1.5, ["x"], "goal", r2_loss(), "ts", ["event_type"], "1 day", "1 day"), "state_windows")
+    return out.select("event_type", F.unix_timestamp("start").alias("start"), "rows", F.round("loss", 6).alias("loss"), "ok")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     steps = (
-        mutations, crossovers, random_trees, optimisers, size_warmup, conditioned_weights, weighted_choices, frequency_decay, island_life, tree_shapes, tree_constants, tree_algebra, operator_lookup, operator_sets,
-        shuffled_rows, hof_bulk_update, training_sample, search_speed, selected_member, random_draws,
-        custom_operator, losses_by_name, unchecked_and_filled, csv_drop, role_errors, default_rows, bootstrap_rows, front_table, search_session, stream_windows,
+        shuffled_rows, hof_bulk_update, training_sample, custom_operator, losses_by_name, unchecked_and_filled, csv_drop, bootstrap_rows, search_session, search_resumed, search_constants_linear,
+        state_losses, score_states, skyline_price, skyline_quantity, asof_orders, stream_windows, stream_state_windows,
     )
     return {f.__name__: f for f in steps}

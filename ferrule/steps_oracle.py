@@ -9,61 +9,78 @@ def listed(columns: str, *rows: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS t({columns})"
 
 
-LEAF = "mutate_operator,simplify,swap_operands"
-#: What is left out for each tree: what a leaf can't have, and what a tree of the most nodes can't.
-LEFT_OUT = [("constant", 1, f"delete_node,mutate_feature,{LEAF}"), ("leaf", 1, f"delete_node,mutate_constant,{LEAF}"), ("readme", 6, ""), ("fma", 6, ""), ("nested", 12, ""), ("sum", 5, ""), ("difference", 5, "")]
 SHOWN = {
     "losses": {**{n: f"avg({p})" for n, (p, _) in LOSSES.items() if n != "rmse"}, "custom": "avg(pow(r, 4))"},
-    "mutations": "mutate_constant mutate_operator mutate_feature swap_operands rotate_tree add_node insert_node delete_node randomize simplify".split(),
 }
 
 
+def skyline(x: str, y: str) -> str:
+    return f"""
+WITH best AS (SELECT {x} AS x, {y} AS y, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY x ORDER BY y, l_orderkey, l_linenumber) = 1),
+swept AS (SELECT *, min(y) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best)
+SELECT x, y, l_orderkey, l_linenumber FROM swept WHERE before IS NULL OR y < before"""
+
+
+def line(name: str, e: str) -> str:
+    fitted = f"regr_slope(z, {e}) AS a, regr_intercept(z, {e}) AS b, regr_syy(z, {e}) / count(*) - pow(regr_sxy(z, {e}), 2) / regr_sxx(z, {e}) / count(*) AS loss"
+    return f"SELECT '{name}' AS formula, round(a, 4) AS slope, round(b, 4) AS intercept, round(loss, 5) AS loss FROM (SELECT {fitted} FROM {INPUTS})"
+
+
+#: 1 - R² and 1 - correlation of p and z by weight w, from sums.
+STATES = {
+    "r2": "sum({w} * pow({p} - z, 2)) / (sum({w} * z * z) - pow(sum({w} * z), 2) / sum({w}))",
+    "correlation": "1 - (sum({w} * z * ({p})) - sum({w} * z) * sum({w} * ({p})) / sum({w})) / sqrt((sum({w} * z * z) - pow(sum({w} * z), 2) / sum({w})) * (sum({w} * pow({p}, 2)) - pow(sum({w} * ({p})), 2) / sum({w})))",
+}
+#: Members of a priority: the last of each size. A request takes the largest one up to what it wants, else the smallest.
+ASOF = """
+WITH sized AS (SELECT o_orderpriority, (o_orderkey % 47 + 5)::INTEGER AS c, o_orderkey AS a, o_totalprice AS p FROM orders WHERE o_orderkey % 3 = 0 AND (o_orderkey % 47 + 5) % 2 = 1),
+members AS (SELECT o_orderpriority, c, max(a) AS a, arg_max(p, a) AS p FROM sized GROUP BY ALL),
+asked AS (SELECT o_orderkey, o_orderpriority, o_custkey % 60 AS wanted FROM orders),
+found AS (SELECT q.o_orderkey, q.o_orderpriority, q.wanted, coalesce(max(c) FILTER (c <= wanted), min(c)) AS c FROM asked q LEFT JOIN members USING (o_orderpriority) GROUP BY ALL)
+SELECT o_orderkey, o_orderpriority, wanted, c AS found_complexity, a AS found_arrival, p AS found_price FROM found LEFT JOIN members USING (o_orderpriority, c)
+"""
+#: Events in chunks of time, some of them three chunks late. ``seen`` is the latest time of all chunks before a chunk, from
+#: which the watermark follows, a day less; Spark drops late rows by that of one chunk earlier (``late``).
+CHUNKS = """
+span AS (SELECT min(ts) AS a, max(ts) AS z, epoch(max(ts) - min(ts))::BIGINT AS long FROM events),
+placed AS (SELECT e.*, least((floor(epoch(ts)) - floor(epoch(a)))::BIGINT * 6 // (floor(epoch(z - a))::BIGINT + 1), 5)::INTEGER AS own FROM events e, span),
+rows AS (SELECT *, CASE WHEN event_id % 10 = 3 THEN least(own + 3, 5) ELSE own END AS chunk, value / 10.0 AS x, (event_id % 7)::DOUBLE AS goal FROM placed),
+ends AS (SELECT chunk, max(epoch_ms(ts)) - 86400000 AS w FROM rows GROUP BY 1),
+marks AS (SELECT c.chunk, (SELECT max(w) FROM ends e WHERE e.chunk < c.chunk) AS seen, (SELECT max(w) FROM ends e WHERE e.chunk < c.chunk - 1) AS late FROM ends c),
+last AS (SELECT max(w) AS w FROM ends)"""
+WINDOWS = f"""
+WITH {CHUNKS},
+kept AS (SELECT floor(epoch(ts))::BIGINT // 43200 * 43200 AS start, x, goal FROM (SELECT r.*, m.late FROM rows r JOIN marks m USING (chunk)) WHERE late IS NULL OR (floor(epoch(ts))::BIGINT // 43200 + 1) * 43200000 > late)
+SELECT start, count(*) AS rows, CASE WHEN bool_and(x >= -2.75) THEN round(avg(pow(sqrt(greatest(x + 2.75, 0)) - goal, 2)), 6) END AS loss, bool_and(x >= -2.75) AS ok
+FROM kept, last WHERE (start + 43200) * 1000 <= w GROUP BY start
+"""
+STATE_WINDOWS = f"""
+WITH {CHUNKS},
+kept AS (SELECT event_type, floor(epoch(ts))::BIGINT // 86400 * 86400 AS start, 0.25 * x + 1.5 AS p, goal AS z FROM (SELECT r.*, m.seen FROM rows r JOIN marks m USING (chunk)) WHERE seen IS NULL OR (floor(epoch(ts))::BIGINT // 86400 + 1) * 86400000 > seen)
+SELECT event_type, start, count(*) AS rows, CASE WHEN min(z) = max(z) THEN 1.0::DOUBLE ELSE round({STATES['r2'].format(p='p', w=1)}, 6) END AS loss, true AS ok FROM kept, last WHERE (start + 86400) * 1000 <= w GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    out["mutations"] = listed("mutation, trees, invalid, broken", *(f"'{n}', 300, 0, 0" for n in SHOWN["mutations"]))
-    out["crossovers"] = listed("pairs, kept", "300, 300")
-    out["random_trees"] = "SELECT size::INTEGER AS size, 12::BIGINT AS n, 0::BIGINT AS other, true AS valid FROM range(1, 26) AS t(size)"
-    out["optimisers"] = "SELECT 'bfgs' AS method, k::INTEGER AS slot, (k + 1)::DOUBLE AS value FROM range(16) AS t(k) UNION ALL SELECT 'newton', 0, 7.0"
-    out["size_warmup"] = "SELECT k::INTEGER AS step, (CASE WHEN k <= 10 THEN 3 + 27 * k // 10 ELSE 30 END)::INTEGER AS most FROM range(21) AS t(k)"
-    out["conditioned_weights"] = listed("tree, most, left_out", *(f"'{n}', 30, '{x}'" for n, _, x in LEFT_OUT), *(f"'{n}', {k}, '{x or 'add_node,insert_node'}'" for n, k, x in LEFT_OUT))
-    out["weighted_choices"] = listed("name, near", *(f"'{n}', true" for n in ("a", "b", "none", "c")))
-    out["frequency_decay"] = "SELECT k::INTEGER AS scale, true AS within, true AS ordered, true AS floor FROM range(3) AS t(k)"
-    out["island_life"] = listed("step, members, holds", *(f"'{n}', 20, true" for n in "start cycle migrate iterate best optimise tournament repeat".split()))
-    out["tree_shapes"] = listed(
-        "tree, is_leaf, max_arity, has_vars, has_consts, sizes", "'leaf', true, 0, true, false, '1'", "'readme', false, 2, true, true, '1,1,1,3,4,6'", "'fma', false, 3, true, true, '1,1,1,4,1,6'",
-        "'nested', false, 2, true, true, '1,1,3,4,5,1,2,1,4,1,6,12'", "'sum', false, 2, true, true, '1,1,3,1,5'", "'difference', false, 2, true, true, '1,1,1,3,5'",
-    )
-    out["tree_constants"] = listed('"case", formula, consts', "'pool', '(40 + 20) * 40', 4", "'compressed', '(40 + 20) * 40', 2", "'set', '(1.5 + 2) * 1.5', 2")
-    out["tree_algebra"] = listed(
-        '"case", formula, nodes', "'mixed', '(x0 + 1) * x1', 5", "'reverse', '1 - x0', 3", "'quotient', '2 / (x0 - x1)', 5", "'negative', '-(x0 * 2)', 4", "'unary', 'tanh(abs(x0))', 3",
-        "'ternary', 'clamp(x0, 0, 1)', 4", "'nary', 'max(x0, min(x1, 3))', 5",
-    )
-    out["operator_lookup"] = listed(
-        "token, arity, found", "' COS ', NULL, 'cos'", "'+', NULL, 'add'", "'-', NULL, 'one of neg sub'", "'-', 1, 'neg'", "'-', 2, 'sub'", "'fma', 2, 'unknown'", "'nothing', NULL, 'unknown'", "'Atan2', NULL, 'atan2'",
-        "'no_such_op', NULL, 'unknown_op'",
-    )
-    out["operator_sets"] = listed(
-        '"set", operators, binary', "'basic', 'add cos div mul sub', 4", "'trig', 'add cos div mul sin sub', 4", "'explog', 'add cos div exp log mul sub', 4", "'default', 'add div mul sub', 4", "'by_arity', 'cos fma max', 1",
-        "'custom', 'add square', 1",
-    ).replace("binary)", '"binary")')
     out["custom_operator"] = f"SELECT l_orderkey, l_linenumber, round((x + y) * (x + y), 6) AS yhat, round(2 * (x + y), 6) + 0.0 AS slope, true AS ok FROM {INPUTS}"
     out["losses_by_name"] = " UNION ALL ".join(f"SELECT '{n}' AS loss, round({e}, 6) AS value FROM {PREDICTIONS}" for n, e in SHOWN["losses"].items())
     out["unchecked_and_filled"] = f"SELECT count(*) FILTER (x > 0) AS ok, count(*) AS unchecked, count(*) FILTER (x <= 0) AS filled FROM {INPUTS}"
     out["csv_drop"] = "SELECT 'col_0,col_1' AS columns, count(*) AS n, sum(s_suppkey)::BIGINT AS keys FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0"
-    out["role_errors"] = listed("roles, x", *(f"'{n}', 'refused'" for n in "one_column no_rows unknown_y unknown_w unknown_x w_is_y x_has_y x_has_w no_x".split()), "'fine', 'a,b'")
-    out["default_rows"] = "SELECT 100::BIGINT AS n, 0::BIGINT AS off, true AS normal"
-    out["bootstrap_rows"] = "SELECT true AS near, true AS repeats, true AS distinct_share, 0::BIGINT AS strange"
+    out["bootstrap_rows"] = "SELECT (2 * count(*) + 7)::BIGINT AS rows, count(*) AS keys, 0::BIGINT AS other, true AS even FROM orders"
+    out["skyline_price"] = f"SELECT x AS l_extendedprice, l_orderkey, l_linenumber, -y AS quantity FROM ({skyline('l_extendedprice', '-l_quantity::DOUBLE')})"
+    out["skyline_quantity"] = skyline("60 - l_quantity", "l_extendedprice")
+    out["asof_orders"] = ASOF
+    out["search_constants_linear"] = " UNION ALL ".join(line(n, e) for n, e in (("x", "x"), ("y", "y"), ("xy", "x * y")))
+    out["state_losses"] = " UNION ALL ".join(f"SELECT '{n}' AS name, {w != '1'} AS weighted, l_returnflag, round({e.format(p='yhat', w=w)}, 6) AS loss, true AS ok FROM {PREDICTIONS} GROUP BY l_returnflag" for n, e in STATES.items() for w in ("1", "w"))
+    formulas = ["x", "x * y", "x * y + x", None, "cos(x * y)"]
+    out["score_states"] = " UNION ALL ".join(f"SELECT '{n}' AS name, {k} AS k, {f'round({e.format(p=f, w=1)}, 6)' if f else 'max(NULL::DOUBLE)'} AS loss, {bool(f)} AS ok FROM {INPUTS}" for n, e in STATES.items() for k, f in enumerate(formulas))
+    out["search_resumed"] = listed("iterations, as_many, agree, evals", "3, true, true, true")
+    out["stream_windows"] = WINDOWS
+    out["stream_state_windows"] = STATE_WINDOWS
     out["shuffled_rows"] = "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, true AS mixed FROM orders"
     out["hof_bulk_update"] = f"SELECT * FROM {HOF}"
     out["training_sample"] = listed("n, different, everywhere", "2000, 2000, true")
-    out["search_speed"] = """
-WITH RECURSIVE s(reading, smooth) AS (SELECT 1, 1.0::DOUBLE UNION ALL SELECT reading + 1, 0.2 * (reading + 1) + 0.8 * smooth FROM s WHERE reading < 25)
-SELECT reading, round((greatest(1, reading - 19) + reading) / 2, 6)::DOUBLE AS mean, round(smooth, 6) AS smooth FROM s"""
-    out["selected_member"] = listed("n, chosen, shown", "0, NULL, 9", "1, NULL, NULL", "2, 1, 1", "3, 1, 1", "4, 9, 9", "5, 9, NULL", "6, 7, NULL", "7, 7, NULL")
-    out["random_draws"] = listed("draws, mean, variance", "'normal', true, true", "'poisson', true, true")
-    rule = "-" * 80
-    table = [rule, "Complexity  Loss          Equation", rule, "3           5.00000e-01   x0 * x1 + x1 + x1 + x1 + x1 + x1 + x1 + x1 + x1 + x1 +", " " * 27 + "x1 + x1 + x1 + x1 + 2", "12          1.25000e-07   x0", rule]
-    out["front_table"] = listed("line, text", *(f"{k}, '{line}'" for k, line in enumerate(table)))
     events = ["step|error", "init|ready", "step|snapshot front_update", "start|snapshot front_update done", "evaluate|eval_result", "pause|paused", "reset|reset_done"]
     out["search_session"] = listed("n, request, events, holds", *(f"{k}, '{e.split('|')[0]}', '{e.split('|')[1]}', true" for k, e in enumerate(events)))
     return out
