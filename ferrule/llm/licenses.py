@@ -6,16 +6,22 @@ punctuation). A template of m shingles belongs to the class c, the least power o
 c shingles, so an occurrence lies in a window whole, and they are at least 1/5 alike. With ``BANDS`` bands of one MinHash
 each, such a window and template (or part) share a band with a probability of 1 - (4/5)^40 = 0.9998.
 
-Verification is always of the whole template: around the window, as far as the template reaches before and after the
-part and half its length more, the template is found when ``containment`` of all its distinct shingles are there. A long
-template that has the containment has a part with it too, so one is retrieved.
+Verification is always of the whole template, and exact: around the window, as far as the template reaches before and
+after the part and half as far again as the whole template, it is found when ``containment`` of all its distinct shingles
+are there; so a template may be stretched by inserted words to about twice its length. Of a shingle that occurs more than
+once that place counts which is nearest to where the window puts it, so that copies one after another are places of their
+own. A long template that has the containment has a part with it too, so one is retrieved. Then the words that tell a
+license from others like it (``Template.required``: name and version, or a condition) must stand in the place word by word.
+
+Of places that share words, the one counts that says most: a single license before a set of licenses that share a notice,
+then the one with more of its shingles there. Another place gives way to it if half of its shingles are that one's too, so
+neighbours that merely touch both stay.
 
 Windows begin at a document's start and don't depend on what it is read with. Whole texts are scanned, in one pass and
-without a shuffle; the templates' table is as large as the list that is given.
+without a shuffle. What goes to all tasks is bounded: more than ``MOST_WORDS`` words of templates are an error.
 
 Defined results: null and empty texts hold nothing; repeated rows each give their rows; a document gives a row for each
-place of a license. Of places of one license that overlap the best counts, of equal ones the longest; a place is not
-reported that a license with a larger share overlaps.
+place of a license. Of equal places the first template's counts. Templates shorter than ``NGRAM`` words are never found.
 """
 
 from __future__ import annotations
@@ -31,50 +37,25 @@ from xxhash import xxh3_64_intdigest
 
 from ferrule.llm.common import by_bytes
 from ferrule.llm.decontam import words_of
+from ferrule.llm.license_texts import TEMPLATES, Template
 
 NGRAM = 5
 BANDS = 40
 LONGEST = 64
+#: Words of all templates: with some 80 bytes a word, and 16 KB for each class and band, their index has 100 MB at most.
+MOST_WORDS = 1_000_000
 NOTHING = np.iinfo(np.uint32).max
 
-#: License notices, by SPDX identifier.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-2.0", "licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
-    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-)
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array(list(map(xxh3_64_intdigest, words)), dtype=np.uint64)
 
-def shingle_sequence(words: list[bytes]) -> np.ndarray:
+
+def shingles_of(w: np.ndarray) -> np.ndarray:
     """The hash of each ``NGRAM`` words in a row."""
-    n = len(words) - NGRAM + 1
+    n = len(w) - NGRAM + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    w = np.array(list(map(xxh3_64_intdigest, words)), dtype=np.uint64)
     h = np.zeros(n, np.uint64)
     for i in range(NGRAM):
         h = (h ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -82,28 +63,51 @@ def shingle_sequence(words: list[bytes]) -> np.ndarray:
     return h
 
 
+def shingle_sequence(words: list[bytes]) -> np.ndarray:
+    return shingles_of(word_hashes(words))
+
+
+def stands_in(phrase: np.ndarray, words: np.ndarray) -> bool:
+    """Whether a sequence is found in another one without gaps."""
+    n = len(words) - len(phrase) + 1
+    if n < 1:
+        return False
+    there = words[:n] == phrase[0]
+    for i in range(1, len(phrase)):
+        there &= words[i : i + n] == phrase[i]
+    return bool(there.any())
+
+
 class Templates:
     """Some templates' shingles, and the bands of their parts."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], containment: float):
+    def __init__(self, templates: Sequence[Template | tuple], containment: float):
         rng = np.random.default_rng(5)
         self.a = rng.integers(1, 1 << 63, BANDS, dtype=np.uint64) | np.uint64(1)
         self.b = rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
         self.containment = containment
         self.names: list[str] = []
         self.whole: list[np.ndarray] = []
+        self.offset: list[np.ndarray] = []  # where each distinct shingle first is in its template
         parts: list[tuple[int, int, int]] = []  # template, and how far it reaches before and after the part
         shingles: list[np.ndarray] = []
-        for name, text in templates:
-            sequence = shingle_sequence(words_of(text))
+        self.required: list[list[np.ndarray]] = []
+        listed = [(Template(*x), words_of(x[1])) for x in templates]
+        if sum(len(w) for _, w in listed) > MOST_WORDS:
+            raise ValueError(f"templates of more than {MOST_WORDS} words in all")
+        for template, words in listed:
+            sequence = shingle_sequence(words)
             at = 0
             for part in np.array_split(sequence, -(-len(sequence) // LONGEST)) if len(sequence) else []:
                 parts.append((len(self.names), at, len(sequence) - at - len(part)))
                 shingles.append(np.unique(part))
                 at += len(part)
             if len(sequence):
-                self.names.append(name)
-                self.whole.append(np.unique(sequence))
+                self.names.append(template.license_id)
+                self.required.append([word_hashes(words_of(phrase)) for phrase in template.required])
+                distinct, at_first = np.unique(sequence, return_index=True)
+                self.whole.append(distinct)
+                self.offset.append(at_first)
         self.parts = parts
         sizes = [1 << (len(s) - 1).bit_length() for s in shingles]
         self.classes = {c: [t for t, size in enumerate(sizes) if size == c] for c in sorted(set(sizes))}
@@ -116,14 +120,31 @@ class Templates:
                     table.setdefault(least[j][t], []).append(t)
                 flags = np.zeros(1 << 16, bool)
                 flags[np.array(list(table)) >> 16] = True
-                self.bands[c, j], self.flags[c, j] = table, flags
+                self.bands[c, j], self.flags[c, j] = table, np.packbits(flags)
 
     def minima(self, hashes: np.ndarray, band: int) -> np.ndarray:
         return ((hashes * self.a[band] + self.b[band]) >> np.uint64(32)).astype(np.uint32)
 
+    def chosen(self, t: int, own: np.ndarray, a: int, z: int, first: int, last: int) -> np.ndarray:
+        """Places of a template's shingles in ``own[a:z]``, one for each that is there: the nearest to where it would be if
+        the template were as the window from ``first`` to ``last`` has it."""
+        whole = self.whole[t]
+        which = np.minimum(np.searchsorted(whole, own[a:z]), len(whole) - 1)
+        place = np.flatnonzero(whole[which] == own[a:z])
+        which = which[place]
+        place = place + a
+        begins = place - self.offset[t][which]
+        near = (place >= first) & (place < last)
+        if not len(place):
+            return place
+        off = np.abs(begins - np.median(begins[near] if near.any() else begins))
+        order = np.lexsort((place, off, which))
+        return np.sort(place[order[np.append(True, which[order][1:] != which[order][:-1])]])
+
     def scan(self, texts: list[str | None]) -> list[tuple[int, str, float, int, int]]:
         """(text, license, containment, first word, word after the last) of each place of a license."""
-        sequences = [shingle_sequence(words_of(t)) if t else np.zeros(0, np.uint64) for t in texts]
+        spelt = [word_hashes(words_of(t)) if t else np.zeros(0, np.uint64) for t in texts]
+        sequences = [shingles_of(w) for w in spelt]
         # each text begins at a multiple of the largest class and has one such stretch of nothing after it
         room = [(-(-len(s) // LONGEST) + 1) * LONGEST for s in sequences]
         begin = np.cumsum([0, *room])
@@ -140,40 +161,45 @@ class Templates:
                 while size < c:
                     low, size = low.reshape(-1, 2).min(axis=1), size * 2
                 window = np.minimum(low, np.append(low[1:], NOTHING))
-                for k in np.flatnonzero(self.flags[c, j][window >> 16]).tolist():
+                flags = np.unpackbits(self.flags[c, j]).view(bool)
+                for k in np.flatnonzero(flags[window >> 16]).tolist():
                     for t in self.bands[c, j].get(int(window[k]), ()):
                         candidates.add((c, k, t))
-        places: dict[int, set[tuple]] = {}
+        places: dict[int, dict[tuple, np.ndarray]] = {}
         tried: set[tuple[int, int, int]] = set()
         for c, k, part in candidates:
             text = int(np.searchsorted(begin, k * c, "right")) - 1
             t, before, after = self.parts[part]
-            whole = self.whole[t]
-            more = len(whole) // 2 if before or after else 0
-            a = max(int(begin[text]), k * c - before - more)
-            z = min(k * c + 2 * c + after + more, int(begin[text]) + len(sequences[text]))
-            if (a, z, t) in tried:
+            whole, own, at = self.whole[t], sequences[text], k * c - int(begin[text])
+            more = len(whole) + len(whole) // 2
+            a, z = max(0, at - before - more), min(at + 2 * c + after + more, len(own))
+            inside = self.chosen(t, own, a, z, at, at + 2 * c)
+            if not len(inside) or (text, t, int(inside[0])) in tried:
                 continue
-            tried.add((a, z, t))
-            inside = np.flatnonzero(np.isin(stream[a:z], whole)) + a - int(begin[text])
-            share = len(np.unique(stream[begin[text] + inside])) / len(whole)
+            tried.add((text, t, int(inside[0])))
+            share = len(inside) / len(whole)
             if share >= self.containment:
-                places.setdefault(text, set()).add((-share, int(inside[0]), int(inside[-1]) + NGRAM, self.names[t]))
+                words = spelt[text][max(0, int(inside[0]) - NGRAM) : int(inside[-1]) + 2 * NGRAM]
+                if all(stands_in(phrase, words) for phrase in self.required[t]):
+                    # a single license first, then what has most of its shingles, most of itself, and the shortest place
+                    rank = (self.names[t].count("|"), -len(inside), -share, int(inside[-1] - inside[0]), int(inside[0]), t)
+                    places.setdefault(text, {})[rank] = inside
         out = []
-        for text, own in places.items():
-            kept: list[tuple] = []
-            for share, first, last, name in sorted(own, key=lambda p: (p[0], p[1] - p[2], p[1], p[3])):
-                meet = [p for p in kept if first < p[2] and p[1] < last]
-                # a notice like another one's is that other one where the other fits better
-                if not any(p[0] < share or p[3] == name for p in meet):
-                    kept.append((share, first, last, name))
-            out += [(text, name, round(-share, 6), first, last) for share, first, last, name in kept]
+        for text, own_places in places.items():
+            kept: list[tuple[int, np.ndarray]] = []
+            for rank in sorted(own_places):
+                inside, t = own_places[rank], rank[-1]
+                meet = lambda other, u: self.names[u] == self.names[t] and inside[0] <= other[-1] and other[0] <= inside[-1] or 2 * np.isin(inside, other).sum() >= len(inside)  # noqa: B023, E731
+                if not any(meet(other, u) for u, other in kept):
+                    kept.append((t, inside))
+                    out.append((text, self.names[t], round(-rank[2], 6), int(inside[0]), int(inside[-1]) + NGRAM))
         return sorted(out)
 
 
-def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates: Sequence[Template | tuple] = TEMPLATES, containment: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each place of a license in a document: doc_id, license_id, containment, start_word and end_word. The
-    templates are (license, text) pairs, whole licenses or notices, each of which counts by itself."""
+    templates are whole licenses or notices, each of which counts by itself; where a notice can mean several licenses, and
+    nothing in the place tells which, license_id has all of them, parted by |."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("license_id", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())])
     shared = docs.sparkSession.sparkContext.broadcast(Templates(templates, containment))
 
