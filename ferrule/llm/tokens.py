@@ -288,7 +288,9 @@ class Counts:
         word = None
         for w, (a, z) in zip(e.word_ids, e.offsets, strict=True):
             alone = plain or (unicodedata.category(text[a])[0] in "LNPS" and not "\u1100" <= text[a] <= "\u11ff")
-            if stretches and (w == word or a < stretches[-1][1] or not alone):
+            # what is a contraction in a prefix is none where a mark follows: "'s" and a mark are an apostrophe and a letter
+            cut = not plain and text[a - 1 : a] == "'" and a > 0
+            if stretches and (w == word or a < stretches[-1][1] or not alone or cut):
                 stretches[-1][1:] = [max(stretches[-1][1], z), stretches[-1][2] + 1]
             else:
                 stretches.append([a, z, 1])

@@ -416,6 +416,28 @@ def test_other_vocabularies_go_through_the_library(tmp_path):
     assert ids.encoding is None and ids.of("the cat") == Tokenizer.from_file(str(path)).encode("the cat").ids
 
 
+def test_marks_after_contractions(libraries):
+    """20,000 units with marks after contractions, at every prefix: a prefix may have a contraction that the whole has not."""
+    rng = random.Random(21)
+    marks = ["\u0301", "\u0308", "\u0327", "\u0323", "\u030c", "\u0338", "\u200d"]
+    ends = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "'LL", "'", "''", "!'", "\u2019s"]
+    texts = []
+    for _ in range(20_000):
+        words = []
+        for _ in range(rng.randrange(1, 3)):
+            w = rng.choice(["it", "o", "don", "e\u0301", "", "5", "\u1100\u1161", "\u0130"]) + rng.choice(ends)
+            at = rng.randrange(len(w) + 1)
+            words.append(w[:at] + rng.choice(marks) + w[at:] + rng.choice(["", rng.choice(marks), "x", "s", "-", "e" + rng.choice(marks)]))
+        texts.append(rng.choice(["", " "]).join(words))
+    for part in range(0, len(texts), 500):
+        some = texts[part : part + 500]
+        got = counts_of(some)
+        begins = [t[: k + 1] for t in some for k in range(len(t))]
+        flat = iter([len(e) for e in libraries[1].encode_batch(begins, add_special_tokens=False)])
+        for text, own in zip(some, got, strict=True):
+            assert own == [next(flat) for _ in text], text
+
+
 def test_prefix_table_answers(spark):
     df = tokens.prefix_counts(documents(spark), WORD)
     rows = {r.doc_id: r for r in df.collect()}
