@@ -14,12 +14,16 @@ words. A line is deleted when it lies in a run that also occurs earlier in the c
    one of them occurs. Where no fingerprint is matched nothing is extended or compared.
 4. Later places of a window are deleted; the rest of a document is joined again.
 
+What is deleted goes by 128 bits: lines and runs have two 64-bit hashes of different seeds, and texts too. Of 10**15 runs
+two different ones agree in both with a probability of 10**-9. Fingerprints go by one hash, since a chance match there only
+extends what is then told apart.
+
 A line or run that very many documents share is a hot key of two joins, which ``joined_by_count`` splits off.
 
 Defined results: a null text counts as an empty one and stays null; rows that agree in id and text are one place, and
 each of them gets that place's result; of rows that agree in the id alone, that with the lesser text hash comes first; a
 null id comes before all others. White space counts when lines are compared. Only the id and text columns are read;
-other columns pass through.
+other columns pass through, but for ``n_lines`` and ``n_removed``, which take the place of any that are there.
 """
 
 from __future__ import annotations
@@ -70,15 +74,24 @@ def windows_of(hashes: Column, words: Column, min_words: int) -> Column:
     return F.when(F.aggregate(words, F.lit(0), lambda s, x: s + x) >= min_words, let(F.struct(sums_before(words).alias("sums"), words.alias("words"), hashes.alias("hashes")), of))
 
 
+def two_hashes(x: Column) -> Column:
+    """128 bits as two hashes of different seeds."""
+    return F.struct(first_hash(x).alias("one"), F.xxhash64(F.lit(7), x).alias("two"))
+
+
+def first_hash(x: Column) -> Column:
+    return F.xxhash64(x)
+
+
 def line_table(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
-    """A row for each document: id, key (a hash of the text), the hashes of its lines, and its windows (null where it is
+    """A row for each document: id, key (two hashes of the text), two hashes of each of its lines, and its windows (null where it is
     too short for one)."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     # a line's words: what its separators part, when those at the ends are taken off
     count = lambda x: let(F.regexp_replace(x, rf"^{SEPARATORS}|{SEPARATORS}$", ""), lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SEPARATORS))))
-    both = let(lines, lambda x: F.struct(F.transform(x, lambda y: F.xxhash64(y)).alias("hashes"), F.transform(x, count).alias("words")))
-    found = let(both, lambda x: F.struct(x["hashes"].alias("hashes"), windows_of(x["hashes"], x["words"], min_words).alias("windows")))
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), found.alias("l"))
+    both = let(lines, lambda x: F.struct(F.transform(x, lambda y: first_hash(y)).alias("hashes"), F.transform(x, lambda y: F.xxhash64(F.lit(7), y)).alias("others"), F.transform(x, count).alias("words")))
+    found = let(both, lambda x: F.struct(x["hashes"].alias("hashes"), x["others"].alias("others"), windows_of(x["hashes"], x["words"], min_words).alias("windows")))
+    rows = docs.select(F.col(doc_id).alias("id"), two_hashes(F.coalesce(F.col(text), F.lit(""))).alias("key"), found.alias("l"))
     return rows.select("id", "key", "l.*")
 
 
@@ -96,11 +109,13 @@ def matched(marks: DataFrame) -> DataFrame:
 
 
 def extended(lined: DataFrame, found: DataFrame) -> DataFrame:
-    """The windows that the matched fingerprints extend to: id, key, a, z and the hash of all its lines, the run."""
+    """The windows that the matched fingerprints extend to: id, key, a, z and two hashes of all its lines, the run."""
     places = found.groupBy("id", "key").agg(F.collect_set("p").alias("places")).select(F.col("id").alias("__id"), F.col("key").alias("__key"), "places")
     rows = lined.join(places, (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id")))
     own = F.filter("windows", lambda w: F.array_contains("places", w["p"]))
-    runs = F.transform(own, lambda w: F.struct(w["a"].alias("a"), w["z"].alias("z"), F.xxhash64(F.slice("hashes", w["a"] + 1, w["z"] - w["a"] + 1)).alias("run")))
+    part = lambda c, w: F.slice(c, w["a"] + 1, w["z"] - w["a"] + 1)
+    run = lambda w: F.struct(F.xxhash64(part("hashes", w)).alias("one"), F.xxhash64(F.lit(7), part("others", w)).alias("two"))
+    runs = F.transform(own, lambda w: F.struct(w["a"].alias("a"), w["z"].alias("z"), run(w).alias("run")))
     return rows.select("id", "key", F.explode(runs).alias("r")).select("id", "key", "r.*")
 
 
@@ -120,7 +135,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", tex
     gone = repeated_runs(runs)
     gone = gone.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("gone"))
     gone = gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.struct(F.col("gone.a").alias("a"), F.col("gone.z").alias("z")).alias("__gone"))
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    keyed = docs.withColumn("__text_key", two_hashes(F.coalesce(F.col(text), F.lit(""))))
     joined = keyed.join(gone, (F.col("__text_key") == F.col("__key")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 

@@ -95,6 +95,16 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(rows, 6)
 
 
+def test_lines_whose_hashes_collide_stay(spark, monkeypatch):
+    """With 3 values for the first hash of a line or text nearly all of them collide; the second one tells them apart."""
+    rows = [(i, "\n".join(f"a{i} b{i} c{k} d{i * k}" for k in range(12))) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + "\nend") for i in range(5)]
+    before = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=6).collect()}
+    monkeypatch.setattr(lines, "first_hash", lambda x: F.pmod(F.xxhash64(x), F.lit(3)))
+    after = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=6).collect()}
+    assert before == after and all(after[i] == t for i, t in rows if i < 100) and all(after[100 + i] == "end" for i in range(5))
+
+
 def test_lines_are_matched_by_fingerprints(spark, monkeypatch):
     """Fewer fingerprints than windows are stored, and nothing is deleted without them."""
     rng = random.Random(4)
