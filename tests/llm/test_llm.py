@@ -2,6 +2,7 @@
 
 import collections
 import datetime
+import gzip
 import hashlib
 import random
 import re
@@ -150,9 +151,8 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.record_type for r in warc.archived(pages, min_bytes=10).collect()} == {"response"}
 
 
-def test_warc_members(spark, tmp_path, monkeypatch):
+def test_warc_members(spark, tmp_path):
     """Each record can be read from its own begin; revisits name the record that they refer to; a warcinfo comes first."""
-    monkeypatch.setattr(warc, "MEMBER_BYTES", 3000)
     rows = [(k, f"http://h/{k}", "x" * 10 * k if k % 3 else "same") for k in range(60)] + [(99, "http://big", "é" * 9000)]
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", archive_bytes=20_000, date="2024-01-02T03:04:05Z")
     found, targets = {}, {}
@@ -171,6 +171,42 @@ def test_warc_members(spark, tmp_path, monkeypatch):
     assert {(r.page_id, r.html) for r in warc.read_archives(spark, f"file://{tmp_path}/w").where("record_type = 'response'").collect()} == {(k, h) for k, _, h in rows if k % 3 or k in (57, 99)}
 
 
+def test_archives_are_read_in_ranges(spark, tmp_path):
+    """One archive by many tasks, each of which has whole records; gzip and the parser read it as one file too."""
+    rng = random.Random(4)
+    rows = [(k, f"http://h/{k}", "".join(chr(rng.randrange(32, 1200)) for _ in range(rng.randrange(4000)))) for k in range(300)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    (path,) = [p for p in (tmp_path / "w").glob("part-*") if p.stat().st_size]
+    whole = gzip.decompress(path.read_bytes())
+    assert whole.count(b"WARC-Record-ID") == 301 and len(list(warc.records(path.read_bytes()))) == 301
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = warc.read_archives(spark, f"file://{tmp_path}/w")
+        got = read.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len({r.task for r in got}) > 20
+    assert sorted((r.page_id, r.url, r.html) for r in got) == sorted(rows)
+
+
+@pytest.mark.parametrize("often", [100, 1000])
+def test_each_record_has_an_id_of_its_own(spark, tmp_path, monkeypatch, often):
+    """Rows that agree in page_id and payload, a third of all among them; what revisits refer to is there."""
+    monkeypatch.setattr(warc, "OFTEN", often)
+    rows = [(7, "u", "same")] * 700 + [(k, "u", "same" if k < 6 else "x" * (k % 50)) for k in range(1400)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/w")
+    headers = [h for p in sorted((tmp_path / "w").glob("part-*")) for h, _ in warc.records(p.read_bytes()) if h["WARC-Type"] != "warcinfo"]
+    ids = [h["WARC-Record-ID"] for h in headers]
+    assert len(ids) == len(set(ids)) == len(rows)
+    for h in headers:
+        assert h.get("WARC-Refers-To", ids[0]) in ids
+        assert ("X-Refers-To-Page-ID" in h) == (h["WARC-Type"] == "revisit")
+    assert sum(h["WARC-Type"] == "response" and h["X-Page-ID"] == "7" for h in headers) == 700
+
+
 def test_warc_odd(spark):
     """Repeated rows, clashing names, and a payload that a third of the rows have."""
     rows = [(k, "u", "hot" if k % 3 == 0 else f"p{k}", "d", "i", 1) for k in range(30)] + [(1, "u", "p1", "d", "i", 1), (1, "u", "other", "d", "i", 1)]
