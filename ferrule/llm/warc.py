@@ -10,8 +10,8 @@
 4. Reading: Spark's text reader cuts archives at the separators, in ranges of a file, so an archive is read by as many
    tasks as it has ranges and a task holds a record; it is parsed by its Content-Length.
 
-An archive holds about ``archive_bytes`` of payload, 1 GB unless that is fewer than one for each of the shuffle's tasks and
-32 MB. Pages that share page_id and payload, in more than one of ``SHARES`` rows and 1000, stay where they are read.
+An archive holds about ``archive_bytes`` of payload, 1 GB, or less where the session's shuffle has more tasks than that
+makes. Pages that share page_id and payload, in more than one of ``SHARES`` rows and 1000, stay where they are read.
 
 Defined results: a null html is an empty payload; a null page_id or url has no header and reads as null; rows that share
 page_id and payload each have a record with an id of its own, and each of them is a response where that page_id is the
@@ -44,8 +44,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SEPARATOR = bytes.fromhex("1f8b080000000000 00ff 0300 00000000 00000000").decode("latin-1")
 #: How Spark's text files get and find it.
 LINES = {"lineSep": SEPARATOR, "encoding": "ISO-8859-1"}
-#: Bytes that an archive has at least, where there are few.
-LEAST_BYTES = 32_000_000
 #: Pages of one key that a task can take in any case.
 OFTEN = 1000
 
@@ -102,7 +100,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     headers, total, n = resolved(pages, min_bytes, page_id, html)
     headers = written(headers, "resolved")
-    files = max(1, -(-total // archive_bytes), min(-(-total // LEAST_BYTES), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    files = -(-total // archive_bytes)
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), payload.alias("payload"), payload_digest(payload).alias("digest"))
     # one key for both sides, dealt out alike, so that payloads are shuffled once: into the archives
@@ -110,7 +108,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     left, right = rows.withColumn("key", key), headers.select(key.alias("key"), "bytes", "pages", "refers", "single")
     often = F.col("pages") > max(n // SHARES, OFTEN)  # fewer than SHARES keys
     hot = right.where(often)
-    joined = left.join(F.broadcast(hot.select("key")), "key", "left_anti").repartition(files, "key").join(right.where(~often).repartition(files, "key").hint("merge"), "key")
+    others, known = left.join(F.broadcast(hot.select("key")), "key", "left_anti"), right.where(~often)
+    if files > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        others, known = others.repartition(files, "key"), known.repartition(files, "key")
+    joined = others.join(known.hint("merge"), "key")  # fewer archives are what the session's own shuffle makes
     joined = joined.unionByName(left.join(F.broadcast(hot), "key"))
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,9 +176,9 @@ def test_archives_are_read_in_ranges(spark, tmp_path):
     rng = random.Random(4)
     rows = [(k, f"http://h/{k}", "".join(chr(rng.randrange(32, 1200)) for _ in range(rng.randrange(4000)))) for k in range(300)]
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
-    (path,) = [p for p in (tmp_path / "w").glob("part-*") if p.stat().st_size]
-    whole = gzip.decompress(path.read_bytes())
-    assert whole.count(b"WARC-Record-ID") == 301 and len(list(warc.records(path.read_bytes()))) == 301
+    paths = [p for p in (tmp_path / "w").glob("part-*") if p.stat().st_size]
+    whole = b"".join(gzip.decompress(p.read_bytes()) for p in paths)
+    assert whole.count(b"WARC-Record-ID") == 300 + len(paths) and sum(len(list(warc.records(p.read_bytes()))) for p in paths) == 300 + len(paths)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
@@ -188,7 +188,7 @@ def test_archives_are_read_in_ranges(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert len({r.task for r in got}) > 20
+    assert len({r.task for r in got}) > 5 * len(paths)
     assert sorted((r.page_id, r.url, r.html) for r in got) == sorted(rows)
 
 
