@@ -9,11 +9,14 @@ windows on its diagonal are compared word by word, so that the result is exact,
 Words are lower-case, without ASCII punctuation, and part at ASCII white space. Of an item of 5 to 12 words all must
 agree; shorter ones aren't searched for.
 
-The items are few against the documents, and the join with them is a search in their index, which goes to all tasks in
-blocks of a proven size: a word takes two code points with its separator, and at most ``WORD_BYTES`` bytes in an index. A
-benchmark beyond ``block_chars`` is searched for block by block, each over all documents. Then each block's result is
-written and its index is gone before the next one is made, so that memory doesn't grow with the benchmark. Documents are
-read as they come, so hot sources or copies make no task larger; with one block nothing is shuffled.
+How hashes are joined goes by the benchmark's size. Up to ``block_chars`` code points, its hashes are an index that goes to
+all tasks: a word takes two code points with its separator, and at most ``WORD_BYTES`` bytes in the index. Documents are
+searched as they come, so hot sources or copies make no task larger and nothing is shuffled.
+
+A larger benchmark is joined in one scan of the documents, whatever its size. A Bloom filter of its hashes, of a fixed
+``FILTER_BITS``, goes to all tasks; documents with a place that passes are kept in a table, with the hashes of these places.
+Their hashes are shuffled once, against those of the items, and pairs of document and item with their diagonals are
+verified in tasks. Hashes and items with very many places are split off by their counts (``joined_by_count``).
 
 Defined results: null or empty texts leak nothing; repeated documents each give their rows; repeated items count once;
 items that share an id are one item, of which the best overlap is given.
@@ -30,8 +33,9 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
-from ferrule.llm.common import by_bytes, written
+from ferrule.llm.common import SHARES, by_bytes, joined_by_count, written
 
 WINDOW = 13
 SUBSTITUTIONS = 2
@@ -42,10 +46,12 @@ PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Bytes of an index for each word of its items, at most: 8 for the word, and for each mask 8 for a hash, 8 for its place,
 #: and up to 32 bits of the filter.
 WORD_BYTES = 8 + 2 * (8 + 8 + 4)
-#: Code points of a block, so that its index has 100 MB at most, besides its different words.
+#: Code points of a benchmark that goes to all tasks, so that its index has 100 MB at most, besides its different words.
 BLOCK_CHARS = 4_000_000
 #: Bytes of documents that are hashed together.
 TOGETHER = 500_000
+#: Bits of the filter of a larger benchmark's hashes: 32 MB.
+FILTER_BITS = 1 << 28
 
 
 def words_of(text: str) -> list[bytes]:
@@ -62,6 +68,25 @@ def mixed(ids: np.ndarray, mask: str, length: int) -> np.ndarray:
     return h
 
 
+def overlap(stream: np.ndarray, token: np.ndarray, diagonal: int) -> tuple[int, int, int, int] | None:
+    """What an item has in common with a text where its first word is at ``diagonal``: matched words, and negated, so that
+    the greatest is the best, words of the overlap, its first word in the text, and in the item."""
+    a, z = max(diagonal, 0), min(diagonal + len(token), len(stream))
+    width = min(WINDOW, len(token))
+    if z - a < width:
+        return None
+    same = (stream[a:z] == token[a - diagonal : z - diagonal]).astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(same)])
+    good = np.flatnonzero(sums[width:] - sums[:-width] >= width - (SUBSTITUTIONS if width == WINDOW else 0))
+    if not len(good):
+        return None
+    covered = np.zeros(z - a + 1, dtype=np.int64)
+    np.add.at(covered, good, 1)
+    np.add.at(covered, good + width, -1)
+    inside = np.cumsum(covered[:-1]) > 0
+    return int(same[inside].sum()), -int(inside.sum()), -int(a + good[0]), -int(a + good[0] - diagonal)
+
+
 class SeedIndex:
     """The seeds of some benchmark items and what is needed to verify their hits."""
 
@@ -129,32 +154,21 @@ class SeedIndex:
                 hits.update(map(tuple, np.unique(found, axis=0).tolist()))
         best: dict[tuple[int, int], tuple] = {}
         for text, item, diagonal in hits:
-            token = self.tokens[item]
-            a, z = max(diagonal, begin[text]), min(diagonal + len(token), end[text])
-            width = min(WINDOW, len(token))
-            if z - a < width:
-                continue
-            same = (stream[a:z] == token[a - diagonal : z - diagonal]).astype(np.int64)
-            sums = np.concatenate([[0], np.cumsum(same)])
-            good = np.flatnonzero(sums[width:] - sums[:-width] >= width - (SUBSTITUTIONS if width == WINDOW else 0))
-            if len(good):
-                covered = np.zeros(z - a + 1, dtype=np.int64)
-                np.add.at(covered, good, 1)
-                np.add.at(covered, good + width, -1)
-                inside = np.cumsum(covered[:-1]) > 0
-                got = (int(same[inside].sum()), -int(inside.sum()), -int(a + good[0] - begin[text]), -int(a + good[0] - diagonal))
+            got = overlap(stream[begin[text] : end[text]], self.tokens[item], diagonal - int(begin[text]))
+            if got is not None:
                 key = (text, self.owner[item])
                 best[key] = max(best.get(key, got), got)
         return sorted((t, i, m, -n, -d, -p) for (t, i), (m, n, d, p) in best.items())
 
 
-def indexes(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> tuple[int, Iterator[SeedIndex]]:
-    """How many blocks of items there are, and the index of each. An item is in one block whole."""
-    rows = benchmark.select(F.col(item_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars)
-    own = lambda k: rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-    return blocks, (SeedIndex([(r.id, r.text) for r in own(k).distinct().orderBy("id", "text").collect()]) for k in range(blocks))
+def fits(benchmark: DataFrame, text: str, block_chars: int) -> bool:
+    return (benchmark.agg(F.sum(F.length(text))).first()[0] or 0) <= block_chars
+
+
+def index_of(benchmark: DataFrame, item_id: str, text: str) -> SeedIndex:
+    """The index of a benchmark that fits; its items go through the driver."""
+    rows = benchmark.select(F.col(item_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct().orderBy("id", "text")
+    return SeedIndex([(r.id, r.text) for r in rows.collect()])
 
 
 def searched(rows: DataFrame, shared: Broadcast, schema: T.StructType) -> DataFrame:
@@ -179,28 +193,121 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 def _overlaps(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> DataFrame:
     spark = rows.sparkSession
     schema = T.StructType([rows.schema[0], T.StructField("item_id", benchmark.schema[item_id].dataType), *(T.StructField(n, T.LongType()) for n in ("matched_words", "overlap_words", "doc_start", "item_start"))])
-    blocks, found = indexes(benchmark, item_id, item_text, block_chars)
-    out = spark.createDataFrame([], schema)
-    for index in found:
-        shared = spark.sparkContext.broadcast(index)
-        own = searched(rows, shared, schema)
-        if blocks > 1:
-            own = written(own, "overlaps")
-            shared.destroy()
-        out = out.unionByName(own)
-    return out
+    if fits(benchmark, item_text, block_chars):
+        index = index_of(benchmark, item_id, item_text)
+        return searched(rows, spark.sparkContext.broadcast(index), schema) if index.tokens else spark.createDataFrame([], schema)
+    return joined(rows, benchmark, item_id, item_text, schema)
+
+
+def hashed_places(words: list[bytes], known: np.ndarray | None = None, item: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all masks at all places of a text, and the places; only those that pass the filter ``known``. An item's
+    are those of its own length's masks; a text's are of all masks, as items of any length may be in it."""
+    w = np.array(list(map(xxh3_64_intdigest, words)), dtype=np.uint64)
+    long = len(MASKS[0])
+    short = range(SHORTEST_ITEM, long)
+    masks = [*(MASKS if len(w) >= long else ()), *("1" * n for n in short if (n == len(w) if item else n <= len(w)))]
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for mask in masks:
+        h = mixed(w, mask, len(w) - len(mask) + 1)
+        at = np.arange(len(h)) if known is None else np.flatnonzero(passes(known, h))
+        hashes.append(h[at])
+        places.append(at)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def bits_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in the filter."""
+    last = np.uint64(FILTER_BITS - 1)
+    return h & last, (h >> np.uint64(32)) & last
+
+
+def passes(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    one, two = bits_of(h)
+    set_ = lambda b: (known[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1
+    return (set_(one) & set_(two)).astype(bool)
+
+
+def joined(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, schema: T.StructType) -> DataFrame:
+    """The overlaps of ``rows``, (key, text), with a benchmark of any size."""
+    spark = rows.sparkSession
+    items = written(benchmark.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1, TOGETHER):
+            found = [hashed_places(words_of(t), item=True) for t in batch.column(1).to_pylist()]
+            sizes = [len(h) for h, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(np.concatenate([p for _, p in found]))], ["item", "hash", "place"])
+
+    seeded = written(items.select("item", "text").mapInArrow(seeds, "item long, hash long, place long"), "seeds")
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            for b in bits_of(batch.column(0).to_numpy().view(np.uint64)):
+                np.bitwise_or.at(known, b >> np.uint64(3), np.uint8(1) << (b & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([known.tobytes()], pa.binary())], ["bits"])
+
+    # filters of a fixed size are merged in a tree
+    filters = seeded.select("hash").mapInArrow(bits, "bits binary").rdd.map(lambda r: bytes(r.bits))
+    known = np.frombuffer(filters.treeReduce(lambda a, b: np.bitwise_or(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).tobytes()), np.uint8)
+    shared = spark.sparkContext.broadcast(known)
+    kind = rows.schema[0].dataType.simpleString()
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1, TOGETHER):
+            found = [hashed_places(words_of(t or ""), shared.value) for t in batch.column(1).to_pylist()]
+            some = pa.array([k for k, (h, _) in enumerate(found) if len(h)], pa.int64())
+            lists = [pa.array([list(x[c].view(np.int64)) for x in found if len(x[0])], pa.list_(pa.int64())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), *lists], ["key", "text", "hashes", "places"])
+
+    docs = written(rows.mapInArrow(candidates, f"key {kind}, text string, hashes array<long>, places array<long>").withColumn("doc", F.monotonically_increasing_id()), "candidates")
+    hits = docs.select("doc", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("doc", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at"))
+    counts = hits.groupBy("hash").agg(F.count("*").alias("n"))
+    places = seeded.groupBy("hash").agg(F.collect_list(F.struct("item", "place")).alias("seeds")).join(counts, "hash")
+    met = joined_by_count(hits, places, "hash", "n").select("doc", "at", F.explode("seeds").alias("s"))
+    pairs = met.groupBy("doc", F.col("s.item").alias("item")).agg(F.collect_set(F.col("at") - F.col("s.place")).alias("diagonals"))
+    pairs = written(pairs, "pairs")
+    wanted = items.join(pairs.groupBy("item").agg(F.count("*").alias("n")), "item").select("item", "item_id", F.col("text").alias("item_text"), "n")
+    both = joined_by_count(pairs, wanted, "item", "n").join(docs.select("doc", "key", "text"), "doc")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 2, TOGETHER):
+            out: list[list] = [[], [], [], [], []]
+            for k, (item, text, diagonals) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                number: dict[bytes, int] = {}
+                token, stream = ([number.setdefault(w, len(number)) for w in words_of(t)] for t in (item, text))
+                token, stream = np.array(token), np.array(stream)
+                if found := max((o for d in diagonals if (o := overlap(stream, token, d)) is not None), default=None):
+                    m, n, d, p = found
+                    for column, value in zip(out, (k, m, -n, -d, -p), strict=True):
+                        column.append(value)
+            if out[0]:
+                at = pa.array(out[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(4).take(at), *(pa.array(c, pa.int64()) for c in out[1:]), batch.column(5).take(at)], [*schema.names, "doc"])
+
+    item_kind = schema["item_id"].dataType.simpleString()
+    checked = both.select("key", "item_text", "text", "diagonals", "item_id", "doc").mapInArrow(verified, f"{schema.names[0]} {kind}, item_id {item_kind}, matched_words long, overlap_words long, doc_start long, item_start long, doc long")
+    # items that share an id are one: of their overlaps with a document the best, as for one item
+    best = F.max(F.struct("matched_words", (-F.col("overlap_words")).alias("n"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("p"))).alias("b")
+    out = checked.groupBy("doc", "item_id").agg(best, F.first(schema.names[0]).alias("__key"))
+    return out.select(F.col("__key").alias(schema.names[0]), "item_id", "b.matched_words", (-F.col("b.n")).alias("overlap_words"), (-F.col("b.d")).alias("doc_start"), (-F.col("b.p")).alias("item_start"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    blocks, found = indexes(benchmark, item_id, item_text, block_chars)
-    if blocks == 0:
-        return docs
-    if blocks > 1:  # texts that leak, by their digests
+    if not fits(benchmark, item_text, block_chars):
+        # texts that leak, by their digests; those of very many documents are split off
         digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-        leaks = _overlaps(docs.select(digest.alias("__digest"), F.col(text).alias("text")), benchmark, item_id, item_text, block_chars).select("__digest").distinct()
-        return docs.withColumn("__own", digest).join(leaks, F.col("__own") == F.col("__digest"), "left_anti").drop("__own")
-    shared = docs.sparkSession.sparkContext.broadcast(next(found))
+        leaks = written(_overlaps(docs.select(digest.alias("digest"), F.col(text).alias("text")), benchmark, item_id, item_text, block_chars).groupBy("digest").agg(F.count("*").alias("n")), "leaks")
+        limit = max(docs.count() // SHARES, 1000)
+        hot, others = leaks.where(F.col("n") > limit).select("digest"), leaks.where(F.col("n") <= limit).select("digest")
+        own = docs.withColumn("__own", digest)
+        own = own.join(F.broadcast(hot), F.col("__own") == F.col("digest"), "left_anti")
+        return own.join(others, F.col("__own") == F.col("digest"), "left_anti").drop("__own")
+    index = index_of(benchmark, item_id, item_text)
+    if not index.tokens:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(index)
     column = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
