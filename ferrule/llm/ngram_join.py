@@ -10,8 +10,11 @@ more. The result has a row for each document: its class (the least id that links
    compared that no longer prefix has put together yet, and no others, until the prefix is so short that pairs at the
    threshold meet with the target recall.
 3. Texts that meet are put together where the estimate from their whole signatures is ``likely`` or more; the recall
-   counts in what this misses. The edges are at most the bucket's rows; pairs are compared within a task and never
-   emitted. Connected components of all edges are the groups within which links are sought.
+   counts in what this misses. A bucket's leader, its text with the least id, is compared with the others first; those
+   that are like it are one group already. Where few are left over, each of these is compared with all of its bucket, so
+   near copies, however many, take work and shuffle in proportion to their number (``led``). The edges are at most the
+   bucket's rows; pairs are compared within a task and never emitted. Connected components of all edges are the groups
+   within which links are sought.
 4. Verification: a text's shingle set is kept as its difference from that of the group's first text, which is little for
    near copies. In each group, all pairs' intersections are computed exactly from these differences. A task reports a
    count of links for each text and a spanning forest of the links, so no link between different texts is lost and none
@@ -43,6 +46,8 @@ from ferrule.llm.components import connected_components
 from ferrule.plans.store import discard
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The block of rows that are left over when a bucket's others are like its leader.
+LEFT = -1
 #: Bytes of shingles in a block of a group.
 BLOCK_BYTES = 8_000_000
 
@@ -155,17 +160,55 @@ def compared(rows: DataFrame, group: str, task: Callable, schema: str) -> DataFr
     return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(lambda batches: (b for k, g in grouped(batches, keys) if g.num_rows > 1 for b in task(k, g)), schema)
 
 
+def alike(batches: Iterator[pa.RecordBatch], likely: float) -> Iterator[pa.RecordBatch]:
+    """Rows with whether their signature, the last but one column, is like that of their bucket's leader, the last."""
+    for batch in batches:
+        own, first = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in batch.columns[-2:])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array((own == first).mean(axis=1) >= likely)], [*batch.schema.names[:-2], "like"])
+
+
+def led(placed: DataFrame, texts: DataFrame, total: int, block: int, likely: float) -> tuple[DataFrame, DataFrame]:
+    """Edges of rows to the leader that they are like, and the rows that are still to be compared, with the blocks of each.
+
+    ``placed`` is (node, tree, bucket), of ``total`` rows, and ``texts`` has each node's signature. A row that is like the
+    leader is in a block of its own; one that isn't is in all of them, so what is shuffled is a row each, and for each that
+    is left over one a block. Where these are more than one in ``block``, all pairs of blocks are compared."""
+    signs = texts.select("node", "signature")
+    leaders = placed.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("node").alias("leader")).where("rows > 1")
+    leaders = leaders.join(signs.select(F.col("node").alias("leader"), F.col("signature").alias("sign")), "leader")
+    both = joined_by_count(placed, leaders, "bucket", "rows", total).join(signs, "node").select("bucket", "tree", "node", "leader", "signature", "sign")
+    checked = written(both.mapInArrow(lambda batches: alike(batches, likely), "bucket long, tree int, node long, leader long, like boolean"), "led")
+    edges = checked.where("like AND node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    rest = checked.groupBy("bucket").agg(F.count("*").alias("rows"), F.count_if(~F.col("like")).alias("others")).where("others > 0")
+    sized = joined_by_count(checked, rest, "bucket", "rows").withColumn("__blocks", F.ceil(F.col("rows") / block).cast("int"))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("__blocks")).cast("int")
+    sized = sized.withColumns({"own": own, "few": F.col("others") * block <= F.col("rows")})
+    # with few left over a task has a block and all of these; they are compared among themselves in the first one
+    every = F.sequence(F.lit(0), F.col("__blocks") - 1)
+    sized = sized.withColumn("__other", F.explode(F.when(F.col("few") & F.col("like"), F.array("own")).otherwise(every)))
+    first, second = F.least("own", "__other"), F.greatest("own", "__other")
+    pairs = sized.select(
+        "bucket", F.when(F.col("few"), F.col("__other")).otherwise(first).alias("first"), F.when(F.col("few"), F.lit(LEFT)).otherwise(second).alias("second"),
+        F.when(F.col("few") & ~F.col("like"), F.lit(LEFT)).otherwise(F.col("own")).alias("own"), "tree", "node",
+    )
+    return edges, pairs.join(signs, "node").select(*pairs.columns, "signature")
+
+
 def spanning(key: tuple, rows: pa.Table, trees: int, depth: int, shortest: int, likely: float) -> Iterator[pa.RecordBatch]:
-    """Edges of a spanning forest over a subtrie's likely pairs, between its two blocks or within its one."""
+    """Edges of a spanning forest over a subtrie's likely pairs: between its two blocks or within its one; or, where the
+    second block is LEFT, of those that are left over, whose own block is that too, with all rows."""
     node, own = rows.column("node").to_numpy(), rows.column("own").to_numpy()
     tree = rows.column("tree")[0].as_py()
     signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(node), trees * depth)
     labels = signs[:, tree * depth : (tree + 1) * depth]
+    left_over = own == LEFT
     order = np.lexsort(labels.T[::-1])
-    node, own, signs, labels = node[order], own[order], signs[order], labels[order]
+    node, own, signs, labels, left_over = node[order], own[order], signs[order], labels[order], left_over[order]
     # with one more row than there are, for each row how much of its label it shares with the row before it
     shared = np.concatenate([[-1], np.cumprod(labels[1:] == labels[:-1], axis=1).sum(axis=1), [-1]])
     root = np.arange(len(node))
+    if key[2] == LEFT and not left_over.all():  # the others are like their leader, and so are one group
+        root[~left_over] = np.flatnonzero(~left_over)[0]
     edges = []
     for length in range(depth, shortest - 1, -1):
         cuts = np.flatnonzero(shared < length)
@@ -175,7 +218,9 @@ def spanning(key: tuple, rows: pa.Table, trees: int, depth: int, shortest: int,
                     break
                 others = np.arange(i + 1, z)
                 others = others[root[others] != root[i]]
-                if key[1] != key[2]:
+                if key[2] == LEFT:
+                    others = others[left_over[others] | left_over[i]] if key[1] == 0 else others[left_over[others] != left_over[i]]
+                elif key[1] != key[2]:
                     others = others[own[others] != own[i]]
                 for j in others[(signs[others] == signs[i]).mean(axis=1) >= likely].tolist() if len(others) else ():
                     if root[i] != root[j]:
@@ -255,13 +300,11 @@ def ngram_join(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, trees: i
 
     signed = written(rows.mapInArrow(sign, "node long, digest binary, size long, signature binary, buckets array<long>"), "signed")
     usable = signed.where("size > 0 AND node IS NOT NULL")
-    texts = written(usable.groupBy("digest").agg(F.min("node").alias("node"), F.min_by(F.struct("signature", "buckets"), "node").alias("s")).select("digest", "node", "s.*"), "texts")
+    texts = written(usable.groupBy("digest").agg(F.min("node").alias("node"), F.min_by(F.struct("signature", "buckets"), "node").alias("s"), F.count("*").alias("copies")).select("digest", "node", "copies", "s.*"), "texts")
 
     placed = texts.select("node", F.posexplode("buckets").alias("tree", "bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
-    placed = in_blocks(placed, "bucket", "node", F.ceil(F.col("rows") / block), sizes, trees * texts.count())
-    placed = placed.join(texts.select("node", "signature"), "node").select("bucket", "first", "second", "own", "tree", "node", "signature")
-    edges = compared(placed, "bucket", lambda k, g: spanning(k, g, trees, depth, length, likely), "a long, b long")
+    near, left = led(placed, texts, trees * texts.count(), block, likely)
+    edges = near.unionByName(compared(left, "bucket", lambda k, g: spanning(k, g, trees, depth, length, likely), "a long, b long"))
     groups = connected_components(edges)
 
     # rows with a text of some group; of copies, the one that stands for them
@@ -292,11 +335,13 @@ def ngram_join(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, trees: i
     classes = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
     counts = checked.where("b IS NULL").groupBy(F.col("a").alias("copy_id")).agg(F.sum("links").alias("n_links"))
 
-    members = signed.select("node", "digest", "size").join(texts.select("digest", F.col("node").alias("copy_id")), "digest", "left")
-    members = members.select("node", F.when(F.col("node").isNotNull() & (F.col("size") > 0), F.col("copy_id")).otherwise(F.col("node")).alias("copy_id"))
+    # of each text, and then of each row by its text; a text of very many copies is split off
     known = counts.join(classes.select(F.col("node").alias("copy_id"), F.col("root").alias("class_id")), "copy_id", "full")
-    out = members.join(known, "copy_id", "left")
-    return out.select(F.col("node").cast(docs.schema[doc_id].dataType).alias("doc_id"), F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    table = texts.select("digest", F.col("node").alias("copy_id"), "copies").join(known, "copy_id", "left").select("digest", "copies", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    members = joined_by_count(usable.select("node", "digest"), table, "digest", "copies").select("node", "class_id", "copy_id", "n_links")
+    alone = signed.where("size = 0 OR node IS NULL").select("node", F.col("node").alias("class_id"), F.col("node").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    out = members.unionByName(alone)
+    return out.select(F.col("node").cast(docs.schema[doc_id].dataType).alias("doc_id"), "class_id", "copy_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

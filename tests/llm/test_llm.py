@@ -995,3 +995,72 @@ def test_an_index_has_few_bytes():
     rng = random.Random(2)
     for items in ([(k, " ".join(rng.choice("abcdefgh") for _ in range(500))) for k in range(40)], [(0, " ".join(f"w{rng.randrange(9000)}" for _ in range(30_000)))]):
         assert decontam.SeedIndex(items).nbytes <= decontam.WORD_BYTES * sum(len(t.split()) for _, t in items) + 10_000
+
+
+def test_a_large_benchmark_is_joined_in_one_scan(spark, sf, texts):
+    """Documents are read once whatever the benchmark, and the join finds what the index finds."""
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    count = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            count.add(b.num_rows)
+            yield b
+
+    counted = docs.select("doc_id", "text").mapInArrow(seen, "doc_id long, text string")
+    more = bench.unionByName(spark.createDataFrame([(9000 + k, " ".join(f"q{k}w{j}" for j in range(4 + k % 12))) for k in range(200)], "item_id long, text string"))
+    want = sorted(map(tuple, decontam.overlaps(docs, more).collect()))
+    got = sorted(map(tuple, decontam.overlaps(counted, more, block_chars=10).collect()))
+    assert got == want and len(want) >= 3
+    assert count.value == len(texts)
+
+
+def test_odd_rows_of_a_joined_benchmark(spark):
+    """Repeated documents and ids, nulls, and a passage that a third of the documents hold."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    rows = [(k, f"n{k} {item.replace('eta', 'x', 1)} m{k}" if k % 3 == 0 else f"clean text number {k}") for k in range(60)]
+    rows += [(3, item), (3, item), (None, item), (61, None), (62, ""), (63, "one two three four five")]
+    docs = documents(spark, rows)
+    bench = spark.createDataFrame([(1, item), (1, item), (1, "one two three four five"), (2, None), (None, item), (3, "w x y z")], "item_id long, text string")
+    for block in (10, 10**6):
+        got = sorted(((r.doc_id, r.item_id, r.matched_words) for r in decontam.overlaps(docs, bench, block_chars=block).collect()), key=repr)
+        kept = sorted(((r.doc_id, r.text) for r in decontam.decontaminated(docs, bench, block_chars=block).collect()), key=repr)
+        if block == 10:
+            first = got, kept
+    assert first == (got, kept) and len(kept) == 42 and len(got) == 2 * 23 + 1
+
+
+def test_buckets_of_near_copies_are_linear(spark):
+    """What is shuffled for a bucket of near copies grows as they do, also where some of its texts are like no other."""
+    sizes = []
+    for n in (1000, 2000, 4000):
+        rng = np.random.default_rng(1)
+        base = rng.integers(0, 1 << 16, 128).astype(np.uint16)
+        signs = np.tile(base, (n, 1))
+        signs[np.arange(n), rng.integers(4, 128, n)] ^= 1  # near copies
+        signs[: n // 500, 4:] = rng.integers(0, 1 << 16, (n // 500, 124))  # and others in the same bucket
+        texts = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(signs[::-1])], "node long, signature binary")
+        edges, left = ngram_join.led(texts.select("node", F.lit(0).alias("tree"), F.lit(5).cast("long").alias("bucket")), texts, n, 128, 0.65)
+        assert edges.count() == n - n // 500 - 1
+        sizes.append(left.count())
+        more = ngram_join.compared(left, "bucket", lambda k, g: ngram_join.spanning(k, g, 16, 8, 4, 0.65), "a long, b long")
+        assert more.count() == 0
+    assert sizes[0] < 1.1 * 1000 and sizes[2] < 4.4 * sizes[0]
+
+
+def test_texts_that_are_left_over_find_their_like(spark, monkeypatch):
+    """A bucket whose leader is like most: a text that is like one of the others, but not like the leader, is linked to it."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 16, 128).astype(np.uint16)
+    signs = [base.copy() for _ in range(300)]
+    for k in range(1, 300):
+        signs[k][rng.choice(np.arange(4, 128), 3, replace=False)] ^= 1
+    signs[150][60:100] ^= 1  # 0.67 like the leader
+    signs.append(signs[150].copy())
+    signs[300][100:128] ^= 1  # like text 150 at 0.78, like the leader at less than 0.5
+    signs.append(rng.integers(0, 1 << 16, 128).astype(np.uint16))
+    signs[301][:4] = base[:4]
+    texts = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(signs)], "node long, signature binary")
+    edges, left = ngram_join.led(texts.select("node", F.lit(0).alias("tree"), F.lit(5).cast("long").alias("bucket")), texts, 302, 128, 0.65)
+    more = ngram_join.compared(left, "bucket", lambda k, g: ngram_join.spanning(k, g, 16, 8, 4, 0.65), "a long, b long").collect()
+    assert edges.count() == 299 and [sorted(r) for r in more] == [[150, 300]]
