@@ -277,10 +277,11 @@ class OperatorSet:
 
     @classmethod
     def from_names(cls, names: Sequence[str], max_arity: int = 3) -> OperatorSet:
+        """Operators by tokens; one that names several, as - does, is refused: say sub or neg, or give arities."""
         if not names:
             raise ValueError("no operators are given")
         every = cls(tuple(BUILTIN.values()))
-        return cls([every.lookup(n, 2 if n.strip() == "-" else None) for n in names], max_arity)
+        return cls([every.lookup(n) for n in names], max_arity)
 
     @classmethod
     def from_names_by_arity(cls, unary: Sequence[str] = (), binary: Sequence[str] = (), ternary: Sequence[str] = ()) -> OperatorSet:
@@ -294,11 +295,11 @@ class OperatorSet:
     def preset(cls, name: str) -> OperatorSet:
         """The presets basic, trig and explog."""
         extra = {"basic": ["cos"], "trig": ["sin", "cos"], "explog": ["cos", "exp", "log"]}[name]
-        return cls.from_names([*extra, "+", "-", "*", "/"])
+        return cls.from_names([*extra, "+", "sub", "*", "/"])
 
     @classmethod
     def default(cls) -> OperatorSet:
-        return cls.from_names(["+", "-", "*", "/"])
+        return cls.from_names(["+", "sub", "*", "/"])
 
 
 def register(name: str, arity: int, value: Callable, partials: Sequence[Callable], **more) -> Op:

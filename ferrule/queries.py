@@ -347,7 +347,7 @@ def engine_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simplified_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated trees and their simplified forms over all rows: how many values differ, and whether any tree grew."""
-    ops, rng = OperatorSet.from_names(["+", "-", "*", "cos", "abs", "max"]), np.random.default_rng(9)
+    ops, rng = OperatorSet.from_names(["+", "sub", "*", "cos", "abs", "max"]), np.random.default_rng(9)
     trees = [random_expr(rng, ops, 3, size) for size in range(2, 32)]
     df = inputs(spark, sf_dir)
     wrong = []
@@ -367,7 +367,7 @@ def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf_dir: str, y: Column, **more) -> SearchEngine:
     data = ds.with_roles(inputs(spark, sf_dir).select("x", "y", y.alias("t")), "t")
-    o = {"operators": OperatorSet.from_names(["cos", "+", "-", "*"]), "populations": 8, "population_size": 27, "niterations": 3, "ncycles_per_iteration": 300, "maxsize": 12, "seed": 3} | more
+    o = {"operators": OperatorSet.from_names(["cos", "+", "sub", "*"]), "populations": 8, "population_size": 27, "niterations": 3, "ncycles_per_iteration": 300, "maxsize": 12, "seed": 3} | more
     return SearchEngine(data, Options(**o))
 
 

@@ -31,7 +31,7 @@ X, Y = var(0), var(1)
 
 def population(n=200, seed=0):
     """Formulas as a search has them: mutated from few."""
-    rng, ops = np.random.default_rng(seed), OperatorSet.from_names(["+", "-", "*", "/", "cos", "log", "max"])
+    rng, ops = np.random.default_rng(seed), OperatorSet.from_names(["+", "sub", "*", "/", "cos", "log", "max"])
     out = [mu.random_expr(rng, ops, 2, 9) for _ in range(6)]
     while len(out) < n:
         e = mu.mutate_feature(rng, out[int(rng.integers(len(out)))], 2) if rng.random() < 0.5 else mu.add_node(rng, out[int(rng.integers(len(out)))], ops, 2)

@@ -10,7 +10,7 @@ from ferrule.plans.expr import Const, Expr, InvalidExpression, Var, bare, build,
 from ferrule.plans.simplify import simplify
 
 X, Y = var(0), var(1)
-OPS = OperatorSet.from_names(["cos", "exp", "+", "-", "*", "/", "fma"])
+OPS = OperatorSet.from_names(["cos", "exp", "+", "sub", "*", "/", "fma"])
 
 
 def test_strings():

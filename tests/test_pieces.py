@@ -33,7 +33,7 @@ LIMITED = Options(op_constraints={"mul": (None, 4)}, nested_constraints={"exp":
 
 #: Trees and draws.
 TRIALS = 300
-NAMES = ["+", "-", "*", "/", "cos", "exp", "max", "fma"]
+NAMES = ["+", "sub", "*", "/", "cos", "exp", "max", "fma"]
 
 
 def seeded_trees(seed: int, n: int = TRIALS) -> list[Expr]:

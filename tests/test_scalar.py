@@ -111,3 +111,9 @@ def test_unknown_and_ambiguous_operators():
     assert sorted(e.value.candidates) == ["neg", "sub"] and every.lookup("-", 1).name == "neg"
     assert every.describe("add")["infix"] == "+" and every.describe("nothing") == every.describe("add", 3)
     assert (every.describe("nothing")["name"], every.describe("nothing")["complexity"]) == ("unknown_op", 0)
+
+
+def test_a_token_of_several_operators_is_refused():
+    with pytest.raises(AmbiguousOperator, match="several operators"):
+        OperatorSet.from_names(["+", "-"])
+    assert list(OperatorSet.from_names_by_arity(["-"], ["-"]).ops) == ["neg", "sub"] and list(OperatorSet.from_names(["sub", "neg"]).ops) == ["sub", "neg"]
