@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm.common import by_bytes
+
 #: turn := open text close; open := "<turn " role [" escaped"] ">"; role := JSON string or null; close := "</turn>\n"
 OPEN = re.compile(r'<turn ("(?:[^"\\]|\\.)*"|null)( escaped)?>')
 CLOSE = "</turn>\n"
@@ -84,7 +86,7 @@ def formatted_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: st
     rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 3):
             roles, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             formatted = [render_turn(r, t) for r, t in zip(roles, texts, strict=True)]
             spans = [parse_turn(f)[2:4] if r == "assistant" else (None, None) for r, f in zip(roles, formatted, strict=True)]
@@ -101,7 +103,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             done = []
             for conv, whole, a, z in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
                 if state is None or conv != now:
