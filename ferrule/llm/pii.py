@@ -38,6 +38,8 @@ ROUNDS = 8
 YEAR, PART, BACKSLASH = "(?:19|20)[0-9]{2}", "[0-9]{1,2}", "\\"
 #: Fixed value: how often a value goes through the network at most; one in five is as it should be at the least.
 WALK = 200
+#: Steps between two looks at whether a value is as it should be already.
+BLOCK_STEPS = 8
 #: Country codes of one and two digits; all others have three.
 COUNTRY_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: The countries' lengths of an IBAN, by the registry of ISO 13616.
@@ -106,7 +108,15 @@ def string_feistel(key: Column, kind: str, value: Column) -> Column:
 def walked(start: Column, step, good) -> Column:
     """The first of ``step(start)``, ``step(step(start))``, ... that is good: a permutation of the good values if ``step`` is
     one of all. A good start has such a value, itself at the latest."""
-    return let(step(start), lambda first: F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), first, lambda s, _: F.when(good(s), s).otherwise(step(s))))
+    return let(step(start), lambda first: until(good, step, first))
+
+
+def until(good, step, value: Column) -> Column:
+    """``value`` stepped on until it is good, ``WALK`` times at most; in blocks, so that what is good early costs the steps of
+    a block and a look at each of the other blocks."""
+    times = lambda n: F.sequence(F.lit(1), F.lit(n))
+    block = lambda s: F.aggregate(times(BLOCK_STEPS), s, lambda t, _: F.when(good(t), t).otherwise(step(t)))
+    return F.aggregate(times(WALK // BLOCK_STEPS), value, lambda s, _: F.when(good(s), s).otherwise(block(s)))
 
 
 def number_feistel(key: Column, kind: str, a: Column, b: Column, size_a: int, size_b: int) -> Column:
@@ -231,7 +241,7 @@ def date(key: Column, value: Column) -> Column:
         return let(number_feistel(key, "date", day % 17, F.floor(day / 17), 17, 4297), new)
 
     def of(day: Column) -> Column:
-        last = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), moved(day), lambda s, _: F.when(s["done"], s).otherwise(moved(s["day"])))
+        last = let(moved(day), lambda start: until(lambda s: s["done"], lambda s: moved(s["day"]), start))
         return F.when(day.isNotNull() & (day >= 0), F.replace(last["text"], F.lit("/"), sep))
 
     return let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), first), of)
