@@ -14,6 +14,7 @@ from ferrule.operators.constraints import complexity, satisfies
 from ferrule.operators.options import Options
 from ferrule.plans.compile import numpy_eval, numpy_grad
 from ferrule.plans.expr import Const, Expr
+from ferrule.plans.program import Program
 from ferrule.plans.simplify import simplify
 
 @dataclass(frozen=True)
@@ -73,6 +74,18 @@ class Island:
         loss = loss if np.isfinite(loss) else np.inf
         return loss, cost_of(loss, complexity(expr, self.o), self.o.parsimony, s.baseline if self.o.use_baseline else None)
 
+    def score_all(self, exprs: list[Expr]) -> list[tuple[float, float]]:
+        """As ``score`` of each, on all of the island's rows; what the formulas share is computed once."""
+        s, losses = self.full, [np.inf] * len(exprs)
+        self.evals += len(exprs)
+
+        def take(k: int, value: np.ndarray) -> None:
+            loss = self.o.loss.numpy(value, s.y, s.w)
+            losses[k] = loss if np.isfinite(loss) else np.inf
+
+        Program(exprs).run(s.x, take)
+        return [(loss, cost_of(loss, complexity(e, self.o), self.o.parsimony, s.baseline if self.o.use_baseline else None)) for e, loss in zip(exprs, losses, strict=True)]
+
     def member(self, expr: Expr, parent: int | None, scored: tuple[float, float] | None = None) -> Member:
         loss, cost = scored or self.score(expr)
         self.serial += 1
@@ -229,8 +242,7 @@ class Island:
                 m = self.optimised(m)
             self.members[i] = m
         self.sample = self.full
-        for i, m in enumerate(self.members):
-            loss, cost = self.score(m.expr)
+        for i, (m, (loss, cost)) in enumerate(zip(self.members, self.score_all([m.expr for m in self.members]), strict=True)):
             self.members[i] = replace(m, complexity=complexity(m.expr, self.o), loss=loss, cost=cost)
         self.note(self.members)
 

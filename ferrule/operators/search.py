@@ -265,7 +265,7 @@ class SearchEngine:
         o = replace(self.options, should_optimize_constants=False) if everywhere else self.options
         share = self.freq / self.freq.sum()
         maxsize = size_limit(o.maxsize, o.warmup_maxsize_by, iteration / max(1, o.niterations))
-        pools = {p: [m for q, ms in self.tops.items() if q != p for m in ms] for p in range(o.populations)} if o.migration else {}
+        tops = self.tops if o.migration else {}
         elite = [_member(r, ops) for r in self.pareto_members().collect()] if self.hof is not None and o.hof_migration else []
 
         def live(pop: int, frame: pd.DataFrame | None) -> pd.DataFrame:
@@ -274,7 +274,7 @@ class SearchEngine:
             if not old:
                 island.start()
             else:
-                island.migrate(pools.get(pop, []), o.fraction_replaced)
+                island.migrate([m for q, best in tops.items() if q != pop for m in best], o.fraction_replaced)
                 island.migrate(elite, o.fraction_replaced_hof)
             island.iterate()
             rows = [_row(pop, k, m, "member", island.serial, island.evals if k == 0 else 0.0) for k, m in enumerate(island.members)]
