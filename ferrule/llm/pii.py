@@ -24,7 +24,8 @@ one cell of a table that goes to all tasks, so that plans, and logs of them, don
 A value that the permutation leaves as it is counts as replaced, since nobody can tell that it was left.
 
 Defined results: a null text stays null; what doesn't validate stays as it is; repeated rows get equal results. Texts
-without a digit or @ aren't searched further.
+without a digit or @ aren't searched further. Other columns pass through, but for ``n_pseudonyms``, which takes the place
+of one that is there.
 """
 
 from __future__ import annotations
