@@ -351,6 +351,16 @@ def test_nearest_lower_of_many(spark):
     assert "<=" not in "".join(line for line in plan.splitlines() if "Join" in line)
 
 
+def test_nearest_lower_of_many_in_linear_work(spark):
+    # no window reaches to the end of its range: Spark makes such a frame anew for each row
+    m = spark.createDataFrame([("a", 30, 1), ("a", 31, 2), ("b", 5, 3)], "g string, complexity int, arrival int")
+    q = spark.range(40_000, numPartitions=1).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 40).alias("wanted"))
+    out = front.nearest_lower_each(q, m, ["g"], "wanted")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = F.when(F.col("g") == "b", 5).when(F.col("wanted") >= 31, 31).otherwise(30)
+    assert out.count() == out.where(F.col("found_complexity") == want).count() == 40_000
+
+
 def test_weighted_metrics_with_a_large_offset(spark):
     rng = np.random.default_rng(6)
     y, w = 1e9 + rng.normal(size=300), rng.uniform(0, 3, 300)
