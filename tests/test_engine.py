@@ -16,12 +16,13 @@ from ferrule.functions.state_losses import StateLoss, correlation_loss, r2_loss
 from ferrule.operators import front, scoring, search
 from ferrule.operators.metrics import metrics
 from ferrule.operators.options import Options
-from ferrule.operators.scoring import in_lockstep, losses_and_slopes, loss_of, score_many, search_constants, state_loss
+from ferrule.operators.scoring import differing, in_lockstep, losses_and_slopes, loss_of, score_many, search_constants, state_loss
 from ferrule.operators.search import SearchEngine
 from ferrule.plans import store
 from ferrule.plans.compile import numpy_eval, numpy_grad
 from ferrule.plans.expr import Expr, build, lit, var
 from ferrule.plans.program import Program, Survivors, without_constants
+from ferrule.queries import simplified_values
 from ferrule.sources import dataset as ds
 from ferrule.steps import played, replayed
 from ferrule.streaming.scorer import windowed_loss, windowed_state_loss
@@ -361,6 +362,23 @@ def test_nearest_lower_of_many_in_linear_work(spark):
     assert out.count() == out.where(F.col("found_complexity") == want).count() == 40_000
 
 
+def test_differing_values_of_many_pairs(spark):
+    rows = [(float(k), float(k % 3), 1.0) for k in range(30)] + [(math.nan, 1.0, 1.0), (math.inf, 1.0, 1.0), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double, z double").repartition(4)
+    pairs = [(X + Y, Y + X), (X, X + Y), (X, X + 1e-9), (X * 0.0, build("abs", X * 0.0)), (X, X), (lit(1.0) * Y, Y + 2.0), (X, build("max", X, lit(3.0)))]
+    got = {r.k: r.differ for r in differing(df, pairs, ["x", "y"]).collect()}
+    # max leaves NaN out, so on NaN rows the last pair has a number on one side alone
+    assert got == {0: 0, 1: 20, 2: 0, 3: 0, 4: 0, 5: 33, 6: 5}
+    assert [r.differ for r in differing(df.where("x < -1"), pairs, ["x", "y"]).collect()] == [0] * 7
+
+
+def test_simplified_values_are_a_short_plan(spark, sf):
+    # 60 formulas as columns, one on top of another, took a minute to plan and more generated code than a method can have
+    out = simplified_values(spark, sf)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 20
+    assert out.where("differ = 0 AND NOT grew").count() == 30
+
+
 def test_weighted_metrics_with_a_large_offset(spark):
     rng = np.random.default_rng(6)
     y, w = 1e9 + rng.normal(size=300), rng.uniform(0, 3, 300)
