@@ -379,6 +379,69 @@ def test_simplified_values_are_a_short_plan(spark, sf):
     assert out.where("differ = 0 AND NOT grew").count() == 30
 
 
+def counted(spark, df):
+    """``df``, and how many of its rows have been read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(seen, df.schema), read
+
+
+@pytest.mark.parametrize("w", [None, "w"])
+def test_equal_rows_are_one_with_a_weight(spark, w):
+    some = [(0.0, 1.0, 2.0, 0.5), (-0.0, 1.0, 2.0, 0.5), (0.0, -0.0, 2.0, 0.5), (0.5, 1.0, 2.0, 0.5), (0.5, 1.0, 2.0, -0.25), (math.nan, 1.0, 2.0, 1.0)]
+    df = spark.createDataFrame([r for k, r in enumerate(some) for _ in range(20 + k)], "x double, y double, t double, w double").repartition(3)
+    data = ds.Dataset(df if w else df.drop("w"), ("x", "y"), "t", w)
+    out = ds.packed(data)
+    got = sorted(("%r %r" % (r.x, r.y), r["__weight"]) for r in out.df.collect())
+    counts = {("%r %r" % s[:2], s[3] if w else 1.0): 0 for s in some}
+    for k, s in enumerate(some):
+        counts["%r %r" % s[:2], s[3] if w else 1.0] += 20 + k
+    assert got == sorted((name, v * n) for (name, v), n in counts.items())
+    assert ds.packed(out) is out and ds.packed(data).is_packed
+    clean = ds.Dataset(data.df.where("NOT isnan(x)"), data.x, data.y, w)
+    exprs = [X * 0.7 + Y, build("atan2", X, Y - 2.0), build("log", X), build("cos", X * 1.5) * 0.3]
+    one, two = (losses_and_slopes(d, exprs, ls.mse()) for d in (clean, ds.packed(clean)))
+    for (a, da), (b, db) in zip(one, two, strict=True):
+        assert a == pytest.approx(b) and da == pytest.approx(db, nan_ok=True)
+    one, two = ([(r.k, r.ok, None if r.loss is None else pytest.approx(r.loss)) for r in score_many(d, exprs, ls.rmse()).orderBy("k").collect()] for d in (clean, ds.packed(clean)))
+    assert one == two
+
+
+def test_rows_that_differ_stay_as_they_are(spark):
+    df = spark.range(3000).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("t"))
+    assert ds.packed(ds.with_roles(df)).df is df
+    with pytest.raises(Exception, match="is null in a row"):
+        ds.packed(ds.with_roles(df.withColumn("x", F.when(F.col("x") > 5, F.col("x")))))
+
+
+def test_constants_over_rows_that_repeat_read_them_twice(spark):
+    rows = spark.range(4000, numPartitions=3).select((F.col("id") % 20 / 10.0).alias("x"), (F.cos(F.col("id") % 20 / 10.0 * 1.3) + 2.0).alias("t"))
+    df, read = counted(spark, rows)
+    exprs = [build("cos", X * 1.1) + 1.5, X * 0.5 + 1.0]
+    found = search_constants(ds.Dataset(df, ("x",), "t"), exprs, ls.mse(), 20)
+    assert read.value == 2 * 4000 and found[0][1] < 1e-9
+    x, t = (np.array(v) for v in zip(*rows.collect(), strict=True))
+    a, b = np.polyfit(x, t, 1)
+    assert found[1][0].consts == pytest.approx((a, b), abs=1e-5)
+
+
+def test_a_search_over_rows_that_repeat_reads_them_a_fixed_number_of_times(spark):
+    rows = spark.range(3000, numPartitions=3).select((F.col("id") % 20 / 10.0).alias("x"), (F.cos(F.col("id") % 20 / 10.0) * 2.0).alias("t"))
+    df, read = counted(spark, rows)
+    o = Options(operators=OperatorSet.from_names(["+", "*", "cos"]), populations=2, population_size=8, niterations=3, ncycles_per_iteration=10, maxsize=7, sample_rows=500)
+    engine = SearchEngine(ds.Dataset(df, ("x",), "t"), o)
+    began = read.value
+    rows_of = engine.run().pareto_front().collect()
+    assert engine.sampled and read.value == began
+    losses = {r.k: r.loss for r in score_many(engine.data, [Expr.from_row(json.loads(r.expr), engine.ops) for r in engine.pareto_members().orderBy("complexity").collect()], o.loss).collect()}
+    assert [r.loss for r in rows_of] == pytest.approx([losses[k] for k in range(len(rows_of))])
+
+
 def test_weighted_metrics_with_a_large_offset(spark):
     rng = np.random.default_rng(6)
     y, w = 1e9 + rng.normal(size=300), rng.uniform(0, 3, 300)
