@@ -2,11 +2,13 @@
 
 import json
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule import queries
 from ferrule.evolve import mutate as mu
 from ferrule.evolve.island import Island, Sample
 from ferrule.evolve.optim import answered, trials_of
@@ -22,7 +24,6 @@ from ferrule.plans import store
 from ferrule.plans.compile import numpy_eval, numpy_grad
 from ferrule.plans.expr import Expr, build, lit, var
 from ferrule.plans.program import Program, Survivors, without_constants
-from ferrule.queries import simplified_values
 from ferrule.sources import dataset as ds
 from ferrule.steps import played, replayed
 from ferrule.streaming.scorer import windowed_loss, windowed_state_loss
@@ -374,7 +375,7 @@ def test_differing_values_of_many_pairs(spark):
 
 def test_simplified_values_are_a_short_plan(spark, sf):
     # 60 formulas as columns, one on top of another, took a minute to plan and more generated code than a method can have
-    out = simplified_values(spark, sf)
+    out = queries.simplified_values(spark, sf)
     assert len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 20
     assert out.where("differ = 0 AND NOT grew").count() == 30
 
@@ -442,6 +443,19 @@ def test_a_search_over_rows_that_repeat_reads_them_a_fixed_number_of_times(spark
     assert [r.loss for r in rows_of] == pytest.approx([losses[k] for k in range(len(rows_of))])
 
 
+@pytest.mark.parametrize("name", ["search_square_recovery", "search_front"])
+def test_registered_searches_read_their_lines_a_fixed_number_of_times(spark, sf, monkeypatch, name):
+    """With a sample smaller than the table, as on larger ones: all reads are before the first iteration."""
+    engines, real = [], queries.inputs(spark, sf)
+    lines, read = counted(spark, real)
+    monkeypatch.setattr(queries, "inputs", lambda *_: lines)
+    monkeypatch.setattr(queries, "SearchEngine", lambda data, o: engines.append((SearchEngine(data, replace(o, sample_rows=500, populations=2, niterations=2, ncycles_per_iteration=20)), read.value)) or engines[0][0])
+    queries.queries()[name](spark, sf).collect()
+    ((engine, began),) = engines
+    assert engine.sampled and engine.iteration == 2 and 0 < began == read.value
+    assert engine.rows.df.count() == real.select("x", "y").distinct().count()
+
+
 def test_weighted_metrics_with_a_large_offset(spark):
     rng = np.random.default_rng(6)
     y, w = 1e9 + rng.normal(size=300), rng.uniform(0, 3, 300)
