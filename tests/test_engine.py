@@ -374,7 +374,7 @@ def test_differing_values_of_many_pairs(spark):
 
 
 def test_simplified_values_are_a_short_plan(spark, sf):
-    # 60 formulas as columns, one on top of another, took a minute to plan and more generated code than a method can have
+    # 60 formulas as columns, one on top of another, took 67 s on sf0.1 and 107 s on ten times as many lines
     out = queries.simplified_values(spark, sf)
     assert len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 20
     assert out.where("differ = 0 AND NOT grew").count() == 30
