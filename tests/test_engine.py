@@ -443,6 +443,17 @@ def test_a_search_over_rows_that_repeat_reads_them_a_fixed_number_of_times(spark
     assert [r.loss for r in rows_of] == pytest.approx([losses[k] for k in range(len(rows_of))])
 
 
+def test_a_search_reads_its_rows_four_times_before_it_begins(spark):
+    """To count them, for the sample, to see whether they repeat, and to pack them, or for the baseline where they differ."""
+    for different in (20, 3000):
+        x = F.col("id") % different / 10.0
+        df, read = counted(spark, spark.range(3000, numPartitions=3).select(x.alias("x"), (x * 2.0 - 1.0).alias("t")))
+        engine = SearchEngine(ds.Dataset(df, ("x",), "t"), Options(sample_rows=500))
+        assert read.value == 4 * 3000 and engine.sampled and len(engine.sample.y) == 500
+        assert engine.rows.df.count() == different
+        assert engine.baseline == pytest.approx(np.mean([(k % different / 5.0 - 1.0) ** 2 for k in range(3000)]), rel=1e-11)
+
+
 @pytest.mark.parametrize("name", ["search_square_recovery", "search_front"])
 def test_registered_searches_read_their_lines_a_fixed_number_of_times(spark, sf, monkeypatch, name):
     """With a sample smaller than the table, as on larger ones: all reads are before the first iteration."""
