@@ -467,6 +467,16 @@ def test_registered_searches_read_their_lines_a_fixed_number_of_times(spark, sf,
     assert engine.rows.df.count() == real.select("x", "y").distinct().count()
 
 
+def test_search_front_reads_its_lines_five_times(spark, sf, monkeypatch):
+    """Four times before the search begins, and at most once to see that there is a row; the front reads them no more."""
+    lines, read = counted(spark, real := queries.inputs(spark, sf))
+    monkeypatch.setattr(queries, "inputs", lambda *_: lines)
+    monkeypatch.setattr(queries, "SearchEngine", lambda data, o: SearchEngine(data, replace(o, sample_rows=500, populations=2, niterations=2, ncycles_per_iteration=20)))
+    rows = queries.search_front(spark, sf).orderBy("complexity").collect()
+    assert 4 * real.count() <= read.value <= 5 * real.count()
+    assert rows and all(a.loss > b.loss for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_weighted_metrics_with_a_large_offset(spark):
     rng = np.random.default_rng(6)
     y, w = 1e9 + rng.normal(size=300), rng.uniform(0, 3, 300)
