@@ -441,7 +441,7 @@ def test_signs_of_zeros_in_more_columns_than_a_number_has_bits(spark):
 
 
 def test_a_search_sees_whether_rows_repeat_without_a_sketch(spark, monkeypatch):
-    """A sketch isn't generated code: over lineitem it took three times as long as all else of its scan."""
+    """A sketch isn't generated code: over lineitem its scan took three times as long as one that hashes all rows."""
 
     def sketch(*_):
         raise AssertionError("a sketch of all rows")
